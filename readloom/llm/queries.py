@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import packing, percentiles, tokenizer, topn
+from readloom.llm import packing, percentiles, quality, tokenizer, topn
 from readloom.plans.runtime import table
 
 _SEQ, _RUN = ["seq_name"], ["seq_name", "run_id"]
@@ -51,7 +51,20 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokenizer.lengths(table(spark, d, "documents"), "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p3_percentiles, p3_day_counts, p4_found, p4_top_mappings, p7_ids, p8_containers)}
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    return quality.classify(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents the mixture takes for no prose; an exact check of the measured share follows."""
+    return _kinds(spark, d).where("n_words is not null and p_prose < 0.5 and prose_share < 0.5").select("doc_id")
+
+
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return _kinds(spark, d)
+
+
+QUERIES = {f.__name__: f for f in (p3_percentiles, p3_day_counts, p4_found, p4_top_mappings, p7_ids, p8_containers, p9_found, p9_statistics)}
 
 _WIDTH = "CASE WHEN {v} < 2048 THEN 1 ELSE CAST(1 AS BIGINT) << (length(bin({v})) - 11) END"
 _STATE = f"""once AS (SELECT DISTINCT map_id, seq_name, run_id, CAST(aligned_at AS DATE) AS "day", abs(tlen) AS t, phred_score AS q, tlen FROM mappings),
