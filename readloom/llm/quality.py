@@ -264,14 +264,18 @@ def fit(stats: DataFrame, iterations: int = MAX_ITERATIONS) -> Mixture:
         if last is not None and abs(s[0] - last) < 1e-4 * n:
             break
         last = s[0]
-    # A component means what the examples in it are; one without examples what its nearest example is.
+    # A component means what the examples in it are; one without examples what its nearest example is, where the
+    # statistics that tell the kinds of the examples apart weigh most.
     r, z, _ = m.responsibilities(ex)
+    kinds = np.array([a for a, _ in known])
+    groups = [z[kinds == a] for a in sorted(set(kinds))]
+    tells = np.var([g.mean(0) for g in groups], axis=0) / (np.mean([g.var(0) for g in groups], axis=0) + 0.05)
     home = r.argmax(1)
     for c in range(k):
         votes = Counter()
         for i in np.flatnonzero(home == c):
             votes[known[i][0]] += r[i, c]
-        near = known[int((((z - m.mu[c]) ** 2 / m.var[c]).sum(1)).argmin())][0]
+        near = known[int((((z - m.mu[c]) ** 2 * tells).sum(1)).argmin())][0]
         m.label.append(sorted(votes.items(), key=lambda v: (-v[1], v[0]))[0][0] if votes else near)
     return m
 
