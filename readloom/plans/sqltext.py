@@ -35,3 +35,15 @@ ROWS = rf"""u AS (SELECT DISTINCT map_id, tag, end_no, seq_name, strand, pos, ma
 rf AS (SELECT *, split_part(split_part(maps, ':::', 1), ':', 4) AS e FROM u WHERE maps <> '-'),
 rm AS (SELECT *, {METRICS} FROM rf),
 w AS (SELECT *, mism + nindel + njunc AS dist, mism + ins + dels AS lev, matched + mism + dels AS base_len, matched + mism + ins + spl AS glen FROM rm)"""
+
+#: Blocks of the mapping table: s and en are the first and last reference position.
+BLOCKS = rf"""{ROWS},
+bp AS (SELECT map_id, tag, end_no, seq_name, strand, pos, unnest(string_split_regex(e, '>[0-9]+[*]')) AS e, generate_subscripts(string_split_regex(e, '>[0-9]+[*]'), 1) AS bno,
+  regexp_extract_all(e, '>([0-9]+)[*]', 1) AS js FROM rf),
+bm AS (SELECT *, {METRICS} FROM bp), bl AS (SELECT *, matched + mism + ins AS blen, coalesce(CAST(js[bno] AS BIGINT), 0) AS jn, len(js) + 1 AS n_blocks FROM bm),
+bq AS (SELECT *, pos + coalesce(sum(blen + jn) OVER (PARTITION BY map_id ORDER BY bno ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM bl),
+b AS (SELECT map_id, tag || '/' || end_no AS template, map_id AS map_no, bno - 1 AS block_no, n_blocks, seq_name, strand, CAST(s AS BIGINT) AS s, CAST(s + blen - 1 AS BIGINT) AS en FROM bq)"""
+
+#: Annotated features, each once.
+FEATURES = """f AS (SELECT DISTINCT ann_id, seq_name AS fq, feature_type AS ft, start_pos AS fs, end_pos AS fe, strand AS fst, gene_id AS g, transcript_id AS tr, gene_type AS gt FROM annotations)"""
+HIT = "((s < fe AND en > fs) OR (s >= fs AND en <= fe) OR (s < fe AND en >= fe))"
