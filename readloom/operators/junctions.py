@@ -70,10 +70,10 @@ REVERSE = (("CT", "AC"), ("CT", "GC"), (".T", "GATAT"), ("AT", "GATAC"))
 
 
 def motif_strand(donor, acceptor):
-    """Strand that the bases behind a block and before the next one tell: + or -, null if neither motif fits."""
+    """Strand that the bases behind a block and before the next one tell: + or -, 0 if none or both kinds of motif fit."""
     plus = minus = F.lit(False)
     for d, a in FORWARD:
         plus = plus | (donor.rlike(f"^{d}") & acceptor.rlike(f"{a}$"))
     for d, a in REVERSE:
         minus = minus | (donor.rlike(f"^{d}") & acceptor.rlike(f"{a}$"))
-    return F.when(plus, "+").when(minus, "-")
+    return F.when(plus & ~minus, "+").when(minus & ~plus, "-").otherwise("0")
