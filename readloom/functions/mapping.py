@@ -47,7 +47,10 @@ def parse_blocks(pos: Column, edits: Column) -> Column:
         )
         return F.when(splice, closed).otherwise(more)
 
-    return F.aggregate(F.regexp_extract_all(edits, F.lit(TOKEN), F.lit(1)), start, step, lambda a: F.concat(a["done"], F.array(block(a, _l(0)))))
+    parsed = F.aggregate(F.regexp_extract_all(edits, F.lit(TOKEN), F.lit(1)), start, step, lambda a: F.concat(a["done"], F.array(block(a, _l(0)))))
+    # Most mappings are one run of matches; they need no fold over tokens.
+    whole = F.struct(pos.cast("bigint").alias("pos"), edits.try_cast("bigint").alias("base_length"), _l(0).alias("ins"), _l(0).alias("dels"), F.array().cast(f"array<{OP}>").alias("misms"), _l(0).alias("junction")).cast(BLOCK)
+    return F.when(edits.rlike("^[0-9]{1,18}$"), F.array(whole)).otherwise(parsed)
 
 
 def parse_score(text: Column) -> Column:

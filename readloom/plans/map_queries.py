@@ -36,17 +36,19 @@ def query(sql: str | None = None):
 _COLS = ["map_id", "tag", "end_no", "seq_name", "strand", "pos", "maps", "n_edits", "gt_score", "phred_score", "tlen", "run_id"]
 
 
-def rows(spark: SparkSession, d: str) -> DataFrame:
-    """Mappings, each map_id once."""
-    return table(spark, d, "mappings").select(*_COLS).distinct()
+def rows(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Mappings, each map_id once; a repeated delivery has the same content, so the columns used decide."""
+    return table(spark, d, "mappings").select("map_id", *(cols or _COLS[1:])).distinct()
 
 
-def mapped(spark: SparkSession, d: str) -> DataFrame:
-    return rows(spark, d).where("maps <> '-'").withColumn("m", M.parse_map(F.col("maps")))
+def mapped(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    need = dict.fromkeys([*cols, "maps"]) if cols else ()
+    return rows(spark, d, *need).where("maps <> '-'").withColumn("m", M.parse_map(F.col("maps")))
 
 
 def blocks(spark: SparkSession, d: str) -> DataFrame:
-    x = mapped(spark, d).select("map_id", F.concat_ws("/", "tag", "end_no").alias("template"), F.col("map_id").alias("map_no"), F.lit(1).alias("end_no"), "seq_name", "strand", F.size("m.blocks").alias("n_blocks"), F.posexplode("m.blocks").alias("block_no", "b"))
+    # There is always a block; the outer form keeps the optimizer from parsing a second time to test for one.
+    x = mapped(spark, d, "tag", "end_no", "seq_name", "strand").select("map_id", F.concat_ws("/", "tag", "end_no").alias("template"), F.col("map_id").alias("map_no"), F.lit(1).alias("end_no"), "seq_name", "strand", F.size("m.blocks").alias("n_blocks"), F.posexplode_outer("m.blocks").alias("block_no", "b"))
     return x.select("map_id", "template", "map_no", "end_no", "block_no", "n_blocks", "seq_name", "strand", F.col("b.pos").alias("b_start"), (F.col("b.pos") + M.block_length(F.col("b")) - 1).alias("b_end"))
 
 
@@ -66,7 +68,7 @@ g AS (SELECT tag, end_no, d, unnest(range(0, d + 1)) AS i FROM mx)
 SELECT g.tag, g.end_no, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ':' ORDER BY i) AS counters FROM g LEFT JOIN c ON g.tag = c.tag AND g.end_no = c.end_no AND c.dist = g.i GROUP BY g.tag, g.end_no""")
 def counters_strata(spark, d):
     """Strata counters of each read end, from counts per stratum."""
-    x = mapped(spark, d).select("tag", "end_no", M.global_distance(F.col("m.blocks")).alias("dist")).groupBy("tag", "end_no", "dist").agg(F.count("*").alias("n"))
+    x = mapped(spark, d, "tag", "end_no").select("tag", "end_no", M.global_distance(F.col("m.blocks")).alias("dist")).groupBy("tag", "end_no", "dist").agg(F.count("*").alias("n"))
     # At most one entry per distance; a read with any number of mappings is a short array here.
     g = x.groupBy("tag", "end_no").agg(F.map_from_entries(F.collect_list(F.struct("dist", "n"))).alias("h"), F.max("dist").alias("mx"))
     c = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("mx")), lambda i: F.coalesce(F.try_element_at(F.col("h"), i), F.lit(0).cast("bigint")))
@@ -84,14 +86,14 @@ def uniq_hist(spark, d):
 @query(f"""WITH {ROWS}, c AS (SELECT tag, end_no, sum(CASE WHEN maps <> '-' THEN 1 ELSE 0 END) AS n FROM u GROUP BY ALL)
 SELECT 'multimaps' AS metric, CASE WHEN n <= 0 THEN '0' WHEN n <= 1 THEN '1' WHEN n <= 5 THEN '5' WHEN n <= 10 THEN '10' WHEN n <= 50 THEN '50' WHEN n <= 100 THEN '100' WHEN n <= 500 THEN '500' WHEN n <= 1000 THEN '1000' ELSE 'more' END AS bucket, count(*) AS value FROM c GROUP BY ALL""")
 def stats_mmap_hist(spark, d):
-    c = rows(spark, d).groupBy("tag", "end_no").agg(F.sum((F.col("maps") != "-").cast("bigint")).alias("n"))
+    c = rows(spark, d, "tag", "end_no", "maps").groupBy("tag", "end_no").agg(F.sum((F.col("maps") != "-").cast("bigint")).alias("n"))
     return A.hist(c, "multimaps", A.bucket(F.col("n"), A.MULTIMAPS))
 
 
 @query(f"""WITH {ROWS} SELECT tag, end_no, map_id FROM w JOIN (SELECT tag AS t2, end_no AS e2, min(dist) AS lo FROM w GROUP BY ALL) ON tag = t2 AND end_no = e2 WHERE dist = lo""")
 def best_stratum(spark, d):
     """Mappings of the best stratum of their read: ranks by joining an aggregate, so hot reads stay splittable."""
-    x = mapped(spark, d).select("tag", "end_no", "map_id", M.global_distance(F.col("m.blocks")).alias("dist"))
+    x = mapped(spark, d, "tag", "end_no").select("tag", "end_no", "map_id", M.global_distance(F.col("m.blocks")).alias("dist"))
     lo = x.groupBy("tag", "end_no").agg(F.min("dist").alias("lo"))
     return x.join(lo, ["tag", "end_no"]).where("dist = lo").select("tag", "end_no", "map_id")
 
@@ -100,7 +102,7 @@ def best_stratum(spark, d):
 def declared_edits(spark, d):
     b = F.col("m.blocks")
     n = F.col("n_edits")
-    return mapped(spark, d).select("map_id", F.when(n.isNull(), "none").when(n == M.no_split_distance(b), "edits").when(n == M.global_distance(b), "stratum").when(n == M.levenshtein(b), "levenshtein").otherwise("other").alias("agrees"))
+    return mapped(spark, d, "n_edits").select("map_id", F.when(n.isNull(), "none").when(n == M.no_split_distance(b), "edits").when(n == M.global_distance(b), "stratum").when(n == M.levenshtein(b), "levenshtein").otherwise("other").alias("agrees"))
 
 
 # ---- statistics -----------------------------------------------------------------------------------------------------
@@ -140,19 +142,19 @@ def stats_error_hist(spark, d):
 @query(f"""WITH {ROWS}, x AS (SELECT tlen FROM u WHERE tlen IS NOT NULL AND tlen <> 0)
 SELECT 'insert' AS metric, CAST(CAST(CASE WHEN tlen < -1000 THEN 0 WHEN tlen >= 50010 THEN 5100 ELSE floor((tlen + 1000) / 10) END AS BIGINT) AS VARCHAR) AS bucket, count(*) AS value FROM x GROUP BY ALL""")
 def stats_insert_hist(spark, d):
-    return A.hist(rows(spark, d).where("tlen is not null and tlen <> 0"), "insert", A.insert_bucket(F.col("tlen")))
+    return A.hist(rows(spark, d, "tlen").where("tlen is not null and tlen <> 0"), "insert", A.insert_bucket(F.col("tlen")))
 
 
 @query(f"""WITH {ROWS} SELECT seq_name, strand, count(*) AS n, count(DISTINCT tag) AS tags FROM w GROUP BY ALL""")
 def stats_strand(spark, d):
-    return mapped(spark, d).groupBy("seq_name", "strand").agg(F.count("*").alias("n"), F.count_distinct("tag").alias("tags"))
+    return rows(spark, d, "tag", "seq_name", "strand", "maps").where("maps <> '-'").groupBy("seq_name", "strand").agg(F.count("*").alias("n"), F.count_distinct("tag").alias("tags"))
 
 
 @query(f"""WITH {ROWS}, j AS (SELECT njunc, unnest(list_transform(regexp_extract_all(e, '>([0-9]+)[*]', 1), lambda x: CAST(x AS BIGINT))) AS jl FROM w)
 SELECT 'junctions' AS metric, {_case('njunc', A.JUNCTIONS)} AS bucket, count(*) AS value FROM w WHERE njunc > 0 GROUP BY ALL
 UNION ALL SELECT 'junction_length', {_case('jl', A.JUNCTION_LENGTHS)}, count(*) FROM j GROUP BY ALL""")
 def stats_junctions(spark, d):
-    x = mapped(spark, d).where(F.size("m.blocks") > 1)
+    x = rows(spark, d, "maps").where("maps like '%*%'").withColumn("m", M.parse_map(F.col("maps")))
     j = x.select(F.explode(F.filter(F.transform("m.blocks", lambda b: b["junction"]), lambda v: v > 0)).alias("jl"))
     return A.hist(x, "junctions", A.bucket(F.size("m.blocks") - 1, A.JUNCTIONS)).unionByName(A.hist(j, "junction_length", A.bucket(F.col("jl"), A.JUNCTION_LENGTHS)))
 
@@ -160,13 +162,13 @@ def stats_junctions(spark, d):
 @query(f"""WITH {ROWS}, c AS (SELECT tag, seq_name, count(*) AS n FROM w GROUP BY ALL), p AS (SELECT tag, sum(n) AS nm, count(*) AS dv, max(n) AS dom FROM c GROUP BY tag)
 SELECT CAST(dv AS BIGINT) AS diversity, CAST(floor(dom * 10 / nm) AS BIGINT) AS dominance, count(*) AS reads FROM p GROUP BY ALL""")
 def stats_population(spark, d):
-    p = A.population(mapped(spark, d), "tag", "seq_name")
+    p = A.population(rows(spark, d, "tag", "seq_name", "maps").where("maps <> '-'"), "tag", "seq_name")
     return p.groupBy("diversity", F.floor(F.col("dominant") * 10 / F.col("n_maps")).alias("dominance")).agg(F.count("*").alias("reads"))
 
 
 @query(f"""WITH {ROWS} SELECT count(DISTINCT seq_name) AS global_diversity, count(DISTINCT run_id) AS runs, count(*) AS mappings FROM w""")
 def global_diversity(spark, d):
-    return mapped(spark, d).agg(F.count_distinct("seq_name").alias("global_diversity"), F.count_distinct("run_id").alias("runs"), F.count("*").alias("mappings"))
+    return rows(spark, d, "seq_name", "run_id", "maps").where("maps <> '-'").agg(F.count_distinct("seq_name").alias("global_diversity"), F.count_distinct("run_id").alias("runs"), F.count("*").alias("mappings"))
 
 
 @query("""WITH rd AS (SELECT DISTINCT read_id, upper(read_seq) AS s FROM fastq_reads) SELECT b AS base, CAST(sum(length(s) - length(replace(s, b, ''))) AS BIGINT) AS value FROM rd, (SELECT unnest(['A', 'C', 'G', 'T', 'N']) AS b) GROUP BY b""")
@@ -248,7 +250,7 @@ def duplicate_counts(spark, d):
 
 def _tiled(spark, d):
     p = F.split("tag", ":")
-    return mapped(spark, d).withColumn("tile", F.when(F.size(p) >= 5, F.get(p, F.size(p) - 3)))
+    return rows(spark, d, "tag", "seq_name", "pos", "strand", "maps").where("maps <> '-'").withColumn("tile", F.when(F.size(p) >= 5, F.get(p, F.size(p) - 3)))
 
 
 @query()
@@ -527,7 +529,7 @@ i AS (SELECT *, CASE WHEN s1 = '+' THEN 1 + p2 + l2 - p1 ELSE 1 + p1 + l1 - p2 E
 
 
 def _pairs(spark, d):
-    x = mapped(spark, d).where(F.size("m.blocks") == 1).withColumn("m", F.struct(F.col("map_id"), F.col("m.seq_name"), F.col("m.strand"), F.col("m.pos"), F.col("m.score"), F.col("m.blocks")))
+    x = mapped(spark, d, "tag", "end_no").where("maps not like '%*%'").withColumn("m", F.struct(F.col("map_id"), F.col("m.seq_name"), F.col("m.strand"), F.col("m.pos"), F.col("m.score"), F.col("m.blocks")))
     return R.pair_ends(x.where("end_no = 1"), x.where("end_no = 2"), 0, 20_000)
 
 
@@ -554,7 +556,7 @@ k AS (SELECT tag, count(*) FILTER (WHERE end_no = 1) AS n1, count(*) FILTER (WHE
 SELECT CASE WHEN n1 = 0 OR n2 = 0 THEN 'single' WHEN n1 = 1 AND n2 = 1 THEN 'unique pair' ELSE 'ambiguous pair' END AS kind, count(*) AS n FROM k GROUP BY 1""")
 def pair_types(spark, d):
     e = F.col("end_no")
-    k = mapped(spark, d).groupBy("tag").agg(F.sum((e == 1).cast("bigint")).alias("n1"), F.sum((e == 2).cast("bigint")).alias("n2"))
+    k = rows(spark, d, "tag", "end_no", "maps").where("maps <> '-'").groupBy("tag").agg(F.sum((e == 1).cast("bigint")).alias("n1"), F.sum((e == 2).cast("bigint")).alias("n2"))
     kind = F.when((F.col("n1") == 0) | (F.col("n2") == 0), "single").when((F.col("n1") == 1) & (F.col("n2") == 1), "unique pair").otherwise("ambiguous pair")
     return k.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
@@ -563,7 +565,7 @@ def pair_types(spark, d):
 SELECT map_id, a | (a << 16) | (CAST(c AS BIGINT) << 32) AS packed, a AS end1, a AS end2, CAST(c AS BIGINT) AS ins FROM s""")
 def score_packing(spark, d):
     a = F.coalesce(F.col("gt_score"), F.lit(0).cast("bigint")) % 65536
-    x = rows(spark, d).select("map_id", R.pack(a, a, F.coalesce("phred_score", F.lit(0))).alias("packed"))
+    x = rows(spark, d, "gt_score", "phred_score").select("map_id", R.pack(a, a, F.coalesce("phred_score", F.lit(0))).alias("packed"))
     u = R.unpack(F.col("packed"))
     return x.select("map_id", "packed", u["end1"].alias("end1"), u["end2"].alias("end2"), u["insert"].alias("ins"))
 
@@ -574,7 +576,7 @@ e AS (SELECT *, power(10.0, -(s - lo) / 10.0) AS e FROM q), z AS (SELECT *, 1 -
 SELECT tag, end_no, seq_name, pos, CASE WHEN p > 110 THEN 254 ELSE p END AS phred FROM y WHERE p < 20 OR p > 110""")
 def mapq_softmax(spark, d):
     """Qualities where the rest is clear of rounding: certain locations and those with real competitors."""
-    x = mapped(spark, d).where("gt_score is not null").withColumn("s", F.col("gt_score") % 65536)
+    x = rows(spark, d, "tag", "end_no", "seq_name", "pos", "gt_score", "maps").where("maps <> '-' and gt_score is not null").withColumn("s", F.col("gt_score") % 65536)
     q = R.mapping_quality(x, ["tag", "end_no"], ["seq_name", "pos"], "s")
     return q.where("phred < 20 or phred > 110").withColumn("phred", F.when(F.col("phred") > 110, 254).otherwise(F.col("phred")))
 
@@ -582,7 +584,7 @@ def mapq_softmax(spark, d):
 @query(f"""WITH {ROWS}, h AS (SELECT abs(tlen) AS x, count(*) AS y FROM u WHERE tlen <> 0 GROUP BY 1), c AS (SELECT *, sum(y) OVER (ORDER BY x) AS z, sum(y) OVER () AS t FROM h)
 SELECT x, y, CAST(least(floor(-10 * log10(y / t) + 0.5), 255) AS BIGINT) AS phred FROM c WHERE z >= t * 0.01 AND z < t * 0.99""")
 def insert_quantiles(spark, d):
-    h = rows(spark, d).where("tlen <> 0").groupBy(F.abs("tlen").alias("x")).agg(F.count("*").alias("y"))
+    h = rows(spark, d, "tlen").where("tlen <> 0").groupBy(F.abs("tlen").alias("x")).agg(F.count("*").alias("y"))
     return R.insert_cuts(h, 0.01)
 
 
