@@ -101,7 +101,10 @@ _MAP = ["template", "map_no", "end_no"]
 
 
 def block_hits(blocks: DataFrame, features: DataFrame) -> DataFrame:
-    """Hits of blocks (``template, map_no, end_no, block_no, n_blocks, seq_name, b_start, b_end``) with features."""
+    """Hits of blocks (``template, map_no, end_no, block_no, n_blocks, seq_name, b_start, b_end``) with features.
+
+    If blocks also tell ``n_ends``, the ends of their mapping, it need not be counted.
+    """
     f = features.select(F.col("seq_name").alias("f_seq"), F.col("feature_type").alias("f_type"), F.col("start_pos").alias("f_start"), F.col("end_pos").alias("f_end"), F.col("gene_id").alias("f_gene"), F.col("transcript_id").alias("f_transcript"))
     return overlap_join(blocks, f, ("seq_name", "b_start", "b_end"), ("f_seq", "f_start", "f_end"))
 
@@ -121,14 +124,15 @@ def map_genes(blocks: DataFrame, hit: DataFrame) -> DataFrame:
     share, and of them those with most splice sites at exon bounds."""
     exon = (F.col("f_type") == "exon") & F.col("f_gene").isNotNull()
     edge = (F.col("b_start") == F.col("f_start")) | (F.col("b_start") == F.col("f_end")) | (F.col("b_end") == F.col("f_end")) | (F.col("b_end") == F.col("f_start"))
-    g = hit.where("f_gene is not null").groupBy(*_MAP, "block_no", "n_blocks", "f_gene").agg(F.max(exon.cast("int")).alias("x"), F.sum((exon & edge).cast("int")).alias("j"))
+    also = ["n_ends"] if "n_ends" in hit.columns else []
+    g = hit.where("f_gene is not null").groupBy(*_MAP, *also, "block_no", "n_blocks", "f_gene").agg(F.max(exon.cast("int")).alias("x"), F.sum((exon & edge).cast("int")).alias("j"))
     w = Window.partitionBy(*_MAP, "block_no")
     g = g.withColumn("any", F.max("x").over(w)).where("x = any")
-    per = g.groupBy(*_MAP, "n_blocks", "f_gene").agg(F.count("*").alias("cnt"), F.sum("j").alias("j"), F.max("x").alias("x"))
+    per = g.groupBy(*_MAP, *also, "n_blocks", "f_gene").agg(F.count("*").alias("cnt"), F.sum("j").alias("j"), F.max("x").alias("x"))
     m = Window.partitionBy(*_MAP)
     whole = F.col("cnt") == F.col("n_blocks")
     per = per.withColumn("n_genes", F.count("*").over(m)).withColumn("best", F.coalesce(F.max(F.when(whole, F.col("j"))).over(m), F.lit(0)))
-    return per.where((F.col("n_genes") == 1) | (whole & ((F.col("best") == 0) | (F.col("j") == F.col("best"))))).select(*_MAP, "f_gene", "x")
+    return per.where((F.col("n_genes") == 1) | (whole & ((F.col("best") == 0) | (F.col("j") == F.col("best"))))).select(*_MAP, *also, "f_gene", "x")
 
 
 def gene_hits(blocks: DataFrame, features: DataFrame, exon_overlap: float = 0.0) -> DataFrame:
@@ -137,22 +141,27 @@ def gene_hits(blocks: DataFrame, features: DataFrame, exon_overlap: float = 0.0)
     A pair keeps the genes its ends share, or those of end 1 if end 2 hits none. With ``exon_overlap`` only mappings
     whose blocks lie in exons by at least that share (mean of both ends) count.
     """
+    lax = exon_overlap <= 0
+    if "n_ends" not in blocks.columns:
+        ends = blocks.groupBy("template", "map_no").agg(F.count_distinct("end_no").alias("n_ends"))
+        blocks = blocks.join(ends, ["template", "map_no"])
     hit = block_hits(blocks, features)
+    hit = hit if lax else materialize(hit)
     genes = map_genes(blocks, hit)
-    t = block_types(blocks, hit)
-    total = t.groupBy(*_MAP).agg(F.sum("len").alias("len"))
-    ends = t.join(total.withColumnRenamed("len", "all"), _MAP).groupBy(*_MAP).agg(F.sum(F.col("overlap") * F.col("len") / F.col("all")).alias("o"))
-    over = ends.groupBy("template", "map_no").agg(F.avg("o").alias("overlap"))
-    by_end = genes.groupBy("template", "map_no", "f_gene").agg(F.max((F.col("end_no") == 1).cast("int")).alias("in1"), F.max((F.col("end_no") == 2).cast("int")).alias("in2"), F.max(F.when(F.col("end_no") == 1, F.col("x"))).alias("x1"), F.max(F.when(F.col("end_no") == 2, F.col("x"))).alias("x2"))
-    m = Window.partitionBy("template", "map_no")
-    by_end = by_end.withColumn("any2", F.max("in2").over(m)).withColumn("any1", F.max("in1").over(m))
+    by_end = genes.groupBy("template", "map_no", "f_gene").agg(
+        F.max("n_ends").alias("n_ends"), F.max((F.col("end_no") == 1).cast("int")).alias("in1"), F.max((F.col("end_no") == 2).cast("int")).alias("in2"),
+        F.max(F.when(F.col("end_no") == 1, F.col("x"))).alias("x1"), F.max(F.when(F.col("end_no") == 2, F.col("x"))).alias("x2"),
+    )
+    x = by_end.withColumn("any2", F.max("in2").over(Window.partitionBy("template", "map_no")))
     # Single ends count whichever end they are; a pair starts from the genes of end 1.
-    single = blocks.groupBy("template", "map_no").agg(F.count_distinct("end_no").alias("n_ends"))
-    x = by_end.join(single, ["template", "map_no"]).join(over, ["template", "map_no"])
     ok = (F.col("n_ends") == 1) | ((F.col("in1") == 1) & ((F.col("in2") == 1) | (F.col("any2") == 0)))
-    lax = exon_overlap <= 0
     weight = F.when((F.col("x1") == 1) | (F.lit(lax) & (F.col("in1") == 1)), 1).otherwise(0) + F.when((F.col("x2") == 1) | (F.lit(lax) & (F.col("in2") == 1)), 1).otherwise(0)
-    x = x.where(ok & (F.lit(lax) | (F.col("overlap") >= exon_overlap - 1e-6))).withColumn("weight", weight).where("weight > 0")
+    x = x.where(ok).withColumn("weight", weight).where("weight > 0")
+    if not lax:
+        t = block_types(blocks, hit)
+        ends = t.groupBy(*_MAP).agg((F.sum(F.col("overlap") * F.col("len")) / F.sum("len")).alias("o"))
+        over = ends.groupBy("template", "map_no").agg(F.avg("o").alias("overlap")).where(F.col("overlap") >= exon_overlap - 1e-6)
+        x = x.join(over, ["template", "map_no"])
     return x.select("template", "map_no", F.col("f_gene").alias("gene_id"), "weight")
 
 

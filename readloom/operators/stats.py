@@ -127,11 +127,11 @@ def duplicate_classes(rows: DataFrame, keys: list[str], tile: str, strand: str)
 
     From counts per location, tile and strand, so pairs are computed, never listed.
     """
-    c = rows.groupBy(*keys, tile).agg(F.sum((F.col(strand) == "+").cast("bigint")).alias("p"), F.sum((F.col(strand) != "+").cast("bigint")).alias("m"))
+    c = rows.groupBy(*keys, tile).agg(F.sum((F.col(strand) == "+").cast("bigint")).alias("_p"), F.sum((F.col(strand) != "+").cast("bigint")).alias("_m"))
     half = lambda x: x * (x - 1) / 2
     g = c.groupBy(*keys).agg(
-        F.sum(F.col("p") + F.col("m")).alias("k"), F.sum(half(F.col("p")) + half(F.col("m"))).alias("a"), F.sum(F.col("p") * F.col("m")).alias("b"),
-        F.sum("p").alias("ps"), F.sum("m").alias("ms"), F.sum(F.col("p") * F.col("p") + F.col("m") * F.col("m")).alias("sq"),
+        F.sum(F.col("_p") + F.col("_m")).alias("k"), F.sum(half(F.col("_p")) + half(F.col("_m"))).alias("a"), F.sum(F.col("_p") * F.col("_m")).alias("b"),
+        F.sum("_p").alias("ps"), F.sum("_m").alias("ms"), F.sum(F.col("_p") * F.col("_p") + F.col("_m") * F.col("_m")).alias("sq"),
     )
     cross_same = (F.col("ps") * F.col("ps") + F.col("ms") * F.col("ms") - F.col("sq")) / 2
     cross_diff = F.col("ps") * F.col("ms") - F.col("b")
@@ -153,6 +153,8 @@ def duplicate_rate(classes: DataFrame, total: int | None = None) -> dict[str, fl
     keep = 1.0 - (1.0 - optical) * z
     est = last = tot * 1000.0
     for _ in range(10_000):
+        if est <= 1.0:  # too few rows for an estimate
+            break
         est = tot * keep / (1.0 - math.exp(math.log(1.0 - 1.0 / est) * tot))
         if abs(est - last) < 1e-2:
             break

@@ -49,7 +49,8 @@ def mapped(spark: SparkSession, d: str, *cols: str) -> DataFrame:
 def blocks(spark: SparkSession, d: str) -> DataFrame:
     # There is always a block; the outer form keeps the optimizer from parsing a second time to test for one.
     x = mapped(spark, d, "tag", "end_no", "seq_name", "strand").select("map_id", F.concat_ws("/", "tag", "end_no").alias("template"), F.col("map_id").alias("map_no"), F.lit(1).alias("end_no"), "seq_name", "strand", F.size("m.blocks").alias("n_blocks"), F.posexplode_outer("m.blocks").alias("block_no", "b"))
-    return x.select("map_id", "template", "map_no", "end_no", "block_no", "n_blocks", "seq_name", "strand", F.col("b.pos").alias("b_start"), (F.col("b.pos") + M.block_length(F.col("b")) - 1).alias("b_end"))
+    x = x.withColumn("n_ends", F.lit(1))
+    return x.select("map_id", "template", "map_no", "end_no", "n_ends", "block_no", "n_blocks", "seq_name", "strand", F.col("b.pos").alias("b_start"), (F.col("b.pos") + M.block_length(F.col("b")) - 1).alias("b_end"))
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:

@@ -46,4 +46,4 @@ b AS (SELECT map_id, tag || '/' || end_no AS template, map_id AS map_no, bno - 1
 
 #: Annotated features, each once.
 FEATURES = """f AS (SELECT DISTINCT ann_id, seq_name AS fq, feature_type AS ft, start_pos AS fs, end_pos AS fe, strand AS fst, gene_id AS g, transcript_id AS tr, gene_type AS gt FROM annotations)"""
-HIT = "((s < fe AND en > fs) OR (s >= fs AND en <= fe) OR (s < fe AND en >= fe))"
+HIT = "s <= en AND ((s < fe AND en > fs) OR (s >= fs AND en <= fe) OR (s < fe AND en >= fe))"
