@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readloom.plans.runtime import materialize, rows_at_most
+
 # Usual names of FASTQ variants and the scale each one means.
 P33, P64, SOLEXA, NUMBERS, ERRORS = "phred33", "phred64", "solexa64", "numbers", "errors"
 NAMES = {
@@ -38,6 +40,8 @@ NAMES = {
 CHARS = {P33: (33, 78), P64: (64, 109), SOLEXA: (59, 109)}
 #: Weighted distance over the longer length that still counts as the same spelling.
 MAX_DISTANCE = 0.18
+#: Known spellings up to this many are broadcast.
+MAX_SENT = 100_000
 _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 _LIST = rf"^\s*{_NUMBER}(?:\s*[,;:|\s]\s*{_NUMBER})+\s*$"
 
@@ -147,12 +151,13 @@ def common_qualities(df: DataFrame, quals: str = "qualities", read: str = "read_
     ``df`` is replaced.
     """
     q, r = F.col(f"`{quals}`"), F.col(f"`{read}`")
-    names = alias_dictionary(df, fmt, descr)
+    names = materialize(alias_dictionary(df, fmt, descr)).where("scale is not null")  # filtered once written: each spelling is looked up once
     keep = [c for c in df.columns if c not in ("recorded_as", "phred33")]
     base = df.select(*(F.col(f"`{c}`") for c in keep))
-    # The dictionary has one row per distinct spelling; how it is joined is left to its measured size.
-    d1 = names.select(F.col("spelling").alias("_s1"), F.col("scale").alias("_by_format"))
-    d2 = names.select(F.col("spelling").alias("_s2"), F.col("scale").alias("_by_descr"))
+    # One row per known spelling: sent to the rows if there are few, joined like any table if not.
+    send = F.broadcast if rows_at_most(names, MAX_SENT) else lambda x: x
+    d1 = send(names.select(F.col("spelling").alias("_s1"), F.col("scale").alias("_by_format")))
+    d2 = send(names.select(F.col("spelling").alias("_s2"), F.col("scale").alias("_by_descr")))
     x = base.join(d1, F.col(f"`{fmt}`") == F.col("_s1"), "left").join(d2, F.col(f"`{descr}`") == F.col("_s2"), "left")
     there = q.isNotNull() & ~F.trim(q).isin("", "*")
     is_list = there & q.rlike(_LIST) & (q.rlike(r"\s") | (F.length(q) != F.coalesce(F.length(r), F.lit(-1))))
