@@ -53,6 +53,59 @@ def parse_blocks(pos: Column, edits: Column) -> Column:
     return F.when(edits.rlike("^[0-9]{1,18}$"), F.array(whole)).otherwise(parsed)
 
 
+def leftmost_last(blocks: Column) -> Column:
+    """Positions of a split mapping on the reverse strand: blocks are listed as the read runs, so the given position is
+    that of the last block and each block lies behind the next one and their junction."""
+    n = F.size(blocks)
+
+    def place(b, i):
+        rest = F.slice(blocks, i + 2, F.greatest(n - i - 1, F.lit(0)))
+        after = F.aggregate(rest, _l(0), lambda a, c: a + c["base_length"] + c["ins"] - c["dels"] + c["junction"])
+        return F.struct((F.element_at(blocks, 1)["pos"] + after + b["junction"]).alias("pos"), b["base_length"].alias("base_length"), b["ins"].alias("ins"), b["dels"].alias("dels"), b["misms"].alias("misms"), b["junction"].alias("junction"))
+
+    return F.when(n > 1, F.transform(blocks, place)).otherwise(blocks)
+
+
+def parse_edits_v0(pos: Column, edits: Column, read_length: Column) -> Column:
+    """Blocks of the older notation, whose operations carry 1-based read positions: ``A88C89``, ``<+3>20``, ``<-2>7``, ``<*100>30``."""
+    start = F.struct(F.lit("").alias("s"), _l(0).alias("at"))
+
+    def step(a, t):
+        to = F.regexp_extract(t, "([0-9]+)$", 1).try_cast("bigint") - 1
+        n = F.regexp_extract(t, "^<.([0-9]+)>", 1).try_cast("bigint")
+        run = F.when(to > a["at"], (to - a["at"]).cast("string")).otherwise("")
+        base, kind = t.rlike("^[ACGTN]"), F.substring(t, F.lit(2), F.lit(1))
+        op = F.when(base, F.left(t, F.lit(1))).otherwise(F.concat(F.lit(">"), n.cast("string"), kind))
+        return F.struct(F.concat(a["s"], run, op).alias("s"), (to + F.when(base, 1).when(kind == "-", n).otherwise(0)).cast("bigint").alias("at"))
+
+    tokens = F.regexp_extract_all(edits, F.lit(r"([ACGTN][0-9]+|<[-+*][0-9]+>[0-9]+)"), F.lit(1))
+    plain = F.aggregate(tokens, start, step, lambda a: F.concat(a["s"], F.when(read_length > a["at"], (read_length - a["at"]).cast("string")).otherwise("")))
+    return parse_blocks(pos, plain)
+
+
+def parse_map_v0(txt: Column, read_length: Column) -> Column:
+    """A mapping in the older notation ``seq:F123A88C89[@score/n]``."""
+    body = F.split(txt, "@")
+    rest = F.get(F.split(F.get(body, F.lit(0)), ":"), F.lit(1))
+    strand = F.when(F.left(rest, F.lit(1)).isin("F", "+"), "+").otherwise("-")
+    pos = F.regexp_extract(rest, "^[-+FR]([0-9]+)", 1).try_cast("bigint")
+    blocks = parse_edits_v0(pos, F.regexp_replace(rest, "^[-+FR][0-9]+", ""), read_length)
+    score = F.get(F.split(F.get(body, F.lit(1)), "/"), F.lit(0)).try_cast("bigint")
+    return F.struct(txt.alias("txt"), F.substring_index(txt, ":", 1).alias("seq_name"), strand.alias("strand"), pos.alias("pos"), score.alias("score"), F.when(strand == "-", leftmost_last(blocks)).otherwise(blocks).alias("blocks"))
+
+
+def parse_split_v0(txt: Column, read_length: Column) -> Column:
+    """Donor and acceptor of the older split notation ``[26]=chr7:R100~chr7:R50``; of several positions the first counts.
+
+    ``STRUCT<split, seq1, strand1, pos1, seq2, strand2, pos2, length1, length2>``, null if the text is none.
+    """
+    rx = r"^\[([0-9]+)(?:[-;][0-9]+)*\]=([^:]+):([-+FR])\[?([0-9]+)[^~]*~([^:]+):([-+FR])\[?([0-9]+)"
+    g = lambda i: F.regexp_extract(txt, rx, i)
+    strand = lambda i: F.when(g(i).isin("F", "+"), "+").otherwise("-")
+    cut = g(1).try_cast("bigint")
+    return F.when(txt.rlike(rx), F.struct(cut.alias("split"), g(2).alias("seq1"), strand(3).alias("strand1"), g(4).try_cast("bigint").alias("pos1"), g(5).alias("seq2"), strand(6).alias("strand2"), g(7).try_cast("bigint").alias("pos2"), cut.alias("length1"), (read_length - cut).alias("length2")))
+
+
 def parse_score(text: Column) -> Column:
     """A decimal or hexadecimal score; null if absent."""
     v = F.when(text.startswith("0x"), F.conv(F.substring(text, 3, 40), 16, 10)).otherwise(text)
@@ -65,7 +118,9 @@ def parse_map(txt: Column) -> Column:
     f = lambda i: F.get(F.split(F.get(body, F.lit(0)), ":"), F.lit(i))
     pos = f(2).try_cast("bigint")
     strand = F.when(f(1).isin("F", "+"), "+").otherwise("-")
-    return F.struct(txt.alias("txt"), f(0).alias("seq_name"), strand.alias("strand"), pos.alias("pos"), parse_score(F.get(body, F.lit(1))).alias("score"), parse_blocks(pos, f(3)).alias("blocks"))
+    blocks = parse_blocks(pos, f(3))
+    blocks = F.when((strand == "-") & f(3).contains("*"), leftmost_last(blocks)).otherwise(blocks)
+    return F.struct(txt.alias("txt"), f(0).alias("seq_name"), strand.alias("strand"), pos.alias("pos"), parse_score(F.get(body, F.lit(1))).alias("score"), blocks.alias("blocks"))
 
 
 def parse_maps(text: Column) -> Column:
@@ -136,9 +191,8 @@ def right_trim(blocks: Column) -> Column:
 
 
 def end_position(blocks: Column) -> Column:
-    """Last reference position."""
-    b = F.element_at(blocks, -1)
-    return b["pos"] + block_length(b) - 1
+    """Last reference position, whichever block it is in."""
+    return F.array_max(F.transform(blocks, lambda b: b["pos"] + block_length(b) - 1))
 
 
 def begin_position(blocks: Column) -> Column:
@@ -211,6 +265,25 @@ def render_map(m: Column) -> Column:
     return F.concat(F.concat_ws(":", m["seq_name"], m["strand"], m["pos"].cast("string"), render_edits(m["blocks"])), score)
 
 
+def splices(blocks: Column) -> Column:
+    """Junctions in reference order: first and last position between neighbouring blocks."""
+    spans = F.array_sort(F.transform(blocks, lambda b: F.struct(b["pos"].alias("s"), (b["pos"] + block_length(b) - 1).alias("e"))))
+    between = F.transform(spans, lambda x, i: F.struct((F.get(spans, i - 1)["e"] + 1).alias("s"), (x["s"] - 1).alias("e")))
+    return F.slice(between, F.lit(2), F.greatest(F.size(blocks) - 1, F.lit(0)))
+
+
+def coherent(blocks1: Column, blocks2: Column) -> Column:
+    """Whether two ends agree on the junctions where they overlap; ends without splices always do."""
+    begin = lambda b: F.array_min(F.transform(b, lambda x: x["pos"]))
+    end = lambda b: begin(b) + global_length(b)
+    lo = F.greatest(begin(blocks1), begin(blocks2))
+    hi = F.when(begin(blocks1) <= begin(blocks2), end(blocks1)).otherwise(end(blocks2))
+    inside = lambda j: F.size(F.filter(j, lambda x: (x["e"] >= lo) & (x["s"] <= hi)))
+    j1, j2 = splices(blocks1), splices(blocks2)
+    shared = F.forall(j1, lambda x: ~((x["s"] >= lo) & (x["s"] < hi)) | F.array_contains(j2, x))
+    return ((F.size(blocks1) == 1) & (F.size(blocks2) == 1)) | (hi < lo) | ((inside(j1) == inside(j2)) & shared)
+
+
 def insert_size(s1: Column, strand1: Column, blocks1: Column, s2: Column, strand2: Column, blocks2: Column) -> Column:
     """Insert size of two ends on opposite strands of one sequence; null where it has no meaning.
 

@@ -292,3 +292,8 @@ def pair_strands(df: DataFrame, allowed: list[str], s1: str = "strand1", s2: str
 def insert_sizes(df: DataFrame, lo: int, hi: int, size: str = "insert_size") -> DataFrame:
     """Pairs with an insert size in range; none counts as 0."""
     return df.where(F.coalesce(F.col(size), F.lit(0)).between(lo, hi))
+
+
+def coherent_pairs(df: DataFrame, m1: str = "m1", m2: str = "m2") -> DataFrame:
+    """Pairs whose ends agree on the junctions where they overlap."""
+    return df.where(M.coherent(F.col(f"{m1}.blocks"), F.col(f"{m2}.blocks")))

@@ -191,15 +191,50 @@ def type_patterns(blocks: DataFrame, features: DataFrame) -> DataFrame:
 
 def annotated_junctions(blocks: DataFrame, features: DataFrame) -> DataFrame:
     """Splices of mappings and how many have both sides in exons of one transcript: ``n_junctions, n_annotated``."""
-    w = Window.partitionBy(*_MAP).orderBy("block_no")
+    return map_junctions(blocks, features).agg(F.sum("n_junctions").alias("n_junctions"), F.sum("n_annotated").alias("n_annotated"))
+
+
+def map_junctions(blocks: DataFrame, features: DataFrame) -> DataFrame:
+    """``template, map_no, end_no, n_junctions, n_annotated`` of split mappings, in reference order of their blocks."""
+    w = Window.partitionBy(*_MAP).orderBy("b_start", "block_no")
     j = blocks.withColumn("prev_end", F.lag("b_end").over(w)).where("prev_end is not null").withColumn("j_id", F.monotonically_increasing_id())
-    j = materialize(j.select("j_id", "seq_name", "prev_end", "b_start"))
+    j = materialize(j.select("j_id", *_MAP, "seq_name", "prev_end", "b_start"))
     ex = features.where("feature_type = 'exon' and transcript_id is not null")
     f = ex.select(F.col("seq_name").alias("f_seq"), F.col("start_pos").alias("f_start"), F.col("end_pos").alias("f_end"), F.col("transcript_id").alias("tr"))
     left = overlap_join(j.withColumn("p2", F.col("prev_end")), f, ("seq_name", "prev_end", "p2"), ("f_seq", "f_start", "f_end")).select("j_id", "tr").distinct()
     right = overlap_join(j.withColumn("p2", F.col("b_start")), f, ("seq_name", "b_start", "p2"), ("f_seq", "f_start", "f_end")).select("j_id", "tr").distinct()
     good = left.join(right, ["j_id", "tr"], "left_semi").select("j_id").distinct().withColumn("ok", F.lit(1))
-    return j.join(good, "j_id", "left").agg(F.count("*").alias("n_junctions"), F.count("ok").alias("n_annotated"))
+    return j.join(good, "j_id", "left").groupBy(*_MAP).agg(F.count("*").alias("n_junctions"), F.count("ok").alias("n_annotated"))
+
+
+def reduce_by_annotation(templates: DataFrame, features: DataFrame, key: str, by_gene: bool = False, protein_coding: bool = False, by_junctions: bool = False) -> DataFrame:
+    """Templates whose mappings are reduced to those the annotation speaks for; a template without such is left as it is.
+
+    ``by_gene`` keeps mappings of more than one gene (the rule of the tool this follows), ``protein_coding`` those whose
+    first block hits a protein-coding feature, ``by_junctions`` drops split mappings with some, but not the largest,
+    share of annotated junctions among the template's.
+    """
+    from readloom.operators.templates import block_rows
+
+    b = block_rows(templates, (key,)).select(F.col(key).alias("template"), "map_no", F.lit(1).alias("end_no"), F.lit(1).alias("n_ends"), "block_no", "n_blocks", "seq_name", F.col("start_pos").alias("b_start"), F.col("end_pos").alias("b_end"))
+    b = materialize(b)
+    maps = b.where("block_no = 0").select("template", "map_no", "seq_name", "b_start", "b_end")
+    genes = gene_hits(b, features).groupBy("template", "map_no").agg(F.count_distinct("gene_id").alias("genes"))
+    f = features.where("gene_type = 'protein_coding'").select(F.col("seq_name").alias("f_seq"), F.col("start_pos").alias("f_start"), F.col("end_pos").alias("f_end"))
+    coding = overlap_join(maps, f, ("seq_name", "b_start", "b_end"), ("f_seq", "f_start", "f_end")).select("template", "map_no").distinct().withColumn("coding", F.lit(True))
+    junc = map_junctions(b, features).select("template", "map_no", (F.col("n_annotated") / F.col("n_junctions")).alias("ratio"))
+    m = maps.select("template", "map_no").join(genes, ["template", "map_no"], "left").join(coding, ["template", "map_no"], "left").join(junc, ["template", "map_no"], "left")
+    m = m.withColumn("best", F.max(F.coalesce("ratio", F.lit(0.0))).over(Window.partitionBy("template")))  # as many rows as the record lists
+    ok = F.lit(True)
+    if by_gene:
+        ok = ok & (F.coalesce("genes", F.lit(0)) > 1)
+    if protein_coding:
+        ok = ok & F.coalesce("coding", F.lit(False))
+    if by_junctions:
+        ok = ok & ((F.coalesce("ratio", F.lit(0.0)) <= 0) | (F.col("ratio") == F.col("best")))
+    kept = m.where(ok).groupBy("template").agg(F.collect_set("map_no").alias("_kept"))
+    x = templates.join(kept, templates[key] == kept["template"], "left").drop("template")
+    return x.withColumn("maps", F.when(F.col("_kept").isNull(), F.col("maps")).otherwise(F.filter("maps", lambda v, i: F.array_contains(F.col("_kept"), i)))).drop("_kept")
 
 
 #: Classes of transcript length for gene-body coverage: (over, up to).

@@ -19,7 +19,7 @@ def from_annotation(features: DataFrame) -> DataFrame:
 
 def from_mappings(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """``seq_name, left, right, support`` of splices in mappings (``keys…, seq_name, block_no, b_start, b_end``)."""
-    w = Window.partitionBy(*keys).orderBy("block_no")
+    w = Window.partitionBy(*keys).orderBy("b_start", "block_no")
     x = blocks.withColumn("left", F.lag("b_end").over(w)).where("left is not null")
     return x.groupBy("seq_name", "left", F.col("b_start").alias("right")).agg(F.count("*").alias("support"))
 

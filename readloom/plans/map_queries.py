@@ -347,7 +347,7 @@ def interval_join(spark, d):
     return I.overlap_join(blocks(spark, d), f, ("seq_name", "b_start", "b_end"), ("fq", "start_pos", "end_pos")).select("map_id", F.col("block_no").cast("bigint").alias("block_no"), "ann_id")
 
 
-@query(f"WITH {BLOCKS}, {FEATURES}, p AS (SELECT map_id, seq_name, min(s) AS s, min(s) AS en FROM b GROUP BY ALL) SELECT map_id, ann_id FROM p JOIN f ON seq_name = fq AND {HIT}")
+@query(f"WITH {BLOCKS}, {FEATURES}, p AS (SELECT map_id, seq_name, s, s AS en FROM b WHERE block_no = 0) SELECT map_id, ann_id FROM p JOIN f ON seq_name = fq AND {HIT}")
 def point_query(spark, d):
     f = features(spark, d).select("ann_id", F.col("seq_name").alias("fq"), "start_pos", "end_pos")
     p = blocks(spark, d).where("block_no = 0").withColumn("e", F.col("b_start"))
@@ -444,6 +444,24 @@ def region_filter(spark, d):
     return g.join(top, "gene_id", "left_semi").select("template").distinct()
 
 
+@query()
+def reduce_by_gene_id(spark, d):
+    return _txt(I.reduce_by_annotation(templates(spark, d), features(spark, d), "line_id", by_gene=True))
+
+
+@query(f"""WITH {MAPS}, {FEATURES}, c AS (SELECT DISTINCT line_id, map_no FROM (SELECT line_id, map_no, seq, pos AS s, pos + glen - 1 AS en FROM m) x JOIN f ON seq = fq AND gt = 'protein_coding' AND {HIT}),
+k AS (SELECT m.line_id, string_agg(txt, ',' ORDER BY m.map_no) AS maps, string_agg(CASE WHEN c.line_id IS NOT NULL THEN txt END, ',' ORDER BY m.map_no) AS coding FROM m LEFT JOIN c ON c.line_id = m.line_id AND c.map_no = m.map_no GROUP BY 1)
+SELECT t.line_id, coalesce(coding, maps, '-') AS maps FROM tpl t LEFT JOIN k ON k.line_id = t.line_id WHERE NOT contains(ms, '*')""")
+def reduce_to_protein_coding(spark, d):
+    x = templates(spark, d).where(~F.exists("maps", lambda m: F.size(m["blocks"]) > 1))
+    return _txt(I.reduce_by_annotation(x, features(spark, d), "line_id", protein_coding=True))
+
+
+@query()
+def reduce_by_junctions(spark, d):
+    return _txt(I.reduce_by_annotation(templates(spark, d), features(spark, d), "line_id", by_junctions=True))
+
+
 # ---- junctions ------------------------------------------------------------------------------------------------------
 
 
@@ -453,7 +471,7 @@ def junction_sites(spark, d):
     return J.from_annotation(features(spark, d))
 
 
-_DN = f"""WITH {BLOCKS}, l AS (SELECT seq_name, lag(en) OVER (PARTITION BY map_id ORDER BY block_no) AS "left", s AS "right" FROM b), dn AS (SELECT seq_name, "left", "right", count(*) AS support FROM l WHERE "left" IS NOT NULL GROUP BY ALL)"""
+_DN = f"""WITH {BLOCKS}, l AS (SELECT seq_name, lag(en) OVER (PARTITION BY map_id ORDER BY s, block_no) AS "left", s AS "right" FROM b), dn AS (SELECT seq_name, "left", "right", count(*) AS support FROM l WHERE "left" IS NOT NULL GROUP BY ALL)"""
 
 
 @query(f"{_DN} SELECT * FROM dn")
@@ -552,6 +570,12 @@ def template_size(spark, d):
     return x.select(F.col("m1.map_id").alias("id1"), F.col("m2.map_id").alias("id2"), M.observed_template_size(F.col("m1.seq_name"), a, F.col("m2.seq_name"), b).alias("tlen"))
 
 
+@query(f"{_PAIR} SELECT id1, id2 FROM pairs")
+def pair_coherence(spark, d):
+    """Pairs without splices are always coherent; see the tests for split ones."""
+    return P.coherent_pairs(_pairs(spark, d)).select(F.col("m1.map_id").alias("id1"), F.col("m2.map_id").alias("id2"))
+
+
 @query(f"""WITH {ROWS}, p AS (SELECT a.tag, a.strand AS s1, z.strand AS s2 FROM w a JOIN w z ON a.tag = z.tag AND a.end_no = 1 AND z.end_no = 2 AND a.seq_name = z.seq_name),
 k AS (SELECT tag, count(*) FILTER (WHERE end_no = 1) AS n1, count(*) FILTER (WHERE end_no = 2) AS n2 FROM w GROUP BY 1)
 SELECT CASE WHEN n1 = 0 OR n2 = 0 THEN 'single' WHEN n1 = 1 AND n2 = 1 THEN 'unique pair' ELSE 'ambiguous pair' END AS kind, count(*) AS n FROM k GROUP BY 1""")

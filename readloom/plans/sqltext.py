@@ -41,7 +41,8 @@ BLOCKS = rf"""{ROWS},
 bp AS (SELECT map_id, tag, end_no, seq_name, strand, pos, unnest(string_split_regex(e, '>[0-9]+[*]')) AS e, generate_subscripts(string_split_regex(e, '>[0-9]+[*]'), 1) AS bno,
   regexp_extract_all(e, '>([0-9]+)[*]', 1) AS js FROM rf),
 bm AS (SELECT *, {METRICS} FROM bp), bl AS (SELECT *, matched + mism + ins AS blen, coalesce(CAST(js[bno] AS BIGINT), 0) AS jn, len(js) + 1 AS n_blocks FROM bm),
-bq AS (SELECT *, pos + coalesce(sum(blen + jn) OVER (PARTITION BY map_id ORDER BY bno ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM bl),
+bq AS (SELECT *, CASE WHEN strand = '-' THEN pos + jn + coalesce(sum(blen + jn) OVER (PARTITION BY map_id ORDER BY bno ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)
+  ELSE pos + coalesce(sum(blen + jn) OVER (PARTITION BY map_id ORDER BY bno ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS s FROM bl),
 b AS (SELECT map_id, tag || '/' || end_no AS template, map_id AS map_no, bno - 1 AS block_no, n_blocks, seq_name, strand, CAST(s AS BIGINT) AS s, CAST(s + blen - 1 AS BIGINT) AS en FROM bq)"""
 
 #: Annotated features, each once.

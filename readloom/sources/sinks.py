@@ -56,6 +56,11 @@ def flag_paired(mapped: Column, reverse: Column, mate_mapped: Column, mate_rever
     return (1 + bit(mapped & mate_mapped, 2) + bit(~mapped, 4) + bit(~mate_mapped, 8) + bit(mapped & reverse, 16) + bit(mate_mapped & mate_reverse, 32) + bit(first, 64) + bit(~first, 128) + bit(mapped & sec, 256)).cast("int")
 
 
+def _cigar(m: Column) -> Column:
+    """CIGAR in reference order: mappings on the reverse strand list their blocks as the read runs."""
+    return F.when(m["strand"] == "-", M.cigar(M.reverse_blocks(m["blocks"]))).otherwise(M.cigar(m["blocks"]))
+
+
 #: Functional fields by name: ``fn(df columns)`` of a mapping ``m`` of a template.
 FIELDS = {
     "NH": lambda m: F.concat(F.lit("NH:i:"), F.size("maps").cast("string")),
@@ -90,10 +95,10 @@ def sam_lines(df: DataFrame, fields: tuple[str, ...] = ("NH", "NM", "XT"), compa
     q = F.coalesce(F.when(F.col("quals") != "", F.when(rev, F.reverse("quals")).otherwise(F.col("quals"))), F.lit("*"))
     opt = [F.when(some, FIELDS[f](m)) for f in fields]
     if compact:
-        xa = F.array_join(F.transform(F.slice("maps", F.lit(2), F.greatest(F.size("maps") - 1, F.lit(0))), lambda a: F.concat_ws(",", a["seq_name"], F.concat(a["strand"], a["pos"].cast("string")), M.cigar(a["blocks"]), M.levenshtein(a["blocks"]).cast("string"))), ";")
+        xa = F.array_join(F.transform(F.slice("maps", F.lit(2), F.greatest(F.size("maps") - 1, F.lit(0))), lambda a: F.concat_ws(",", a["seq_name"], F.concat(a["strand"], a["pos"].cast("string")), _cigar(a), M.levenshtein(a["blocks"]).cast("string"))), ";")
         opt.append(F.when(F.size("maps") > 1, F.concat(F.lit("XA:Z:"), xa)))
     mapq = F.when(some, F.lit(255)).otherwise(0)
-    core = [S.sam_qname(F.col("tag")), flag.cast("string"), F.coalesce(m["seq_name"], F.lit("*")), F.coalesce(m["pos"], F.lit(0)).cast("string"), mapq.cast("string"), F.coalesce(M.cigar(m["blocks"]), F.lit("*")), F.lit("*"), F.lit("0"), F.lit("0"), seq, q]
+    core = [S.sam_qname(F.col("tag")), flag.cast("string"), F.coalesce(m["seq_name"], F.lit("*")), F.coalesce(m["pos"], F.lit(0)).cast("string"), mapq.cast("string"), F.coalesce(_cigar(m), F.lit("*")), F.lit("*"), F.lit("0"), F.lit("0"), seq, q]
     return rows.select(F.concat_ws("\t", *core, *opt).alias("value"))
 
 

@@ -53,6 +53,38 @@ def test_edit_string(spark):
     assert r.cigar == "5S90M2D10M1I33M334N10M" and r.edits == "(5)43T46>2+10>1-33>334*10"
 
 
+def test_reverse_split_positions(spark):
+    m = spark.range(1).select(M.parse_map(F.lit("c:-:100:4>20*6>30*10")).alias("m")).first().m
+    assert [b.pos for b in m.blocks] == [100 + 10 + 30 + 6 + 20, 100 + 10 + 30, 100]
+
+
+def test_older_notations(spark):
+    x = spark.range(1).select(M.parse_map_v0(F.lit("chr7:F127708134G27<+5>30A34<-5>40T88"), F.lit(100).cast("bigint")).alias("m"), M.parse_split_v0(F.lit("[31;35]=chr16:R[2503415;2503411]~chr16:R2503271"), F.lit(75)).alias("s"), M.parse_map_v0(F.lit("c:R50<*100>30@10/1"), F.lit(75).cast("bigint")).alias("r"))
+    y = x.select("*", M.render_edits(F.col("m.blocks")).alias("e")).first()
+    assert (y.m.seq_name, y.m.pos, y.m.strand, y.e) == ("chr7", 127708134, "+", "26G2>5+4A5>5-43T12")
+    assert (y.s.split, y.s.seq1, y.s.strand1, y.s.pos1, y.s.pos2, y.s.length2) == (31, "chr16", "-", 2503415, 2503271, 44)
+    assert (y.r.score, [b.pos for b in y.r.blocks], [b.base_length for b in y.r.blocks]) == (10, [50 + 46 + 100, 50], [29, 46])
+
+
+def test_pair_coherence(spark):
+    def ok(a, b):
+        return spark.range(1).select(M.parse_map(F.lit(a)).alias("a"), M.parse_map(F.lit(b)).alias("b")).select(M.coherent(F.col("a.blocks"), F.col("b.blocks")).alias("x")).first().x
+
+    assert ok("c:+:10:20", "c:-:15:20") and ok("c:+:10:5>20*10", "c:-:12:12>20*3") and ok("c:+:10:5>20*10", "c:-:900:20")
+    assert not ok("c:+:10:5>20*10", "c:-:12:20") and not ok("c:+:10:5>20*10", "c:-:12:12>21*3")
+
+
+def test_reduce_by_annotation(spark):
+    f = spark.createDataFrame([(1, "chr1", "exon", 1, 60, "G", "T", "protein_coding"), (2, "chr1", "exon", 50, 60, "H", "U", "x"), (3, "chr1", "exon", 90, 93, "K", "V", "x"), (4, "chr1", "exon", 114, 130, "K", "V", "x")], "ann_id int, seq_name string, feature_type string, start_pos bigint, end_pos bigint, gene_id string, transcript_id string, gene_type string")
+    t = templates(spark, LINE, "b\tACGTACGTAC\t1\tchr1:+:52:8,chr1:+:5:10,chr1:+:200:4>20*6,chr1:+:90:4>20*6")
+    def got(**k):
+        return [r.m for r in intervals.reduce_by_annotation(t, f, "tag", **k).orderBy("tag").select(T.texts(F.col("maps")).alias("m")).collect()]
+
+    assert got(by_gene=True) == [LINE.split("\t")[4], "chr1:+:52:8"]
+    assert got(protein_coding=True) == ["chr1:+:5:10", "chr1:+:52:8,chr1:+:5:10"]
+    assert got(by_junctions=True)[1] == "chr1:+:52:8,chr1:+:5:10,chr1:+:200:4>20*6,chr1:+:90:4>20*6"
+
+
 def templates(spark, *lines):
     return T.from_map_lines(spark.createDataFrame([(x,) for x in lines], "value string"), "value")
 
