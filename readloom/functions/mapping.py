@@ -319,3 +319,38 @@ def same_within(a: Column, b: Column, tolerance: int) -> Column:
     one = near(begin(a["blocks"][0]), begin(b["blocks"][0])) | near(end(a["blocks"][0]), end(b["blocks"][0]))
     many = F.forall(F.arrays_zip(a["blocks"].alias("x"), b["blocks"].alias("y")), lambda z: near(begin(z["x"]), begin(z["y"])) & near(end(z["x"]), end(z["y"])))
     return (a["seq_name"] == b["seq_name"]) & (a["strand"] == b["strand"]) & (F.size(a["blocks"]) == F.size(b["blocks"])) & F.when(F.size(a["blocks"]) == 1, one).otherwise(many)
+
+
+def trim_blocks(blocks: Column, left: int, right: int, strand: Column) -> Column:
+    """Mapping of a read of which ``left`` and ``right`` bases were cut off: operations there go, positions follow.
+
+    Only the first and last block are cut, as deep as they reach. On the reverse strand the read runs against the
+    reference, so cutting its left side leaves the position alone and cutting its right side moves it.
+    """
+
+    def cut(b, n_left, n_right):
+        n0, n1 = F.least(n_left, b["base_length"]), F.least(n_right, b["base_length"])
+        end = b["base_length"] - n1
+        lost_l = F.filter(b["misms"], lambda o: o["pos"] < n0)
+        lost_r = F.filter(b["misms"], lambda o: (o["pos"] >= n0) & (o["pos"] >= end))
+        kept = F.transform(F.filter(b["misms"], lambda o: (o["pos"] >= n0) & (o["pos"] < end)), lambda o: F.struct(o["type"].alias("type"), (o["pos"] - n0).alias("pos"), o["base"].alias("base"), o["size"].alias("size")))
+        total = lambda ops, kind: F.aggregate(F.filter(ops, lambda o: o["type"] == kind), _l(0), lambda a, o: a + o["size"])
+        span = lambda n, ops: n + total(ops, "INS") - total(ops, "DEL")
+        moved = F.when(strand == "-", span(n1, lost_r)).otherwise(span(n0, lost_l))
+        return F.struct((b["pos"] + moved).alias("pos"), (b["base_length"] - n0 - n1).alias("base_length"), total(kept, "INS").alias("ins"), total(kept, "DEL").alias("dels"), kept.alias("misms"), b["junction"].alias("junction"))
+
+    n = F.size(blocks)
+    return F.transform(blocks, lambda b, i: cut(b, F.when(i == 0, _l(left)).otherwise(_l(0)), F.when(i == n - 1, _l(right)).otherwise(_l(0))))
+
+
+def restore_trim(blocks: Column, left: Column, right: Column) -> Column:
+    """Mapping of a read whose trimmed bases were put back: they come in as DEL at both ends."""
+    n = F.size(blocks)
+
+    def grow(b, i):
+        a, z = F.when(i == 0, left).otherwise(_l(0)), F.when(i == n - 1, right).otherwise(_l(0))
+        dele = lambda at, k: F.when(k > 0, F.array(F.struct(F.lit("DEL").alias("type"), at.alias("pos"), F.lit(None).cast("string").alias("base"), k.cast("bigint").alias("size")).cast(OP))).otherwise(F.array().cast(f"array<{OP}>"))
+        moved = F.transform(b["misms"], lambda o: F.struct(o["type"].alias("type"), (o["pos"] + a).alias("pos"), o["base"].alias("base"), o["size"].alias("size")).cast(OP))
+        return F.struct(b["pos"].alias("pos"), (b["base_length"] + a + z).alias("base_length"), b["ins"].alias("ins"), (b["dels"] + a + z).alias("dels"), F.concat(dele(_l(0), a), moved, dele(a + b["base_length"], z)).alias("misms"), b["junction"].alias("junction"))
+
+    return F.transform(blocks, grow)

@@ -169,6 +169,29 @@ def max_output(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("maps", F.slice("maps", 1, n))
 
 
+def hard_trim(df: DataFrame, left: int, right: int, min_length: int = 0) -> DataFrame:
+    """Reads, qualities and mappings cut at both ends, where at least ``min_length`` bases remain; the cut is kept in ``trimmed``."""
+    ok = F.length("read") - left - right >= max(min_length, 1)
+    was = F.struct(F.left("read", F.lit(left)).alias("left"), F.right("read", F.lit(right)).alias("right"), F.left("quals", F.lit(left)).alias("left_quals"), F.right("quals", F.lit(right)).alias("right_quals"))
+    x = df.withColumn("trimmed", F.when(ok, was)).withColumn("_ok", ok)
+    cut = F.transform("maps", lambda m: m.withField("blocks", M.trim_blocks(m["blocks"], left, right, m["strand"])))
+    cut = F.transform(cut, lambda m: m.withField("pos", F.array_min(F.transform(m["blocks"], lambda b: b["pos"]))))
+    x = x.withColumn("maps", F.when(F.col("_ok"), cut).otherwise(F.col("maps")))
+    for c in ("read", "quals"):
+        x = x.withColumn(c, F.when(F.col("_ok"), S.hard_trim(F.col(c), left, right)).otherwise(F.col(c)))
+    return x.drop("_ok")
+
+
+def restore_trim(df: DataFrame) -> DataFrame:
+    """Puts back what :func:`hard_trim` cut; mappings get the bases as DEL at their ends."""
+    t = F.col("trimmed")
+    n = lambda c: F.length(c).cast("bigint")
+    back = F.transform("maps", lambda m: m.withField("blocks", M.restore_trim(m["blocks"], n(t["left"]), n(t["right"]))))
+    x = df.withColumn("maps", F.when(t.isNotNull(), back).otherwise(F.col("maps")))
+    x = x.withColumn("read", F.when(t.isNotNull(), F.concat(t["left"], F.col("read"), t["right"])).otherwise(F.col("read")))
+    return x.withColumn("quals", F.when(t.isNotNull(), F.concat(t["left_quals"], F.col("quals"), t["right_quals"])).otherwise(F.col("quals"))).drop("trimmed")
+
+
 # ---- the staged pipeline --------------------------------------------------------------------------------------------
 
 
@@ -233,7 +256,7 @@ def filter_templates(df: DataFrame, o: FilterOptions) -> DataFrame:
     if o.n_maps:
         x = x.where(maps_between(*o.n_maps))
     if o.trim:
-        x = x.withColumn("read", S.hard_trim(F.col("read"), *o.trim)).withColumn("quals", S.hard_trim(F.col("quals"), *o.trim))
+        x = hard_trim(x, *o.trim)
 
     def per_mapping(y):
         y = y.withColumn("_was0", F.col("maps"))

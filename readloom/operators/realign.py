@@ -144,3 +144,13 @@ def realign_column(read: Column, seq: Column, free_ends: bool = False, weight=No
         return pd.DataFrame(rows, columns=["ops", "begin", "cost"])
 
     return f(read, seq)
+
+
+def recover_column(read: Column, seq: Column, ops: Column) -> Column:
+    """Known gaps kept and mismatches found anew; null where the gaps do not fit."""
+
+    @F.pandas_udf(OPS)
+    def f(r: pd.Series, s: pd.Series, o: pd.Series) -> pd.Series:
+        return pd.Series([recover(a, b, [dict(x) for x in c]) if a is not None and b is not None else None for a, b, c in zip(r, s, o)], dtype=object)
+
+    return f(read, seq, ops)

@@ -122,3 +122,13 @@ def concat(*inputs: DataFrame) -> DataFrame:
     for x in inputs[1:]:
         out = out.unionByName(x, allowMissingColumns=True)
     return out
+
+
+def group_chunks(df: DataFrame, segment: str = "segment", tag: str = "tag") -> DataFrame:
+    """Chunks of segmented reads (``segment`` is ``number:total``) put together by tag: mappings of all chunks, and whether
+    the numbers run from 1 to the total. A tag has as many rows as its read has chunks."""
+    n = F.split(segment, ":")
+    x = df.withColumn("_n", F.get(n, F.lit(0)).try_cast("int")).withColumn("_t", F.get(n, F.lit(1)).try_cast("int"))
+    g = x.groupBy(tag).agg(F.array_sort(F.collect_list(F.struct("_n", "maps"))).alias("c"), F.max("_t").alias("total"))
+    numbers = F.transform("c", lambda s: s["_n"])
+    return g.select(tag, F.size("c").alias("chunks"), (numbers == F.sequence(F.lit(1), F.greatest("total", F.lit(1)))).alias("complete"), F.flatten(F.transform("c", lambda s: s["maps"])).alias("maps"))

@@ -11,6 +11,7 @@ from readloom.operators import coverage as V
 from readloom.operators import filters as P
 from readloom.operators import intervals as I
 from readloom.operators import junctions as J
+from readloom.operators import pairs as Q2
 from readloom.operators import scoring as R
 from readloom.operators import setops as U
 from readloom.operators import stats as A
@@ -570,6 +571,38 @@ def template_size(spark, d):
     return x.select(F.col("m1.map_id").alias("id1"), F.col("m2.map_id").alias("id2"), M.observed_template_size(F.col("m1.seq_name"), a, F.col("m2.seq_name"), b).alias("tlen"))
 
 
+def _paired_text(spark, d):
+    """Pairs found by insert size, written as paired MAP records with reads of dots' length."""
+    x = _pairs(spark, d)
+    text = lambda m: F.concat_ws(":", F.col(f"{m}.seq_name"), F.col(f"{m}.strand"), F.col(f"{m}.pos").cast("string"), M.render_edits(F.col(f"{m}.blocks")))
+    read = lambda m: F.expr(f"repeat('A', cast({m}.blocks[0].base_length as int))")
+    line = F.concat_ws("\t", "tag", F.concat(read("m1"), F.lit(" "), read("m2")), F.lit("1"), F.concat(text("m1"), F.lit("::"), text("m2"), F.lit(":::7")))
+    return Q2.from_map_lines(x.select(F.col("m1.map_id").alias("id1"), F.col("m2.map_id").alias("id2"), line.alias("value")), keep=("id1", "id2"))
+
+
+@query(f"""{_PAIR} SELECT id1, id2, (CASE s1 WHEN '+' THEN 'F' ELSE 'R' END) || (CASE s2 WHEN '+' THEN 'F' ELSE 'R' END) AS strands, insert_size, a.dist + z.dist AS distance, CAST(l1 AS INT) AS n1, CAST(l2 AS INT) AS n2, CAST(7 AS BIGINT) AS score FROM pairs JOIN w a ON a.map_id = id1 JOIN w z ON z.map_id = id2""")
+def paired_templates(spark, d):
+    p = F.col("mmaps")[0]
+    return _paired_text(spark, d).select("id1", "id2", Q2.strands(p).alias("strands"), Q2.insert_size(p).alias("insert_size"), Q2.distance(p).alias("distance"), F.length(F.col("reads")[0]).alias("n1"), F.length(F.col("reads")[1]).alias("n2"), p["score"].alias("score"))
+
+
+@query(f"""{_PAIR} SELECT (CASE s1 WHEN '+' THEN 'F' ELSE 'R' END) || (CASE s2 WHEN '+' THEN 'F' ELSE 'R' END) AS strands, count(*) AS n FROM pairs GROUP BY 1""")
+def pair_strand_counts(spark, d):
+    letter = lambda m: F.when(F.col(f"{m}.strand") == "+", "F").otherwise("R")
+    return _pairs(spark, d).groupBy(F.concat(letter("m1"), letter("m2")).alias("strands")).agg(F.count("*").alias("n"))
+
+
+@query(f"{_PAIR} SELECT id1, id2 FROM pairs WHERE insert_size BETWEEN 200 AND 9000 AND s1 = '+'")
+def reduce_to_pairs(spark, d):
+    x = Q2.reduce_to_pairs(Q2.insert_between(Q2.on_strands(_paired_text(spark, d), ["FR"]), 200, 9000))
+    return x.where(F.size("mmaps") > 0).select("id1", "id2")
+
+
+@query()
+def paired_sam(spark, d):
+    return Q2.sam_lines(_paired_text(spark, d))
+
+
 @query(f"{_PAIR} SELECT id1, id2 FROM pairs")
 def pair_coherence(spark, d):
     """Pairs without splices are always coherent; see the tests for split ones."""

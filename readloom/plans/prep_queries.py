@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from readloom.operators import hotkeys, periods, records, units
 from readloom.plans.runtime import table
+from readloom.plans.sqltext import METRICS, E
 
 #: A key is hot from 3 in 100 of all rows on.
 HOT = (3, 100)
@@ -91,7 +92,39 @@ _COVERED = """c AS (SELECT seq_name, transcript_id, start_pos s, end_pos t FROM
   WHERE transcript_id IS NOT NULL AND start_pos <= end_pos AND coalesce(feature_type, '') NOT IN ('gene', 'transcript')),
 b AS (SELECT *, max(t) OVER (PARTITION BY seq_name, transcript_id ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) p FROM c)"""
 
+_FM = "regexp_full_match"
+_P2 = rf"""WITH r AS (SELECT line_id, file_kind AS k, raw_line AS l, current_line_num AS n, map_seq_name AS noted, string_split(raw_line, chr(9)) AS c FROM raw_records
+  WHERE NOT (file_kind = 'sam' AND regexp_matches(raw_line, '^@[A-Z]{{2}}\t')) AND NOT (file_kind = 'gtf' AND starts_with(raw_line, '#'))),
+q AS (SELECT seq_name AS sq, seq_length AS sl FROM ref_sequences),
+sam AS (SELECT line_id, coalesce(len(c) >= 11 AND c[1] <> '' AND {_FM}(c[2], '[0-9]+') AND TRY_CAST(c[2] AS HUGEINT) <= 4095 AND {_FM}(c[4], '[0-9]+') AND {_FM}(c[8], '[0-9]+')
+  AND {_FM}(c[5], '[0-9]+') AND TRY_CAST(c[5] AS HUGEINT) <= 255 AND {_FM}(c[9], '[+-]?[0-9]+') AND (c[3] = '*' OR TRY_CAST(c[4] AS HUGEINT) <= a.sl) AND (c[7] IN ('*', '=') OR b.sq IS NOT NULL)
+  AND (c[6] = '*' OR {_FM}(c[6], '([0-9]+[MIDNSHP=X])+')) AND (c[10] = '*' OR {_FM}(c[10], '[ACGTNacgtn]+'))
+  AND (c[6] = '*' OR c[10] = '*' OR coalesce(list_sum(list_transform(regexp_extract_all(c[6], '([0-9]+)[MIS=X]', 1), lambda x: CAST(x AS BIGINT))), 0) = length(c[10]))
+  AND (c[11] = '*' OR ({_FM}(c[11], '[!-~]+') AND (c[10] = '*' OR length(c[11]) = length(c[10]))))
+  AND len(list_filter(c[12:], lambda t: NOT {_FM}(t, '[A-Za-z][A-Za-z0-9]:(?:A:.|i:[+-]?[0-9]+|f:[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)|[ZHB]:.*)'))) = 0, false) AS ok
+  FROM r LEFT JOIN q a ON a.sq = c[3] LEFT JOIN q b ON b.sq = c[7] WHERE k = 'sam'),
+mi AS (SELECT line_id, c[2] AS rd, unnest(string_split(c[-1], ',')) AS t FROM r WHERE k = 'map' AND len(c) IN (4, 5) AND c[-1] <> '-'),
+mf AS (SELECT line_id, rd, t, split_part(split_part(t, ':::', 1), ':', 4) AS e FROM mi), mm AS (SELECT *, {METRICS} FROM mf),
+mb AS (SELECT line_id, bool_and(coalesce({_FM}(t, '[^:]*:[-+FR]:[0-9]+:(?:{E})*(?::::(?:0x[0-9a-fA-F]+|[0-9]+))?') AND TRY_CAST(split_part(t, ':', 3) AS HUGEINT) BETWEEN 1 AND sl AND matched + mism + dels = length(rd), false)) AS good
+  FROM mm LEFT JOIN q ON sq = split_part(t, ':', 1) GROUP BY 1),
+map AS (SELECT r.line_id, coalesce(len(c) IN (4, 5) AND {_FM}(c[2], '[ACGTN]+') AND (len(c) = 4 OR c[3] = '' OR ({_FM}(c[3], '[!-~]+') AND length(c[3]) = length(c[2])))
+  AND ({_FM}(c[-2], '!|[0-9]+(?:x[0-9]+)?(?:[:+][0-9]+(?:x[0-9]+)?)*') AND length(c[-2]) - length(replace(c[-2], '+', '')) <= 1) AND (c[-1] = '-' OR good), false) AS ok FROM r LEFT JOIN mb ON mb.line_id = r.line_id WHERE k = 'map'),
+gtf AS (SELECT line_id, coalesce(len(c) = 9 AND {_FM}(c[4], '[0-9]+') AND {_FM}(c[5], '[0-9]+') AND TRY_CAST(c[4] AS HUGEINT) >= 1 AND TRY_CAST(c[4] AS HUGEINT) <= TRY_CAST(c[5] AS HUGEINT) AND TRY_CAST(c[5] AS HUGEINT) <= sl
+  AND (c[6] = '.' OR {_FM}(c[6], '[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?')) AND c[7] IN ('+', '-', '.') AND c[8] IN ('0', '1', '2', '.')
+  AND {_FM}(c[9], '[A-Za-z0-9_]+ "[^"]*";(?: [A-Za-z0-9_]+ "[^"]*";)* *') AND regexp_matches(c[9], '(?:^| )gene_id "[^"]+";'), false) AS ok FROM r LEFT JOIN q ON sq = c[1] WHERE k = 'gtf'),
+v AS (SELECT * FROM sam UNION ALL SELECT * FROM map UNION ALL SELECT * FROM gtf)
+SELECT r.line_id FROM r LEFT JOIN v ON v.line_id = r.line_id LEFT JOIN q ON sq = noted WHERE NOT coalesce(ok, false) OR n IS NULL OR n < 1 OR NOT (noted IS NULL OR noted = '*' OR sq IS NOT NULL)"""
+
+_P5 = """WITH x AS (SELECT DISTINCT read_id, read_seq AS r, qualities AS q, lower(quality_format) AS f, qual_offset AS o, lower(descr) AS d FROM fastq_reads WHERE qualities IS NOT NULL AND trim(qualities) NOT IN ('', '*')),
+y AS (SELECT *, CASE WHEN f IN ('sanger', 'phred33', 'offset-33', 'offset_33', 'fastq-sanger', 'illumina-1.8+') THEN 1 WHEN f IN ('phred+64', 'offset-64', 'offset_64', 'fastq-illumina', 'illumina-1.3', 'illumina-1.5+') THEN 2 WHEN f IN ('solexa', 'fastq-solexa', 'solexa-odds') THEN 3 END AS a,
+  CASE o WHEN 33 THEN 1 WHEN 64 THEN 2 END AS b, CASE WHEN d LIKE '%odds%' THEN 3 WHEN d LIKE '%33%' OR d LIKE '%sanger%' OR d LIKE '%''!''%' THEN 1 WHEN d LIKE '%64%' OR d LIKE '%1.5%' OR d LIKE '%''@''%' THEN 2 END AS e,
+  [regexp_full_match(q, '[!-N]+'), regexp_full_match(q, '[@-m]+'), regexp_full_match(q, '[;-m]+')] AS fits,
+  regexp_full_match(trim(q), '[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?(?:[ ,;:|]+[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?)+') AND (contains(q, ' ') OR length(q) <> coalesce(length(r), -1)) AS many FROM x)
+SELECT DISTINCT read_id FROM y WHERE many OR coalesce(CASE WHEN fits[a] THEN a END, CASE WHEN fits[b] THEN b END, CASE WHEN fits[e] THEN e END, CASE WHEN fits[1] THEN 1 WHEN fits[2] THEN 2 WHEN fits[3] THEN 3 ELSE 4 END) <> 1"""
+
 SQL = {
+    "p2_found": _P2,
+    "p5_found": _P5,
     "p1_key_profile": f"""SELECT key_value, n_rows, {', '.join(f'{x}_{s}' for x in _M + _T for s in ('count', 'sum', 'min', 'max'))}, field_name FROM (
   SELECT seq_name AS key_value, count(*) AS n_rows, 'seq_name' AS field_name, {_stats(_M, _T)} FROM mappings GROUP BY seq_name
   UNION ALL BY NAME

@@ -76,6 +76,21 @@ def rows_at_most(df: DataFrame, bound: int) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for work far dearer than moving its rows.
+
+    Files of few row groups give few partitions, however many cores wait. Inputs that have enough are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete what this application wrote by :func:`materialize`; frames that read it are void then."""
+    for p in _written.pop(spark.sparkContext.applicationId, []):
+        _drop(spark, p)
+
+
 def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from readloom.functions import counters as C
 from readloom.functions import mapping as M
 from readloom.functions import sequence as S
-from readloom.operators import coverage, filters, intervals, junctions, realign, scoring, setops, stats
+from readloom.operators import coverage, filters, intervals, junctions, pairs, realign, scoring, setops, stats
 from readloom.operators import templates as T
 from readloom.plans.pipeline import Pipeline, PipelineConfig, Step
 from readloom.sources import fastx, sinks, text
@@ -53,6 +53,36 @@ def test_edit_string(spark):
     assert r.cigar == "5S90M2D10M1I33M334N10M" and r.edits == "(5)43T46>2+10>1-33>334*10"
 
 
+def test_trim_and_restore(spark):
+    t = templates(spark, "a\tACGTACGTAC\tABCDEFGHIJ\t1\tchr1:+:5:1T3>2+5,chr1:-:5:1T3>2+5")
+    x = filters.hard_trim(t, 2, 1)
+    got = x.select("read", "quals", F.transform("maps", lambda m: M.render_map(m)).alias("m")).first()
+    assert (got.read, got.quals, got.m) == ("GTACGTA", "CDEFGHI", ["chr1:+:7:3>2+4", "chr1:-:6:3>2+4"])
+    y = filters.restore_trim(x).select("read", "quals", F.transform("maps", lambda m: M.render_edits(m["blocks"])).alias("m")).first()
+    assert (y.read, y.quals, y.m[0]) == ("ACGTACGTAC", "ABCDEFGHIJ", "(2)3>2+4(1)")
+    assert filters.hard_trim(t, 5, 5).select("read").first().read == "ACGTACGTAC"
+
+
+def test_paired_records(spark):
+    line = "r\tACGTAC GTACGT\tIIIIII JJJJJJ\t1:1\tchr1:+:10:6::chr1:-:50:6:::0x10,chr1:+:90:6::,::chr2:-:5:5T"
+    t = pairs.from_map_lines(spark.createDataFrame([(line,), ("x\tAC GT\t0\t-",), ("bad\tACGT\t1\tc:+:1:4",)], "value string"))
+    assert t.count() == 2
+    r = t.where("tag = 'r'").select("reads", "quals", F.transform("mmaps", pairs.strands).alias("s"), F.transform("mmaps", pairs.insert_size).alias("i"), F.transform("mmaps", pairs.distance).alias("d"), F.transform("mmaps", lambda p: p["score"]).alias("c")).first()
+    assert (r.reads, r.quals) == (["ACGTAC", "GTACGT"], ["IIIIII", "JJJJJJ"])
+    assert (r.s, r.i, r.d, r.c) == (["FR", None, None], [47, None, None], [0, 0, 1], [16, None, None])
+    assert pairs.reduce_to_pairs(pairs.insert_between(t, 100, 200)).selectExpr("sum(size(mmaps)) n").first().n == 0
+    sam = [x.value.split("\t") for x in pairs.sam_lines(t.where("tag = 'r'")).collect()]
+    assert [s[1] for s in sam[:2]] == ["99", "147"] and sam[0][8] == "46" and sam[1][8] == "-46"
+    assert pairs.ends(t, ("tag",)).count() == 4
+
+
+def test_group_chunks(spark):
+    t = templates(spark, "a\tACGT\t1\tc:+:1:4", "a\tACGT\t1\tc:+:9:4", "b\tACGT\t0\t-")
+    seg = F.when(F.col("tag") == "b", "1:3").when(F.exists("maps", lambda m: m["pos"] == 1), "1:2").otherwise("2:2")
+    got = {r.tag: (r.chunks, r.complete, r.n) for r in setops.group_chunks(t.withColumn("segment", seg)).selectExpr("*", "size(maps) n").collect()}
+    assert got == {"a": (2, True, 2), "b": (1, False, 0)}
+
+
 def test_reverse_split_positions(spark):
     m = spark.range(1).select(M.parse_map(F.lit("c:-:100:4>20*6>30*10")).alias("m")).first().m
     assert [b.pos for b in m.blocks] == [100 + 10 + 30 + 6 + 20, 100 + 10 + 30, 100]
