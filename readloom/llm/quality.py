@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm.examples import EXAMPLES
-from readloom.plans.runtime import materialize
+from readloom.plans.runtime import materialize, spread
 
 # Frequent function words of several languages.
 COMMON = frozenset("""
@@ -176,7 +176,7 @@ def features(st: np.ndarray) -> np.ndarray:
 
 def text_statistics(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``id`` and the statistics of every row; null for texts that are null, empty or blank. Texts are read whole."""
-    cols = df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t"))
+    cols = spread(df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t")))
     none = (None,) * len(STATS)
 
     def run(batches):

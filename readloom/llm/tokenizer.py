@@ -18,6 +18,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
+
+from readloom.plans.runtime import spread
 
 #: Where the public vocabularies lie; a parameter of every function, never copied.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -268,9 +271,7 @@ def encode(df, id_col: str, text: str, path: str = VOCABULARY, offsets: bool = F
     Null and empty texts both come out with an empty list; the row is never dropped. Strings that look like special
     tokens are ordinary text. A text of any length is encoded whole. Other columns are not read.
     """
-    from pyspark.sql import functions as F
-
-    cols = df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t"))
+    cols = spread(df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t")))
 
     def run(batches):
         for b in batches:
@@ -289,9 +290,7 @@ def encode(df, id_col: str, text: str, path: str = VOCABULARY, offsets: bool = F
 
 def lengths(df, id_col: str, text: str, path: str = VOCABULARY):
     """``id, n_ids`` of every row; null and empty texts have 0. The ids themselves never leave the worker."""
-    from pyspark.sql import functions as F
-
-    cols = df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t"))
+    cols = spread(df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t")))
 
     def run(batches):
         for b in batches:
