@@ -150,11 +150,20 @@ def piece_starts(points: np.ndarray, text_at: np.ndarray) -> np.ndarray:
 
 
 class Merger(dict):
-    """Ids of a piece by pair merging, remembered."""
+    """Ids of a piece by pair merging, remembered.
+
+    Two neighbours merge if their bytes together are a token; which pairs do is worked out once from the vocabulary,
+    so that a merge looks up a number and never builds bytes. Merged pieces keep the ranks of their neighbours up to date
+    instead of looking at all pairs again.
+    """
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.ranks = ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.pairs = {
+            a << 20 | b: r for t, r in ranks.items() for k in range(1, len(t)) if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None
+        }
+        self.singles = [ranks[bytes([b])] for b in range(256)]
 
     def __missing__(self, piece: bytes) -> tuple[int, ...]:
         if len(self) >= CACHE_PIECES:
@@ -164,21 +173,24 @@ class Merger(dict):
         return out
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        ranks = self.ranks
-        if len(piece) > 40:
+        if len(piece) > 200:
             return self.merge_long(piece)
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        get, none = ranks.get, 1 << 60
-        while len(parts) > 1:
-            best, where = none, -1
-            for i, (a, b) in enumerate(zip(parts, parts[1:])):
-                r = get(a + b, none)
-                if r < best:
-                    best, where = r, i
-            if where < 0:
+        get, none = self.pairs.get, 1 << 60
+        single = self.singles
+        ids = [single[b] for b in piece]
+        near = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        while near:
+            r = min(near)
+            if r == none:
                 break
-            parts[where : where + 2] = [parts[where] + parts[where + 1]]
-        return tuple([ranks[p] for p in parts])
+            i = near.index(r)
+            ids[i] = r
+            del ids[i + 1], near[i]
+            if i:
+                near[i - 1] = get(ids[i - 1] << 20 | r, none)
+            if i < len(near):
+                near[i] = get(r << 20 | ids[i + 1], none)
+        return tuple(ids)
 
     def merge_long(self, piece: bytes) -> tuple[int, ...]:
         """The same merges from a heap, for pieces of any length."""
