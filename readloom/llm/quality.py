@@ -189,6 +189,8 @@ def text_statistics(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
 
 #: Least variance of a component, in units of the standardised statistics.
 FLOOR = 0.02
+#: Largest variance along the stretched share of prose: no component may span prose and its opposite.
+CEILING = 0.05
 MAX_ITERATIONS = 15
 
 
@@ -245,6 +247,7 @@ def fit(stats: DataFrame, iterations: int = MAX_ITERATIONS) -> Mixture:
     std = np.sqrt(np.maximum(sq - mean**2, 1e-6))
     k = len(known)
     m = Mixture(mean, std, np.full(k, 1 / k), (features(ex) - mean) / std, np.full((k, d), 0.5))
+    m.var[:, 0] = CEILING
     last = None
     for _ in range(iterations if n else 0):
 
@@ -259,24 +262,19 @@ def fit(stats: DataFrame, iterations: int = MAX_ITERATIONS) -> Mixture:
         mu, second = s[k + 1 : k + 1 + k * d].reshape(k, d) / safe, s[k + 1 + k * d :].reshape(k, d) / safe
         m.mu = np.where(alive[:, None], mu, m.mu)
         m.var = np.where(alive[:, None], np.maximum(second - mu**2, FLOOR), m.var)
+        m.var[:, 0] = np.minimum(m.var[:, 0], CEILING)
         m.weight = np.maximum(w / n, 1e-9)
         m.weight /= m.weight.sum()
         if last is not None and abs(s[0] - last) < 1e-4 * n:
             break
         last = s[0]
-    # A component means what the examples in it are; one without examples what its nearest example is, where the
-    # statistics that tell the kinds of the examples apart weigh most.
-    r, z, _ = m.responsibilities(ex)
+    # A component means what its nearest inspected example is. The statistics that tell the kinds of the examples apart
+    # weigh most in that distance, so a component is not named after an example it only shares its size with.
+    z = (features(ex) - m.mean) / m.std
     kinds = np.array([a for a, _ in known])
     groups = [z[kinds == a] for a in sorted(set(kinds))]
     tells = np.var([g.mean(0) for g in groups], axis=0) / (np.mean([g.var(0) for g in groups], axis=0) + 0.05)
-    home = r.argmax(1)
-    for c in range(k):
-        votes = Counter()
-        for i in np.flatnonzero(home == c):
-            votes[known[i][0]] += r[i, c]
-        near = known[int((((z - m.mu[c]) ** 2 * tells).sum(1)).argmin())][0]
-        m.label.append(sorted(votes.items(), key=lambda v: (-v[1], v[0]))[0][0] if votes else near)
+    m.label = [known[int(((z - mu) ** 2 * tells).sum(1).argmin())][0] for mu in m.mu]
     return m
 
 
