@@ -45,7 +45,7 @@ _CJK = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
 #: Words that make a clause of a string of words: finite verbs, pronouns, conjunctions.
 CLAUSE = frozenset("""
 is are was were be been being has have had do does did can could will would may might must should took take keep kept let look say said see want made make get goes there it we you i they he she that which who
-than when if because although since not as while until what why how
+than when if because although since not as while until what why how both nobody nothing someone unlike most having
 ist sind war waren wird werden wurde hat haben hatte kann können muss steht bleibt folgt sieht dass weil wenn ob warum es ich wir sie er nicht wie
 est sont était sera a ont peut faut voit reste il elle on nous vous ils que qui si car parce pourquoi ne pas n
 es son era fue será está hay ha han puede vamos ve sigue lee que si porque por qué no se nosotros cuando ya
@@ -106,7 +106,7 @@ def is_running(text: str) -> bool:
         return False
     if sum(map(len, words)) < 0.6 * _solid(clean):
         return False
-    if sum(not CLAUSE.isdisjoint(x) for x in by) < 0.5 * len(by):
+    if sum(not CLAUSE.isdisjoint(x) for x in by) <= 0.5 * len(by):
         return False
     if n >= 12:
         pairs = list(zip(words, words[1:]))
