@@ -147,16 +147,19 @@ def duplicate_rate(classes: DataFrame, total: int | None = None) -> dict[str, fl
     if not s["n"] or not a + b + c + d:
         return {"duplicate_rate": 0.0, "optical": 0.0, "fragments": 0.0}
     tot = float(total or s["n"])
-    z = 1.0 - float(s["g"]) / float(s["n"])
-    w = (a * (c + d) - c * (a + b)) / (a * d) if a * d > 0 else 1.0
-    optical = a * w / (a + b + c + d)
-    keep = 1.0 - (1.0 - optical) * z
-    est = last = tot * 1000.0
-    for _ in range(10_000):
-        if est <= 1.0:  # too few rows for an estimate
-            break
-        est = tot * keep / (1.0 - math.exp(math.log(1.0 - 1.0 / est) * tot))
-        if abs(est - last) < 1e-2:
-            break
-        last = est
-    return {"duplicate_rate": z, "optical": optical, "fragments": math.floor(est + 0.5)}
+    rate = 1.0 - float(s["g"]) / float(s["n"])
+    # Pairs of one tile beyond what the strands of pairs across tiles lead to expect are optical.
+    beyond = 1.0 - b * c / (a * d) if a * d > 0 else 1.0
+    optical = a * beyond / (a + b + c + d)
+    distinct = tot * (1.0 - (1.0 - optical) * rate)
+
+    # Drawing tot reads from n fragments shows n * (1 - (1 - 1/n) ** tot) of them; the n that shows ``distinct`` is found by
+    # halving the interval, on a logarithmic scale.
+    def shown(n: float) -> float:
+        return -n * math.expm1(tot * math.log1p(-1.0 / n))
+
+    lo, hi = math.log(max(distinct, 1.0) + 1e-9), math.log(tot) + 40.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if shown(math.exp(mid)) < distinct else (lo, mid)
+    return {"duplicate_rate": rate, "optical": optical, "fragments": math.floor(math.exp(hi) + 0.5)}

@@ -231,3 +231,24 @@ def stream_filter(spark, d):
     src.repartition(3).write.parquet(path)
     files.run_available(files.stream_parquet(spark, path, src.schema, 1), lambda x: P.on_strand(T.from_map_lines(x, keep=("line_id",)), "+").select("line_id", T.texts(F.col("maps")).alias("maps")), out, at)
     return spark.read.parquet(out)
+
+
+@query("SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def stream_windows(spark, d):
+    """Counts per day and type over a stream of event files, late rows included."""
+    path, out, at = _folder(spark), _folder(spark), _folder(spark)
+    src = table(spark, d, "events").select("ts", "event_type").where("ts is not null")
+    src.repartition(3).write.parquet(path)
+    files.run_totals(files.stream_parquet(spark, path, src.schema, 1), lambda x: files.windowed_counts(x, "ts", ["event_type"], "1 day", "30 days"), out, at)
+    return spark.read.parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT run_id, count(*) AS n FROM fastq_reads GROUP BY 1")
+def stream_run_totals(spark, d):
+    """Reads per run over a stream; a second call finds nothing new and changes nothing."""
+    path, out, at = _folder(spark), _folder(spark), _folder(spark)
+    src = table(spark, d, "fastq_reads").select("run_id")
+    src.repartition(2).write.parquet(path)
+    for _ in range(2):
+        files.run_totals(files.stream_parquet(spark, path, src.schema, 1), lambda x: x.groupBy("run_id").agg(F.count("*").alias("n")), out, at)
+    return spark.read.parquet(out)

@@ -29,4 +29,10 @@ def run_available(source: DataFrame, transform: Callable[[DataFrame], DataFrame]
 
 def windowed_counts(source: DataFrame, time: str, keys: list[str], window: str, late: str) -> DataFrame:
     """Counts per window and key; rows later than ``late`` behind the newest are left out once their window is closed."""
-    return source.withWatermark(time, late).groupBy(F.window(time, window), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
+    return source.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
+
+
+def run_totals(source: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
+    """Totals over everything that has arrived so far; ``out`` holds the newest state, and each call adds what came since."""
+    q = transform(source).writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
