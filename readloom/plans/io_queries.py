@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from readloom.functions import mapping as M
@@ -13,7 +11,7 @@ from readloom.operators import realign as R
 from readloom.operators import templates as T
 from readloom.plans.map_queries import features
 from readloom.plans.read_queries import templates
-from readloom.plans.runtime import shared_dir, table
+from readloom.plans.runtime import shared_path, table
 from readloom.plans.sqltext import MAPS, TPL
 from readloom.sources import fastx, sinks, text
 from readloom.streaming import files
@@ -32,12 +30,8 @@ def query(sql: str | None = None):
     return add
 
 
-def _folder(spark) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/readloom-io-{uuid.uuid4().hex}"
-
-
 def _written(lines, compression=None) -> str:
-    path = _folder(lines.sparkSession)
+    path = shared_path(lines.sparkSession)
     sinks.write_text(lines, path, compression)
     return path
 
@@ -226,7 +220,7 @@ def segment_groups(spark, d):
 @query(f"WITH {MAPS}, k AS (SELECT line_id, string_agg(txt, ',' ORDER BY map_no) AS maps FROM m WHERE st = '+' GROUP BY line_id) SELECT t.line_id, coalesce(maps, '-') AS maps FROM tpl t LEFT JOIN k ON k.line_id = t.line_id")
 def stream_filter(spark, d):
     """The strand filter as a stream of files."""
-    path, out, at = _folder(spark), _folder(spark), _folder(spark)
+    path, out, at = shared_path(spark), shared_path(spark), shared_path(spark)
     src = table(spark, d, "raw_records").where("file_kind = 'map'").select("line_id", "raw_line")
     src.repartition(3).write.parquet(path)
     files.run_available(files.stream_parquet(spark, path, src.schema, 1), lambda x: P.on_strand(T.from_map_lines(x, keep=("line_id",)), "+").select("line_id", T.texts(F.col("maps")).alias("maps")), out, at)
@@ -236,7 +230,7 @@ def stream_filter(spark, d):
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
 def stream_windows(spark, d):
     """Counts per day and type over a stream of event files, late rows included."""
-    path, out, at = _folder(spark), _folder(spark), _folder(spark)
+    path, out, at = shared_path(spark), shared_path(spark), shared_path(spark)
     src = table(spark, d, "events").select("ts", "event_type").where("ts is not null")
     src.repartition(3).write.parquet(path)
     files.run_totals(files.stream_parquet(spark, path, src.schema, 1), lambda x: files.windowed_counts(x, "ts", ["event_type"], "1 day", "30 days"), out, at)
@@ -246,7 +240,7 @@ def stream_windows(spark, d):
 @query("SELECT run_id, count(*) AS n FROM fastq_reads GROUP BY 1")
 def stream_run_totals(spark, d):
     """Reads per run over a stream; a second call finds nothing new and changes nothing."""
-    path, out, at = _folder(spark), _folder(spark), _folder(spark)
+    path, out, at = shared_path(spark), shared_path(spark), shared_path(spark)
     src = table(spark, d, "fastq_reads").select("run_id")
     src.repartition(2).write.parquet(path)
     for _ in range(2):

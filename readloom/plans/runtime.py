@@ -9,7 +9,7 @@ import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: dict[str, list[str]] = {}
+_written: dict[str, list[tuple]] = {}
 _fallback: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
 
 
@@ -42,13 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[spark]
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session is gone; the folder's owner cleans up
-        pass
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the driver exits."""
+    path = f"{shared_dir(spark).rstrip('/')}/readloom-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _written:
+        _written[app] = []
+        atexit.register(_drop_all, app)
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _written[app].append((jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath))
+    return path
+
+
+def _drop_all(app: str) -> None:
+    for fs, path in _written.pop(app, []):
+        try:
+            fs.delete(path, True)
+        except Exception:  # the driver's JVM is gone; the folder's owner cleans up
+            return
 
 
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -58,12 +69,7 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     more than once be computed once. Columnar and compressed, so it takes less disk than an RDD checkpoint.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/readloom-{uuid.uuid4().hex}"
-    app = spark.sparkContext.applicationId
-    if app not in _written:
-        _written[app] = []
-        atexit.register(lambda: [_drop(spark, p) for p in _written.pop(app, [])])
-    _written[app].append(path)
+    path = shared_path(spark)
     w = df.write
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -87,8 +93,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def drop_materialized(spark: SparkSession) -> None:
     """Delete what this application wrote by :func:`materialize`; frames that read it are void then."""
-    for p in _written.pop(spark.sparkContext.applicationId, []):
-        _drop(spark, p)
+    _drop_all(spark.sparkContext.applicationId)
 
 
 def n_shuffle(spark: SparkSession) -> int:
