@@ -129,7 +129,7 @@ def detect_formats(spark, d):
 def sink_map(spark, d):
     """Printed as MAP text and parsed again."""
     x = T.from_map_lines(sinks.map_lines(templates(spark, d)), "value")
-    return x.select("tag", F.length("read").alias("n"), F.size("maps").alias("n_maps"), F.aggregate(T.distances(F.col("maps")), F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total_distance"))
+    return x.select("tag", F.length("read").cast("bigint").alias("n"), F.size("maps").alias("n_maps"), F.aggregate(T.distances(F.col("maps")), F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total_distance"))
 
 
 @query()
@@ -201,7 +201,7 @@ def splice_strand(spark, d):
 
 @query("WITH rd AS (SELECT DISTINCT read_id, read_seq, qualities FROM fastq_reads) SELECT max(length(read_seq)) AS max_read_length FROM rd")
 def max_read_length(spark, d):
-    return table(spark, d, "fastq_reads").agg(F.max(F.length("read_seq")).alias("max_read_length"))
+    return table(spark, d, "fastq_reads").agg(F.max(F.length("read_seq")).cast("bigint").alias("max_read_length"))
 
 
 @query("WITH s AS (SELECT DISTINCT read_id, tag FROM fastq_reads), o AS (SELECT tag, row_number() OVER (PARTITION BY tag ORDER BY read_id) AS segment, count(*) OVER (PARTITION BY tag) AS total FROM s) SELECT tag, segment, total FROM o")
@@ -211,7 +211,7 @@ def segment_groups(spark, d):
 
     x = table(spark, d, "fastq_reads").select("read_id", "tag").distinct()
     n = x.groupBy("tag").agg(F.count("*").alias("total"))
-    return x.join(n, "tag").select("tag", F.row_number().over(Window.partitionBy("tag").orderBy("read_id")).alias("segment"), "total")
+    return x.join(n, "tag").select("tag", F.row_number().over(Window.partitionBy("tag").orderBy("read_id")).cast("bigint").alias("segment"), "total")
 
 
 # ---- streams --------------------------------------------------------------------------------------------------------

@@ -329,7 +329,7 @@ def merge_unmatched(spark, d):
 
 @query(f"""WITH {MAPS}, s AS (SELECT line_id, string_agg(seq, ',' ORDER BY map_no) AS sq FROM m GROUP BY 1) SELECT t.line_id, length(r) AS length, coalesce(sq, '') AS sequences FROM tpl t LEFT JOIN s ON s.line_id = t.line_id""")
 def display_compact(spark, d):
-    return U.compact(templates(spark, d), ("line_id",)).drop("counters")
+    return U.compact(templates(spark, d), ("line_id",)).drop("counters").withColumn("length", F.col("length").cast("bigint"))
 
 
 @query("""WITH a AS (SELECT line_id, file_kind, row_number() OVER (PARTITION BY file_kind ORDER BY line_id) - 1 AS row_no FROM raw_records WHERE file_kind IN ('sam', 'gtf'))
@@ -360,13 +360,13 @@ _FX = "SELECT DISTINCT ann_id, seq_name, start_pos, end_pos, strand, gene_id, tr
 
 @query(f"""WITH x AS ({_FX}) SELECT ann_id, row_number() OVER w - 1 AS exon_no, CAST(coalesce(sum(end_pos - start_pos + 1) OVER (PARTITION BY transcript_id ORDER BY start_pos, end_pos, ann_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS exon_offset FROM x WINDOW w AS (PARTITION BY transcript_id ORDER BY start_pos, end_pos, ann_id)""")
 def exon_offsets(spark, d):
-    return I.exon_order(features(spark, d)).select("ann_id", "exon_no", "exon_offset")
+    return I.exon_order(features(spark, d)).select("ann_id", F.col("exon_no").cast("bigint").alias("exon_no"), "exon_offset")
 
 
 @query(f"""WITH x AS ({_FX}), l AS (SELECT *, lag(end_pos) OVER w AS pe, lag(seq_name) OVER w AS ps, row_number() OVER w - 1 AS k FROM x WINDOW w AS (PARTITION BY transcript_id ORDER BY start_pos, end_pos, ann_id))
 SELECT seq_name, transcript_id, pe + 1 AS start_pos, start_pos - 1 AS end_pos, k - 1 AS intron_no FROM l WHERE ps = seq_name AND start_pos - 1 >= pe + 1""")
 def intron_synthesis(spark, d):
-    return I.introns(features(spark, d)).select("seq_name", "transcript_id", "start_pos", "end_pos", "intron_no")
+    return I.introns(features(spark, d)).select("seq_name", "transcript_id", "start_pos", "end_pos", F.col("intron_no").cast("bigint").alias("intron_no"))
 
 
 @query(f"""WITH {FEATURES} SELECT g AS gene_id, count(DISTINCT tr) AS n_transcripts, CAST(sum((ft = 'exon')::INT) AS BIGINT) AS n_exons FROM f WHERE g IS NOT NULL GROUP BY g""")
@@ -657,4 +657,4 @@ def karyotypic_sort(spark, d):
     from pyspark.sql import Window
 
     n = F.coalesce(F.regexp_extract("seq_name", "([0-9]+)", 1).try_cast("bigint"), F.lit((1 << 63) - 1))
-    return table(spark, d, "ref_sequences").select("seq_name", "seq_length", F.row_number().over(Window.orderBy(n, "seq_name")).alias("rank"))  # the reference's own list, a fixed table
+    return table(spark, d, "ref_sequences").select("seq_name", "seq_length", F.row_number().over(Window.orderBy(n, "seq_name")).cast("bigint").alias("rank"))  # the reference's own list, a fixed table
