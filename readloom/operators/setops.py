@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.functions import mapping as M
 from readloom.operators import templates as T
+from readloom.plans.runtime import materialize, n_shuffle
 
 
 def _less(a: Column, b: Column) -> Column:
@@ -98,23 +99,31 @@ def compact(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*keep, F.length("read").alias("length"), F.array_join(F.col("counters").cast("array<string>"), ":").alias("counters"), F.array_join(F.transform("maps", lambda m: m["seq_name"]), ",").alias("sequences"))
 
 
+def rank_within(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``row_no``, the place from 0 of each row in its group by ``order``.
+
+    Rows are range-sorted over all partitions and counted per partition and group, so a group of any size is spread;
+    ties in ``order`` get places in no set order. Null is a group like any other.
+    """
+    r = materialize(df.repartitionByRange(n_shuffle(df.sparkSession), *group, *order).withColumn("_pid", F.spark_partition_id()))
+    part = r.groupBy("_pid", *group).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select("_pid", *(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before")).withColumnRenamed("_pid", "_q")
+    on = F.col("_pid") == F.col("_q")
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    here = Window.partitionBy("_pid", *group).orderBy(*order)
+    x = r.join(part, on).withColumn("row_no", F.col("_before") + F.row_number().over(here) - 1)
+    return x.drop("_pid", "_q", "_before", *(f"_g{i}" for i in range(len(group))))
+
+
 def interleave(*inputs: DataFrame, order: str) -> DataFrame:
     """Inputs round robin: the first record of each, then the second of each, by rank in ``order``."""
-    from pyspark.sql import Window
-
     out = None
     for i, x in enumerate(inputs):
         y = x.withColumn("file_no", F.lit(i))
         out = y if out is None else out.unionByName(y)
-    # Ranks over all rows come from per-partition counts of a range sort, not from one sorted task.
-    from readloom.plans.runtime import materialize, n_shuffle
-
-    r = materialize(out.repartitionByRange(n_shuffle(out.sparkSession), "file_no", order).withColumn("_pid", F.spark_partition_id()))
-    part = r.groupBy("_pid", "file_no").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy("file_no").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.select("_pid", "file_no", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    here = Window.partitionBy("_pid", "file_no").orderBy(order)
-    return r.join(part, ["_pid", "file_no"]).withColumn("row_no", F.col("_before") + F.row_number().over(here) - 1).drop("_pid", "_before")
+    return rank_within(out, ["file_no"], [order])
 
 
 def concat(*inputs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from readloom.functions import mapping as M
 from readloom.operators import filters as P
 from readloom.operators import junctions as J
 from readloom.operators import realign as R
+from readloom.operators import setops as U
 from readloom.operators import templates as T
 from readloom.plans.map_queries import features
 from readloom.plans.read_queries import templates
@@ -206,12 +207,11 @@ def max_read_length(spark, d):
 
 @query("WITH s AS (SELECT DISTINCT read_id, tag FROM fastq_reads), o AS (SELECT tag, row_number() OVER (PARTITION BY tag ORDER BY read_id) AS segment, count(*) OVER (PARTITION BY tag) AS total FROM s) SELECT tag, segment, total FROM o")
 def segment_groups(spark, d):
-    """Reads of one tag numbered 1..n, as chunks of a segmented read are."""
-    from pyspark.sql import Window
-
+    """Reads of one tag numbered 1..n, as chunks of a segmented read are; a tag with many reads is spread."""
     x = table(spark, d, "fastq_reads").select("read_id", "tag").distinct()
-    n = x.groupBy("tag").agg(F.count("*").alias("total"))
-    return x.join(n, "tag").select("tag", F.row_number().over(Window.partitionBy("tag").orderBy("read_id")).cast("bigint").alias("segment"), "total")
+    n = x.groupBy(F.col("tag").alias("t")).agg(F.count("*").alias("total"))
+    r = U.rank_within(x, ["tag"], ["read_id"])
+    return r.join(n, r["tag"].eqNullSafe(n["t"])).select("tag", (F.col("row_no") + 1).alias("segment"), "total")
 
 
 # ---- streams --------------------------------------------------------------------------------------------------------
