@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions import mapping as M
+from readloom.plans.prefix import running_sum
 
 # Fixed values.
 MAX_QUALITY, INDEL_PENALTY, MISSING_QUALITY, MAX_SCORE = 42, 40, 30, 0xFFFF
@@ -33,14 +34,8 @@ def unpack(score: Column) -> Column:
 
 
 def insert_cuts(sizes: DataFrame, cutoff: float = 0.01) -> DataFrame:
-    """``x, y, phred`` of the central part of a distribution ``(x, y)``: between its cutoff and 1 - cutoff quantiles.
-
-    The distribution has one row per insert size, a bounded table.
-    """
-    w = Window.orderBy("x")
-    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    c = sizes.withColumn("z", F.sum("y").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("t", F.sum("y").over(every))
-    c = c.withColumn("before", F.col("z") - F.col("y"))
+    """``x, y, phred`` of the central part of a distribution ``(x, y)``: between its cutoff and 1 - cutoff quantiles."""
+    c = running_sum(sizes, ["x"], "y").withColumnRenamed("upto", "z").withColumnRenamed("total", "t")
     keep = c.where((F.col("z") >= F.col("t") * cutoff) & (F.col("z") < F.col("t") * (1 - cutoff)))
     share = F.col("y") / F.col("t")
     phred = F.when(share > 0, F.least(F.floor(-10 * F.log10(share) + 0.5), F.lit(255))).otherwise(255)

@@ -211,6 +211,25 @@ def test_scores(spark):
     assert {(r.t, r.p): r.phred for r in scoring.mapping_quality(q, ["t"], ["c", "p"], "s").collect()} == {("t", 1): 10, ("t", 2): 0, ("u", 1): 254}
 
 
+def test_running_sum(spark):
+    from readloom.plans.prefix import running_sum
+
+    r = random.Random(9)
+    rows = [(r.choice(["hot"] * 8 + ["a", None]), i, r.randint(-3, 9)) for i in range(400)]
+    got = {x.i: (x.upto, x.total) for x in running_sum(spark.createDataFrame(rows, "g string, i int, v int").repartition(5), ["i"], "v", ["g"]).collect()}
+    for g, i, _ in rows:
+        mine = [(k, v) for h, k, v in rows if h == g]
+        assert got[i] == (sum(v for k, v in mine if k <= i), sum(v for _, v in mine))
+    plain = running_sum(spark.createDataFrame(rows, "g string, i int, v int"), ["i"], "v").where("i = 399").first()
+    assert plain.upto == plain.total == sum(v for _, _, v in rows)
+
+
+def test_ranks_and_interleaving(spark):
+    df = spark.createDataFrame([("a" if i % 3 else None, i) for i in range(90)], "g string, i int").repartition(4)
+    got = {(x.g, x.i): x.row_no for x in setops.rank_within(df, ["g"], ["i"]).collect()}
+    assert all(got[None, i] == i // 3 for i in range(0, 90, 3)) and [got["a", i] for i in range(90) if i % 3] == list(range(60))
+
+
 def test_duplicates(spark):
     rows = [("c", 1, "t1", "+")] * 2 + [("c", 1, "t1", "-"), ("c", 1, "t2", "+"), ("c", 2, "t1", "+")]
     c = stats.duplicate_classes(spark.createDataFrame(rows, "s string, p int, tile string, strand string"), ["s", "p"], "tile", "strand")
