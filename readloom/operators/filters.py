@@ -233,6 +233,15 @@ class FilterOptions:
         return replace(self, **kw)
 
 
+#: Nothing but split mappings.
+ONLY_SPLITS = FilterOptions(only_splits=True)
+
+
+def rnaseq_options(min_intron: int = 0, min_block: int = 0, level: int = -1, max_strata: int = 0, max_maps: int = 0, **extra) -> FilterOptions:
+    """The usual filter of RNA mappings; a parameter of 0 (-1 for the level) leaves its filter out."""
+    return FilterOptions(min_intron=min_intron or None, min_block=min_block or None, to_unique_strata=level if level >= 0 else None, max_strata_after_best=max_strata or None, to_max_maps=max_maps or None, keep_unique=True, **extra)
+
+
 def filter_templates(df: DataFrame, o: FilterOptions) -> DataFrame:
     """The stages in their fixed order: recount, edits of the read, predicates, trim, mapping filters, split filters,
     reduction, pruning, recount. One chain of projections and filters, no shuffle."""

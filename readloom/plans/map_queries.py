@@ -62,6 +62,11 @@ def targets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "targets")
 
 
+_PAIR = f"""WITH {ROWS}, p AS (SELECT a.tag, a.map_id AS id1, z.map_id AS id2, a.strand AS s1, z.strand AS s2, a.pos AS p1, z.pos AS p2, a.base_len AS l1, z.base_len AS l2
+  FROM w a JOIN w z ON a.tag = z.tag AND a.seq_name = z.seq_name AND a.strand <> z.strand AND a.end_no = 1 AND z.end_no = 2 WHERE a.njunc = 0 AND z.njunc = 0),
+i AS (SELECT *, CASE WHEN s1 = '+' THEN 1 + p2 + l2 - p1 ELSE 1 + p1 + l1 - p2 END AS insert_size FROM p), pairs AS (SELECT * FROM i WHERE insert_size BETWEEN 0 AND 20000)"""
+
+
 # ---- the mapping table: strata per read ------------------------------------------------------------------------------
 
 
@@ -261,6 +266,39 @@ def duplicate_rate(spark, d):
     return spark.range(1).select(*(F.lit(v).alias(k) for k, v in r.items()))
 
 
+@query(f"""WITH {MAPS}, r AS (SELECT line_id, max(njunc) AS mx, min(njunc) AS mn FROM m GROUP BY 1)
+SELECT count(*) AS mapped, CAST(coalesce(sum((mx > 0)::INT), 0) AS BIGINT) AS with_splits, CAST(coalesce(sum((mn > 0)::INT), 0) AS BIGINT) AS only_splits, round(100.0 * sum((mx > 0)::INT) / count(*), 6) AS percent_with FROM r""")
+def stats_split_reads(spark, d):
+    """Mapped reads with some, and with nothing but, split mappings."""
+    n = lambda c: F.sum(c.cast("bigint"))
+    split = F.transform("maps", lambda m: F.size(m["blocks"]) > 1)
+    x = templates(spark, d).where(F.size("maps") > 0).select(F.exists(split, lambda v: v).alias("some"), F.forall(split, lambda v: v).alias("all"))
+    return x.agg(F.count("*").alias("mapped"), n(F.col("some")).alias("with_splits"), n(F.col("all")).alias("only_splits"), F.round(100.0 * n(F.col("some")) / F.count("*"), 6).alias("percent_with"))
+
+
+@query(f"""{_PAIR} SELECT insert_size, count(*) AS n, count(*) FILTER (WHERE a.dist + z.dist = 0) AS exact, count(*) FILTER (WHERE s1 = '+') AS forward_first FROM pairs JOIN w a ON a.map_id = id1 JOIN w z ON z.map_id = id2 GROUP BY 1""")
+def insert_by_class(spark, d):
+    """Insert sizes by class of pair: all, without edits, forward end first."""
+    x = _pairs(spark, d)
+    dist = M.global_distance(F.col("m1.blocks")) + M.global_distance(F.col("m2.blocks"))
+    return x.groupBy("insert_size").agg(F.count("*").alias("n"), F.count(F.when(dist == 0, 1)).alias("exact"), F.count(F.when(F.col("m1.strand") == "+", 1)).alias("forward_first"))
+
+
+@query(f"""WITH {ROWS} SELECT count(*) FILTER (WHERE seq_name = 'chrM') AS control, count(*) AS mapped, round(100.0 * count(*) FILTER (WHERE seq_name = 'chrM') / count(*), 6) AS percent FROM w""")
+def control_counts(spark, d):
+    """Mappings on a control sequence, named by the caller; here the mitochondrial one."""
+    x = rows(spark, d, "seq_name", "maps").where("maps <> '-'")
+    hit = F.count(F.when(F.col("seq_name") == "chrM", 1))
+    return x.agg(hit.alias("control"), F.count("*").alias("mapped"), F.round(100.0 * hit / F.count("*"), 6).alias("percent"))
+
+
+@query("WITH rd AS (SELECT DISTINCT read_id, run_id, read_seq FROM fastq_reads WHERE read_seq IS NOT NULL) SELECT run_id, count(*) AS reads, CAST(sum(length(read_seq)) AS BIGINT) AS bases, max(length(read_seq)) AS longest FROM rd GROUP BY 1")
+def yield_per_run(spark, d):
+    x = table(spark, d, "fastq_reads").where("read_seq is not null").select("read_id", "run_id", "read_seq").distinct()
+    n = F.length("read_seq").cast("bigint")
+    return x.groupBy("run_id").agg(F.count("*").alias("reads"), F.sum(n).alias("bases"), F.max(n).alias("longest"))
+
+
 # ---- set operations: records with even line numbers' mappings on + against all ----------------------------------------
 
 
@@ -543,11 +581,6 @@ def coverage_combine(spark, d):
 
 # ---- pairs and scores -----------------------------------------------------------------------------------------------
 
-_PAIR = f"""WITH {ROWS}, p AS (SELECT a.tag, a.map_id AS id1, z.map_id AS id2, a.strand AS s1, z.strand AS s2, a.pos AS p1, z.pos AS p2, a.base_len AS l1, z.base_len AS l2
-  FROM w a JOIN w z ON a.tag = z.tag AND a.seq_name = z.seq_name AND a.strand <> z.strand AND a.end_no = 1 AND z.end_no = 2 WHERE a.njunc = 0 AND z.njunc = 0),
-i AS (SELECT *, CASE WHEN s1 = '+' THEN 1 + p2 + l2 - p1 ELSE 1 + p1 + l1 - p2 END AS insert_size FROM p), pairs AS (SELECT * FROM i WHERE insert_size BETWEEN 0 AND 20000)"""
-
-
 def _pairs(spark, d):
     x = mapped(spark, d, "tag", "end_no").where("maps not like '%*%'").withColumn("m", F.struct(F.col("map_id"), F.col("m.seq_name"), F.col("m.strand"), F.col("m.pos"), F.col("m.score"), F.col("m.blocks")))
     return R.pair_ends(x.where("end_no = 1"), x.where("end_no = 2"), 0, 20_000)

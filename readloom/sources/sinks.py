@@ -73,6 +73,11 @@ FIELDS = {
 }
 
 
+def read_group(name: str) -> None:
+    """Makes ``RG`` a field that names this read group."""
+    FIELDS["RG"] = lambda m: F.lit(f"RG:Z:{name}")
+
+
 def sam_header(sequences: DataFrame, read_groups: list[dict] = (), program: str = "readloom") -> DataFrame:
     """Header lines: HD, one SQ per sequence, RG, PG; the sequence list is the reference's own."""
     sq = sequences.select(F.lit(1).alias("o"), F.concat_ws("\t", F.lit("@SQ"), F.concat(F.lit("SN:"), "seq_name"), F.concat(F.lit("LN:"), F.col("seq_length").cast("string"))).alias("value"))

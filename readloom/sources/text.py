@@ -96,6 +96,11 @@ def solve_mates(sam: DataFrame) -> DataFrame:
     return a.join(b, on).select(a["qname"], "rname1", "pos1", "rname2", "pos2", "blocks1", "blocks2")
 
 
+def pair_by_position(ends1: Column, ends2: Column) -> Column:
+    """Mappings of two ends paired in the order they are listed, as some mappers print them; the shorter list is padded with null."""
+    return F.transform(F.arrays_zip(ends1.alias("a"), ends2.alias("b")), lambda z: F.struct(z["a"].alias("m1"), z["b"].alias("m2")))
+
+
 def gtf_table(lines: DataFrame, line: str = "value") -> DataFrame:
     """GTF records as typed columns; comment lines are left out."""
     c = F.split(F.col(line), "\t")

@@ -211,6 +211,17 @@ def test_scores(spark):
     assert {(r.t, r.p): r.phred for r in scoring.mapping_quality(q, ["t"], ["c", "p"], "s").collect()} == {("t", 1): 10, ("t", 2): 0, ("u", 1): 254}
 
 
+def test_presets_and_pairing_by_position(spark):
+    t = templates(spark, LINE)
+    assert kept(filters.filter_templates(t, filters.ONLY_SPLITS)) == ["chr1:+:90:4>20*6"]
+    assert kept(filters.filter_templates(t, filters.rnaseq_options(min_intron=30))) == ["chr1:+:5:10,chr2:-:7:9T:::9"]
+    assert kept(filters.filter_templates(t, filters.rnaseq_options(level=0))) == ["chr1:+:5:10"]
+    z = t.select(text.pair_by_position(F.col("maps"), F.slice("maps", 1, 1)).alias("z")).first().z
+    assert [(p.m1 is None, p.m2 is None) for p in z] == [(False, False), (False, True), (False, True)]
+    sinks.read_group("g1")
+    assert sinks.sam_lines(t, ("RG",)).first().value.endswith("RG:Z:g1")
+
+
 def test_running_sum(spark):
     from readloom.plans.prefix import running_sum
 
