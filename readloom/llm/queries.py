@@ -11,16 +11,19 @@ from readloom.plans.runtime import table
 _SEQ, _RUN = ["seq_name"], ["seq_name", "run_id"]
 
 
-def _day_counts(spark: SparkSession, d: str) -> DataFrame:
+def _counts(spark: SparkSession, d: str, *more: str) -> DataFrame:
     m = table(spark, d, "mappings").withColumn("day", F.to_date("aligned_at"))
     tlen = F.abs(F.greatest(F.col("tlen"), F.lit(-((1 << 63) - 1))))
     metrics = {"abs_tlen": F.when(F.col("tlen") != 0, tlen), "phred_score": F.when(F.col("phred_score") != 255, F.col("phred_score"))}
-    return percentiles.value_counts(m, [*_RUN, "day"], metrics, once="map_id")
+    return percentiles.value_counts(m, [*_RUN, *more], metrics, once="map_id")
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of the days put together, for each seq_name and each seq_name with run_id."""
-    state = _day_counts(spark, d)
+    """Percentiles over all days, for each seq_name and each seq_name with run_id.
+
+    The state is counted without the day; adding up the states of the days (``p3_day_counts``) gives the same.
+    """
+    state = _counts(spark, d)
     cube = F.explode(F.array(F.lit("seq_name"), F.lit("seq_name,run_id"))).alias("grouped_by")
     x = state.select("*", cube).withColumn("run_id", F.when(F.col("grouped_by") != "seq_name", F.col("run_id")))
     return percentiles.percentiles(x, ["grouped_by", *_RUN, "metric"])
@@ -28,7 +31,7 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_day_counts(spark: SparkSession, d: str) -> DataFrame:
     """The state of each day, which adds up to the state of any span of days."""
-    return _day_counts(spark, d).withColumn("day", F.col("day").cast("string"))
+    return _counts(spark, d, "day").withColumn("day", F.col("day").cast("string"))
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
