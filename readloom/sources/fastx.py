@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from readloom.plans.runtime import materialize
+
 #: Bytes of a range unless the option ``rangeBytes`` says otherwise.
 RANGE_BYTES = 64 << 20
 
@@ -188,7 +190,8 @@ def sequence_at(rows: DataFrame, chunks: DataFrame, seq: str, start: str, length
     """
     a = F.floor((F.col(start) - 1) / size)
     b = F.floor((F.col(start) + F.col(length) - 2) / size)
-    x = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_c", F.explode(F.sequence(a, F.greatest(a, b))))
+    # Row numbers are written before they are joined on, so that a task that runs again cannot number rows anew.
+    x = materialize(rows.withColumn("_row", F.monotonically_increasing_id())).withColumn("_c", F.explode(F.sequence(a, F.greatest(a, b))))
     c = chunks.select(F.col("seq_name").alias("_s"), F.col("chunk_no").alias("_n"), "chunk")
     y = x.join(c, (F.col(seq) == F.col("_s")) & (F.col("_c") == F.col("_n")), "left")
     lo = F.greatest(F.col(start) - 1 - F.col("_c") * size, F.lit(0))
