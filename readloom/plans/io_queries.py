@@ -95,7 +95,8 @@ def sam_cigar(spark, d):
     return x.select("qname", "cigar", F.size("blocks").alias("n_blocks"), M.global_base_length(F.col("blocks")).alias("read_bases"), M.global_length(F.col("blocks")).alias("span"))
 
 
-@query()
+@query(f"""{_SAM}, k AS (SELECT qname, flag, rname, pos, CASE WHEN rnext = '=' THEN rname ELSE rnext END AS nx, pnext FROM s WHERE flag & 1 <> 0 AND flag & 4 = 0 AND flag & 8 = 0)
+SELECT a.qname, a.rname AS rname1, a.pos AS pos1, b.rname AS rname2, b.pos AS pos2 FROM k a JOIN k b ON a.qname = b.qname AND a.flag & 64 <> 0 AND b.flag & 128 <> 0 AND a.nx = b.rname AND a.pnext = b.pos AND b.nx = a.rname AND b.pnext = a.pos""")
 def sam_mates(spark, d):
     return text.solve_mates(text.sam_table(_raw(spark, d, "sam"))).drop("blocks1", "blocks2")
 
@@ -114,7 +115,12 @@ def source_ranges(spark, d):
     return text.read_ranges(spark, _written(t))
 
 
-@query()
+_FX = "SELECT DISTINCT ann_id, seq_name, start_pos, end_pos, strand, transcript_id FROM annotations WHERE feature_type = 'exon' AND transcript_id IS NOT NULL AND start_pos <= end_pos"
+
+
+@query(f"""WITH x AS ({_FX}), l AS (SELECT *, lag(end_pos) OVER w AS pe, lag(seq_name) OVER w AS ps FROM x WINDOW w AS (PARTITION BY transcript_id ORDER BY start_pos, end_pos, ann_id)),
+s AS (SELECT DISTINCT seq_name, strand, CASE WHEN strand <> '-' THEN pe ELSE start_pos END AS p1, CASE WHEN strand <> '-' THEN start_pos ELSE pe END AS p2 FROM l WHERE ps = seq_name AND strand IS NOT NULL)
+SELECT seq_name AS seq1, CASE WHEN p1 <= p2 THEN strand WHEN strand = '+' THEN '-' ELSE '+' END AS strand1, least(p1, p2) AS pos1, seq_name AS seq2, CASE WHEN p1 <= p2 THEN strand WHEN strand = '+' THEN '-' ELSE '+' END AS strand2, greatest(p1, p2) AS pos2 FROM s""")
 def source_junctions(spark, d):
     j = J.from_annotation(features(spark, d)).where("strand1 is not null")
     return text.read_junctions(spark, _written(sinks.junction_lines(j)))

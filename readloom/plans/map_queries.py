@@ -328,7 +328,7 @@ def set_intersection(spark, d):
     return _txt(U.file_intersection(templates(spark, d), _other(spark, d), "line_id"))
 
 
-@query()
+@query(f"""WITH {MAPS}, k AS (SELECT line_id, string_agg(txt, ',' ORDER BY (st <> '+')::INT, map_no) AS maps FROM m GROUP BY 1) SELECT t.line_id, coalesce(maps, '-') AS maps FROM tpl t LEFT JOIN k ON k.line_id = t.line_id WHERE t.line_id % 3 <> 0""")
 def set_union(spark, d):
     return _txt(U.file_union(_other(spark, d), templates(spark, d), "line_id"))
 
@@ -345,17 +345,17 @@ def set_join(spark, d):
     return U.file_join(templates(spark, d), _other(spark, d), "line_id")
 
 
-@query()
+@query(_set_sql("NOT (k.line_id % 3 <> 0 AND k.st = '+')", ""))
 def set_difference_tolerant(spark, d):
     return _txt(U.file_difference(templates(spark, d), _other(spark, d), "line_id", tolerance=2))
 
 
-@query()
+@query(f"WITH {TPL} SELECT line_id, ms AS maps FROM tpl WHERE line_id % 3 <> 0")
 def merge_same_reads(spark, d):
     return _txt(U.merge(templates(spark, d), _other(spark, d), key="line_id", same_reads=True))
 
 
-@query()
+@query(f"WITH {TPL} SELECT line_id, ms AS maps FROM tpl")
 def merge_subset(spark, d):
     return _txt(U.merge(templates(spark, d), _other(spark, d), _other(spark, d), key="line_id"))
 
@@ -465,7 +465,9 @@ def type_patterns(spark, d):
     return I.type_patterns(b.join(one, "template", "left_semi"), features(spark, d))
 
 
-@query()
+@query(f"""WITH {BLOCKS}, {FEATURES}, l AS (SELECT map_id, seq_name, lag(en) OVER (PARTITION BY map_id ORDER BY s, block_no) AS le, s AS ri FROM b), j AS (SELECT row_number() OVER () AS id, * FROM l WHERE le IS NOT NULL),
+x AS (SELECT * FROM f WHERE ft = 'exon' AND tr IS NOT NULL), a AS (SELECT DISTINCT id, tr FROM j JOIN x ON seq_name = fq AND le BETWEEN fs AND fe), z AS (SELECT DISTINCT id, tr FROM j JOIN x ON seq_name = fq AND ri BETWEEN fs AND fe)
+SELECT (SELECT count(*) FROM j) AS n_junctions, (SELECT count(DISTINCT a.id) FROM a JOIN z ON a.id = z.id AND a.tr = z.tr) AS n_annotated""")
 def annotated_junctions(spark, d):
     return I.annotated_junctions(blocks(spark, d), features(spark, d))
 
@@ -679,7 +681,11 @@ def insert_quantiles(spark, d):
     return R.insert_cuts(h, 0.01)
 
 
-@query()
+@query(rf"""WITH {MAPS}, t AS (SELECT line_id, map_no, unnest(regexp_extract_all(e, '\([0-9]+\)|[0-9]+|[ACGTN]|>[0-9]+[-+*]')) AS t, generate_subscripts(regexp_extract_all(e, '\([0-9]+\)|[0-9]+|[ACGTN]|>[0-9]+[-+*]'), 1) AS i FROM m),
+o AS (SELECT *, right(t, 1) AS c, coalesce(TRY_CAST(regexp_extract(t, '[0-9]+') AS BIGINT), 1) AS n, sum((right(t, 1) = '*')::INT) OVER (PARTITION BY line_id, map_no ORDER BY i) AS part FROM t),
+a AS (SELECT *, coalesce(sum(CASE WHEN c IN ('+', '*') THEN 0 ELSE n END) OVER (PARTITION BY line_id, map_no, part ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ap FROM o),
+k AS (SELECT a.line_id, map_no, sum(CASE WHEN regexp_full_match(t, '[ACGTN]') THEN CASE WHEN q IS NULL OR q = '' THEN 30 ELSE least(greatest(ascii(substr(q, CAST(ap AS BIGINT) + 1, 1)) - 33, 0), 42) END WHEN c IN ('+', '-', ')') THEN 40 ELSE 0 END) AS sc FROM a JOIN tpl USING (line_id) GROUP BY ALL)
+SELECT line_id, CAST(map_no AS INT) AS map_no, CAST(least(sc, 65535) AS BIGINT) AS score FROM k""")
 def distance_scores(spark, d):
     x = T.map_rows(templates(spark, d), ("line_id", "quals"))
     return x.select("line_id", "map_no", R.distance_score(F.col("m.blocks"), F.col("quals")).alias("score"))

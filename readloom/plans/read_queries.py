@@ -11,7 +11,7 @@ from readloom.functions import sequence as S
 from readloom.operators import filters as P
 from readloom.operators import templates as T
 from readloom.plans.runtime import table
-from readloom.plans.sqltext import MAPS, TPL
+from readloom.plans.sqltext import MAPS, TBLOCKS, TPL
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -110,7 +110,7 @@ def map_reverse_blocks(spark, d):
     return T.map_rows(templates(spark, d), ("line_id",)).select("line_id", "map_no", F.to_json(M.reverse_blocks(F.col("m.blocks"))).alias("reversed"))
 
 
-@query()
+@query(f"WITH {TBLOCKS} SELECT line_id, CAST(map_no AS INT) AS map_no, seq AS seq_name, st AS strand, CAST(n_blocks AS INT) AS n_blocks, CAST(bno AS INT) AS block_no, s AS start_pos, en AS end_pos FROM tb")
 def block_view(spark, d):
     return T.block_rows(templates(spark, d), ("line_id",)).drop("b")
 
@@ -257,7 +257,12 @@ def reduce_by_quality(spark, d):
     return _kept(P.reduce_by_quality(templates(spark, d), 20))
 
 
-@query()
+@query(f"""WITH {MAPS}, g AS (SELECT line_id, dist, count(*) AS n FROM m GROUP BY ALL), mx AS (SELECT line_id, max(dist) AS top FROM m GROUP BY 1), gi AS (SELECT line_id, top, unnest(range(0, top + 1)) AS i FROM mx),
+c AS (SELECT gi.line_id, top, i, coalesce(n, 0) AS v FROM gi LEFT JOIN g ON g.line_id = gi.line_id AND g.dist = gi.i),
+y AS (SELECT *, sum(v) OVER w AS cum, i - min(CASE WHEN v > 0 THEN i END) OVER w + 1 AS strata FROM c WINDOW w AS (PARTITION BY line_id ORDER BY i)),
+s AS (SELECT line_id, coalesce(min(CASE WHEN cum > 2 AND coalesce(strata, 0) > 1 THEN i END), any_value(top) + 1) AS cut FROM y GROUP BY 1),
+k AS (SELECT m.line_id, string_agg(txt, ',' ORDER BY map_no) AS maps FROM m JOIN s ON s.line_id = m.line_id WHERE dist < cut GROUP BY 1)
+SELECT t.line_id, coalesce(maps, '-') AS maps FROM tpl t LEFT JOIN k ON k.line_id = t.line_id""")
 def stratum_pruning(spark, d):
     return _kept(P.prune_strata(T.recount(templates(spark, d)), 1, 2))
 
@@ -274,7 +279,9 @@ def sort_maps_no_split(spark, d):
     return _kept(T.sort_maps(templates(spark, d), splits=False))
 
 
-@query()
+@query(f"""WITH {TBLOCKS}, sp AS (SELECT line_id, map_no, seq || st || string_agg(s || '-' || en, ',' ORDER BY bno) AS key FROM tb GROUP BY line_id, map_no, seq, st),
+o AS (SELECT m.line_id, m.map_no, txt, row_number() OVER (PARTITION BY m.line_id, key ORDER BY dist, m.map_no) AS k FROM m JOIN sp ON sp.line_id = m.line_id AND sp.map_no = m.map_no),
+k AS (SELECT line_id, string_agg(txt, ',' ORDER BY map_no) AS maps FROM o WHERE k = 1 GROUP BY 1) SELECT t.line_id, coalesce(maps, '-') AS maps FROM tpl t LEFT JOIN k ON k.line_id = t.line_id""")
 def dedupe_maps(spark, d):
     return _kept(P.drop_duplicate_maps(templates(spark, d)))
 

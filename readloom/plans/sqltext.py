@@ -48,3 +48,11 @@ b AS (SELECT map_id, tag || '/' || end_no AS template, map_id AS map_no, bno - 1
 #: Annotated features, each once.
 FEATURES = """f AS (SELECT DISTINCT ann_id, seq_name AS fq, feature_type AS ft, start_pos AS fs, end_pos AS fe, strand AS fst, gene_id AS g, transcript_id AS tr, gene_type AS gt FROM annotations)"""
 HIT = "s <= en AND ((s < fe AND en > fs) OR (s >= fs AND en <= fe) OR (s < fe AND en >= fe))"
+
+#: Blocks of the templates' mappings: bno from 0, first and last reference position s and en.
+TBLOCKS = rf"""{MAPS},
+tp AS (SELECT line_id, map_no, seq, st, pos, unnest(string_split_regex(e, '>[0-9]+[*]')) AS e, generate_subscripts(string_split_regex(e, '>[0-9]+[*]'), 1) AS bno, regexp_extract_all(e, '>([0-9]+)[*]', 1) AS js FROM mf),
+tm AS (SELECT *, {METRICS} FROM tp), tl AS (SELECT *, matched + mism + ins AS blen, coalesce(CAST(js[bno] AS BIGINT), 0) AS jn, len(js) + 1 AS n_blocks FROM tm),
+tq AS (SELECT *, CASE WHEN st = '-' THEN pos + jn + coalesce(sum(blen + jn) OVER (PARTITION BY line_id, map_no ORDER BY bno ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)
+  ELSE pos + coalesce(sum(blen + jn) OVER (PARTITION BY line_id, map_no ORDER BY bno ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS s FROM tl),
+tb AS (SELECT line_id, map_no, seq, st, n_blocks, bno - 1 AS bno, CAST(s AS BIGINT) AS s, CAST(s + blen - 1 AS BIGINT) AS en FROM tq)"""
