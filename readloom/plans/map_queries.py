@@ -472,7 +472,16 @@ def annotated_junctions(spark, d):
     return I.annotated_junctions(blocks(spark, d), features(spark, d))
 
 
-@query()
+_CLASSES = " UNION ALL ".join(f"SELECT {i} AS cls, {lo} AS lo, {hi if hi is not None else 1 << 60} AS hi" for i, (lo, hi) in enumerate(I.LENGTH_CLASSES))
+
+
+@query(f"""WITH {BLOCKS}, e0 AS ({_FX}), e1 AS (SELECT *, coalesce(sum(end_pos - start_pos + 1) OVER (PARTITION BY transcript_id ORDER BY start_pos, end_pos, ann_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
+  sum(end_pos - start_pos + 1) OVER (PARTITION BY transcript_id) AS tl FROM e0), ex AS (SELECT seq_name AS fq, start_pos AS fs, end_pos AS fe, strand AS fst, CAST(off AS DOUBLE) AS off, CAST(tl AS DOUBLE) AS tl FROM e1 WHERE tl > 100),
+h AS (SELECT s, en, fs, fe, fst, off, tl, CAST(fe - fs + 1 AS DOUBLE) AS n FROM b JOIN ex ON seq_name = fq AND {HIT} WHERE en > s),
+r AS (SELECT *, floor(greatest(s - fs, 0) / n * 100.0 - 0.5) AS q0, floor(least(s - fs + en - s, n) / n * 100.0 - 0.5) AS q1 FROM h),
+t AS (SELECT *, CASE WHEN fst = '-' THEN 99 - q1 ELSE q0 END AS u0, CASE WHEN fst = '-' THEN 99 - q0 ELSE q1 END AS u1, greatest(floor(CASE WHEN fst = '-' THEN tl - off - n ELSE off END / tl * 100.0 - 0.5), 0) AS base FROM r WHERE q0 BETWEEN 0 AND 99 AND q1 >= q0 AND q1 < 100),
+v AS (SELECT tl, CAST(floor(n / tl * u0 + base) AS BIGINT) AS b0, CAST(floor(n / tl * u1 + base) AS BIGINT) AS b1 FROM t), w2 AS (SELECT * FROM v WHERE b0 BETWEEN 0 AND 99 AND b1 >= b0 AND b1 < 100)
+SELECT CAST(cls AS INT) AS length_class, bucket, count(*) AS n FROM (SELECT cls, unnest(range(b0, b1 + 1)) AS bucket FROM w2 JOIN ({_CLASSES}) c ON (cls = 0 OR (tl > lo AND tl <= hi))) GROUP BY ALL""")
 def gene_body_coverage(spark, d):
     return I.gene_body_coverage(blocks(spark, d), features(spark, d))
 
