@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,7 +124,24 @@ y AS (SELECT *, CASE WHEN f IN ('sanger', 'phred33', 'offset-33', 'offset_33', '
   regexp_full_match(trim(q), '[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?(?:[ ,;:|]+[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?)+') AND (contains(q, ' ') OR length(q) <> coalesce(length(r), -1)) AS many FROM x)
 SELECT DISTINCT read_id FROM y WHERE many OR coalesce(CASE WHEN fits[a] THEN a END, CASE WHEN fits[b] THEN b END, CASE WHEN fits[e] THEN e END, CASE WHEN fits[1] THEN 1 WHEN fits[2] THEN 2 WHEN fits[3] THEN 3 ELSE 4 END) <> 1"""
 
+
+
+def _quoted(chars) -> str:
+    return "".join(map(chr, chars)).replace("'", "''")
+
+
+_SOLEXA = [round(10 * math.log10(10 ** (q / 10) + 1)) for q in range(-5, 46)]
+_P5_ALL = _P5[: _P5.index("SELECT DISTINCT read_id FROM y")].replace("WHERE qualities IS NOT NULL AND trim(qualities) NOT IN ('', '*')", "") + f""",
+n AS (SELECT *, coalesce(trim(q) NOT IN ('', '*'), false) AS there, CASE WHEN many THEN list_transform(list_filter(string_split_regex(trim(q), '[,;:|\\s]+'), lambda t: t <> ''), lambda t: TRY_CAST(t AS DOUBLE)) END AS v FROM y),
+k AS (SELECT *, CASE WHEN NOT there THEN NULL WHEN many THEN CASE WHEN list_min(v) >= 0 AND list_max(v) <= 1 AND (regexp_matches(q, '[.eE]') OR f IN ('error-prob', 'p-error') OR d LIKE '%error%') THEN 'errors' ELSE 'numbers' END
+  ELSE ['phred33', 'phred64', 'solexa64', NULL][coalesce(CASE WHEN fits[a] THEN a END, CASE WHEN fits[b] THEN b END, CASE WHEN fits[e] THEN e END, CASE WHEN fits[1] THEN 1 WHEN fits[2] THEN 2 WHEN fits[3] THEN 3 ELSE 4 END)] END AS ra FROM n)
+SELECT DISTINCT read_id, ra AS recorded_as, CASE WHEN NOT there OR ra = 'phred33' THEN q WHEN ra = 'phred64' THEN translate(q, '{_quoted(range(64, 110))}', '{_quoted(range(33, 79))}')
+  WHEN ra = 'solexa64' THEN translate(q, '{_quoted(range(59, 110))}', '{_quoted(33 + x for x in _SOLEXA)}')
+  WHEN ra = 'numbers' THEN array_to_string(list_transform(v, lambda x: chr(CAST(33 + least(greatest(floor(x + 0.5), 0), 45) AS INT))), '')
+  WHEN ra = 'errors' THEN array_to_string(list_transform(v, lambda x: chr(CAST(33 + least(greatest(floor(CASE WHEN x <= 0 THEN 45 ELSE -10 * log10(x) END + 0.5), 0), 45) AS INT))), '') END AS phred33 FROM k"""
+
 SQL = {
+    "p5_phred33": _P5_ALL,
     "p2_found": _P2,
     "p5_found": _P5,
     "p1_key_profile": f"""SELECT key_value, n_rows, {', '.join(f'{x}_{s}' for x in _M + _T for s in ('count', 'sum', 'min', 'max'))}, field_name FROM (
