@@ -202,30 +202,29 @@ x AS (SELECT a.line_id, map_no, CAST(ap AS BIGINT) AS ap, t AS ref, substr(r, CA
   CASE WHEN q <> '' THEN ascii(substr(q, CAST(ap AS BIGINT) + 1, 1)) END AS ql FROM a JOIN tpl USING (line_id) WHERE regexp_matches(t, '[A-Z]'))"""
 
 
-def _plain_mismatches(spark, d):
-    x = templates(spark, d)
-    plain = F.filter("maps", lambda m: ~F.split(m["txt"], ":::")[0].rlike(r"[>(]"))
-    return A.mismatches(x.withColumn("maps", plain)).where("type = 'MISMS'")
+def _mismatches(spark, d):
+    return A.mismatches(templates(spark, d)).where("type = 'MISMS'")
 
 
 @query(f"{_OPS} SELECT ap AS pos, count(*) AS value FROM x GROUP BY ALL")
 def error_positions(spark, d):
-    return _plain_mismatches(spark, d).groupBy(F.col("read_pos").alias("pos")).agg(F.count("*").alias("value"))
+    """Mismatches, indels and trims of all blocks of all mappings, by position in the read."""
+    return A.mismatches(templates(spark, d)).groupBy(F.col("read_pos").alias("pos")).agg(F.count("*").alias("value"))
 
 
 @query(f"{_OPS} SELECT base AS read_base, ref AS ref_base, count(*) AS value FROM x GROUP BY ALL")
 def transition_matrix(spark, d):
-    return _plain_mismatches(spark, d).groupBy("read_base", F.col("base").alias("ref_base")).agg(F.count("*").alias("value"))
+    return _mismatches(spark, d).groupBy("read_base", F.col("base").alias("ref_base")).agg(F.count("*").alias("value"))
 
 
 @query(f"{_OPS} SELECT pv AS prev_base, base AS read_base, nx AS next_base, ref AS ref_base, count(*) AS value FROM x GROUP BY ALL")
 def transition_context(spark, d):
-    return _plain_mismatches(spark, d).groupBy("prev_base", "read_base", "next_base", F.col("base").alias("ref_base")).agg(F.count("*").alias("value"))
+    return _mismatches(spark, d).groupBy("prev_base", "read_base", "next_base", F.col("base").alias("ref_base")).agg(F.count("*").alias("value"))
 
 
 @query(f"{_OPS} SELECT ql AS qual, count(*) AS value FROM x GROUP BY ALL")
 def mismatch_qualities(spark, d):
-    return _plain_mismatches(spark, d).withColumn("qual", F.when(F.col("qual") > 0, F.col("qual"))).groupBy("qual").agg(F.count("*").alias("value"))
+    return _mismatches(spark, d).withColumn("qual", F.when(F.col("qual") > 0, F.col("qual"))).groupBy("qual").agg(F.count("*").alias("value"))
 
 
 @query(f"""WITH {TPL}, x AS (SELECT length(r) AS n, CASE WHEN ms = '-' THEN 0 ELSE len(string_split(ms, ',')) END AS k FROM tpl)
