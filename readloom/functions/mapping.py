@@ -284,23 +284,26 @@ def coherent(blocks1: Column, blocks2: Column) -> Column:
     return ((F.size(blocks1) == 1) & (F.size(blocks2) == 1)) | (hi < lo) | ((inside(j1) == inside(j2)) & shared)
 
 
+def insert_anchor(strand: Column, blocks: Column) -> Column:
+    """Place that an insert size is measured from or to: its end on the forward or behind its end on the reverse strand."""
+    last = F.element_at(blocks, -1)
+    return last["pos"] + global_base_length(blocks) + F.when(strand == "+", -last["base_length"]).otherwise(1)
+
+
 def insert_size(s1: Column, strand1: Column, blocks1: Column, s2: Column, strand2: Column, blocks2: Column) -> Column:
     """Insert size of two ends on opposite strands of one sequence; null where it has no meaning.
 
     ``1 + pos_last(R) + bases(R) - (pos_last(F) + bases(F) - bases_last(F))`` with R the end on the reverse strand.
     """
 
-    def size(f, r):
-        lf, lr = F.element_at(f, -1), F.element_at(r, -1)
-        return lr["pos"] + global_base_length(r) - (lf["pos"] + global_base_length(f) - lf["base_length"]) + 1
-
-    v = F.when(strand1 == "+", size(blocks1, blocks2)).otherwise(size(blocks2, blocks1))
+    a, b = insert_anchor(strand1, blocks1), insert_anchor(strand2, blocks2)
+    v = F.when(strand1 == "+", b - a).otherwise(a - b)
     return F.when((s1 == s2) & (strand1 != strand2), v)
 
 
 def observed_template_size(s1: Column, blocks1: Column, s2: Column, blocks2: Column) -> Column:
     """Signed span of two ends as SAM's TLEN: positive for the leftmost end, 0 on different sequences."""
-    b1, b2 = F.element_at(blocks1, 1)["pos"], F.element_at(blocks2, 1)["pos"]
+    b1, b2 = (F.array_min(F.transform(b, lambda x: x["pos"])) for b in (blocks1, blocks2))
     span = F.greatest(end_position(blocks1), end_position(blocks2)) - F.least(b1, b2) + 1
     return F.when(s1 != s2, _l(0)).when(b1 <= b2, span).otherwise(-span)
 

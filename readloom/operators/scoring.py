@@ -45,16 +45,19 @@ def insert_cuts(sizes: DataFrame, cutoff: float = 0.01) -> DataFrame:
 def pair_ends(left: DataFrame, right: DataFrame, lo: int, hi: int, key: str = "tag", bin_size: int | None = None) -> DataFrame:
     """Pairs of mappings of two ends on opposite strands of one sequence, whose insert size lies in [lo, hi].
 
-    ``left`` and ``right`` have ``key, m`` (a mapping). The join is on key, sequence and bins of position, so a key with
-    a third of all rows never meets itself whole. ``bin_size`` defaults to a width that no pair in range spans twice.
+    ``left`` and ``right`` have ``key, m`` (a mapping). The join is on key, sequence and bins of the place that the insert
+    size is measured from, so a key with a third of all rows never meets itself whole and split ends meet however long
+    their introns. ``bin_size`` defaults to a width that no pair in range spans twice.
     """
-    width = bin_size or max(1 << 10, 2 * max(abs(lo), abs(hi)) + 2048)
-    pos = lambda m: F.col(f"{m}.pos")
-    a = left.select(F.col(key), F.col("m").alias("m1")).withColumn("_b", F.floor(pos("m1") / width))
-    b = right.select(F.col(key).alias("_k"), F.col("m").alias("m2")).withColumn("_c", F.explode(F.array(*(F.floor(pos("m2") / width) + i for i in (-1, 0, 1)))))
+    width = bin_size or max(1 << 10, abs(lo), abs(hi))
+    # Bound to one variable, so that a mapping's text is parsed once for it; the insert size is the difference of the two.
+    anchor = F.get(F.transform(F.array("m.blocks"), lambda b: M.insert_anchor(F.col("m.strand"), b)), F.lit(0))
+    bin_of = lambda c: F.floor(F.col(c) / width)
+    a = left.select(F.col(key), F.col("m").alias("m1"), anchor.alias("_p")).withColumn("_b", bin_of("_p"))
+    b = right.select(F.col(key).alias("_k"), F.col("m").alias("m2"), anchor.alias("_q")).withColumn("_c", F.explode(F.sequence(bin_of("_q") - 1, bin_of("_q") + 1)))
     on = (a[key] == b["_k"]) & (F.col("m1.seq_name") == F.col("m2.seq_name")) & (F.col("_b") == F.col("_c")) & (F.col("m1.strand") != F.col("m2.strand"))
-    x = M.insert_size(F.col("m1.seq_name"), F.col("m1.strand"), F.col("m1.blocks"), F.col("m2.seq_name"), F.col("m2.strand"), F.col("m2.blocks"))
-    return a.join(b, on).withColumn("insert_size", x).where(F.col("insert_size").between(lo, hi)).drop("_k", "_b", "_c")
+    x = F.when(F.col("m1.strand") == "+", F.col("_q") - F.col("_p")).otherwise(F.col("_p") - F.col("_q"))
+    return a.join(b, on).withColumn("insert_size", x).where(F.col("insert_size").between(lo, hi)).drop("_k", "_b", "_c", "_p", "_q")
 
 
 def mapping_quality(df: DataFrame, template: list[str], location: list[str], score: str) -> DataFrame:

@@ -592,7 +592,7 @@ def coverage_combine(spark, d):
 # ---- pairs and scores -----------------------------------------------------------------------------------------------
 
 def _pairs(spark, d):
-    x = mapped(spark, d, "tag", "end_no").where("maps not like '%*%'").withColumn("m", F.struct(F.col("map_id"), F.col("m.seq_name"), F.col("m.strand"), F.col("m.pos"), F.col("m.score"), F.col("m.blocks")))
+    x = mapped(spark, d, "tag", "end_no").withColumn("m", F.struct(F.col("map_id"), F.col("m.seq_name"), F.col("m.strand"), F.col("m.pos"), F.col("m.score"), F.col("m.blocks")))
     return R.pair_ends(x.where("end_no = 1"), x.where("end_no = 2"), 0, 20_000)
 
 
@@ -618,7 +618,7 @@ def _paired_text(spark, d):
     """Pairs found by insert size, written as paired MAP records with reads of dots' length."""
     x = _pairs(spark, d)
     text = lambda m: F.concat_ws(":", F.col(f"{m}.seq_name"), F.col(f"{m}.strand"), F.col(f"{m}.pos").cast("string"), M.render_edits(F.col(f"{m}.blocks")))
-    read = lambda m: F.expr(f"repeat('A', cast({m}.blocks[0].base_length as int))")
+    read = lambda m: F.expr(f"repeat('A', cast(aggregate({m}.blocks, 0L, (a, b) -> a + b.base_length) as int))")
     line = F.concat_ws("\t", "tag", F.concat(read("m1"), F.lit(" "), read("m2")), F.lit("1"), F.concat(text("m1"), F.lit("::"), text("m2"), F.lit(":::7")))
     return Q2.from_map_lines(x.select(F.col("m1.map_id").alias("id1"), F.col("m2.map_id").alias("id2"), line.alias("value")), keep=("id1", "id2"))
 
@@ -648,7 +648,7 @@ def paired_sam(spark, d):
 
 @query(f"{_PAIR} SELECT id1, id2 FROM pairs")
 def pair_coherence(spark, d):
-    """Pairs without splices are always coherent; see the tests for split ones."""
+    """Pairs whose ends agree on the junctions where they overlap; those without splices always do."""
     return P.coherent_pairs(_pairs(spark, d)).select(F.col("m1.map_id").alias("id1"), F.col("m2.map_id").alias("id2"))
 
 

@@ -23,3 +23,23 @@ def test_errors_of_all_mappings(spark, tmp_path):
     context = Counter({(r.prev_base, r.read_base, r.next_base, r.ref_base): r.value for r in run(spark, tmp_path, "transition_context").collect()})
     assert context == {("G", "T", "A", "T"): 1, ("A", "C", "G", "A"): 1, ("A", "C", "G", "C"): 1, ("A", "C", "", "T"): 1}
     assert {r.qual: r.value for r in run(spark, tmp_path, "mismatch_qualities").collect()} == {ord("D"): 1, ord("F"): 2, ord("J"): 1}
+
+
+def mappings(spark, d, *rows):
+    cols = "map_id bigint, tag string, end_no int, seq_name string, strand string, pos bigint, maps string, n_edits bigint, gt_score bigint, phred_score int, tlen bigint, run_id bigint"
+    spark.createDataFrame([(i, tag, end, *m.split(":")[:2], int(m.split(":")[2]), m, 0, score, 0, 0, 1) for i, tag, end, m, score in rows], cols).write.parquet(f"{d}/mappings.parquet")
+
+
+def test_pairs_of_split_ends(spark, tmp_path):
+    # The starts of 5 and 6 lie 200,000 apart; 7 and 8 disagree on the junction.
+    mappings(
+        spark, tmp_path,
+        (1, "a", 1, "chr1:+:1000:10", 0), (2, "a", 2, "chr1:-:1300:10", 0), (3, "b", 1, "chr1:+:1000:10", 0), (4, "b", 2, "chr1:-:1300:4>500*6", 0),
+        (5, "c", 1, "chr1:+:1000:10>199980*20", 0), (6, "c", 2, "chr1:-:201000:30", 0), (7, "d", 1, "chr1:+:1000:10>20*20", 0), (8, "d", 2, "chr1:-:1035:14>21*10", 0),
+    )
+    pairs = {(r.id1, r.id2): r.insert_size for r in run(spark, tmp_path, "pairing_join").collect()}
+    assert pairs == {(1, 2): 311, (3, 4): 311, (5, 6): 31, (7, 8): 20}
+    assert {(r.id1, r.id2) for r in run(spark, tmp_path, "pair_coherence").collect()} == {(1, 2), (3, 4), (5, 6)}
+    t = {r.id1: (r.n1, r.n2, r.distance) for r in run(spark, tmp_path, "paired_templates").collect()}
+    assert t == {1: (10, 10, 0), 3: (10, 10, 1), 5: (30, 30, 1), 7: (30, 24, 2)}
+    assert {r.id1: r.tlen for r in run(spark, tmp_path, "template_size").collect()} == {1: 310, 3: 810, 5: 200030, 7: 80}
