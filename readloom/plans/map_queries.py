@@ -302,9 +302,10 @@ def yield_per_run(spark, d):
 
 
 def _other(spark, d):
-    """A second mapping set over the same records: mappings on the forward strand, without every third record."""
-    x = templates(spark, d).where("line_id % 3 <> 0")
-    return P.on_strand(x, "+")
+    """A second mapping set over the same records: the mappings of the forward strand, and each mapping on the reverse
+    strand once more on the forward strand, which the first set lacks."""
+    turned = F.transform(F.filter("maps", lambda m: m["strand"] == "-"), lambda m: M.parse_map(F.regexp_replace(m["txt"], ":[-R]:", ":+:")))
+    return T.recount(templates(spark, d).withColumn("maps", F.concat(F.filter("maps", lambda m: m["strand"] == "+"), turned)))
 
 
 def _set_sql(keep: str, how: str) -> str:
@@ -361,7 +362,7 @@ def merge_subset(spark, d):
 
 @query(f"WITH {TPL} SELECT line_id FROM tpl WHERE line_id % 3 = 0")
 def merge_unmatched(spark, d):
-    return U.unmatched(templates(spark, d), _other(spark, d), "line_id").select("line_id")
+    return U.unmatched(templates(spark, d), templates(spark, d).where("line_id % 3 <> 0"), "line_id").select("line_id")
 
 
 @query(f"""WITH {MAPS}, s AS (SELECT line_id, string_agg(seq, ',' ORDER BY map_no) AS sq FROM m GROUP BY 1) SELECT t.line_id, length(r) AS length, coalesce(sq, '') AS sequences FROM tpl t LEFT JOIN s ON s.line_id = t.line_id""")

@@ -43,3 +43,15 @@ def test_pairs_of_split_ends(spark, tmp_path):
     t = {r.id1: (r.n1, r.n2, r.distance) for r in run(spark, tmp_path, "paired_templates").collect()}
     assert t == {1: (10, 10, 0), 3: (10, 10, 1), 5: (30, 30, 1), 7: (30, 24, 2)}
     assert {r.id1: r.tlen for r in run(spark, tmp_path, "template_size").collect()} == {1: 310, 3: 810, 5: 200030, 7: 80}
+
+
+def test_sets_of_whole_inputs(spark, tmp_path):
+    line = "a\tACGT\t1\tchr1:+:5:4,chr2:-:7:4"
+    map_table(spark, tmp_path, line, line, line, line)
+    got = {n: {tuple(r) for r in run(spark, tmp_path, n).collect()} for n in ("set_union", "set_intersection", "set_compare", "set_join", "merge_same_reads", "set_difference", "set_difference_tolerant", "merge_subset")}
+    one = {n: {r[1:] for r in rows} for n, rows in got.items()}
+    assert all(len(rows) == 4 for rows in got.values())
+    assert one["set_union"] == {("chr1:+:5:4,chr2:+:7:4,chr2:-:7:4",)} and one["set_intersection"] == {("chr1:+:5:4",)}
+    assert one["set_compare"] == {("chr2:-:7:4", "chr2:+:7:4", "chr1:+:5:4")} and one["set_join"] == {("chr1:+:5:4,chr2:-:7:4", "chr1:+:5:4,chr2:+:7:4")}
+    assert one["merge_same_reads"] == one["merge_subset"] == {("chr1:+:5:4,chr2:-:7:4,chr2:+:7:4",)}
+    assert one["set_difference"] == one["set_difference_tolerant"] == {("chr2:-:7:4",)}
