@@ -163,7 +163,7 @@ def sink_pretty(spark, d):
 
 
 def _reference(spark, d):
-    x = table(spark, d, "fastq_reads").select("read_id", "read_seq").distinct().where("length(read_seq) >= 40")
+    x = table(spark, d, "fastq_reads").select("read_id", "read_seq").distinct()
     return x.select(F.col("read_id").cast("string").alias("name"), F.col("read_seq").alias("sequence"))
 
 
@@ -177,13 +177,13 @@ def reference_chunks(spark, d):
 
 @query("WITH rd AS (SELECT DISTINCT read_id, read_seq AS s, reverse(read_seq) AS t FROM fastq_reads WHERE length(read_seq) >= 40) SELECT read_id, len(list_filter(range(1, length(s) + 1), lambda i: substr(s, i, 1) <> substr(t, i, 1))) AS n FROM rd")
 def hamming_ops(spark, d):
-    x = table(spark, d, "fastq_reads").select("read_id", "read_seq").distinct().where("length(read_seq) >= 40")
+    x = table(spark, d, "fastq_reads").select("read_id", "read_seq").distinct()
     return x.select("read_id", F.size(R.hamming_column(F.col("read_seq"), F.reverse("read_seq"))).cast("bigint").alias("n"))
 
 
 @query("WITH rd AS (SELECT DISTINCT read_id, read_seq AS s, substr(read_seq, 4, 20) || 'ACG' || substr(read_seq, 24) AS t FROM fastq_reads WHERE length(read_seq) >= 40) SELECT read_id, CAST(levenshtein(s, t) AS DOUBLE) AS cost FROM rd")
 def realign_levenshtein(spark, d):
-    x = table(spark, d, "fastq_reads").select("read_id", "read_seq").distinct().where("length(read_seq) >= 40")
+    x = table(spark, d, "fastq_reads").select("read_id", "read_seq").distinct()
     other = F.concat(F.substring("read_seq", 4, 20), F.lit("ACG"), F.substring(F.col("read_seq"), F.lit(24), F.length("read_seq")))
     return x.select("read_id", R.realign_column(F.col("read_seq"), other)["cost"].alias("cost"))
 
@@ -191,7 +191,7 @@ def realign_levenshtein(spark, d):
 @query("WITH rd AS (SELECT DISTINCT read_id FROM fastq_reads WHERE length(read_seq) >= 40) SELECT read_id, CAST(NULL AS VARCHAR) AS fault FROM rd")
 def alignment_check(spark, d):
     """Realigned operations pass the check of the alignment they describe."""
-    x = table(spark, d, "fastq_reads").select("read_id", "read_seq").distinct().where("length(read_seq) >= 40")
+    x = table(spark, d, "fastq_reads").select("read_id", "read_seq").distinct()
     other = F.concat(F.substring("read_seq", 4, 20), F.lit("ACG"), F.substring(F.col("read_seq"), F.lit(24), F.length("read_seq")))
     y = x.select("read_id", "read_seq", other.alias("other"), R.realign_column(F.col("read_seq"), other)["ops"].alias("ops"))
     return y.select("read_id", R.check_column(F.col("read_seq"), F.col("other"), F.col("ops")).alias("fault"))
@@ -202,7 +202,7 @@ s AS (SELECT read_id, (a LIKE 'GT%' AND b LIKE '%AG') OR (a LIKE 'GC%' AND b LIK
 (a LIKE 'CT%' AND b LIKE '%AC') OR (a LIKE 'CT%' AND b LIKE '%GC') OR (a LIKE '_T%' AND b LIKE '%GATAT') OR (a LIKE 'AT%' AND b LIKE '%GATAC') AS m FROM rd)
 SELECT read_id, CASE WHEN p AND NOT m THEN '+' WHEN m AND NOT p THEN '-' ELSE '0' END AS xs FROM s""")
 def splice_strand(spark, d):
-    x = table(spark, d, "fastq_reads").select("read_id", "read_seq").distinct().where("length(read_seq) >= 40")
+    x = table(spark, d, "fastq_reads").select("read_id", "read_seq").distinct()
     return x.select("read_id", J.motif_strand(F.substring("read_seq", 1, 5), F.right("read_seq", F.lit(5))).alias("xs"))
 
 

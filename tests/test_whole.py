@@ -55,3 +55,12 @@ def test_sets_of_whole_inputs(spark, tmp_path):
     assert one["set_compare"] == {("chr2:-:7:4", "chr2:+:7:4", "chr1:+:5:4")} and one["set_join"] == {("chr1:+:5:4,chr2:-:7:4", "chr1:+:5:4,chr2:+:7:4")}
     assert one["merge_same_reads"] == one["merge_subset"] == {("chr1:+:5:4,chr2:-:7:4,chr2:+:7:4",)}
     assert one["set_difference"] == one["set_difference_tolerant"] == {("chr2:-:7:4",)}
+
+
+def test_short_reads(spark, tmp_path):
+    reads = [(1, "ACGTACGTACGTACG"), (2, "GTAAAAAG"), (3, "A")]
+    spark.createDataFrame(reads, "read_id bigint, read_seq string").write.parquet(f"{tmp_path}/fastq_reads.parquet")
+    got = {n: {int(r[0]): r[1] for r in run(spark, tmp_path, n).collect()} for n in ("reference_chunks", "hamming_ops", "realign_levenshtein", "alignment_check", "splice_strand")}
+    assert all(set(x) == {1, 2, 3} for x in got.values())
+    assert got["reference_chunks"][1] == "CGTAC"
+    assert got["hamming_ops"][3] == 0 and got["splice_strand"][2] == "+" and got["alignment_check"][1] is None
