@@ -1,16 +1,19 @@
 """Text statistics per document, and a mixture model over them that tells prose from lists, tables and junk.
 
-The statistics of a document are computed over its whole text in one pass on the workers. Their standardised values are
-fitted with a Gaussian mixture by expectation-maximization: every iteration sums the sufficient statistics of all
-documents (a few hundred numbers per input split, added up by a distributed aggregation), so nothing is sampled. A
-component means what the inspected examples say that fall into it.
+The statistics of a document and of its blocks (runs of lines that are not blank) are counted over the whole text in one
+pass: the code points of many texts are one array, a table gives the class of each, and words, lines and blocks are
+stretches of it. The standardised statistics of all blocks are fitted with a Gaussian mixture of full covariances by
+expectation-maximization: every iteration sums the sufficient statistics of all blocks (some two thousand numbers per
+input split, added up by a distributed aggregation), so nothing is sampled. A component means what the inspected examples
+say that fall into it. A document is the sum of its blocks: its share of prose is the share of its characters in blocks
+of components named prose, and its kind the one with most characters.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
+import unicodedata
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,262 +44,385 @@ het een van dat niet met voor zijn maar ook naar dan deze wordt
 """.split())
 #: Frequent characters of Chinese and Japanese running text.
 COMMON_HAN = frozenset("的一是不了在有我他这中来上个们到说为子和你地出也得里后以会着下过能对就还没都而之与其如果那么么把被让很再请先所但因此从看只可吗呢吧并或于将の")
-_CJK = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
-#: Words that make a clause of a string of words: finite verbs, pronouns, conjunctions.
-CLAUSE = frozenset("""
-is are was were be been being has have had do does did can could will would may might must should took take keep kept let look say said see want made make get goes there it we you i they he she that which who
-than when if because although since not as while until what why how both nobody nothing someone unlike most having
-ist sind war waren wird werden wurde hat haben hatte kann können muss steht bleibt folgt sieht dass weil wenn ob warum es ich wir sie er nicht wie
-est sont était sera a ont peut faut voit reste il elle on nous vous ils que qui si car parce pourquoi ne pas n
-es son era fue será está hay ha han puede vamos ve sigue lee que si porque por qué no se nosotros cuando ya
-если что чтобы потому почему как он она оно мы вы они был была было были не видно тоже когда который которая так ли
-di che non è sono era ha hanno se perché quando come si
-é são era foi tem têm se porque quando como não que
-""".split())
-_ARTICLES = frozenset("a an the".split())
-_AFTER_NONE = frozenset("a an the of at by for from in on to with and or but if is are was were be been has have had it that this than as not".split())
-_WORD = re.compile(r"[^\W\d_]+(?:['\u2019][^\W\d_]+)*")
-_PREFIX = re.compile(r"[ \t]*(?:(?:>|//+|#+|--|%+|;+)[ \t]*)+")
-_MARKER = re.compile(r"\s*(?:#\s*)?(?:%%|In ?\[|Out ?\[|->|<-|\[ ?\d*\]\s*$)")
-_ITEM = re.compile(r"\s*(?:[-*+\u2022\u2023\u25e6\u00b7\u2013\u2014]|\(?(?:\d{1,3}(?:\.\d{1,3})*|[a-zA-Z]|[ivx]{1,4})[.)]|\d{1,3}\.\d{1,3})\s+")
-_KEY_VALUE = re.compile(r"\s*[\w.'-]{1,40}\s*:\s*[-\d.]+\s*$")
-_END = re.compile(r"[.!?\u2026]+(?=[\"'\u201d\u2019\u00bb)\]\s`*_]|$)")
-_HAN_END = re.compile(r"[\u3002\uff01\uff1f\u2026\uff1b.!?;]")
-_HAN_MARK = re.compile(r"[\uff0c\u3002\u3001\uff1a\uff1b,]")
-_INLINE = re.compile(r"`[^`\n]{1,80}`|https?://\S+|\([^()\n]{0,60}\)|[\U0001F000-\U0001FAFF\u2600-\u27bf]")
-_HAN = re.compile(f"[{_CJK}]")
-_SYMBOL = re.compile(r"[^\w\s]+|_+")
-_LAST = ".!?\u2026\u3002\uff01\uff1f:;\uff1b\"'\u201d)"
-
-
-def _solid(s: str) -> int:
-    """Characters that are not blank."""
-    return len("".join(s.split()))
-
-
-def _is_row(line: str) -> bool:
-    """Whether a line looks like a row of a table or of key-value pairs."""
-    if "|" in line or "\t" in line or "<t" in line:
-        return True
-    commas = line.count(",")
-    if commas >= 2 and line.count(" ") <= commas + 5 and ", " not in line:
-        return True
-    return (line.count("  ") >= 2 and ". " not in line) or _KEY_VALUE.match(line) is not None
-
-
-def is_running(text: str) -> bool:
-    """Whether a paragraph is made of running sentences, judged by its words, sentence ends and clauses."""
-    clean = _INLINE.sub(" ", text)
-    han = 0 if clean.isascii() else len(_HAN.findall(clean))
-    if han and han > 0.3 * _solid(clean):
-        ends = len(_HAN_END.findall(clean))
-        common = sum(map(COMMON_HAN.__contains__, clean))
-        return ends > 0 and common >= 0.06 * han and han <= 150 * ends and len(_HAN_MARK.findall(clean)) < 0.5 * han
-    sentences = [c for c in _END.split(clean.lower()) if c.strip()]
-    ends = len(sentences) - (not _END.search(clean[-12:]))
-    if ends < 1:
-        return False
-    by = [_WORD.findall(c) for c in sentences]
-    words = [w for x in by for w in x]
-    n = len(words)
-    if n < 4 or not 2 <= n / ends <= 60:
-        return False
-    known = sum(map(COMMON.__contains__, words))
-    if not 0.2 * n <= known <= 0.85 * n:
-        return False
-    if sum(map(len, words)) < 0.6 * _solid(clean):
-        return False
-    if sum(not CLAUSE.isdisjoint(x) for x in by) <= 0.5 * len(by):
-        return False
-    if n >= 12:
-        pairs = list(zip(words, words[1:]))
-        if sum(a <= b for a, b in pairs) > 0.85 * (n - 1) or sum(a == b for a, b in pairs) > 0.15 * (n - 1):
-            return False  # a sorted or repeated list of words
-        after = [b for a, b in pairs if a in _ARTICLES]
-        if len(after) >= 3 and sum(map(_AFTER_NONE.__contains__, after)) > 0.2 * len(after):
-            return False  # words in no order
-        if n >= 40 and max(Counter(zip(words, words[1:], words[2:])).values()) > max(4, 0.12 * n):
-            return False
-    return True
-
-
-#: The statistics, in this order.
-STATS = ("n_words", "mean_word_len", "symbol_share", "punct_line_share", "common_share", "prose_share", "item_share", "table_share")
-
-
-def statistics(text: str | None) -> tuple[float, ...] | None:
-    """The statistics of a whole text, or None if it is null, empty or blank.
-
-    Shares of characters are of those not blank; shares of lines are of the lines not blank. ``prose_share`` is the share
-    of characters in paragraphs of running sentences, ``item_share`` and ``table_share`` in list items and table rows.
+
+LETTER, DIGIT, SPACE, LINE, HAN, COMMON_ONE, STOP, HAN_STOP, LAST, CLOSE, MARK, POINT, PUNCT = (1 << i for i in range(13))
+#: Characters of each class that is not told by the Unicode category. Fixed values.
+_MEMBERS = {
+    LINE: "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029",
+    COMMON_ONE: "".join(sorted(COMMON_HAN)),
+    STOP: ".!?\u2026",
+    HAN_STOP: "\u3002\uff01\uff1f",
+    LAST: ".!?\u2026\u3002\uff01\uff1f:;\uff1b\"'\u201d)",
+    CLOSE: "\"'\u201d\u2019\u00bb)]*_`",
+    MARK: "-*+\u2022\u2023\u25e6\u00b7",
+    POINT: ".)",
+    PUNCT: ".,;:!?'\"\u2018\u2019\u201c\u201d\u2026-()\u2013\u2014\u00ab\u00bb\u3001\u3002\uff0c\uff1a\uff1b\uff01\uff1f",
+}
+#: First and last character of the blocks of Chinese and Japanese writing, where every character is a word.
+HAN_RANGES = ((0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF))
+#: Texts are measured in pieces of about this many characters, cut between blocks where there is a blank line.
+PIECE = 1 << 20
+
+
+@cache
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """The classes of every code point, and its small letter."""
+    t, low = np.zeros(0x110000, np.uint16), np.arange(0x110000, dtype=np.uint32)
+    for c in range(0x110000):
+        ch = chr(c)
+        k = unicodedata.category(ch)[0]
+        if k in "LM":
+            t[c] = LETTER
+            if len(s := ch.lower()) == 1:
+                low[c] = ord(s)
+        elif k == "N":
+            t[c] = DIGIT
+        if ch.isspace():
+            t[c] |= SPACE
+    for bit, chars in _MEMBERS.items():
+        for ch in chars:
+            t[ord(ch)] |= bit
+    for a, b in HAN_RANGES:
+        t[a : b + 1] |= HAN | LETTER
+    return t, low
+
+
+_POW = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(32)], np.uint64)
+
+
+def _hash(code: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """A number of 64 bits for each of the words that ``code`` holds one after the other."""
+    if not len(lens):
+        return np.zeros(0, np.uint64)
+    at = np.cumsum(lens) - lens
+    pos = np.minimum(np.arange(len(code)) - np.repeat(at, lens), len(_POW) - 1)
+    return np.add.reduceat(code.astype(np.uint64) * _POW[pos], at) ^ (lens.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+@cache
+def _common() -> np.ndarray:
+    ws = sorted(COMMON)
+    return np.sort(_hash(np.frombuffer("".join(ws).encode("utf-32-le"), np.uint32), np.array([len(w) for w in ws])))
+
+
+def _sum(x: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x) + 1, np.int64)
+    np.cumsum(x, out=out[1:])
+    return out
+
+
+def _after(a: np.ndarray, by: int = 1) -> np.ndarray:
+    """The value ``by`` places on, false beyond the end."""
+    return np.concatenate([a[by:], np.zeros(min(by, len(a)), a.dtype)])
+
+
+def _before(a: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(min(1, len(a)), a.dtype), a[:-1]])
+
+
+#: What is counted in every block.
+COUNTS = ("solid", "words", "letters", "common", "digits", "symbols", "odd", "stops", "lines", "punct_lines", "item_lines")
+
+
+def measure(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each block, in order, the number of its text and its COUNTS.
+
+    A word is a run of letters and marks, or one Chinese or Japanese character. A line ends in punctuation if there is
+    some behind its last letter or digit. ``odd`` symbols are those no sentence has, behind the start of a line;
+    ``stops`` are ends of sentences.
+    """
+    table, low = _classes()
+    code = np.frombuffer("".join(t + "\n\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(code):
+        return np.zeros(0, np.int64), np.zeros((0, len(COUNTS)), np.int64)
+    cls = table[code]
+    is_ = lambda bit: (cls & bit) != 0
+    space, han, digit = is_(SPACE), is_(HAN), is_(DIGIT)
+    run = is_(LETTER) & ~han
+    known = run | han | digit
+    starts, ends = np.flatnonzero(run & ~_before(run)), np.flatnonzero(run & ~_after(run)) + 1
+    common = is_(COMMON_ONE)
+    if len(starts):
+        h, want = _hash(low[code[run]], ends - starts), _common()
+        common[starts[want[np.minimum(np.searchsorted(want, h), len(want) - 1)] == h]] = True
+    word = han.copy()
+    word[starts] = True
+    symbol = ~known & ~space
+    stop = is_(STOP) & (_after(space) | _after(is_(CLOSE))) & ~_before(digit) | is_(HAN_STOP)
+    sep = np.flatnonzero(is_(LINE) & ~((code == 13) & (_after(code) == 10)))
+    at = np.concatenate([[0], sep[:-1] + 1])
+    solid = _sum(~space)
+    full = solid[sep] > solid[at]
+    here = np.arange(len(code))
+    tail = np.maximum(np.maximum.accumulate(np.where(known, here, -1))[np.maximum(sep - 1, 0)] + 1, at)
+    body = np.minimum(np.minimum.accumulate(np.where(known, here, len(code))[::-1])[::-1][at], sep)
+    last, mark, odd, stops = _sum(is_(LAST)), _sum(is_(MARK)), _sum(symbol & ~is_(PUNCT)), _sum(stop)
+    end_of_number = is_(POINT) & (_after(space) | _after(digit))
+    number = digit & (_after(end_of_number) | _after(digit & (_after(end_of_number) | _after(digit & _after(end_of_number)))))  # of up to three digits
+    first = np.minimum(body, len(code) - 1)
+    item = (body < sep) & (mark[body] > mark[at]) | number[first]
+    per = [(c := _sum(x))[sep] - c[at] for x in (word, run | han, common, digit, symbol)]
+    cols = [solid[sep] - solid[at], *per, odd[sep] - odd[body], stops[sep] - stops[body], full, last[sep] > last[tail], item]
+    size = np.cumsum([len(t) + 2 for t in texts])
+    begins = full & ~_before(full)
+    k = np.flatnonzero(full)
+    block = np.cumsum(begins)[k] - 1
+    n = int(begins.sum())
+    out = np.stack([np.bincount(block, c[k].astype(np.float64), n) for c in cols], 1).astype(np.int64)
+    return np.searchsorted(size, at[begins], "right"), out
+
+
+def _pieces(text: str) -> list[str]:
+    """A very long text in pieces, cut at blank lines, or at line ends where there is none within a piece."""
+    out, i = [], 0
+    while len(text) - i > PIECE:
+        end = i + PIECE
+        if (at := text.rfind("\n\n", i, end)) >= 0:
+            cut = at + 2
+        elif (at := text.rfind("\n", i, end)) >= 0:
+            cut = at + 1
+        else:
+            cut = text.find("\n", end) + 1 or len(text)
+        out.append(text[i:cut])
+        i = cut
+    return [*out, text[i:]]
+
+
+def counts(texts: list[str | None]) -> list[np.ndarray]:
+    """COUNTS of the blocks of every text; none for texts that are null, empty or blank."""
+    jobs = [(i, p) for i, t in enumerate(texts) if t for p in _pieces(t)]
+    got: list[list[np.ndarray]] = [[] for _ in texts]
+    i = 0
+    while i < len(jobs):
+        j, size = i, 0
+        while j < len(jobs) and (j == i or size + len(jobs[j][1]) <= PIECE):
+            size += len(jobs[j][1])
+            j += 1
+        of, c = measure([p for _, p in jobs[i:j]])
+        cut = np.searchsorted(of, np.arange(j - i + 1))
+        for n in range(j - i):
+            got[jobs[i + n][0]].append(c[cut[n] : cut[n + 1]])
+        i = j
+    none = np.zeros((0, len(COUNTS)), np.int64)
+    return [np.concatenate(g) if g else none for g in got]
+
+
+#: The statistics of a document, in this order.
+STATS = ("n_words", "mean_word_len", "symbol_share", "punct_line_share", "common_share")
+#: The counts they come from.
+TOTALS = {"solid": "n_solid", "words": "n_words", "letters": "n_letters", "common": "n_common", "symbols": "n_symbols", "lines": "n_lines", "punct_lines": "n_punct_lines"}
+
+
+def statistics(c: np.ndarray) -> tuple[float, ...] | None:
+    """The statistics of a document from the COUNTS of its blocks, or None if it has none.
+
+    Shares of characters are of those not blank, shares of lines of the lines not blank.
     """
-    if text is None or not (solid := _solid(text)):
+    if not len(c):
         return None
-    prose = items = table = lines = punct = 0
-    cur: list[str] = []
-    size = 0
-    for line in [*text.splitlines(), ""]:
-        s = line.strip()
-        if s:
-            lines += 1
-            punct += s[-1] in _LAST
-            m = _PREFIX.match(line)
-            body = line[m.end() :] if m else line
-            here = _solid(line)
-            if _MARKER.match(line):
-                body = ""
-            elif _ITEM.match(body):
-                items += here
-                body = ""
-            elif _is_row(line):
-                table += here
-            if body := body.strip():
-                cur.append(body)
-                size += here
-                continue
-        if cur:
-            if is_running(" ".join(cur)):
-                prose += size
-            cur, size = [], 0
-    words = _WORD.findall(text.lower())
-    n = len(words)
-    han = [] if text.isascii() else _HAN.findall(text)
-    common = sum(map(COMMON.__contains__, words)) + sum(map(COMMON_HAN.__contains__, han))
-    return (
-        float(n), sum(map(len, words)) / n if n else 0.0, sum(map(len, _SYMBOL.findall(text))) / solid, punct / lines if lines else 0.0,
-        common / (n + len(han)) if n else 0.0, min(1.0, prose / solid), min(1.0, items / solid), min(1.0, table / solid),
+    t = dict(zip(COUNTS, c.sum(0).tolist()))
+    w = max(t["words"], 1)
+    return float(t["words"]), t["letters"] / w, t["symbols"] / t["solid"], t["punct_lines"] / t["lines"], t["common"] / w
+
+
+def features(c: np.ndarray) -> np.ndarray:
+    """What the mixture sees of blocks (rows x COUNTS): words, their mean length, shares of odd symbols, digits, lines
+    ending in punctuation and common words, words of a sentence and of a line, share of list items."""
+    t = dict(zip(COUNTS, c.T.astype(np.float64)))
+    w, lines = t["words"], np.maximum(t["lines"], 1)
+    per = np.maximum(w, 1)
+    return np.stack(
+        [
+            np.log1p(w), np.log1p(t["letters"] / per), np.sqrt(t["odd"] / t["solid"]), np.sqrt(t["digits"] / t["solid"]), t["punct_lines"] / lines, t["common"] / per,
+            np.log1p(w / (t["stops"] + 0.5)), np.log1p(w / lines), t["item_lines"] / lines,
+        ], 1,
     )
 
 
-def features(st: np.ndarray) -> np.ndarray:
-    """What the mixture sees of statistics (rows x STATS). The share of prose is stretched around a half."""
-    n, mean, sym, punct, common, prose, item, table = st.T
-    return np.stack([np.tanh(8 * (prose - 0.5)), common, punct, np.sqrt(sym), np.log1p(mean), item, table, np.log1p(n)], 1)
+def text_counts(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id`` and ``blocks``, the COUNTS of its blocks one after the other, of every row; texts are read whole."""
+    cols = spread(df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t")))
+
+    def run(batches):
+        for b in batches:
+            c = counts(b.column(1).to_pylist())
+            off = np.concatenate([[0], np.cumsum([x.size for x in c])]).astype(np.int32)
+            flat = np.concatenate([x.ravel() for x in c]).astype(np.int32) if c else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(off, flat)], names=[id_col, "blocks"])
 
+    return cols.mapInArrow(run, f"`{id_col}` {cols.schema['i'].dataType.simpleString()}, blocks array<int>")
 
-def text_statistics(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id`` and the statistics of every row; null for texts that are null, empty or blank. Texts are read whole."""
-    cols = spread(df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t")))
-    none = (None,) * len(STATS)
+
+def _blocks(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of all blocks of a column, and the number of blocks of every row."""
+    return col.flatten().to_numpy().reshape(-1, len(COUNTS)), np.diff(col.offsets.to_numpy()) // len(COUNTS)
+
+
+def text_totals(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id`` and the counts behind the statistics of every row; 0 for texts that are null, empty or blank."""
+    blocks = text_counts(df, id_col, text)
+    at = [COUNTS.index(c) for c in TOTALS]
 
     def run(batches):
         for b in batches:
-            rows = [statistics(t.as_py()) or none for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.float64()) for c in zip(*rows))] if rows else [b.column(0), *[pa.array([], pa.float64())] * len(STATS)], names=[id_col, *STATS])
+            c, n = _blocks(b.column(1))
+            total = np.concatenate([np.zeros((1, len(COUNTS)), np.int64), np.cumsum(c, 0, dtype=np.int64)])
+            end = np.cumsum(n)
+            t = total[end] - total[end - n]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(t[:, i]) for i in at)], names=[id_col, *TOTALS.values()])
 
-    return cols.mapInArrow(run, f"`{id_col}` {cols.schema['i'].dataType.simpleString()}, " + ", ".join(f"{c} double" for c in STATS))
+    return blocks.mapInArrow(run, f"`{id_col}` {blocks.schema[0].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in TOTALS.values()))
 
 
-#: Least variance of a component, in units of the standardised statistics.
-FLOOR = 0.02
-#: Largest variance along the stretched share of prose: no component may span prose and its opposite.
-CEILING = 0.05
-MAX_ITERATIONS = 15
+#: Added to the variances of a component, in units of the standardised statistics.
+FLOOR = 0.05
+#: Variance of a component at the start.
+START = 0.3
+MAX_ITERATIONS = 25
+#: Blocks evaluated at once.
+ROWS = 1 << 15
 
 
 class Mixture:
-    """Gaussian mixture with diagonal covariances over standardised features."""
+    """Gaussian mixture with full covariances over standardised features; ``label`` names the components."""
 
-    def __init__(self, mean, std, weight, mu, var):
-        self.mean, self.std, self.weight, self.mu, self.var = mean, std, weight, mu, var
+    def __init__(self, mean: np.ndarray, std: np.ndarray, mu: np.ndarray):
+        self.mean, self.std, self.mu = mean, std, mu
+        k, d = mu.shape
+        self.weight, self.cov = np.full(k, 1 / k), np.repeat(np.eye(d)[None] * START, k, 0)
+        self.upper = np.triu_indices(d)
         self.label: list[str] = []
-
-    def responsibilities(self, st: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        z = (features(st) - self.mean) / self.std
-        log = np.log(self.weight) - 0.5 * (np.log(2 * math.pi * self.var).sum(1) + (((z[:, None, :] - self.mu) ** 2) / self.var).sum(2))
-        top = log.max(1, keepdims=True)
-        p = np.exp(log - top)
+        self.ready()
+
+    def ready(self) -> None:
+        """The log densities as linear functions of the products of the features: one matrix product gives them all."""
+        inv = np.linalg.inv(self.cov)
+        i, j = self.upper
+        quad = -np.where(i == j, 0.5, 1.0) * inv[:, i, j]
+        line = np.einsum("kij,kj->ki", inv, self.mu)
+        const = np.log(self.weight) - 0.5 * (np.linalg.slogdet(self.cov)[1] + self.mu.shape[1] * math.log(2 * math.pi) + (line * self.mu).sum(1))
+        self.coef = np.concatenate([quad, line, const[:, None]], 1).T
+
+    def terms(self, c: np.ndarray) -> np.ndarray:
+        z = (features(c) - self.mean) / self.std
+        i, j = self.upper
+        return np.concatenate([z[:, i] * z[:, j], z, np.ones((len(z), 1))], 1)
+
+    def responsibilities(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Of each component for each block, the terms they were computed from, and the log likelihood."""
+        t = self.terms(c)
+        p = t @ self.coef
+        top = p.max(1, keepdims=True)
+        np.exp(p - top, out=p)
         total = p.sum(1, keepdims=True)
-        return p / total, z, float((np.log(total) + top).sum())
-
-    def prose(self, st: np.ndarray) -> tuple[np.ndarray, list[str]]:
-        """Probability of prose, and the likeliest kind."""
-        r, _, _ = self.responsibilities(st)
-        kinds = sorted(set(self.label))
-        by = np.stack([r[:, [i for i, x in enumerate(self.label) if x == k]].sum(1) for k in kinds], 1)
-        at = kinds.index("prose") if "prose" in kinds else None
-        return (by[:, at] if at is not None else np.zeros(len(st))), [kinds[i] for i in by.argmax(1)]
+        p /= total
+        return p, t, float((np.log(total) + top).sum())
+
+    def sums(self, c: np.ndarray) -> np.ndarray:
+        """Log likelihood and sufficient statistics of blocks."""
+        out = np.zeros(1 + self.coef.size)
+        for i in range(0, len(c), ROWS):
+            r, t, ll = self.responsibilities(c[i : i + ROWS])
+            out[0] += ll
+            out[1:] += (r.T @ t).ravel()
+        return out
+
+    def update(self, s: np.ndarray) -> None:
+        k, d = self.mu.shape
+        s = s.reshape(k, -1)
+        w = s[:, -1]
+        i, j = self.upper
+        for n in np.flatnonzero(w > 2 * d):  # others keep what they have
+            self.mu[n] = s[n, -1 - d : -1] / w[n]
+            cov = np.empty((d, d))
+            cov[i, j] = cov[j, i] = s[n, : len(i)] / w[n] - self.mu[n][i] * self.mu[n][j]
+            self.cov[n] = cov + np.eye(d) * FLOOR
+        self.weight = np.maximum(w / w.sum(), 1e-9)
+        self.weight /= self.weight.sum()
+        self.ready()
+
+    def kinds(self, c: np.ndarray) -> np.ndarray:
+        """Probability of every kind of KINDS for every block."""
+        of = np.array([[x == k for k in KINDS] for x in self.label], float)
+        return np.concatenate([np.zeros((0, len(KINDS))), *(self.responsibilities(c[i : i + ROWS])[0] @ of for i in range(0, len(c), ROWS))])
+
+
+KINDS = ("prose", "list", "table", "junk")
 
 
 def _sums(df: DataFrame, width: int, fn) -> np.ndarray:
-    """Sum over all rows of what ``fn`` makes of blocks of statistics; one short array per split reaches a reducer."""
+    """Sum over all blocks of what ``fn`` makes of their counts; one short array per split reaches a reducer."""
 
     def run(batches):
         acc = np.zeros(width)
         for b in batches:
-            if b.num_rows:
-                acc += fn(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1))
+            if len(c := _blocks(b.column(0))[0]):
+                acc += fn(c)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(acc)], names=["k", "v"])
 
     out = np.zeros(width)
-    for r in df.select(*STATS).mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+    for r in df.select("blocks").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
         out[r.k] = r.v
     return out
 
 
-def fit(stats: DataFrame, iterations: int = MAX_ITERATIONS) -> Mixture:
-    """Fit to all rows of ``stats`` that have statistics. Components start at the inspected examples, so a fit is
-    repeatable. No rows leave the mixture at the examples."""
-    known = [(k, statistics(t)) for k, t in EXAMPLES]
-    ex = np.array([s for _, s in known])
-    d = features(ex).shape[1]
-    rows = stats.where("n_words is not null")
-    total = _sums(rows, 2 * d + 1, lambda x: np.concatenate([[len(x)], features(x).sum(0), (features(x) ** 2).sum(0)]))
+def _moments(c: np.ndarray) -> np.ndarray:
+    x = features(c)
+    return np.concatenate([[len(x)], x.sum(0), (x**2).sum(0)])
+
+
+def fit(blocks: DataFrame, iterations: int = MAX_ITERATIONS) -> Mixture:
+    """Fit to the blocks of all rows. Components start at the inspected examples, so a fit is repeatable. No rows leave
+    the mixture at the examples."""
+    ex = [(kind, c) for kind, text in EXAMPLES for c in counts([text])[0]]
+    what, c = np.array([k for k, _ in ex]), np.array([c for _, c in ex])
+    x = features(c)
+    d = x.shape[1]
+    total = _sums(blocks, 2 * d + 1, _moments)
     n = total[0]
-    mean, sq = (total[1 : d + 1] / n, total[d + 1 :] / n) if n else (features(ex).mean(0), (features(ex) ** 2).mean(0))
-    std = np.sqrt(np.maximum(sq - mean**2, 1e-6))
-    k = len(known)
-    m = Mixture(mean, std, np.full(k, 1 / k), (features(ex) - mean) / std, np.full((k, d), 0.5))
-    m.var[:, 0] = CEILING
+    total = total if n else _moments(c)
+    mean = total[1 : d + 1] / total[0]
+    std = np.sqrt(np.maximum(total[d + 1 :] / total[0] - mean**2, 0) + 1e-6)
+    m = Mixture(mean, std, (x - mean) / std)
     last = None
     for _ in range(iterations if n else 0):
-
-        def step(x, m=m):
-            r, z, ll = m.responsibilities(x)
-            return np.concatenate([[ll], r.sum(0), (r.T @ z).ravel(), (r.T @ z**2).ravel()])
-
-        s = _sums(rows, 1 + k + 2 * k * d, step)
-        w = s[1 : k + 1]
-        alive = w > 1e-6 * n
-        safe = np.maximum(w, 1e-9)[:, None]
-        mu, second = s[k + 1 : k + 1 + k * d].reshape(k, d) / safe, s[k + 1 + k * d :].reshape(k, d) / safe
-        m.mu = np.where(alive[:, None], mu, m.mu)
-        m.var = np.where(alive[:, None], np.maximum(second - mu**2, FLOOR), m.var)
-        m.var[:, 0] = np.minimum(m.var[:, 0], CEILING)
-        m.weight = np.maximum(w / n, 1e-9)
-        m.weight /= m.weight.sum()
-        if last is not None and abs(s[0] - last) < 1e-4 * n:
+        s = _sums(blocks, 1 + m.coef.size, m.sums)
+        m.update(s[1:])
+        if last is not None and abs(s[0] - last) < 1e-3 * n:
             break
         last = s[0]
-    # A component means what its nearest inspected example is. The statistics that tell the kinds of the examples apart
-    # weigh most in that distance, so a component is not named after an example it only shares its size with.
-    z = (features(ex) - m.mean) / m.std
-    kinds = np.array([a for a, _ in known])
-    groups = [z[kinds == a] for a in sorted(set(kinds))]
-    tells = np.var([g.mean(0) for g in groups], axis=0) / (np.mean([g.var(0) for g in groups], axis=0) + 0.05)
-    m.label = [known[int(((z - mu) ** 2 * tells).sum(1).argmin())][0] for mu in m.mu]
+    r, z = m.responsibilities(c)[0], (x - mean) / std
+    m.label = [_name(r[:, i], what, ((z - m.mu[i]) ** 2).sum(1)) for i in range(len(ex))]
     return m
 
 
+def _name(share: np.ndarray, what: np.ndarray, far: np.ndarray) -> str:
+    """The kind of the examples that fall into a component; where none does, that of the nearest."""
+    votes = {k: share[what == k].sum() for k in KINDS}
+    best = max(votes, key=votes.get)
+    return best if votes[best] > 0.05 else str(what[far.argmin()])
+
+
 def classify(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id``, the statistics, ``kind`` (prose, list, table, junk) and ``p_prose`` of every row.
+    """``id``, the statistics, ``kind`` (prose, list, table, junk) and ``prose_share`` of every row.
 
-    Texts that are null, empty or blank have neither statistics nor kind. Repeated texts get the same kind. An empty
-    table gives no rows. Other columns are not read.
+    A text is prose if at least half of its characters are. Texts that are null, empty or blank have neither statistics
+    nor kind. Repeated texts get the same kind. An empty table gives no rows. Other columns are not read.
     """
-    stats = materialize(text_statistics(df, id_col, text))
-    m = fit(stats)
-    names = stats.columns
+    blocks = materialize(text_counts(df, id_col, text))
+    m = fit(blocks)
 
     def run(batches):
         for b in batches:
-            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]], 1) if b.num_rows else np.zeros((0, len(STATS)))
-            ok = ~np.isnan(x[:, 0])
-            kind, p = np.full(len(x), None, object), np.full(len(x), np.nan)
-            if ok.any():
-                p[ok], kinds = m.prose(x[ok])
-                kind[ok] = kinds
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kind, pa.string()), pa.array(p, mask=~ok)], names=[*names, "kind", "p_prose"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema)
-    return stats.mapInArrow(run, f"{kinds}, kind string, p_prose double")
+            c, n = _blocks(b.column(1))
+            end = np.cumsum(n)
+            by = np.concatenate([np.zeros((1, len(KINDS))), np.cumsum(m.kinds(c) * c[:, :1], 0)])
+            by = by[end] - by[end - n]
+            solid, ok = by.sum(1), n > 0
+            share = by[:, 0] / np.where(ok, solid, 1)
+            kind = np.where(share >= 0.5, 0, 1 + by[:, 1:].argmax(1))
+            st = [statistics(c[e - k : e]) or (None,) * len(STATS) for e, k in zip(end, n)]
+            cols = [pa.array(v, pa.float64()) for v in (zip(*st) if st else [()] * len(STATS))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(np.array(KINDS)[kind].tolist(), pa.string(), mask=~ok), pa.array(share, mask=~ok)], names=[id_col, *STATS, "kind", "prose_share"])
+
+    return blocks.mapInArrow(run, f"`{id_col}` {blocks.schema[0].dataType.simpleString()}, " + ", ".join(f"{c} double" for c in STATS) + ", kind string, prose_share double")

@@ -59,15 +59,20 @@ def _kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents the mixture takes for no prose; an exact check of the measured share follows."""
-    return _kinds(spark, d).where("n_words is not null and p_prose < 0.5 and prose_share < 0.5").select("doc_id")
+    """Documents less than half of whose characters are in blocks the mixture takes for prose."""
+    return _kinds(spark, d).where("kind is not null and prose_share < 0.5").select("doc_id")
 
 
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _kinds(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p3_percentiles, p3_day_counts, p4_found, p4_top_mappings, p7_ids, p8_containers, p9_found, p9_statistics)}
+def p9_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The counts that the statistics of a document come from."""
+    return quality.text_totals(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_percentiles, p3_day_counts, p4_found, p4_top_mappings, p7_ids, p8_containers, p9_found, p9_statistics, p9_counts)}
 
 _WIDTH = "CASE WHEN {v} < 2048 THEN 1 ELSE CAST(1 AS BIGINT) << (length(bin({v})) - 11) END"
 _STATE = f"""once AS (SELECT DISTINCT map_id, seq_name, run_id, CAST(aligned_at AS DATE) AS "day", abs(tlen) AS t, phred_score AS q, tlen FROM mappings),
@@ -78,7 +83,21 @@ _TOP = f"""WITH s AS (SELECT tag, map_id, gt_score, regexp_extract(split_part(ma
 u AS (SELECT DISTINCT tag, map_id, {_SCORE} AS score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY score DESC, map_id) AS n
   FROM u WHERE score IS NOT NULL AND tag IS NOT NULL AND map_id IS NOT NULL)"""
 
+_HAN = r"\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}"
+_BLANK = r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_KNOWN = rf"\p{{L}}\p{{M}}\p{{N}}{_HAN}"
+_QUOTED = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words))
+_LAST = r"""[.!?\x{2026}\x{3002}\x{ff01}\x{ff1f}:;\x{ff1b}"''\x{201d})]"""
+_COUNTS = rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(t, '([{_HAN}])', ' \1 ', 'g'), '[\p{{L}}\p{{M}}{_HAN}]+')) AS w FROM t),
+ws AS (SELECT doc_id, count(*) AS n_words, CAST(sum(length(w)) AS BIGINT) AS n_letters, count(*) FILTER (WHERE lower(w) IN ({_QUOTED(quality.COMMON)}) OR w IN ({_QUOTED(quality.COMMON_HAN)})) AS n_common FROM w GROUP BY 1),
+l AS (SELECT doc_id, unnest(regexp_split_to_array(t, '\r\n|[\x{{0a}}-\x{{0d}}\x{{1c}}-\x{{1e}}\x{{85}}\x{{2028}}\x{{2029}}]')) AS l FROM t),
+ls AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE regexp_matches(l, '{_LAST}[^{_KNOWN}]*$')) AS n_punct_lines FROM l WHERE regexp_matches(l, '[^{_BLANK}]') GROUP BY 1)
+SELECT t.doc_id, length(regexp_replace(t, '[{_BLANK}]', '', 'g')) AS n_solid, coalesce(n_words, 0) AS n_words, coalesce(n_letters, 0) AS n_letters, coalesce(n_common, 0) AS n_common,
+  length(regexp_replace(t, '[{_KNOWN}{_BLANK}]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_punct_lines, 0) AS n_punct_lines FROM t LEFT JOIN ws ON ws.doc_id = t.doc_id LEFT JOIN ls ON ls.doc_id = t.doc_id"""
+
 SQL = {
+    "p9_counts": _COUNTS,
     "p3_day_counts": f"""WITH {_STATE} SELECT seq_name, run_id, CAST("day" AS VARCHAR) AS "day", metric, v - v % ({_WIDTH.format(v='v')}) AS bucket, count(*) AS cnt
 FROM long GROUP BY ALL""",
     "p3_percentiles": f"""WITH {_STATE},
