@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, list[tuple]] = {}
-_fallback: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
+_fallback: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def session(app: str = "readloom", cpus: int | str = "*", **conf) -> SparkSession:
-    """A local session with the settings the engine expects; a cluster brings its own."""
+    """A local session with the settings the engine expects; a cluster brings its own, ``spark.checkpoint.dir`` too."""
     b = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     base = {
         "spark.sql.shuffle.partitions": "8",
@@ -24,6 +26,7 @@ def session(app: str = "readloom", cpus: int | str = "*", **conf) -> SparkSessio
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        "spark.checkpoint.dir": "file://" + _local_dir(),
     }
     for k, v in (base | conf).items():
         b = b.config(k, v)
@@ -32,14 +35,47 @@ def session(app: str = "readloom", cpus: int | str = "*", **conf) -> SparkSessio
     return spark
 
 
+def _local_dir() -> str:
+    path = tempfile.mkdtemp(prefix="readloom-")
+    atexit.register(shutil.rmtree, path, True)
+    return path
+
+
+def is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder all executors share, which ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a local session gets a temporary one. On a cluster each machine would see a folder of its own,
+    and results would lack rows without a word, so that is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
-    if spark not in _fallback:
-        _fallback[spark] = "file://" + tempfile.mkdtemp(prefix="readloom-")
-    return _fallback[spark]
+    if not is_local(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _fallback:
+        _fallback[app] = "file://" + _local_dir()
+    return _fallback[app]
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let the Python workers of this application import the package: from its place, and on a cluster as an archive
+    that Spark hands to every executor."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    parts = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in parts:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, parts)])
+    app = spark.sparkContext.applicationId
+    if is_local(spark) or app in _shipped:
+        return
+    name = os.path.basename(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(_local_dir(), name), "zip", root, name))
+    _shipped.add(app)
 
 
 def shared_path(spark: SparkSession) -> str:

@@ -33,3 +33,22 @@ def test_no_nested_loops(spark, sf, name):
 def test_filters_need_no_shuffle(spark, sf):
     for name in ("filter_pipeline", "strata_after_best", "keep_unique", "sort_maps", "reduce_unique_strata"):
         assert "Exchange" not in plan(spark, sf, name)
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    """Without one every machine would write to a folder of its own; the package reaches its workers as an archive."""
+    from types import SimpleNamespace
+
+    from readloom.plans import runtime
+
+    sent = []
+    sc = SimpleNamespace(master="spark://host:7077", applicationId="app-1", environment={}, addPyFile=sent.append)
+    cluster = SimpleNamespace(sparkContext=sc, conf={})
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(cluster)
+    cluster.conf = {"spark.checkpoint.dir": "hdfs:///shared"}
+    assert runtime.shared_dir(cluster) == "hdfs:///shared"
+    runtime.ship_package(cluster)
+    runtime.ship_package(cluster)
+    assert len(sent) == 1 and sent[0].endswith("readloom.zip")
+    assert runtime.shared_dir(spark).startswith("file:///") and runtime.is_local(spark)
