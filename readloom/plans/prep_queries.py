@@ -38,7 +38,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_records(spark: SparkSession, d: str) -> DataFrame:
-    return _parsed(spark, d).where("status = 'valid'").select("line_id", "record.*")
+    """The valid lines, typed; the tags of a line joined by tabs, which they cannot hold."""
+    return _parsed(spark, d).where("status = 'valid'").select("line_id", "record.*").withColumn("tags", F.array_join("tags", "\t"))
 
 
 def p2_rejects(spark: SparkSession, d: str) -> DataFrame:
@@ -46,6 +47,17 @@ def p2_rejects(spark: SparkSession, d: str) -> DataFrame:
     return e.select("line_id", "error_no", F.col("e.at").alias("at"), F.col("e.field").alias("field"), F.col("e.reason").alias("reason"), "n_recovered")
 
 
+def p2_recovered(spark: SparkSession, d: str) -> DataFrame:
+    """The records of rejected lines that hold several, typed, each with its place in the line."""
+    r = _parsed(spark, d).where("status = 'rejected'").select("line_id", F.posexplode("recovered").alias("record_no", "r"))
+    return r.select("line_id", "record_no", F.col("r.at").alias("at"), "r.record.*")
+
+
+def p2_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The fields at fault of every rejected line."""
+    return _parsed(spark, d).where("status = 'rejected'").select("line_id", F.explode(F.array_distinct("errors.field")).alias("field"))
+
+
 def _qualities(spark: SparkSession, d: str) -> DataFrame:
     return units.common_qualities(table(spark, d, "fastq_reads").drop("loaded_at"))
 
@@ -78,7 +90,7 @@ def p6_periods(spark: SparkSession, d: str) -> DataFrame:
     return periods.periods(_covered(spark, d), TRANSCRIPT, "start_pos", "end_pos")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_key_profile, p2_found, p2_records, p2_rejects, p5_found, p5_phred33, p5_aliases, p6_found, p6_periods)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_key_profile, p2_found, p2_records, p2_rejects, p2_recovered, p2_fields, p5_found, p5_phred33, p5_aliases, p6_found, p6_periods)}
 
 _M = ["pos", "n_edits", "tlen"]
 _T = ["start_pos", "end_pos", "span"]
@@ -117,6 +129,55 @@ gtf AS (SELECT line_id, coalesce(len(c) = 9 AND {_FM}(c[4], '[0-9]+') AND {_FM}(
 v AS (SELECT * FROM sam UNION ALL SELECT * FROM map UNION ALL SELECT * FROM gtf)
 SELECT r.line_id FROM r LEFT JOIN v ON v.line_id = r.line_id LEFT JOIN q ON sq = noted WHERE NOT coalesce(ok, false) OR n IS NULL OR n < 1 OR NOT (noted IS NULL OR noted = '*' OR sq IS NOT NULL)"""
 
+_P2_PARTS, _P2_END = _P2[: _P2.rindex("SELECT r.line_id")], _P2[_P2.rindex("SELECT r.line_id") :]
+_BAD_NOTE = "SELECT line_id, 'current_line_num' AS field FROM r WHERE n IS NULL OR n < 1 UNION ALL SELECT line_id, 'map_seq_name' FROM r LEFT JOIN q ON sq = noted WHERE noted <> '*' AND sq IS NULL"
+
+
+def _bad(fields: dict[str, str]) -> str:
+    return "unnest(list_filter([" + ", ".join(f"CASE WHEN NOT coalesce({cond}, false) THEN '{f}' END" for f, cond in fields.items()) + "], lambda x: x IS NOT NULL)) AS field"
+
+
+_NUM = lambda c, hi: f"({_FM}({c}, '[0-9]+') AND TRY_CAST({c} AS HUGEINT) <= {hi})"
+_SAM_BAD = _bad({
+    "qname": "c[1] <> ''", "flag": _NUM("c[2]", 4095), "rname": f"c[3] = '*' OR (a.sl IS NOT NULL AND (NOT {_FM}(c[4], '[0-9]+') OR TRY_CAST(c[4] AS HUGEINT) <= a.sl))", "pos": f"{_FM}(c[4], '[0-9]+')", "mapq": _NUM("c[5]", 255),
+    "cigar": f"""(c[6] = '*' OR {_FM}(c[6], '([0-9]+[MIDNSHP=X])+')) AND
+      (c[6] = '*' OR c[10] = '*' OR coalesce(list_sum(list_transform(regexp_extract_all(c[6], '([0-9]+)[MIS=X]', 1), lambda x: CAST(x AS BIGINT))), 0) = length(c[10]))""",
+    "rnext": "c[7] IN ('*', '=') OR b.sq IS NOT NULL", "pnext": f"{_FM}(c[8], '[0-9]+')", "tlen": f"{_FM}(c[9], '[+-]?[0-9]+')", "seq": f"c[10] = '*' OR {_FM}(c[10], '[ACGTNacgtn]+')",
+    "qual": f"c[11] = '*' OR ({_FM}(c[11], '[!-~]+') AND (c[10] = '*' OR length(c[11]) = length(c[10])))",
+    "tag": f"len(list_filter(c[12:], lambda t: NOT {_FM}(t, '[A-Za-z][A-Za-z0-9]:(?:A:.|i:[+-]?[0-9]+|f:[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)|[ZHB]:.*)'))) = 0",
+})
+_MAP_BAD = _bad({
+    "read": f"{_FM}(c[2], '[ACGTN]+')", "quals": f"len(c) = 4 OR c[3] = '' OR ({_FM}(c[3], '[!-~]+') AND length(c[3]) = length(c[2]))",
+    "counters": f"{_FM}(c[-2], '!|[0-9]+(?:x[0-9]+)?(?:[:+][0-9]+(?:x[0-9]+)?)*') AND length(c[-2]) - length(replace(c[-2], '+', '')) <= 1", "maps": "c[-1] = '-' OR good",
+})
+_GTF_BAD = _bad({
+    "seqname": f"sl IS NOT NULL AND (NOT {_FM}(c[5], '[0-9]+') OR TRY_CAST(c[5] AS HUGEINT) < 1 OR TRY_CAST(c[5] AS HUGEINT) <= sl)",
+    "start": f"{_FM}(c[4], '[0-9]+') AND TRY_CAST(c[4] AS HUGEINT) >= 1 AND (NOT {_FM}(c[5], '[0-9]+') OR TRY_CAST(c[5] AS HUGEINT) < 1 OR TRY_CAST(c[4] AS HUGEINT) <= TRY_CAST(c[5] AS HUGEINT))",
+    "end": f"{_FM}(c[5], '[0-9]+') AND TRY_CAST(c[5] AS HUGEINT) >= 1", "score": f"c[6] = '.' OR {_FM}(c[6], '[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?')",
+    "strand": "c[7] IN ('+', '-', '.')", "frame": "c[8] IN ('0', '1', '2', '.')",
+})
+#: Attributes of a line in which some are broken are still told, so a gene_id behind a fault counts; the fault itself is one of the field.
+_P2_FIELDS = f"""{_P2_PARTS.rstrip().rstrip(',')},
+e AS (SELECT line_id, {_SAM_BAD} FROM r LEFT JOIN q a ON a.sq = c[3] LEFT JOIN q b ON b.sq = c[7] WHERE k = 'sam' AND len(c) >= 11
+  UNION ALL SELECT r.line_id, {_MAP_BAD} FROM r LEFT JOIN mb ON mb.line_id = r.line_id WHERE k = 'map' AND len(c) IN (4, 5)
+  UNION ALL SELECT line_id, {_GTF_BAD} FROM r LEFT JOIN q ON sq = c[1] WHERE k = 'gtf' AND len(c) = 9
+  UNION ALL SELECT line_id, 'attributes' FROM r WHERE k = 'gtf' AND len(c) = 9 AND NOT ({_FM}(c[9], '[A-Za-z0-9_]+ "[^"]*";(?: [A-Za-z0-9_]+ "[^"]*";)* *') AND regexp_matches(c[9], '(?:^| )gene_id "[^"]+";'))
+  UNION ALL SELECT line_id, CASE WHEN l IS NULL THEN 'line' WHEN k IN ('sam', 'map', 'gtf') THEN 'columns' ELSE 'file_kind' END FROM r
+    WHERE l IS NULL OR NOT coalesce((k = 'sam' AND len(c) >= 11) OR (k = 'map' AND len(c) IN (4, 5)) OR (k = 'gtf' AND len(c) = 9), false)
+  UNION ALL {_BAD_NOTE})
+SELECT DISTINCT line_id, field FROM e"""
+_F = "split_part(c[-1], ',', 1)"
+_P2_RECORDS = f"""{_P2_PARTS.rstrip().rstrip(',')}, bad AS ({_P2_END})
+SELECT r.line_id, CASE WHEN k = 'gtf' THEN regexp_extract(c[9], '(?:^| )gene_id "([^"]*)"', 1) ELSE c[1] END AS name, CASE WHEN k = 'sam' THEN CAST(c[2] AS INT) END AS flag,
+  CASE k WHEN 'sam' THEN c[3] WHEN 'gtf' THEN c[1] WHEN 'map' THEN CASE WHEN c[-1] <> '-' THEN split_part({_F}, ':', 1) END END AS seq_name,
+  TRY_CAST(CASE WHEN k = 'map' THEN CASE WHEN c[-1] <> '-' THEN split_part({_F}, ':', 3) END ELSE c[4] END AS BIGINT) AS pos, CASE WHEN k = 'gtf' THEN CAST(c[5] AS BIGINT) END AS end_pos,
+  CASE k WHEN 'gtf' THEN c[7] WHEN 'map' THEN CASE WHEN c[-1] <> '-' THEN split_part({_F}, ':', 2) END END AS strand, CASE WHEN k = 'sam' THEN CAST(c[5] AS INT) END AS mapq, CASE WHEN k = 'sam' THEN c[7] END AS rnext,
+  CASE WHEN k = 'sam' THEN TRY_CAST(c[8] AS BIGINT) END AS pnext, CASE WHEN k = 'sam' THEN TRY_CAST(c[9] AS BIGINT) END AS tlen, CASE WHEN k = 'sam' THEN c[6] END AS cigar, CASE k WHEN 'sam' THEN c[10] WHEN 'map' THEN c[2] END AS read_seq,
+  CASE WHEN k = 'sam' THEN c[11] WHEN k = 'map' AND len(c) = 5 THEN c[3] END AS qualities, CASE WHEN k = 'map' THEN c[-2] END AS counters, CASE WHEN k = 'map' THEN c[-1] END AS maps,
+  CASE WHEN k = 'gtf' THEN c[2] END AS source, CASE WHEN k = 'gtf' THEN c[3] END AS feature, CASE WHEN k = 'gtf' THEN c[6] END AS score, CASE WHEN k = 'gtf' THEN c[8] END AS frame,
+  CASE k WHEN 'sam' THEN array_to_string(c[12:], chr(9)) WHEN 'gtf' THEN array_to_string(list_transform(regexp_extract_all(c[9], '[A-Za-z0-9_]+ "[^"]*";'), lambda x: regexp_replace(x, '^([A-Za-z0-9_]+) "([^"]*)";$', '\\1=\\2')), chr(9)) END AS tags
+FROM r WHERE line_id NOT IN (SELECT line_id FROM bad)"""
+
 _P5 = """WITH x AS (SELECT DISTINCT read_id, read_seq AS r, qualities AS q, lower(quality_format) AS f, qual_offset AS o, lower(descr) AS d FROM fastq_reads WHERE qualities IS NOT NULL AND trim(qualities) NOT IN ('', '*')),
 y AS (SELECT *, CASE WHEN f IN ('sanger', 'phred33', 'offset-33', 'offset_33', 'fastq-sanger', 'illumina-1.8+') THEN 1 WHEN f IN ('phred+64', 'offset-64', 'offset_64', 'fastq-illumina', 'illumina-1.3', 'illumina-1.5+') THEN 2 WHEN f IN ('solexa', 'fastq-solexa', 'solexa-odds') THEN 3 END AS a,
   CASE o WHEN 33 THEN 1 WHEN 64 THEN 2 END AS b, CASE WHEN d LIKE '%odds%' THEN 3 WHEN d LIKE '%33%' OR d LIKE '%sanger%' OR d LIKE '%''!''%' THEN 1 WHEN d LIKE '%64%' OR d LIKE '%1.5%' OR d LIKE '%''@''%' THEN 2 END AS e,
@@ -143,6 +204,8 @@ SELECT DISTINCT read_id, ra AS recorded_as, CASE WHEN NOT there OR ra = 'phred33
 SQL = {
     "p5_phred33": _P5_ALL,
     "p2_found": _P2,
+    "p2_fields": _P2_FIELDS,
+    "p2_records": _P2_RECORDS,
     "p5_found": _P5,
     "p1_key_profile": f"""SELECT key_value, n_rows, {', '.join(f'{x}_{s}' for x in _M + _T for s in ('count', 'sum', 'min', 'max'))}, field_name FROM (
   SELECT seq_name AS key_value, count(*) AS n_rows, 'seq_name' AS field_name, {_stats(_M, _T)} FROM mappings GROUP BY seq_name
