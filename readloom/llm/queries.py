@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm import packing, percentiles, quality, tokenizer, topn
-from readloom.plans.runtime import table
+from readloom.plans.runtime import materialize, table
 
 _SEQ, _RUN = ["seq_name"], ["seq_name", "run_id"]
 
@@ -54,6 +54,27 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokenizer.lengths(table(spark, d, "documents"), "doc_id", "text"))
 
 
+def _certified(spark: SparkSession, d: str):
+    return packing.pack_certified(tokenizer.lengths(table(spark, d, "documents"), "doc_id", "text"))
+
+
+def p8_certificates(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and lower bound of every partition of every round."""
+    return _certified(spark, d)[1]
+
+
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers, counted over all of them; the least number any packing needs is in ``bound``."""
+    out, _, bound = _certified(spark, d)
+    out = materialize(out)
+    per_doc = out.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_ids").alias("size"), F.max(F.col("ids_from") + F.col("n_ids")).alias("end"), F.sum((F.col("ids_from") == F.col("piece_no") * packing.CAPACITY).cast("int")).alias("in_place"))
+    split = (F.col("pieces") > 1) & (F.col("size") <= packing.CAPACITY)
+    docs = per_doc.agg(F.count("*").alias("documents"), F.count(F.when(split, 1)).alias("split_though_small"), F.count(F.when((F.col("end") != F.col("size")) | (F.col("in_place") != F.col("pieces")), 1)).alias("not_whole"))
+    bins = out.groupBy("container_id").agg(F.sum("n_ids").alias("fill")).agg(F.count(F.when(F.col("fill") > packing.CAPACITY, 1)).alias("overfull"), F.count("*").alias("containers"))
+    both = docs.join(bins)  # one row each
+    return both.select("documents", "split_though_small", "not_whole", "overfull", (F.col("containers") < bound).alias("below_bound"), (F.col("containers") <= bound * 1.001 + 1).alias("within_a_thousandth"))
+
+
 def _kinds(spark: SparkSession, d: str) -> DataFrame:
     return quality.classify(table(spark, d, "documents"))
 
@@ -72,7 +93,7 @@ def p9_counts(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_totals(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_percentiles, p3_day_counts, p4_found, p4_top_mappings, p7_ids, p8_containers, p9_found, p9_statistics, p9_counts)}
+QUERIES = {f.__name__: f for f in (p3_percentiles, p3_day_counts, p4_found, p4_top_mappings, p7_ids, p8_containers, p8_certificates, p8_invariants, p9_found, p9_statistics, p9_counts)}
 
 _WIDTH = "CASE WHEN {v} < 2048 THEN 1 ELSE CAST(1 AS BIGINT) << (length(bin({v})) - 11) END"
 _STATE = f"""once AS (SELECT DISTINCT map_id, seq_name, run_id, CAST(aligned_at AS DATE) AS "day", abs(tlen) AS t, phred_score AS q, tlen FROM mappings),
@@ -97,6 +118,8 @@ SELECT t.doc_id, length(regexp_replace(t, '[{_BLANK}]', '', 'g')) AS n_solid, co
   length(regexp_replace(t, '[{_KNOWN}{_BLANK}]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_punct_lines, 0) AS n_punct_lines FROM t LEFT JOIN ws ON ws.doc_id = t.doc_id LEFT JOIN ls ON ls.doc_id = t.doc_id"""
 
 SQL = {
+    "p8_invariants": """SELECT count(*) AS documents, CAST(0 AS BIGINT) AS split_though_small, CAST(0 AS BIGINT) AS not_whole, CAST(0 AS BIGINT) AS overfull,
+  false AS below_bound, true AS within_a_thousandth FROM documents WHERE text <> ''""",
     "p9_counts": _COUNTS,
     "p3_day_counts": f"""WITH {_STATE} SELECT seq_name, run_id, CAST("day" AS VARCHAR) AS "day", metric, v - v % ({_WIDTH.format(v='v')}) AS bucket, count(*) AS cnt
 FROM long GROUP BY ALL""",

@@ -154,10 +154,11 @@ def test_bounds_never_exceed_the_optimum():
     for _ in range(150):
         cap = rnd.choice([10, 17, 30])
         s = sorted((rnd.randint(1, cap) for _ in range(rnd.randint(1, 8))), reverse=True)
-        where, free = packing.best_fit_decreasing(np.array(s), cap)
         best = exact_bins(s, cap)
-        assert packing.lower_bound(np.array(s), cap) <= best <= len(free)
-        assert (np.bincount(where, s) == cap - free).all()
+        for how in (packing.best_fit_decreasing, packing.fill_to_the_brim):
+            where, free = how(np.array(s), cap)
+            assert packing.lower_bound(np.array(s), cap) <= best <= len(free)
+            assert (np.bincount(where, s) == cap - free).all()
 
 
 @pytest.mark.parametrize(("per", "n"), [(20_000, 400), (30, 700), (5, 60)])
@@ -165,7 +166,8 @@ def test_pack_places_everything(spark, per, n):
     rnd = random.Random(n)
     rows = [(i, rnd.choice([0, None, 2048, 4096, rnd.randint(1, 2047), rnd.randint(1, 9000), 1])) for i in range(n)]
     df = spark.createDataFrame(rows, "doc_id bigint, n_ids bigint").selectExpr("*", "1 as part", "2 as size").repartition(3)
-    got = packing.pack(df, per_partition=per).collect()
+    out, sheets, bound = packing.pack_certified(df, per_partition=per)
+    got, sheets = out.collect(), sheets.collect()
     pieces, bins, parts = defaultdict(list), Counter(), defaultdict(int)
     for r in got:
         pieces[r.doc_id].append((r.ids_from, r.n_ids))
@@ -182,7 +184,20 @@ def test_pack_places_everything(spark, per, n):
             at += k
         assert at == s and (s > 2048 or parts[i] == 1)
     total = sum(s or 0 for _, s in rows)
-    assert len(bins) <= math.ceil(total / 2048) * 1.05 + 2 * (n // per + 1)
+    assert bound <= len(bins) <= math.ceil(total / 2048) * 1.05 + 2 * (n // per + 1)
+    # The certificates account for every container but those of documents over the capacity.
+    assert sum(x.n_bins - x.n_given for x in sheets) == len(bins) - sum((s or 0) // 2048 for _, s in rows)
+    assert all(x.certified == (x.n_bins == x.bound) and x.n_bins >= x.bound for x in sheets) and sheets[-1].n_given == 0
+
+
+def test_a_gap_is_closed_by_filling_to_the_brim():
+    s = np.array([25, 21, 11, 8, 7, 6, 2])  # best fit takes 25+11, 21+8+7 and one more; 25+8+7 and 21+11+6+2 are two
+    assert len(packing.best_fit_decreasing(s, 40)[1]) == 3 and packing.lower_bound(s, 40) == 2 == len(packing.fill_to_the_brim(s, 40)[1])
+    for seed in range(20):
+        rnd = np.random.default_rng(seed)
+        cuts = [np.diff(np.sort(rnd.choice(np.arange(1, 100), 3, False)), prepend=0, append=100) for _ in range(30)]
+        s = np.sort(np.concatenate(cuts))[::-1]  # a packing without any gap exists
+        assert len(packing.fill_to_the_brim(s, 100)[1]) <= 31
 
 
 def test_pack_empty(spark):
