@@ -1,14 +1,15 @@
 """Base qualities recorded on different scales, converted to Phred with offset 33.
 
-Spellings of a scale are mapped once per distinct spelling: an inverted index from character trigrams to known names
-gives candidates, a weighted edit distance verifies them, and the resulting alias dictionary is joined to all rows.
-The conversion itself is a ``translate`` on the JVM side.
+Spellings of a scale are mapped once per distinct spelling: its phrases are looked up in an inverted index from character
+trigrams to the published names of the scales, a weighted edit distance verifies the candidates, and the resulting alias
+dictionary is joined to all rows. There is no list of spellings. The conversion itself is a ``translate`` on the JVM side.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,98 +17,113 @@ from pyspark.sql import functions as F
 
 from readloom.plans.runtime import materialize, rows_at_most
 
-# Usual names of FASTQ variants and the scale each one means.
+# Published names of FASTQ variants and the scale each one means.
 P33, P64, SOLEXA, NUMBERS, ERRORS = "phred33", "phred64", "solexa64", "numbers", "errors"
 NAMES = {
-    P33: [
-        "sanger", "fastq sanger", "fastq", "phred 33", "phred+33", "offset 33", "illumina 1.8+", "illumina 1.8", "illumina 1.9",
-        "sanger scaled", "base quals sanger scaled", "scores start at !", "qv base 33", "base 33", "quality phred 33",
-        "re-coded to offset 33 by the core", "offset 33 scores",
-    ],
-    P64: [
-        "phred 64", "phred+64", "offset 64", "illumina 1.3", "illumina 1.3+", "illumina 1.5", "illumina 1.5+", "illumina 1.6", "illumina 1.7",
-        "fastq illumina", "illumina", "illumina 1.5 style qualities", "scores start at @", "qv base 64", "base 64", "quality phred 64",
-        "old pipeline offset 64 scores", "offset 64 scores",
-    ],
-    SOLEXA: [
-        "solexa", "fastq solexa", "solexa 64", "solexa odds", "solexa log-odds qualities", "scores are odds (solexa)", "illumina 1.0", "solexa scaled",
-        "log odds", "illumina 1.2",
-    ],
-    NUMBERS: ["phred decimal", "qual", "decimal", "quality as numbers", "phred numbers", "numeric"],
-    ERRORS: ["error prob", "error probability", "p error", "per-base error given", "probability"],
-}
+    P33: ["sanger", "phred 33", "offset 33", "ascii 33", "base 33", "start at !", "illumina 1.8", "illumina 1.9"],
+    P64: ["phred 64", "offset 64", "ascii 64", "base 64", "start at @", "illumina", "illumina 1.3", "illumina 1.4", "illumina 1.5", "illumina 1.6", "illumina 1.7"],
+    SOLEXA: ["solexa", "log odds", "illumina 1.0"],
+    NUMBERS: ["qual", "decimal", "numbers", "numeric"],
+    ERRORS: ["error probability", "error prob", "p error", "base error"],
+}
 #: Lowest and highest character possible under a scale: Phred 0..45, Solexa -5..45.
 CHARS = {P33: (33, 78), P64: (64, 109), SOLEXA: (59, 109)}
-#: Weighted distance over the longer length that still counts as the same spelling.
+#: Weighted distance over the greater weight that still counts as the same name.
 MAX_DISTANCE = 0.18
-#: Known spellings up to this many are broadcast.
+#: Words of a phrase, at most.
+MAX_WORDS = 4
+#: Known spellings up to this many are broadcast; beyond it rows meet them in a join, hot spellings spread over SALTS.
 MAX_SENT = 100_000
+SALTS = 16
 _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 _LIST = rf"^\s*{_NUMBER}(?:\s*[,;:|\s]\s*{_NUMBER})+\s*$"
 
 
-def normal(s: str) -> str:
-    """Lower case; separators as one blank; ``+`` before digits dropped. ``!`` and ``@`` stay, they name a scale."""
-    s = re.sub(r"[\s_\-:,;()/'\"]+", " ", s.lower()).strip()
-    return re.sub(r"\s+", " ", re.sub(r"\+(?=\d)", " ", s)).strip()
-
-
 def grams(s: str) -> set[str]:
-    t = f"  {s} "
+    t = f"  {re.sub(_SIGNS, ' ', s)} "
     return {t[i : i + 3] for i in range(len(t) - 2)}
 
 
+_SIGNS = r"[^a-z0-9!@]+"
+_WORDS = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)?|[!@]")
+
+
+def _weight(c: str) -> float:
+    return 4.0 if c.isdigit() or c in "!@" else 0.25 if not c.isalnum() else 1.0
+
+
+def weight(s: str) -> float:
+    return sum(map(_weight, s))
+
+
 def weighted_distance(a: str, b: str) -> float:
     """Edit distance in which digits and the marks ``!`` and ``@`` weigh 4, letters 1, blanks and signs a quarter."""
-    w = lambda c: 4.0 if c.isdigit() or c in "!@" else 0.25 if not c.isalnum() else 1.0
     prev = [0.0]
     for c in b:
-        prev.append(prev[-1] + w(c))
+        prev.append(prev[-1] + _weight(c))
     for x in a:
-        cur = [prev[0] + w(x)]
+        cur = [prev[0] + _weight(x)]
         for j, y in enumerate(b, 1):
-            sub = 0.0 if x == y else max(w(x), w(y))
-            cur.append(min(prev[j] + w(x), cur[j - 1] + w(y), prev[j - 1] + sub))
+            sub = 0.0 if x == y else max(_weight(x), _weight(y))
+            cur.append(min(prev[j] + _weight(x), cur[j - 1] + _weight(y), prev[j - 1] + sub))
         prev = cur
     return prev[-1]
 
 
 class AliasIndex:
-    """Trigram index over the known names; ``find`` verifies its candidates by the weighted distance."""
+    """Trigram index over the published names; ``find`` verifies its candidates by the weighted distance."""
 
     def __init__(self, names: dict[str, list[str]] = NAMES):
-        self.names = [(normal(n), scale) for scale, many in names.items() for n in many]
-        self.exact = dict(self.names)
+        self.names = [(n, scale, weight(n), grams(n)) for scale, many in names.items() for n in many]
         self.index: dict[str, list[int]] = {}
-        for i, (n, _) in enumerate(self.names):
-            for g in grams(n):
-                self.index.setdefault(g, []).append(i)
+        for i, (*_, g) in enumerate(self.names):
+            for x in g:
+                self.index.setdefault(x, []).append(i)
 
     def find(self, text: str | None) -> str | None:
-        """The scale that ``text`` names, or None. A text of several clauses names what its first known clause does."""
-        if not text or not (t := normal(text)):
+        """The scale that ``text`` names, or None.
+
+        Every phrase of up to MAX_WORDS words is looked up. The heaviest name found decides, less its distance, so that a
+        name with its version goes before the bare one. Solexa scores have offset 64, so a text that names both means
+        Solexa. A text that names two other scales alike names none.
+        """
+        if not text:
             return None
-        if hit := self._whole(t):
-            return hit
-        return next((hit for c in re.split(r"[,;.:](?=\s|$)|\s-\s", text) if (n := normal(c)) and n != t and (hit := self._whole(n))), None)
-
-    def _whole(self, t: str) -> str | None:
-        if t in self.exact:
-            return self.exact[t]
-        seen: dict[int, int] = {}
-        g = grams(t)
+        low = text.lower()
+        words = list(_WORDS.finditer(low))
+        best: dict[str, float] = {}
+        seen: set[str] = set()
+        for i, m in enumerate(words):
+            for n in words[i : i + MAX_WORDS]:
+                phrase = low[m.start() : n.end()]
+                if phrase not in seen:
+                    seen.add(phrase)
+                    for d, w, scale in self.candidates(phrase):
+                        best[scale] = max(best.get(scale, 0.0), w - 2 * d)
+        if SOLEXA in best:
+            best.pop(P64, None)
+        top = max(best.values(), default=0.0)
+        found = [s for s, v in best.items() if v == top]
+        return found[0] if len(found) == 1 else None
+
+    def candidates(self, phrase: str) -> list[tuple[float, float, str]]:
+        """Distance, weight and scale of the names that ``phrase`` spells."""
+        g = grams(phrase)
+        shared: dict[int, int] = {}
         for x in g:
             for i in self.index.get(x, ()):
-                seen[i] = seen.get(i, 0) + 1
-        best = None
-        for i, k in seen.items():
-            n, scale = self.names[i]
-            if 2 * k / (len(g) + len(grams(n))) < 0.5:
-                continue
-            d = weighted_distance(t, n) / max(len(t), len(n))
-            if d <= MAX_DISTANCE and (best is None or (d, n) < best[:2]):
-                best = (d, n, scale)
-        return best[2] if best else None
+                shared[i] = shared.get(i, 0) + 1
+        out = []
+        for i, k in shared.items():
+            n, scale, w, own = self.names[i]
+            if 2 * k >= 0.4 * (len(g) + len(own)) and (d := weighted_distance(phrase, n)) <= MAX_DISTANCE * max(w, weight(phrase)):
+                out.append((d, w, scale))
+        return out
+
+
+@cache
+def published() -> AliasIndex:
+    return AliasIndex()
 
 
 def alias_dictionary(df: DataFrame, *cols: str) -> DataFrame:
@@ -120,8 +136,7 @@ def alias_dictionary(df: DataFrame, *cols: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def scale_of(s: pd.Series) -> pd.Series:
-        index = AliasIndex()
-        return s.map(index.find).astype(object).where(lambda x: x.notna(), None)
+        return s.map(published().find).astype(object).where(lambda x: x.notna(), None)
 
     return spelled.select("spelling", scale_of("spelling").alias("scale"))
 
@@ -154,11 +169,16 @@ def common_qualities(df: DataFrame, quals: str = "qualities", read: str = "read_
     names = materialize(alias_dictionary(df, fmt, descr)).where("scale is not null")  # filtered once written: each spelling is looked up once
     keep = [c for c in df.columns if c not in ("recorded_as", "phred33")]
     base = df.select(*(F.col(f"`{c}`") for c in keep))
-    # One row per known spelling: sent to the rows if there are few, joined like any table if not.
-    send = F.broadcast if rows_at_most(names, MAX_SENT) else lambda x: x
-    d1 = send(names.select(F.col("spelling").alias("_s1"), F.col("scale").alias("_by_format")))
-    d2 = send(names.select(F.col("spelling").alias("_s2"), F.col("scale").alias("_by_descr")))
-    x = base.join(d1, F.col(f"`{fmt}`") == F.col("_s1"), "left").join(d2, F.col(f"`{descr}`") == F.col("_s2"), "left")
+    x = base
+    few = rows_at_most(names, MAX_SENT)
+    for c, out in ((fmt, "_by_format"), (descr, "_by_descr")):
+        d = names.select(F.col("spelling").alias("_s"), F.col("scale").alias(out))
+        if few:
+            x = x.join(F.broadcast(d), F.col(f"`{c}`") == F.col("_s"), "left").drop("_s")
+        else:  # a few spellings hold most rows, so each is met in several places
+            d = d.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            salted = x.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+            x = salted.join(d, (F.col(f"`{c}`") == F.col("_s")) & (F.col("_salt") == F.col("_t")), "left").drop("_s", "_t", "_salt")
     there = q.isNotNull() & ~F.trim(q).isin("", "*")
     is_list = there & q.rlike(_LIST) & (q.rlike(r"\s") | (F.length(q) != F.coalesce(F.length(r), F.lit(-1))))
     by_offset = F.when(F.col(f"`{offset}`") == 33, P33).when(F.col(f"`{offset}`") == 64, P64)

@@ -203,6 +203,9 @@ SELECT DISTINCT read_id, ra AS recorded_as, CASE WHEN NOT there OR ra = 'phred33
 
 SQL = {
     "p5_phred33": _P5_ALL,
+    "p5_aliases": """WITH s AS (SELECT quality_format AS s FROM fastq_reads UNION SELECT descr FROM fastq_reads), l AS (SELECT s, lower(s) AS l FROM s WHERE s IS NOT NULL)
+SELECT s AS spelling, CASE WHEN l LIKE '%solexa%' OR l LIKE '%odds%' THEN 'solexa64' WHEN l LIKE '%33%' OR l LIKE '%sanger%' OR l LIKE '%1.8%' OR l LIKE '%''!''%' THEN 'phred33'
+  WHEN l LIKE '%64%' OR l LIKE '%illumina%' OR l LIKE '%''@''%' THEN 'phred64' WHEN l = 'qual' OR l LIKE '%decimal%' OR l LIKE '%numbers%' THEN 'numbers' WHEN l LIKE '%error%' THEN 'errors' END AS scale FROM l""",
     "p2_found": _P2,
     "p2_fields": _P2_FIELDS,
     "p2_records": _P2_RECORDS,

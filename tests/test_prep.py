@@ -198,11 +198,38 @@ def test_parse_lines_dictionary_equals_join(spark, monkeypatch):
 
 def test_spellings():
     ix = units.AliasIndex()
-    for s, want in [("OFFSET_33", "phred33"), ("Phred+64", "phred64"), ("phread33", "phred33"), ("ilumina-1.8", "phred33"), ("solexa-odds", "solexa64"), ("unknown", None), ("", None), (None, None), ("qv base 64; not re-coded", "phred64"), ("phred 65", None), ("p-error", "errors"), ("lane ok", None)]:
+    for s, want in [
+        ("OFFSET_33", "phred33"), ("Phred+64", "phred64"), ("phread33", "phred33"), ("ilumina-1.8", "phred33"), ("solexa-odds", "solexa64"), ("unknown", None), ("", None), (None, None), ("qv base 64; not re-coded", "phred64"), ("phred 65", None),
+        ("p-error", "errors"), ("lane ok", None), ("Illumina", "phred64"), ("illumina 1.8+ (casava)", "phred33"), ("written by ilumina 1.5 software", "phred64"), ("scores are odds (solexa), base 64", "solexa64"), ("offset 33 or offset 64", None), ("illumina 1.2", None), ("x " * 5000 + "sangr", "phred33"),
+    ]:
         assert ix.find(s) == want, s
 
 
-def test_common_qualities(spark):
+def test_misspelt_names_are_found():
+    """One wrong, lost, added or swapped letter, other separators, other case and words around: at least 9 of 10 are
+    found, and none is taken for another scale."""
+    rnd = random.Random(4)
+    ix, n, hit = units.AliasIndex(), 0, 0
+    for scale, many in units.NAMES.items():
+        for name in many:
+            for _ in range(40):
+                at = [i for i, c in enumerate(name) if c.isalpha()]
+                s = list(name)
+                if len(at) > 5:
+                    i = rnd.choice(at[1:-1])
+                    how = rnd.randrange(4)
+                    s[i] = [rnd.choice("aeiourst"), "", s[i] * 2, s[i + 1] + s[i] if s[i + 1].isalpha() else s[i]][how]
+                    if how == 3 and s[i] != name[i]:
+                        s[i + 1] = ""
+                t = "".join(s).replace(" ", rnd.choice([" ", "-", "_", "", ": "]) if name[-1] not in "!@" else " ")
+                t = rnd.choice(["{}", "{} of run 7", "quality: {}", "{}, trimmed"]).format(rnd.choice([t, t.upper(), t.title()]))
+                got = ix.find(t)
+                assert got in (scale, None), (t, got)
+                n, hit = n + 1, hit + (got == scale)
+    assert hit >= 0.9 * n, hit / n
+
+
+def test_common_qualities(spark, monkeypatch):
     rows = [
         (1, "ACGT", "IIII", "Sanger", 64, None, "phred33", "IIII"), (2, "ACGT", "hhhh", None, 64, None, "phred64", "IIII"), (3, "ACGT", "hhhh", "Sanger", None, None, "phred64", "IIII"), (4, "ACGT", ";;hh", "solexa", None, None, "solexa64", '""II'),
         (5, "ACGT", "40 40,40;2", "Sanger", 33, None, "numbers", "III#"), (6, "ACGT", "0.0001 1e-4 0.1 1.0", None, None, None, "errors", "II+!"), (7, "ACGT", None, "Sanger", 33, None, None, None), (8, "ACGT", "*", None, None, None, None, "*"), (9, "ACGT", "", None, None, None, None, ""),
@@ -214,6 +241,8 @@ def test_common_qualities(spark):
     key = lambda t: (t[0], str(t))
     assert sorted(got, key=key) == sorted([(r[0], r[6], r[7]) for r in rows], key=key)
     assert units.common_qualities(df.limit(0)).count() == 0
+    monkeypatch.setattr(units, "MAX_SENT", 1)
+    assert sorted(((r.read_id, r.recorded_as, r.phred33) for r in units.common_qualities(df).collect()), key=key) == sorted(got, key=key)
 
 
 def test_solexa_scale():
