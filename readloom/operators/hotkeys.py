@@ -3,7 +3,7 @@
 Keys never decide where a row is processed. Each input split dictionary-encodes its own keys and adds every row
 into dense arrays (``numpy.bincount`` and scatter-reduce), so that the work of a task depends on the size of its
 split alone. The arrays then leave the split cut into key blocks, and a distributed reduction adds the arrays of a
-block: first within groups of splits, then over the groups. A key that holds a third of all rows costs one array
+block as a tree: no task adds up more than a fixed number of them, however many splits there are. A key that holds a third of all rows costs one array
 slot per split, like any other key.
 """
 
@@ -73,15 +73,6 @@ class _Dense:
             self.mins[i, slot] = np.minimum(self.mins[i, slot], lo)
             self.maxs[i, slot] = np.maximum(self.maxs[i, slot], hi)
 
-    def add_arrays(self, keys, rows, counts, sums, mins, maxs) -> None:
-        slot = self.codes(keys)
-        self.rows[slot] += rows
-        for i in range(self.m):
-            self.counts[i, slot] += counts[i]
-            self.sums[i, slot] += sums[i]
-            self.mins[i, slot] = np.minimum(self.mins[i, slot], mins[i])
-            self.maxs[i, slot] = np.maximum(self.maxs[i, slot], maxs[i])
-
     def blocks(self, part: int, n_blocks: int):
         keys = list(self.slots)
         where = np.fromiter(((zlib.crc32(k.encode()) if k is not None else 0) % n_blocks for k in keys), np.int64, len(keys))
@@ -94,8 +85,20 @@ class _Dense:
             }
 
     def merge(self, table: pa.Table) -> None:
-        for r in table.to_pylist():
-            self.add_arrays(r["keys"], *(np.array(r[c], np.int64) for c in ("rows", "counts", "sums", "mins", "maxs")))
+        for t in table.to_batches():
+            col = {n: t.column(n) for n in t.schema.names}
+            enc = col["keys"].flatten().dictionary_encode(null_encoding="encode")
+            slot = self.codes(enc.dictionary.to_pylist())[enc.indices.to_numpy()]
+            np.add.at(self.rows, slot, col["rows"].flatten().to_numpy())
+            n = col["keys"].value_lengths().to_numpy()
+            size, first = np.repeat(n, n), np.repeat(np.cumsum(n) - n, n)
+            for i in range(self.m):  # a row holds one list of its keys' numbers per measure
+                at = self.m * first + i * size + np.arange(len(size)) - first
+                many = lambda c: col[c].flatten().flatten().to_numpy()[at]  # noqa: E731, B023
+                np.add.at(self.counts[i], slot, many("counts"))
+                np.add.at(self.sums[i], slot, many("sums"))
+                np.minimum.at(self.mins[i], slot, many("mins"))
+                np.maximum.at(self.maxs[i], slot, many("maxs"))
 
 
 def key_profile(df: DataFrame, key: str, measures: list[str], n_blocks: int | None = None, fan_in: int = 64) -> DataFrame:
@@ -130,9 +133,8 @@ def key_profile(df: DataFrame, key: str, measures: list[str], n_blocks: int | No
     def reduce_group(t: pa.Table) -> pa.Table:
         acc = _Dense(m)
         acc.merge(t)
-        block = t.column("block")[0].as_py()
-        row = next(acc.blocks(0, 1))
-        return pa.Table.from_pylist([row | {"block": block}], schema)
+        row = next(acc.blocks(t.column("part")[0].as_py() // fan_in, 1))
+        return pa.Table.from_pylist([row | {"block": t.column("block")[0].as_py()}], schema)
 
     flat = [("key_value", pa.string()), ("n_rows", pa.int64())]
     for x in measures:
@@ -148,8 +150,11 @@ def key_profile(df: DataFrame, key: str, measures: list[str], n_blocks: int | No
             out += [pa.array(acc.counts[i, :n])] + [pa.array(x[i, :n], mask=none) for x in (acc.sums, acc.mins, acc.maxs)]
         return pa.Table.from_arrays(out, schema=pa.schema(flat))
 
-    partial = df.select(*cols).mapInArrow(split, _PARTIAL)
-    partial = partial.groupBy("block", F.expr(f"part div {fan_in}")).applyInArrow(reduce_group, _PARTIAL)
+    rows = df.select(*cols)
+    partial, parts = rows.mapInArrow(split, _PARTIAL), rows.rdd.getNumPartitions()
+    while parts > fan_in:
+        partial = partial.groupBy("block", F.expr(f"part div {fan_in}")).applyInArrow(reduce_group, _PARTIAL)
+        parts = -(-parts // fan_in)
     return partial.groupBy("block").applyInArrow(final, ", ".join(f"`{n}` {'string' if t == pa.string() else 'bigint'}" for n, t in flat))
 
 

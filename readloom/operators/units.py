@@ -22,7 +22,7 @@ P33, P64, SOLEXA, NUMBERS, ERRORS = "phred33", "phred64", "solexa64", "numbers",
 NAMES = {
     P33: ["sanger", "phred 33", "offset 33", "ascii 33", "base 33", "start at !", "illumina 1.8", "illumina 1.9"],
     P64: ["phred 64", "offset 64", "ascii 64", "base 64", "start at @", "illumina", "illumina 1.3", "illumina 1.4", "illumina 1.5", "illumina 1.6", "illumina 1.7"],
-    SOLEXA: ["solexa", "log odds", "illumina 1.0"],
+    SOLEXA: ["solexa", "log odds", "illumina 1.0", "illumina 1.1", "illumina 1.2"],
     NUMBERS: ["qual", "decimal", "numbers", "numeric"],
     ERRORS: ["error probability", "error prob", "p error", "base error"],
 }

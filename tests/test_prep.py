@@ -29,6 +29,16 @@ def test_profile_equals_brute_force(spark):
         assert tuple(got[k])[1:] == (len(vs), len(x), sum(x), min(x), max(x))
 
 
+def test_reduction_is_a_tree(spark):
+    """However many splits there are, no task adds up more than ``fan_in`` of them."""
+    df = spark.range(0, 4000, 1, 40).selectExpr("string(id % 7) as k", "id as v")
+    got = {r["key_value"]: r for r in hotkeys.key_profile(df, "k", ["v"], fan_in=3).collect()}
+    assert {k: (r.n_rows, r.v_sum, r.v_min, r.v_max) for k, r in got.items()} == {str(k): (len(x := range(k, 4000, 7)), sum(x), k, x[-1]) for k in range(7)}
+    plan = hotkeys.key_profile(df, "k", ["v"], fan_in=3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 4  # 40 splits, 14, 5, 2, then one
+    assert hotkeys.key_profile(df, "k", [], fan_in=64)._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInArrow") == 1
+
+
 def test_profile_of_null_measures_and_empty_table(spark):
     got = profile(spark, [("a", None), ("a", None)], "k string, v bigint")
     assert tuple(got["a"]) == ("a", 2, 0, None, None, None)
@@ -200,7 +210,7 @@ def test_spellings():
     ix = units.AliasIndex()
     for s, want in [
         ("OFFSET_33", "phred33"), ("Phred+64", "phred64"), ("phread33", "phred33"), ("ilumina-1.8", "phred33"), ("solexa-odds", "solexa64"), ("unknown", None), ("", None), (None, None), ("qv base 64; not re-coded", "phred64"), ("phred 65", None),
-        ("p-error", "errors"), ("lane ok", None), ("Illumina", "phred64"), ("illumina 1.8+ (casava)", "phred33"), ("written by ilumina 1.5 software", "phred64"), ("scores are odds (solexa), base 64", "solexa64"), ("offset 33 or offset 64", None), ("illumina 1.2", None), ("x " * 5000 + "sangr", "phred33"),
+        ("p-error", "errors"), ("lane ok", None), ("Illumina", "phred64"), ("illumina 1.8+ (casava)", "phred33"), ("written by ilumina 1.5 software", "phred64"), ("scores are odds (solexa), base 64", "solexa64"), ("offset 33 or offset 64", None), ("illumina 1.2", "solexa64"), ("x " * 5000 + "sangr", "phred33"),
     ]:
         assert ix.find(s) == want, s
 
