@@ -19,11 +19,11 @@ def _counts(spark: SparkSession, d: str, *more: str) -> DataFrame:
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles over all days, for each seq_name and each seq_name with run_id.
+    """Percentiles over all days, for each seq_name and each seq_name with run_id, from the states of the days.
 
-    The state is counted without the day; adding up the states of the days (``p3_day_counts``) gives the same.
+    The state is written per day; what comes out is the sum of the days, as it would be of any span of them.
     """
-    state = _counts(spark, d)
+    state = percentiles.merge_counts(materialize(_counts(spark, d, "day")).drop("day"))
     cube = F.explode(F.array(F.lit("seq_name"), F.lit("seq_name,run_id"))).alias("grouped_by")
     x = state.select("*", cube).withColumn("run_id", F.when(F.col("grouped_by") != "seq_name", F.col("run_id")))
     return percentiles.percentiles(x, ["grouped_by", *_RUN, "metric"])
