@@ -24,6 +24,13 @@ def from_mappings(blocks: DataFrame, keys: list[str]) -> DataFrame:
     return x.groupBy("seq_name", "left", F.col("b_start").alias("right")).agg(F.count("*").alias("support"))
 
 
+def transcript_junctions(features: DataFrame) -> DataFrame:
+    """``seq_name, left, right, support`` of the junctions between consecutive exons; support counts transcripts."""
+    w = Window.partitionBy("transcript_id").orderBy("start_pos", "end_pos", "ann_id")
+    x = features.where("feature_type = 'exon' and transcript_id is not null and start_pos <= end_pos").select("seq_name", F.lag("end_pos").over(w).alias("left"), F.lag("seq_name").over(w).alias("s"), F.col("start_pos").alias("right"))
+    return x.where("s = seq_name").groupBy("seq_name", "left", "right").agg(F.count("*").alias("support"))
+
+
 def supported(found: DataFrame, annotated: DataFrame, coverage: int) -> DataFrame:
     """Junctions with enough support, or with one side at an annotated site."""
     sites = annotated.select(F.col("seq1").alias("q"), F.col("pos1").alias("p")).unionByName(annotated.select(F.col("seq2").alias("q"), F.col("pos2").alias("p"))).distinct()

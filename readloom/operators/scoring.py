@@ -69,8 +69,10 @@ def mapping_quality(df: DataFrame, template: list[str], location: list[str], sco
     one = df.groupBy(*template, *location).agg(F.min(score).alias("s"))
     low = one.groupBy(*template).agg(F.min("s").alias("lo"))
     p = one.join(low, template).withColumn("e", F.pow(F.lit(10.0), -(F.col("s") - F.col("lo")) / 10))
-    z = p.groupBy(*template).agg(F.sum("e").alias("z"))
-    rest = 1 - F.col("e") / F.col("z")
+    # What the best location leaves is summed by itself: beside it a small rest would drown in rounding.
+    best = F.col("s") == F.col("lo")
+    z = p.groupBy(*template).agg(F.count(F.when(best, 1)).alias("k"), F.coalesce(F.sum(F.when(~best, F.col("e"))), F.lit(0.0)).alias("t"))
+    rest = F.when(best, (F.col("k") - 1 + F.col("t")) / (F.col("k") + F.col("t"))).otherwise(1 - F.col("e") / (F.col("k") + F.col("t")))
     phred = F.when(rest < 1e-255, 254).otherwise(F.least(F.floor(0.5 - 10 * F.log10(rest)), F.lit(254))).cast("int")
     return p.join(z, template).select(*template, *location, phred.alias("phred"))
 

@@ -167,7 +167,7 @@ def _reference(spark, d):
     return x.select(F.col("read_id").cast("string").alias("name"), F.col("read_seq").alias("sequence"))
 
 
-@query("WITH rd AS (SELECT DISTINCT read_id, read_seq FROM fastq_reads WHERE length(read_seq) >= 40) SELECT CAST(read_id AS VARCHAR) AS seq_name, CASE WHEN read_id % 2 = 0 THEN substr(read_seq, 11, 25) ELSE reverse(translate(substr(read_seq, 11, 25), 'ACGTN', 'TGCAN')) END AS sequence FROM rd")
+@query("WITH rd AS (SELECT DISTINCT read_id, read_seq FROM fastq_reads) SELECT CAST(read_id AS VARCHAR) AS seq_name, CASE WHEN read_id % 2 = 0 THEN substr(read_seq, 11, 25) ELSE reverse(translate(substr(read_seq, 11, 25), 'ACGTN', 'TGCAN')) END AS sequence FROM rd")
 def reference_chunks(spark, d):
     """Stretches of a chunked reference with strand, over chunk borders."""
     ref = _reference(spark, d)
@@ -175,29 +175,32 @@ def reference_chunks(spark, d):
     return fastx.sequence_at(want, fastx.reference_chunks(ref, 16), "seq_name", "s", "n", "strand", 16).select("seq_name", "sequence")
 
 
-@query("WITH rd AS (SELECT DISTINCT read_id, read_seq AS s, reverse(read_seq) AS t FROM fastq_reads WHERE length(read_seq) >= 40) SELECT read_id, len(list_filter(range(1, length(s) + 1), lambda i: substr(s, i, 1) <> substr(t, i, 1))) AS n FROM rd")
+@query("WITH rd AS (SELECT DISTINCT read_id, read_seq AS s, reverse(read_seq) AS t FROM fastq_reads) SELECT read_id, len(list_filter(range(1, length(s) + 1), lambda i: substr(s, i, 1) <> substr(t, i, 1))) AS n FROM rd")
 def hamming_ops(spark, d):
     x = table(spark, d, "fastq_reads").select("read_id", "read_seq").distinct()
     return x.select("read_id", F.size(R.hamming_column(F.col("read_seq"), F.reverse("read_seq"))).cast("bigint").alias("n"))
 
 
-@query("WITH rd AS (SELECT DISTINCT read_id, read_seq AS s, substr(read_seq, 4, 20) || 'ACG' || substr(read_seq, 24) AS t FROM fastq_reads WHERE length(read_seq) >= 40) SELECT read_id, CAST(levenshtein(s, t) AS DOUBLE) AS cost FROM rd")
+@query("WITH rd AS (SELECT DISTINCT read_id, read_seq AS s, substr(read_seq, 4, 20) || 'ACG' || substr(read_seq, 24) AS t FROM fastq_reads) SELECT read_id, CAST(levenshtein(s, t) AS DOUBLE) AS cost FROM rd")
 def realign_levenshtein(spark, d):
     x = table(spark, d, "fastq_reads").select("read_id", "read_seq").distinct()
     other = F.concat(F.substring("read_seq", 4, 20), F.lit("ACG"), F.substring(F.col("read_seq"), F.lit(24), F.length("read_seq")))
     return x.select("read_id", R.realign_column(F.col("read_seq"), other)["cost"].alias("cost"))
 
 
-@query("WITH rd AS (SELECT DISTINCT read_id FROM fastq_reads WHERE length(read_seq) >= 40) SELECT read_id, CAST(NULL AS VARCHAR) AS fault FROM rd")
+@query("""WITH rd AS (SELECT DISTINCT read_id, read_seq AS s FROM fastq_reads) SELECT read_id, CASE WHEN s IS NULL OR s = '' THEN 'no sequence' END AS fault,
+  CASE WHEN s IS NULL OR s = '' THEN 'no sequence' WHEN left(s, 1) = 'N' THEN NULL ELSE 'mismatch' END AS fault_elsewhere FROM rd""")
 def alignment_check(spark, d):
-    """Realigned operations pass the check of the alignment they describe."""
+    """Realigned operations pass the check of the alignment they describe, and fail against a sequence of another first base."""
     x = table(spark, d, "fastq_reads").select("read_id", "read_seq").distinct()
     other = F.concat(F.substring("read_seq", 4, 20), F.lit("ACG"), F.substring(F.col("read_seq"), F.lit(24), F.length("read_seq")))
     y = x.select("read_id", "read_seq", other.alias("other"), R.realign_column(F.col("read_seq"), other)["ops"].alias("ops"))
-    return y.select("read_id", R.check_column(F.col("read_seq"), F.col("other"), F.col("ops")).alias("fault"))
+    same = F.transform(F.array("read_seq"), lambda s: F.concat(F.lit("N"), F.substring(s, F.lit(2), F.length(s))))[0]
+    none = F.array().cast(R.OPS)
+    return y.select("read_id", R.check_column(F.col("read_seq"), F.col("other"), F.coalesce("ops", none)).alias("fault"), R.check_column(F.col("read_seq"), same, none).alias("fault_elsewhere"))
 
 
-@query(r"""WITH rd AS (SELECT DISTINCT read_id, left(read_seq, 5) AS a, right(read_seq, 5) AS b FROM fastq_reads WHERE length(read_seq) >= 40),
+@query(r"""WITH rd AS (SELECT DISTINCT read_id, left(read_seq, 5) AS a, right(read_seq, 5) AS b FROM fastq_reads),
 s AS (SELECT read_id, (a LIKE 'GT%' AND b LIKE '%AG') OR (a LIKE 'GC%' AND b LIKE '%AG') OR (a LIKE 'ATATC%' AND b LIKE '%A_') OR (a LIKE 'GTATC%' AND b LIKE '%AT') AS p,
 (a LIKE 'CT%' AND b LIKE '%AC') OR (a LIKE 'CT%' AND b LIKE '%GC') OR (a LIKE '_T%' AND b LIKE '%GATAT') OR (a LIKE 'AT%' AND b LIKE '%GATAC') AS m FROM rd)
 SELECT read_id, CASE WHEN p AND NOT m THEN '+' WHEN m AND NOT p THEN '-' ELSE '0' END AS xs FROM s""")

@@ -18,7 +18,7 @@ from readloom.operators import stats as A
 from readloom.operators import templates as T
 from readloom.plans.read_queries import templates
 from readloom.plans.runtime import table
-from readloom.plans.sqltext import BLOCKS, FEATURES, HIT, MAPS, ROWS, TPL
+from readloom.plans.sqltext import BLOCKS, FEATURES, HIT, MAPS, PAIRS, ROWS, SETS, TBLOCKS, TPL, E, united
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -62,9 +62,7 @@ def targets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "targets")
 
 
-_PAIR = f"""WITH {ROWS}, p AS (SELECT a.tag, a.map_id AS id1, z.map_id AS id2, a.strand AS s1, z.strand AS s2, a.pos AS p1, z.pos AS p2, a.base_len AS l1, z.base_len AS l2
-  FROM w a JOIN w z ON a.tag = z.tag AND a.seq_name = z.seq_name AND a.strand <> z.strand AND a.end_no = 1 AND z.end_no = 2 WHERE a.njunc = 0 AND z.njunc = 0),
-i AS (SELECT *, CASE WHEN s1 = '+' THEN 1 + p2 + l2 - p1 ELSE 1 + p1 + l1 - p2 END AS insert_size FROM p), pairs AS (SELECT * FROM i WHERE insert_size BETWEEN 0 AND 20000)"""
+_PAIR = f"WITH {PAIRS}"
 
 
 # ---- the mapping table: strata per read ------------------------------------------------------------------------------
@@ -193,20 +191,19 @@ def per_cycle_quality(spark, d):
     return A.per_cycle_quality(table(spark, d, "fastq_reads").select("read_id", "read_seq", "qualities").distinct())
 
 
-_PLAIN = "NOT contains(e, '>') AND NOT contains(e, '(')"
-_OPS = f"""WITH {MAPS}, p AS (SELECT line_id, map_no, e FROM m WHERE {_PLAIN} AND mism > 0),
-t AS (SELECT line_id, map_no, unnest(regexp_extract_all(e, '[0-9]+|[ACGTN]')) AS t, generate_subscripts(regexp_extract_all(e, '[0-9]+|[ACGTN]'), 1) AS i FROM p),
-o AS (SELECT *, CASE WHEN regexp_matches(t, '[A-Z]') THEN 1 ELSE CAST(t AS BIGINT) END AS n FROM t),
-a AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY line_id, map_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ap FROM o),
-x AS (SELECT a.line_id, map_no, CAST(ap AS BIGINT) AS ap, t AS ref, substr(r, CAST(ap AS BIGINT) + 1, 1) AS base, CASE WHEN ap > 0 THEN substr(r, CAST(ap AS BIGINT), 1) END AS pv, substr(r, CAST(ap AS BIGINT) + 2, 1) AS nx,
-  CASE WHEN q <> '' THEN ascii(substr(q, CAST(ap AS BIGINT) + 1, 1)) END AS ql FROM a JOIN tpl USING (line_id) WHERE regexp_matches(t, '[A-Z]'))"""
+_OPS = rf"""WITH {MAPS}, t AS (SELECT line_id, map_no, unnest(regexp_extract_all(e, '{E}')) AS t, generate_subscripts(regexp_extract_all(e, '{E}'), 1) AS i FROM m),
+o AS (SELECT *, right(t, 1) AS c, CASE WHEN regexp_matches(t, '[A-Z]') THEN 1 WHEN right(t, 1) IN ('+', '*') THEN 0 ELSE CAST(regexp_extract(t, '[0-9]+') AS BIGINT) END AS n FROM t),
+a AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY line_id, map_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ap FROM o),
+every AS (SELECT ap FROM a WHERE c IN ('+', '-', ')') OR regexp_matches(t, '[A-Z]')),
+x AS (SELECT a.line_id, map_no, ap, t AS ref, substr(r, ap + 1, 1) AS base, CASE WHEN ap > 0 THEN substr(r, ap, 1) END AS pv, substr(r, ap + 2, 1) AS nx, CASE WHEN substr(q, ap + 1, 1) <> '' THEN ascii(substr(q, ap + 1, 1)) END AS ql
+  FROM a JOIN tpl USING (line_id) WHERE regexp_matches(t, '[A-Z]'))"""
 
 
 def _mismatches(spark, d):
     return A.mismatches(templates(spark, d)).where("type = 'MISMS'")
 
 
-@query(f"{_OPS} SELECT ap AS pos, count(*) AS value FROM x GROUP BY ALL")
+@query(f"{_OPS} SELECT ap AS pos, count(*) AS value FROM every GROUP BY ALL")
 def error_positions(spark, d):
     """Mismatches, indels and trims of all blocks of all mappings, by position in the read."""
     return A.mismatches(templates(spark, d)).groupBy(F.col("read_pos").alias("pos")).agg(F.count("*").alias("value"))
@@ -308,54 +305,58 @@ def _other(spark, d):
     return T.recount(templates(spark, d).withColumn("maps", F.concat(F.filter("maps", lambda m: m["strand"] == "+"), turned)))
 
 
-def _set_sql(keep: str, how: str) -> str:
-    return f"""WITH {MAPS}, k AS (SELECT *, seq || '|' || st || '|' || pos || '|' || e AS key FROM m), o AS (SELECT * FROM k WHERE line_id % 3 <> 0 AND st = '+'),
-s AS (SELECT k.line_id, string_agg(k.txt, ',' ORDER BY k.map_no) AS maps FROM k WHERE {keep} GROUP BY 1)
-SELECT t.line_id, coalesce(maps, '-') AS maps FROM tpl t LEFT JOIN s ON s.line_id = t.line_id{how}"""
+def _kept(cond: str) -> str:
+    return f"""WITH {SETS}, s AS (SELECT line_id, string_agg(txt, ',' ORDER BY ord) AS maps FROM a WHERE {cond} GROUP BY 1)
+SELECT t.line_id, coalesce(maps, '-') AS maps FROM tpl t LEFT JOIN s ON s.line_id = t.line_id"""
+
+
+_NEAR = """EXISTS (SELECT 1 FROM b o WHERE o.line_id = a.line_id AND o.seq = a.seq AND o.st = a.st AND len(o.ss) = len(a.ss) AND CASE WHEN len(a.ss) = 1 THEN abs(o.ss[1] - a.ss[1]) <= 2 OR abs(o.es[1] - a.es[1]) <= 2
+  ELSE len(list_filter(range(1, len(a.ss) + 1), lambda i: abs(o.ss[i] - a.ss[i]) > 2 OR abs(o.es[i] - a.es[i]) > 2)) = 0 END)"""
 
 
 def _txt(df):
     return df.select("line_id", T.texts(F.col("maps")).alias("maps"))
 
 
-@query(_set_sql("NOT (k.line_id % 3 <> 0 AND k.st = '+')", ""))
+@query(_kept("NOT shared"))
 def set_difference(spark, d):
     return _txt(U.file_difference(templates(spark, d), _other(spark, d), "line_id"))
 
 
-@query(_set_sql("k.line_id % 3 <> 0 AND k.st = '+'", " WHERE t.line_id % 3 <> 0"))
+@query(_kept("shared"))
 def set_intersection(spark, d):
     return _txt(U.file_intersection(templates(spark, d), _other(spark, d), "line_id"))
 
 
-@query(f"""WITH {MAPS}, k AS (SELECT line_id, string_agg(txt, ',' ORDER BY (st <> '+')::INT, map_no) AS maps FROM m GROUP BY 1) SELECT t.line_id, coalesce(maps, '-') AS maps FROM tpl t LEFT JOIN k ON k.line_id = t.line_id WHERE t.line_id % 3 <> 0""")
+@query(f"WITH {SETS}, {united('b', 'a')}")
 def set_union(spark, d):
     return _txt(U.file_union(_other(spark, d), templates(spark, d), "line_id"))
 
 
-@query(f"""WITH {MAPS}, s AS (SELECT line_id, string_agg(txt, ',' ORDER BY map_no) AS a, string_agg(CASE WHEN st = '+' THEN txt END, ',' ORDER BY map_no) AS b, string_agg(CASE WHEN st <> '+' THEN txt END, ',' ORDER BY map_no) AS o FROM m GROUP BY 1)
-SELECT t.line_id, coalesce(o, '-') AS only_a, '-' AS only_b, coalesce(b, '-') AS both FROM tpl t LEFT JOIN s ON s.line_id = t.line_id WHERE t.line_id % 3 <> 0""")
+@query(f"""WITH {SETS}, x AS (SELECT line_id, string_agg(txt, ',' ORDER BY ord) FILTER (WHERE NOT shared) AS o, string_agg(txt, ',' ORDER BY ord) FILTER (WHERE shared) AS s FROM a GROUP BY 1),
+y AS (SELECT line_id, string_agg(txt, ',' ORDER BY ord) FILTER (WHERE NOT shared) AS o FROM b GROUP BY 1)
+SELECT t.line_id, coalesce(x.o, '-') AS only_a, coalesce(y.o, '-') AS only_b, coalesce(x.s, '-') AS both FROM tpl t LEFT JOIN x ON x.line_id = t.line_id LEFT JOIN y ON y.line_id = t.line_id""")
 def set_compare(spark, d):
     return U.file_compare(templates(spark, d), _other(spark, d), "line_id")
 
 
-@query(f"""WITH {MAPS}, s AS (SELECT line_id, string_agg(txt, ',' ORDER BY map_no) AS a, string_agg(CASE WHEN st = '+' THEN txt END, ',' ORDER BY map_no) AS b FROM m GROUP BY 1)
-SELECT t.line_id, coalesce(a, '-') AS maps_a, coalesce(b, '-') AS maps_b FROM tpl t LEFT JOIN s ON s.line_id = t.line_id WHERE t.line_id % 3 <> 0""")
+@query(f"""WITH {SETS}, s AS (SELECT line_id, string_agg(txt, ',' ORDER BY ord) FILTER (WHERE src = 'a') AS a, string_agg(txt, ',' ORDER BY ord) FILTER (WHERE src = 'b') AS b FROM k GROUP BY 1)
+SELECT t.line_id, coalesce(a, '-') AS maps_a, coalesce(b, '-') AS maps_b FROM tpl t LEFT JOIN s ON s.line_id = t.line_id""")
 def set_join(spark, d):
     return U.file_join(templates(spark, d), _other(spark, d), "line_id")
 
 
-@query(_set_sql("NOT (k.line_id % 3 <> 0 AND k.st = '+')", ""))
+@query(_kept(f"NOT {_NEAR}"))
 def set_difference_tolerant(spark, d):
     return _txt(U.file_difference(templates(spark, d), _other(spark, d), "line_id", tolerance=2))
 
 
-@query(f"WITH {TPL} SELECT line_id, ms AS maps FROM tpl WHERE line_id % 3 <> 0")
+@query(f"WITH {SETS}, {united('a', 'b')}")
 def merge_same_reads(spark, d):
     return _txt(U.merge(templates(spark, d), _other(spark, d), key="line_id", same_reads=True))
 
 
-@query(f"WITH {TPL} SELECT line_id, ms AS maps FROM tpl")
+@query(f"WITH {SETS}, {united('a', 'b')}")
 def merge_subset(spark, d):
     return _txt(U.merge(templates(spark, d), _other(spark, d), _other(spark, d), key="line_id"))
 
@@ -365,9 +366,11 @@ def merge_unmatched(spark, d):
     return U.unmatched(templates(spark, d), templates(spark, d).where("line_id % 3 <> 0"), "line_id").select("line_id")
 
 
-@query(f"""WITH {MAPS}, s AS (SELECT line_id, string_agg(seq, ',' ORDER BY map_no) AS sq FROM m GROUP BY 1) SELECT t.line_id, length(r) AS length, coalesce(sq, '') AS sequences FROM tpl t LEFT JOIN s ON s.line_id = t.line_id""")
+@query(f"""WITH {MAPS}, s AS (SELECT line_id, string_agg(seq, ',' ORDER BY map_no) AS sq FROM m GROUP BY 1),
+c AS (SELECT line_id, CASE WHEN ct = '!' THEN [] ELSE flatten(list_transform(string_split_regex(ct, '[:+]'), lambda t: list_resize(CAST([] AS BIGINT[]), CAST(coalesce(nullif(split_part(t, 'x', 2), ''), '1') AS BIGINT), CAST(split_part(t, 'x', 1) AS BIGINT)))) END AS c FROM tpl)
+SELECT t.line_id, length(r) AS length, array_to_string(c, ':') AS counters, coalesce(sq, '') AS sequences FROM tpl t JOIN c ON c.line_id = t.line_id LEFT JOIN s ON s.line_id = t.line_id""")
 def display_compact(spark, d):
-    return U.compact(templates(spark, d), ("line_id",)).drop("counters").withColumn("length", F.col("length").cast("bigint"))
+    return U.compact(templates(spark, d), ("line_id",)).withColumn("length", F.col("length").cast("bigint"))
 
 
 @query("""WITH a AS (SELECT line_id, file_kind, row_number() OVER (PARTITION BY file_kind ORDER BY line_id) - 1 AS row_no FROM raw_records WHERE file_kind IN ('sam', 'gtf'))
@@ -499,12 +502,11 @@ def reduce_by_gene_id(spark, d):
     return _txt(I.reduce_by_annotation(templates(spark, d), features(spark, d), "line_id", by_gene=True))
 
 
-@query(f"""WITH {MAPS}, {FEATURES}, c AS (SELECT DISTINCT line_id, map_no FROM (SELECT line_id, map_no, seq, pos AS s, pos + glen - 1 AS en FROM m) x JOIN f ON seq = fq AND gt = 'protein_coding' AND {HIT}),
+@query(f"""WITH {TBLOCKS}, {FEATURES}, c AS (SELECT DISTINCT line_id, map_no FROM (SELECT line_id, map_no, seq, s, en FROM tb WHERE bno = 0) x JOIN f ON seq = fq AND gt = 'protein_coding' AND {HIT}),
 k AS (SELECT m.line_id, string_agg(txt, ',' ORDER BY m.map_no) AS maps, string_agg(CASE WHEN c.line_id IS NOT NULL THEN txt END, ',' ORDER BY m.map_no) AS coding FROM m LEFT JOIN c ON c.line_id = m.line_id AND c.map_no = m.map_no GROUP BY 1)
-SELECT t.line_id, coalesce(coding, maps, '-') AS maps FROM tpl t LEFT JOIN k ON k.line_id = t.line_id WHERE NOT contains(ms, '*')""")
+SELECT t.line_id, coalesce(coding, maps, '-') AS maps FROM tpl t LEFT JOIN k ON k.line_id = t.line_id""")
 def reduce_to_protein_coding(spark, d):
-    x = templates(spark, d).where(~F.exists("maps", lambda m: F.size(m["blocks"]) > 1))
-    return _txt(I.reduce_by_annotation(x, features(spark, d), "line_id", protein_coding=True))
+    return _txt(I.reduce_by_annotation(templates(spark, d), features(spark, d), "line_id", protein_coding=True))
 
 
 @query()
@@ -524,22 +526,32 @@ def junction_sites(spark, d):
 _DN = f"""WITH {BLOCKS}, l AS (SELECT seq_name, lag(en) OVER (PARTITION BY map_id ORDER BY s, block_no) AS "left", s AS "right" FROM b), dn AS (SELECT seq_name, "left", "right", count(*) AS support FROM l WHERE "left" IS NOT NULL GROUP BY ALL)"""
 
 
+_SITES = f"""x AS ({_FX}), la AS (SELECT *, seq_name AS seq1, lag(end_pos) OVER w AS pe, lag(seq_name) OVER w AS ps FROM x WINDOW w AS (PARTITION BY transcript_id ORDER BY start_pos, end_pos, ann_id)),
+lm AS (SELECT *, lag(end_pos) OVER w AS mpe, lag(seq_name) OVER w AS mps FROM x WHERE strand = '-' WINDOW w AS (PARTITION BY transcript_id ORDER BY start_pos, end_pos, ann_id)),
+st AS (SELECT DISTINCT seq_name AS q, unnest([mpe, start_pos]) AS p FROM lm WHERE mps = seq_name)"""
+
+
 @query(f"{_DN} SELECT * FROM dn")
 def junction_denovo(spark, d):
     return J.from_mappings(blocks(spark, d), ["map_id"])
 
 
-@query(f"""{_DN}, {FEATURES}, st AS (SELECT fq, fs AS p FROM f WHERE ft = 'exon' UNION SELECT fq, fe FROM f WHERE ft = 'exon') SELECT dn.* FROM dn WHERE support >= 2""")
+@query(f"""{_DN}, {_SITES}, al AS (SELECT seq_name, "left", "right", support FROM dn UNION ALL SELECT seq1, pe, start_pos, count(*) FROM la WHERE ps = seq_name GROUP BY ALL), ff AS (SELECT seq_name, "left", "right", CAST(sum(support) AS BIGINT) AS support FROM al GROUP BY ALL)
+SELECT ff.*, (seq_name, "left") IN (SELECT (q, p) FROM st) OR (seq_name, "right") IN (SELECT (q, p) FROM st) AS known FROM ff WHERE support >= 2 OR (seq_name, "left") IN (SELECT (q, p) FROM st) OR (seq_name, "right") IN (SELECT (q, p) FROM st)""")
 def novel_junction_support(spark, d):
-    """Supported junctions; one side at an annotated site would do as well."""
-    return J.supported(junction_denovo(spark, d), J.from_annotation(features(spark, d)), 2).where("support >= 2").select("seq_name", "left", "right", "support")
+    """Junctions of split mappings and of transcripts that two of them support, or with a side at an annotated site."""
+    f = features(spark, d)
+    own = J.from_mappings(blocks(spark, d), ["map_id"]).unionByName(J.transcript_junctions(f))
+    found = own.groupBy("seq_name", "left", "right").agg(F.sum("support").alias("support"))
+    return J.supported(found, J.from_annotation(f.where("strand = '-'")), 2)
 
 
-@query(f"""WITH x AS ({_FX}), l AS (SELECT *, lag(end_pos) OVER w AS pe, lag(seq_name) OVER w AS ps FROM x WINDOW w AS (PARTITION BY transcript_id ORDER BY start_pos, end_pos, ann_id)),
-s AS (SELECT DISTINCT seq_name AS seq1, pe, start_pos FROM l WHERE ps = seq_name AND abs(start_pos - pe) BETWEEN 50 AND 2000) SELECT seq1, least(pe, start_pos) AS pos1, greatest(pe, start_pos) AS pos2 FROM s GROUP BY ALL""")
+@query(f"""{_DN}, {_SITES}, s AS (SELECT seq1, least(pe, start_pos) AS pos1, greatest(pe, start_pos) AS pos2 FROM la WHERE ps = seq_name UNION SELECT seq_name, "left", "right" FROM dn)
+SELECT * FROM s WHERE pos2 - pos1 BETWEEN 50 AND 2000""")
 def junction_union(spark, d):
-    s = J.from_annotation(features(spark, d))
-    x = J.by_distance(J.normal(J.union(s, J.normal(s))), 50, 2000)
+    """Junctions of the annotation and of split mappings, each once, of 50 to 2,000 bases."""
+    mine = J.from_mappings(blocks(spark, d), ["map_id"]).select(F.col("seq_name").alias("seq1"), F.lit("+").alias("strand1"), F.col("left").alias("pos1"), F.col("seq_name").alias("seq2"), F.lit("+").alias("strand2"), F.col("right").alias("pos2"))
+    x = J.by_distance(J.union(J.normal(J.from_annotation(features(spark, d))), J.normal(mine)), 50, 2000)
     return x.select("seq1", "pos1", "pos2").distinct()
 
 
@@ -582,11 +594,14 @@ def coverage_bins(spark, d):
     return V.binned(_runs(spark, d), 1000)
 
 
-@query("""WITH e AS (SELECT seq_name, start_pos AS p, 2 AS d FROM targets WHERE start_pos <= end_pos UNION ALL SELECT seq_name, end_pos + 1, -2 FROM targets WHERE start_pos <= end_pos), g AS (SELECT seq_name, p, sum(d) AS d FROM e GROUP BY ALL HAVING sum(d) <> 0),
+@query("""WITH iv AS (SELECT seq_name, start_pos, end_pos FROM targets WHERE start_pos <= end_pos UNION ALL SELECT seq_name, start_pos, end_pos FROM (SELECT DISTINCT ann_id, seq_name, start_pos, end_pos FROM annotations WHERE feature_type = 'exon' AND start_pos <= end_pos)),
+e AS (SELECT seq_name, start_pos AS p, 1 AS d FROM iv UNION ALL SELECT seq_name, end_pos + 1, -1 FROM iv), g AS (SELECT seq_name, p, sum(d) AS d FROM e GROUP BY ALL HAVING sum(d) <> 0),
 r AS (SELECT seq_name, p, CAST(sum(d) OVER (PARTITION BY seq_name ORDER BY p) AS BIGINT) AS depth, lead(p) OVER (PARTITION BY seq_name ORDER BY p) - 1 AS q FROM g) SELECT seq_name, CAST(sum(depth * (q - p + 1)) AS BIGINT) AS bases, max(depth) AS top FROM r WHERE depth > 0 GROUP BY 1""")
 def coverage_combine(spark, d):
+    """Coverage of the targets and of the exons, added up."""
     r = V.depth_runs(targets(spark, d), "seq_name", "start_pos", "end_pos")
-    c = V.combine(r, r)
+    x = V.depth_runs(features(spark, d).where("feature_type = 'exon'").select("ann_id", "seq_name", "start_pos", "end_pos").distinct(), "seq_name", "start_pos", "end_pos")
+    c = V.combine(r, x)
     return c.groupBy("seq_name").agg(F.sum(F.col("depth") * (F.col("end_pos") - F.col("start_pos") + 1)).alias("bases"), F.max("depth").alias("top"))
 
 
@@ -608,10 +623,10 @@ def pair_strand_filter(spark, d):
     return P.insert_sizes(P.pair_strands(x, ["FR"]), 100, 5000).select(F.col("m1.map_id").alias("id1"), F.col("m2.map_id").alias("id2"))
 
 
-@query(f"{_PAIR} SELECT id1, id2, CASE WHEN p1 <= p2 THEN greatest(p1 + l1, p2 + l2) - p1 ELSE -(greatest(p1 + l1, p2 + l2) - p2) END AS tlen FROM pairs JOIN w a ON a.map_id = id1 JOIN w z ON z.map_id = id2 WHERE a.nindel + z.nindel = 0")
+@query(f"{_PAIR} SELECT id1, id2, CASE WHEN lo1 <= lo2 THEN greatest(hi1, hi2) - lo1 + 1 ELSE -(greatest(hi1, hi2) - lo2 + 1) END AS tlen FROM pairs")
 def template_size(spark, d):
     a, b = F.col("m1.blocks"), F.col("m2.blocks")
-    x = _pairs(spark, d).where((M.n_indels(a) == 0) & (M.n_indels(b) == 0))
+    x = _pairs(spark, d)
     return x.select(F.col("m1.map_id").alias("id1"), F.col("m2.map_id").alias("id2"), M.observed_template_size(F.col("m1.seq_name"), a, F.col("m2.seq_name"), b).alias("tlen"))
 
 
@@ -647,7 +662,8 @@ def paired_sam(spark, d):
     return Q2.sam_lines(_paired_text(spark, d))
 
 
-@query(f"{_PAIR} SELECT id1, id2 FROM pairs")
+@query(f"""{_PAIR}, o AS (SELECT *, greatest(lo1, lo2) AS f, CASE WHEN lo1 <= lo2 THEN lo1 + g1 ELSE lo2 + g2 END AS t FROM pairs)
+SELECT id1, id2 FROM o WHERE (len(j1) = 0 AND len(j2) = 0) OR t < f OR (len(list_filter(j1, lambda x: x.e >= f AND x.s <= t)) = len(list_filter(j2, lambda x: x.e >= f AND x.s <= t)) AND len(list_filter(j1, lambda x: x.s >= f AND x.s < t AND NOT list_contains(j2, x))) = 0)""")
 def pair_coherence(spark, d):
     """Pairs whose ends agree on the junctions where they overlap; those without splices always do."""
     return P.coherent_pairs(_pairs(spark, d)).select(F.col("m1.map_id").alias("id1"), F.col("m2.map_id").alias("id2"))
@@ -673,14 +689,12 @@ def score_packing(spark, d):
 
 
 @query(f"""WITH {ROWS}, o AS (SELECT tag, end_no, seq_name, pos, min(gt_score % 65536) AS s FROM w WHERE gt_score IS NOT NULL GROUP BY ALL), q AS (SELECT *, min(s) OVER (PARTITION BY tag, end_no) AS lo FROM o),
-e AS (SELECT *, power(10.0, -(s - lo) / 10.0) AS e FROM q), z AS (SELECT *, 1 - e / sum(e) OVER (PARTITION BY tag, end_no) AS rest FROM e)
-, y AS (SELECT tag, end_no, seq_name, pos, CASE WHEN rest < 1e-12 THEN 254 ELSE CAST(floor(0.5 - 10 * log10(rest)) AS INT) END AS p FROM z)
-SELECT tag, end_no, seq_name, pos, CASE WHEN p > 110 THEN 254 ELSE p END AS phred FROM y WHERE p < 20 OR p > 110""")
+e AS (SELECT *, power(10.0, -(s - lo) / 10.0) AS e FROM q), z AS (SELECT *, count(*) FILTER (WHERE s = lo) OVER p AS k, coalesce(sum(e) FILTER (WHERE s > lo) OVER p, 0) AS t FROM e WINDOW p AS (PARTITION BY tag, end_no)),
+y AS (SELECT *, CASE WHEN s = lo THEN (k - 1 + t) / (k + t) ELSE 1 - e / (k + t) END AS rest FROM z)
+SELECT tag, end_no, seq_name, pos, CASE WHEN rest < 1e-255 THEN 254 ELSE CAST(least(floor(0.5 - 10 * log10(rest)), 254) AS INT) END AS phred FROM y""")
 def mapq_softmax(spark, d):
-    """Qualities where the rest is clear of rounding: certain locations and those with real competitors."""
     x = rows(spark, d, "tag", "end_no", "seq_name", "pos", "gt_score", "maps").where("maps <> '-' and gt_score is not null").withColumn("s", F.col("gt_score") % 65536)
-    q = R.mapping_quality(x, ["tag", "end_no"], ["seq_name", "pos"], "s")
-    return q.where("phred < 20 or phred > 110").withColumn("phred", F.when(F.col("phred") > 110, 254).otherwise(F.col("phred")))
+    return R.mapping_quality(x, ["tag", "end_no"], ["seq_name", "pos"], "s")
 
 
 @query(f"""WITH {ROWS}, h AS (SELECT abs(tlen) AS x, count(*) AS y FROM u WHERE tlen <> 0 GROUP BY 1), c AS (SELECT *, sum(y) OVER (ORDER BY x) AS z, sum(y) OVER () AS t FROM h)

@@ -321,9 +321,9 @@ _SHIFT = "".join(chr(c) for c in range(33, 96)).replace("'", "''")
 _TO = "".join(chr(c + 31) for c in range(33, 96)).replace("'", "''")
 
 
-@query(f"{_READS} SELECT read_id, translate(qualities, '{_SHIFT}', '{_TO}') AS q64, CASE WHEN regexp_matches(qualities, '[!-:]') THEN 33 WHEN regexp_matches(qualities, '[K-~]') THEN 64 END AS off FROM rd WHERE qualities <> '' AND NOT regexp_matches(qualities, '[`-~]')")
+@query(f"{_READS} SELECT read_id, translate(qualities, '{_SHIFT}', '{_TO}') AS q64, CASE WHEN regexp_matches(qualities, '[!-:]') THEN 33 WHEN regexp_matches(qualities, '[K-~]') THEN 64 END AS off FROM rd WHERE qualities <> ''")
 def quality_shift(spark, d):
-    x = reads(spark, d).where((F.col("qualities") != "") & ~F.col("qualities").rlike("[`-~]"))
+    x = reads(spark, d).where(F.col("qualities") != "")
     return x.select("read_id", S.shift_qualities(F.col("qualities"), 31).alias("q64"), S.deduce_offset(F.col("qualities")).alias("off"))
 
 

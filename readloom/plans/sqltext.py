@@ -43,7 +43,7 @@ bp AS (SELECT map_id, tag, end_no, seq_name, strand, pos, unnest(string_split_re
 bm AS (SELECT *, {METRICS} FROM bp), bl AS (SELECT *, matched + mism + ins AS blen, coalesce(CAST(js[bno] AS BIGINT), 0) AS jn, len(js) + 1 AS n_blocks FROM bm),
 bq AS (SELECT *, CASE WHEN strand = '-' THEN pos + jn + coalesce(sum(blen + jn) OVER (PARTITION BY map_id ORDER BY bno ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)
   ELSE pos + coalesce(sum(blen + jn) OVER (PARTITION BY map_id ORDER BY bno ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS s FROM bl),
-b AS (SELECT map_id, tag || '/' || end_no AS template, map_id AS map_no, bno - 1 AS block_no, n_blocks, seq_name, strand, CAST(s AS BIGINT) AS s, CAST(s + blen - 1 AS BIGINT) AS en FROM bq)"""
+b AS (SELECT map_id, tag || '/' || end_no AS template, map_id AS map_no, bno - 1 AS block_no, n_blocks, seq_name, strand, CAST(s AS BIGINT) AS s, CAST(s + blen - 1 AS BIGINT) AS en, CAST(matched + mism + dels AS BIGINT) AS bases FROM bq)"""
 
 #: Annotated features, each once.
 FEATURES = """f AS (SELECT DISTINCT ann_id, seq_name AS fq, feature_type AS ft, start_pos AS fs, end_pos AS fe, strand AS fst, gene_id AS g, transcript_id AS tr, gene_type AS gt FROM annotations)"""
@@ -56,3 +56,33 @@ tm AS (SELECT *, {METRICS} FROM tp), tl AS (SELECT *, matched + mism + ins AS bl
 tq AS (SELECT *, CASE WHEN st = '-' THEN pos + jn + coalesce(sum(blen + jn) OVER (PARTITION BY line_id, map_no ORDER BY bno ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)
   ELSE pos + coalesce(sum(blen + jn) OVER (PARTITION BY line_id, map_no ORDER BY bno ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS s FROM tl),
 tb AS (SELECT line_id, map_no, seq, st, n_blocks, bno - 1 AS bno, CAST(s AS BIGINT) AS s, CAST(s + blen - 1 AS BIGINT) AS en FROM tq)"""
+
+#: Two mapping sets over the same records, a as they are and b those on + and, turned to +, those on -; key is strict equality.
+SETS = rf"""{MAPS},
+ab AS (SELECT line_id, 'a' AS src, map_no AS ord, txt, seq, st, pos, e, dist FROM m UNION ALL SELECT line_id, 'b', map_no, txt, seq, st, pos, e, dist FROM m WHERE st = '+'
+  UNION ALL SELECT line_id, 'b', 1000000 + map_no, regexp_replace(txt, ':[-R]:', ':+:', 'g'), seq, '+', pos, e, dist FROM m WHERE st = '-'),
+sp AS (SELECT line_id, src, ord, st, pos, unnest(string_split_regex(e, '>[0-9]+[*]')) AS e, generate_subscripts(string_split_regex(e, '>[0-9]+[*]'), 1) AS bno, regexp_extract_all(e, '>([0-9]+)[*]', 1) AS js FROM ab),
+sm AS (SELECT *, {METRICS} FROM sp), sl AS (SELECT *, matched + mism + ins AS blen, coalesce(CAST(js[bno] AS BIGINT), 0) AS jn FROM sm),
+sq AS (SELECT *, CASE WHEN st = '-' THEN pos + jn + coalesce(sum(blen + jn) OVER (PARTITION BY line_id, src, ord ORDER BY bno ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)
+  ELSE pos + coalesce(sum(blen + jn) OVER (PARTITION BY line_id, src, ord ORDER BY bno ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS s FROM sl),
+sk AS (SELECT line_id, src, ord, list(CAST(s AS BIGINT) ORDER BY bno) AS ss, list(CAST(s + blen - 1 AS BIGINT) ORDER BY bno) AS es FROM sq GROUP BY ALL),
+k AS (SELECT ab.*, ss, es, ab.seq || '|' || ab.st || '|' || CAST(ss AS VARCHAR) || CAST(es AS VARCHAR) AS key FROM ab JOIN sk ON ab.line_id = sk.line_id AND ab.src = sk.src AND ab.ord = sk.ord),
+a AS (SELECT *, key IN (SELECT key FROM k b WHERE b.src = 'b' AND b.line_id = k.line_id) AS shared FROM k WHERE src = 'a'),
+b AS (SELECT *, key IN (SELECT key FROM k a WHERE a.src = 'a' AND a.line_id = k.line_id) AS shared FROM k WHERE src = 'b')"""
+
+
+def united(first: str, second: str) -> str:
+    """Mappings of the first set, each replaced by an equal one of the second with a smaller distance, then the rest of the second."""
+    return f"""x AS (SELECT {first}.line_id, 0 AS part, {first}.ord, coalesce((SELECT arg_min(o.txt, o.ord) FROM {second} o WHERE o.line_id = {first}.line_id AND o.key = {first}.key AND o.dist < {first}.dist), {first}.txt) AS txt FROM {first}
+  UNION ALL SELECT line_id, 1, ord, txt FROM {second} WHERE NOT shared), s AS (SELECT line_id, string_agg(txt, ',' ORDER BY part, ord) AS maps FROM x GROUP BY 1)
+SELECT t.line_id, coalesce(maps, '-') AS maps FROM tpl t LEFT JOIN s ON s.line_id = t.line_id"""
+
+
+#: Pairs of ends on opposite strands of one sequence by insert size; the size is measured between the last listed blocks.
+PAIRS = rf"""{BLOCKS},
+lb AS (SELECT map_id, arg_max(s, block_no) AS ls, arg_max(bases, block_no) AS lbase, min(s) AS lo, max(en) AS hi FROM b GROUP BY 1),
+jb AS (SELECT map_id, list({{'s': pe + 1, 'e': s - 1}} ORDER BY s, en) AS js FROM (SELECT map_id, s, en, lag(en) OVER (PARTITION BY map_id ORDER BY s, en) AS pe FROM b) WHERE pe IS NOT NULL GROUP BY 1),
+an AS (SELECT w.*, lo, hi, coalesce(js, []) AS js, ls + base_len + CASE WHEN strand = '+' THEN -lbase ELSE 1 END AS anchor FROM w JOIN lb USING (map_id) LEFT JOIN jb USING (map_id)),
+p AS (SELECT a.tag, a.map_id AS id1, z.map_id AS id2, a.strand AS s1, z.strand AS s2, a.lo AS lo1, z.lo AS lo2, a.hi AS hi1, z.hi AS hi2, a.base_len AS l1, z.base_len AS l2, a.js AS j1, z.js AS j2, a.glen AS g1, z.glen AS g2,
+  a.seq_name, CASE WHEN a.strand = '+' THEN z.anchor - a.anchor ELSE a.anchor - z.anchor END AS insert_size FROM an a JOIN an z ON a.tag = z.tag AND a.seq_name = z.seq_name AND a.strand <> z.strand AND a.end_no = 1 AND z.end_no = 2),
+pairs AS (SELECT * FROM p WHERE insert_size BETWEEN 0 AND 20000)"""
