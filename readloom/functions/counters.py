@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ZERO = "array<bigint>"
+#: A run ``nxm`` of more strata than this is no counter of a read and reads as null.
+MAX_RUN = 100_000
 
 
 def _long(v) -> Column:
@@ -13,8 +15,14 @@ def _long(v) -> Column:
 
 
 def parse_counters(text: Column) -> Column:
-    """Counters of MAP text: ``n`` and ``nxm`` (m times n) separated by ``:`` or ``+``; ``!`` and null give an empty array."""
-    one = lambda t: F.array_repeat(F.get(F.split(t, "x"), F.lit(0)).try_cast("bigint"), F.coalesce(F.get(F.split(t, "x"), F.lit(1)).try_cast("int"), F.lit(1)))
+    """Counters of MAP text: ``n`` and ``nxm`` (m times n) separated by ``:`` or ``+``; ``!`` and null give an empty array.
+    A text with a run of more than ``MAX_RUN`` strata gives null and takes no room."""
+
+    def one(t):
+        m = F.get(F.split(t, "x"), F.lit(1))
+        many = F.when(m.isNull(), F.lit(1)).when(m.rlike("^0*[0-9]{1,9}$") & (m.try_cast("bigint") <= MAX_RUN), m.try_cast("int"))
+        return F.when(many.isNotNull(), F.array_repeat(F.get(F.split(t, "x"), F.lit(0)).try_cast("bigint"), many))
+
     parsed = F.flatten(F.transform(F.split(text, "[:+]"), one))
     return F.when(text.isNull() | text.isin("!", ""), F.array().cast(ZERO)).otherwise(parsed)
 

@@ -314,7 +314,7 @@ def map_key(m: Column) -> Column:
     return F.concat_ws("|", m["seq_name"], m["strand"], F.array_join(spans, ","))
 
 
-def same_within(a: Column, b: Column, tolerance: int) -> Column:
+def same_within(a: Column, b: Column, tolerance: float | Column) -> Column:
     """Tolerant equality: one block: begin or end within tolerance; several: begin and end of each block."""
     near = lambda x, y: F.abs(x - y) <= tolerance
     begin = lambda x: x["pos"]

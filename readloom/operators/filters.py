@@ -39,6 +39,12 @@ def maps_between(lo: int, hi: int) -> Column:
     return F.size("maps").between(lo, hi)
 
 
+def score_or_phred(m: Column, phred: Column | None = None) -> Column:
+    """The quality a mapping is filtered by: its Phred score where the record tells one (255 is none), else its own score."""
+    own = F.coalesce(m["score"], F.lit(0).cast("bigint"))
+    return own if phred is None else F.coalesce(F.when(phred != 255, phred.cast("bigint")), own)
+
+
 def contains_map(maps: Column, key: Column) -> Column:
     """Whether a mapping strictly equal to the one with ``key`` is there."""
     return F.exists(maps, lambda m: M.map_key(m) == key)
@@ -59,10 +65,11 @@ def on_sequences(df: DataFrame, names: list[str]) -> DataFrame:
     return keep_where(df, lambda m: m["seq_name"].isin(*names))
 
 
-def strata_after_best(df: DataFrame, k: int) -> DataFrame:
-    """Mappings in order until the first whose distance exceeds the least matching stratum by more than ``k``."""
-    best = F.array_min(T.distances(F.col("maps")))
-    bad = F.transform("maps", lambda m: M.global_distance(m["blocks"]) > best + k)
+def strata_after_best(df: DataFrame, k: float) -> DataFrame:
+    """Mappings in order until the first whose distance exceeds the least matching stratum by more than ``k``, which may
+    be a share of the read."""
+    best = F.array_min(T.distances(F.col("maps"))) + S.proportion(k, F.length("read"))
+    bad = F.transform("maps", lambda m: M.global_distance(m["blocks"]) > best)
     at = F.array_position(bad, True)
     return df.withColumn("maps", F.when(at > 0, F.slice("maps", F.lit(1), (at - 1).cast("int"))).otherwise(F.col("maps")))
 
@@ -83,15 +90,18 @@ def on_strand(df: DataFrame, strand: str) -> DataFrame:
 
 
 def score_in(df: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
-    """Mappings whose score lies in any of the ranges (no score counts as 0)."""
+    """Mappings whose score lies in any of the ranges (no score counts as 0). Templates of SAM records have a column
+    ``phreds``, a Phred score per mapping, which goes before the score."""
+    phreds = F.col("phreds") if "phreds" in df.columns else None
 
-    def ok(m):
+    def ok(m, i):
         cond = F.lit(False)
         for lo, hi in ranges:
-            cond = cond | F.coalesce(m["score"], F.lit(0).cast("bigint")).between(lo, hi)
+            cond = cond | score_or_phred(m, None if phreds is None else F.get(phreds, i)).between(lo, hi)
         return cond
 
-    return keep_where(df, ok)
+    kept = df.withColumn("maps", F.filter("maps", ok))
+    return kept if phreds is None else kept.withColumn("phreds", F.transform(F.filter(F.transform(df["maps"], lambda m, i: F.struct(ok(m, i).alias("ok"), F.get(phreds, i).alias("p"))), lambda x: x["ok"]), lambda x: x["p"]))
 
 
 def mismatch_quality(m: Column, quals: Column, mode: str = "last") -> Column:
@@ -210,7 +220,7 @@ class FilterOptions:
     n_maps: tuple[int, int] | None = None
     trim: tuple[int, int] | None = None
     sequences: tuple[str, ...] = ()
-    max_strata_after_best: int | None = None
+    max_strata_after_best: float | None = None
     strata: tuple[float, float] | None = None
     levenshtein: tuple[float, float] | None = None
     strand: str | None = None
@@ -237,9 +247,9 @@ class FilterOptions:
 ONLY_SPLITS = FilterOptions(only_splits=True)
 
 
-def rnaseq_options(min_intron: int = 0, min_block: int = 0, level: int = -1, max_strata: int = 0, max_maps: int = 0, **extra) -> FilterOptions:
+def rnaseq_options(min_intron: int = 0, min_block: int = 0, level: int = -1, max_strata: float = 0, max_maps: int = 0, **extra) -> FilterOptions:
     """The usual filter of RNA mappings; a parameter of 0 (-1 for the level) leaves its filter out."""
-    return FilterOptions(min_intron=min_intron or None, min_block=min_block or None, to_unique_strata=level if level >= 0 else None, max_strata_after_best=max_strata or None, to_max_maps=max_maps or None, keep_unique=True, **extra)
+    return FilterOptions(min_intron=min_intron or None, min_block=min_block or None, to_unique_strata=level if level >= 0 else None, strata=(0, max_strata) if max_strata else None, to_max_maps=max_maps or None, keep_unique=True, **extra)
 
 
 def filter_templates(df: DataFrame, o: FilterOptions) -> DataFrame:

@@ -89,6 +89,11 @@ def children(features: DataFrame) -> DataFrame:
     return x.groupBy("gene_id").agg(F.count_distinct("transcript_id").alias("n_transcripts"), F.sum((F.col("feature_type") == "exon").cast("bigint")).alias("n_exons"))
 
 
+def sort_features(features: DataFrame, by: str = "start_pos") -> DataFrame:
+    """Features by sequence, start (or end) and type, range-sorted over all partitions."""
+    return features.orderBy("seq_name", by, "feature_type")
+
+
 def search(features: DataFrame, seq: str, start: int, end: int, kind: str | None = None) -> DataFrame:
     """Features that a single interval hits (the interactive search)."""
     x = features.where((F.col("seq_name") == seq) & hits(F.lit(start), F.lit(end), F.col("start_pos"), F.col("end_pos")))
@@ -136,7 +141,7 @@ def map_genes(blocks: DataFrame, hit: DataFrame) -> DataFrame:
 
 
 def gene_hits(blocks: DataFrame, features: DataFrame, exon_overlap: float = 0.0) -> DataFrame:
-    """``template, map_no, gene_id, weight``: genes of each mapping or pair of ends, weight 1 for each end that hits.
+    """``template, map_no, gene_id, weight, n_ends``: genes of each mapping or pair of ends, weight 1 for each end that hits.
 
     A pair keeps the genes its ends share, or those of end 1 if end 2 hits none. With ``exon_overlap`` only mappings
     whose blocks lie in exons by at least that share (mean of both ends) count.
@@ -162,20 +167,41 @@ def gene_hits(blocks: DataFrame, features: DataFrame, exon_overlap: float = 0.0)
         ends = t.groupBy(*_MAP).agg((F.sum(F.col("overlap") * F.col("len")) / F.sum("len")).alias("o"))
         over = ends.groupBy("template", "map_no").agg(F.avg("o").alias("overlap")).where(F.col("overlap") >= exon_overlap - 1e-6)
         x = x.join(over, ["template", "map_no"])
-    return x.select("template", "map_no", F.col("f_gene").alias("gene_id"), "weight")
+    return x.select("template", "map_no", F.col("f_gene").alias("gene_id"), "weight", "n_ends")
+
+
+def pair_blocks(pairs: DataFrame, template: str) -> DataFrame:
+    """Blocks of paired templates as :func:`gene_counts` takes them: both ends of each mapping."""
+    from readloom.functions import mapping as M
+    from readloom.operators import pairs as P
+
+    e = P.ends(pairs.withColumn("template", F.col(template)).withColumn("mmaps", F.filter("mmaps", lambda p: p["m1"].isNotNull() & p["m2"].isNotNull())), ("template",))
+    x = e.select("template", "map_no", "end_no", F.lit(2).alias("n_ends"), F.col("m.seq_name").alias("seq_name"), F.col("m.strand").alias("strand"), F.size("m.blocks").alias("n_blocks"), F.posexplode("m.blocks").alias("block_no", "b"))
+    return x.select("template", "map_no", "end_no", "n_ends", "block_no", "n_blocks", "seq_name", "strand", F.col("b.pos").alias("b_start"), (F.col("b.pos") + M.block_length(F.col("b")) - 1).alias("b_end"))
 
 
-def gene_counts(blocks: DataFrame, features: DataFrame, multi: bool = False, weighted: bool = False, exon_overlap: float = 0.0) -> DataFrame:
-    """``gene_id, n``: templates per gene. Templates with several genes count if ``multi``, each gene 1/genes if ``weighted``.
+def gene_counts(blocks: DataFrame, features: DataFrame, multi: bool = False, weighted: bool = False, exon_overlap: float = 0.0, paired: bool = False, single_ends: bool = False, lengths: DataFrame | None = None) -> DataFrame:
+    """``gene_id, n``: reads per gene. Templates with several genes count if ``multi``, each gene 1/genes if ``weighted``.
 
-    A template's weight of a gene is the largest over its mappings.
+    A single end counts 1, a pair 2; with ``single_ends`` a pair counts the ends that hit the gene, the most over its
+    mappings. ``paired`` leaves templates of a single end out unless ``single_ends`` is set. With ``lengths``
+    (``template, bases``, both ends together) bases are counted in place of reads: all of a pair's, or half of them where
+    one end counts.
     """
-    per = gene_hits(blocks, features, exon_overlap).groupBy("template", "gene_id").agg(F.max("weight").alias("weight"))
+    per = gene_hits(blocks, features, exon_overlap).groupBy("template", "gene_id").agg(F.max("weight").alias("weight"), F.max("n_ends").alias("n_ends"))
+    pair = F.col("n_ends") == 2
+    if paired and not single_ends:
+        per = per.where(pair)
     n = per.groupBy("template").agg(F.count("*").alias("hits"))
     x = per.join(n, "template")
     if not (multi or weighted):
         x = x.where("hits = 1")
-    value = F.col("weight") / F.col("hits") if weighted else F.col("weight").cast("double")
+    v = F.when(pair, F.col("weight") if single_ends else F.lit(2)).otherwise(1)
+    value = v / F.col("hits") if weighted else v.cast("double")
+    if lengths is not None:
+        x = x.join(lengths.select(F.col("template"), F.col("bases").cast("bigint").alias("_bases")), "template")
+        b = F.when(pair & (v != 2), F.floor(F.col("_bases") / 2)).otherwise(F.col("_bases")).cast("double")
+        value = F.when(pair, b * (b / (F.col("_bases") * F.col("hits")))).otherwise(1 / F.col("hits")) if weighted else b
     return x.groupBy("gene_id").agg(F.sum(value).alias("n"))
 
 

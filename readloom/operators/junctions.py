@@ -71,6 +71,24 @@ def on_sequences(j: DataFrame, names: DataFrame) -> DataFrame:
     return j.join(a, "seq1", "left_semi").join(a.withColumnRenamed("seq1", "seq2"), "seq2", "left_semi").select(*SITE)
 
 
+def with_strand(templates: DataFrame, key: str, chunks: DataFrame, size: int = 1 << 16) -> DataFrame:
+    """Templates whose split mappings tell, in a field ``xs``, the strand that the bases of the reference at their first
+    junction speak for; others have ``0``. ``chunks`` are those of :func:`readloom.sources.fastx.reference_chunks`."""
+    from readloom.functions import mapping as M
+    from readloom.sources.fastx import sequence_at
+
+    j = templates.select(F.col(key).alias("_key"), F.posexplode("maps").alias("_no", "m")).where(F.size("m.blocks") > 1)
+    first = F.get(M.splices(F.col("m.blocks")), F.lit(0))
+    five = F.lit(5).cast("bigint")
+    j = j.select("_key", "_no", F.col("m.seq_name").alias("_q"), first["s"].alias("_s"), (first["e"] - 4).alias("_e"), five.alias("_n")).where("_s is not null")
+    a = sequence_at(j, chunks, "_q", "_s", "_n", size=size).withColumnRenamed("sequence", "_donor")
+    b = sequence_at(a, chunks, "_q", "_e", "_n", size=size)
+    xs = b.select("_key", F.struct("_no", motif_strand(F.col("_donor"), F.col("sequence")).alias("xs")).alias("x")).groupBy("_key").agg(F.map_from_entries(F.collect_list("x")).alias("_xs"))
+    t = templates.join(xs, templates[key] == xs["_key"], "left")
+    say = lambda i: F.coalesce(F.try_element_at(F.col("_xs"), i), F.lit("0"))
+    return t.withColumn("maps", F.transform("maps", lambda m, i: m.withField("xs", say(i)))).drop("_key", "_xs")
+
+
 # Motifs of splice sites on the forward strand (donor, acceptor), and read from the other strand.
 FORWARD = (("GT", "AG"), ("GC", "AG"), ("ATATC", "A."), ("GTATC", "AT"))
 REVERSE = (("CT", "AC"), ("CT", "GC"), (".T", "GATAT"), ("AT", "GATAC"))

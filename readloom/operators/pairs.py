@@ -101,11 +101,11 @@ def ends(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 def sam_lines(df: DataFrame) -> DataFrame:
     """SAM records of pairs: each mapping gives a line per end, the first mapping primary, with mate and template size."""
     from readloom.functions import sequence as S
-    from readloom.sources.sinks import _cigar, flag_paired
+    from readloom.sources.sinks import _cigar, flag_paired, mapping_class
 
     some = F.size("mmaps") > 0
     none = F.lit(None).cast(df.schema["mmaps"].dataType.elementType.simpleString())
-    x = df.select("tag", "reads", "quals", F.posexplode(F.when(some, F.col("mmaps")).otherwise(F.array(none))).alias("no", "p"))
+    x = df.select("tag", "reads", "quals", "counters", F.posexplode(F.when(some, F.col("mmaps")).otherwise(F.array(none))).alias("no", "p"))
     x = x.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("end"))
     first = F.col("end") == 0
     m = F.when(first, F.col("p.m1")).otherwise(F.col("p.m2"))
@@ -117,6 +117,6 @@ def sam_lines(df: DataFrame) -> DataFrame:
     qual = F.coalesce(F.when(is_rev(m), F.reverse(q)).otherwise(q), F.lit("*"))
     tlen = F.coalesce(M.observed_template_size(m["seq_name"], m["blocks"], mate["seq_name"], mate["blocks"]), F.lit(0))
     rnext = F.when(mate.isNull(), "*").when(mate["seq_name"] == m["seq_name"], "=").otherwise(mate["seq_name"])
-    mapq = F.when(m.isNull(), "0").otherwise("255")
+    mapq = F.when(m.isNull(), "0").otherwise(mapping_class(F.col("counters"), F.col("no") == 0).cast("string"))
     core = [S.sam_qname(F.col("tag")), flag.cast("string"), F.coalesce(m["seq_name"], F.lit("*")), F.coalesce(m["pos"], F.lit(0)).cast("string"), mapq, F.coalesce(_cigar(m), F.lit("*")), rnext, F.coalesce(mate["pos"], F.lit(0)).cast("string"), tlen.cast("string"), seq, qual]
     return x.select(F.concat_ws("\t", *core).alias("value"))

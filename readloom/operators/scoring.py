@@ -60,19 +60,35 @@ def pair_ends(left: DataFrame, right: DataFrame, lo: int, hi: int, key: str = "t
     return a.join(b, on).withColumn("insert_size", x).where(F.col("insert_size").between(lo, hi)).drop("_k", "_b", "_c", "_p", "_q")
 
 
+def unpaired(ends: DataFrame, pairs: DataFrame, end_no: int, key: str = "tag", id_field: str = "map_id") -> DataFrame:
+    """Mappings of one end that no pair holds, in the shape of :func:`pair_ends`: the other end and the insert size are
+    null. ``id_field`` names the field of ``m`` that tells mappings apart."""
+    used = pairs.select(F.col(f"m{end_no}.{id_field}").alias("_id")).distinct()
+    x = ends.select(F.col(key), F.col("m"), F.col(f"m.{id_field}").alias("_own")).join(used, F.col("_own") == F.col("_id"), "left_anti")
+    none = F.lit(None).cast(ends.schema["m"].dataType)
+    m1, m2 = (F.col("m"), none) if end_no == 1 else (none, F.col("m"))
+    return x.select(key, m1.alias("m1"), m2.alias("m2"), F.lit(None).cast("bigint").alias("insert_size"))
+
+
+def pair_reads(left: DataFrame, right: DataFrame, lo: int, hi: int, key: str = "tag", id_field: str = "map_id") -> DataFrame:
+    """All pairs by insert size, and every mapping of either end that found no partner."""
+    pairs = pair_ends(left, right, lo, hi, key)
+    return pairs.unionByName(unpaired(left, pairs, 1, key, id_field)).unionByName(unpaired(right, pairs, 2, key, id_field))
+
+
 def mapping_quality(df: DataFrame, template: list[str], location: list[str], score: str) -> DataFrame:
     """``template…, location…, phred``: mapping quality of each distinct location of a template.
 
     The probability of a location is the softmax of -score/10 (base 10) among the template's; ``phred`` is
     ``-10 log10(1 - p)`` rounded, at most 254. Sums are grouped with partial aggregation, so no template is one task.
     """
-    one = df.groupBy(*template, *location).agg(F.min(score).alias("s"))
-    low = one.groupBy(*template).agg(F.min("s").alias("lo"))
-    p = one.join(low, template).withColumn("e", F.pow(F.lit(10.0), -(F.col("s") - F.col("lo")) / 10))
+    one = df.groupBy(*template, *location).agg(F.min(score).alias("_s"))
+    low = one.groupBy(*template).agg(F.min("_s").alias("_lo"))
+    p = one.join(low, template).withColumn("_e", F.pow(F.lit(10.0), -(F.col("_s") - F.col("_lo")) / 10))
     # What the best location leaves is summed by itself: beside it a small rest would drown in rounding.
-    best = F.col("s") == F.col("lo")
-    z = p.groupBy(*template).agg(F.count(F.when(best, 1)).alias("k"), F.coalesce(F.sum(F.when(~best, F.col("e"))), F.lit(0.0)).alias("t"))
-    rest = F.when(best, (F.col("k") - 1 + F.col("t")) / (F.col("k") + F.col("t"))).otherwise(1 - F.col("e") / (F.col("k") + F.col("t")))
+    best = F.col("_s") == F.col("_lo")
+    z = p.groupBy(*template).agg(F.count(F.when(best, 1)).alias("_k"), F.coalesce(F.sum(F.when(~best, F.col("_e"))), F.lit(0.0)).alias("_t"))
+    rest = F.when(best, (F.col("_k") - 1 + F.col("_t")) / (F.col("_k") + F.col("_t"))).otherwise(1 - F.col("_e") / (F.col("_k") + F.col("_t")))
     phred = F.when(rest < 1e-255, 254).otherwise(F.least(F.floor(0.5 - 10 * F.log10(rest)), F.lit(254))).cast("int")
     return p.join(z, template).select(*template, *location, phred.alias("phred"))
 

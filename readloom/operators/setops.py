@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.functions import counters as C
 from readloom.functions import mapping as M
 from readloom.operators import templates as T
 from readloom.plans.runtime import materialize, n_shuffle
@@ -32,15 +33,39 @@ def intersect_maps(a: Column, b: Column) -> Column:
     return F.filter(a, lambda m: F.array_contains(kb, M.map_key(m)))
 
 
-def subtract_within(a: Column, b: Column, tolerance: int) -> Column:
+def subtract_within(a: Column, b: Column, tolerance: float | Column) -> Column:
     """As :func:`subtract_maps` with tolerant equality, which is not transitive and hence compared pair by pair."""
     return F.filter(a, lambda m: ~F.exists(b, lambda o: M.same_within(m, o, tolerance)))
 
 
-def intersect_within(a: Column, b: Column, tolerance: int) -> Column:
+def intersect_within(a: Column, b: Column, tolerance: float | Column) -> Column:
     return F.filter(a, lambda m: F.exists(b, lambda o: M.same_within(m, o, tolerance)))
 
 
+def pair_key(p: Column) -> Column:
+    """Hashable form of the strict equality of paired mappings: that of both ends."""
+    end = lambda m: F.coalesce(M.map_key(m), F.lit(""))
+    return F.concat(end(p["m1"]), F.lit("::"), end(p["m2"]))
+
+
+def union_pairs(a: Column, b: Column) -> Column:
+    """As :func:`union_maps` for paired mappings."""
+    from readloom.operators.pairs import distance
+
+    ka, kb = F.transform(a, pair_key), F.transform(b, pair_key)
+    better = lambda p: F.get(F.filter(b, lambda o: (pair_key(o) == pair_key(p)) & (distance(o) < distance(p))), F.lit(0))
+    return F.concat(F.transform(a, lambda p: F.when(F.array_contains(kb, pair_key(p)), F.coalesce(better(p), p)).otherwise(p)), F.filter(b, lambda p: ~F.array_contains(ka, pair_key(p))))
+
+
+def pair_union(master: DataFrame, slave: DataFrame, key: str = "tag") -> DataFrame:
+    """Records of the master with the paired mappings of both; records only the master has pass through."""
+    from readloom.operators.pairs import recount
+
+    b = slave.select(F.col(key).alias("_key"), F.col("mmaps").alias("_other"), F.col("mcs").alias("_mcs"))
+    x = master.join(b, master[key] == b["_key"], "left").withColumn("_other", F.coalesce("_other", F.slice("mmaps", 1, 0)))
+    return recount(x.withColumn("mmaps", union_pairs(F.col("mmaps"), F.col("_other"))).withColumn("mcs", F.least("mcs", "_mcs")).drop("_key", "_other", "_mcs"))
+
+
 def _sides(master: DataFrame, slave: DataFrame, key: str, how: str) -> DataFrame:
     b = slave.select(F.col(key).alias("_key"), F.col("maps").alias("maps2"), F.col("mcs").alias("mcs2"))
     empty = F.slice(F.col("maps"), 1, 0)
@@ -54,36 +79,55 @@ def file_union(master: DataFrame, slave: DataFrame, key: str = "tag") -> DataFra
     return T.recount(x.drop("maps2", "mcs2"))
 
 
-def file_difference(master: DataFrame, slave: DataFrame, key: str = "tag", tolerance: int | None = None) -> DataFrame:
+def _share(tolerance: float) -> Column | float:
+    """A tolerance of up to 1 is a share of the read's length."""
+    return F.floor(F.length("read") * F.lit(float(tolerance))) if tolerance <= 1 else tolerance
+
+
+def file_difference(master: DataFrame, slave: DataFrame, key: str = "tag", tolerance: float | None = None) -> DataFrame:
+    """Records of the master with the mappings the slave lacks; equal within ``tolerance`` bases, or within that share of
+    the read if it is at most 1."""
     x = _sides(master, slave, key, "left")
-    y = subtract_maps(F.col("maps"), F.col("maps2")) if tolerance is None else subtract_within(F.col("maps"), F.col("maps2"), tolerance)
+    y = subtract_maps(F.col("maps"), F.col("maps2")) if tolerance is None else subtract_within(F.col("maps"), F.col("maps2"), _share(tolerance))
     return T.recount(x.withColumn("maps", y).drop("maps2", "mcs2"))
 
 
-def file_intersection(master: DataFrame, slave: DataFrame, key: str = "tag", tolerance: int | None = None) -> DataFrame:
+def file_intersection(master: DataFrame, slave: DataFrame, key: str = "tag", tolerance: float | None = None) -> DataFrame:
     """Records both have, with the mappings both have."""
     x = _sides(master, slave, key, "inner")
-    y = intersect_maps(F.col("maps"), F.col("maps2")) if tolerance is None else intersect_within(F.col("maps"), F.col("maps2"), tolerance)
+    y = intersect_maps(F.col("maps"), F.col("maps2")) if tolerance is None else intersect_within(F.col("maps"), F.col("maps2"), _share(tolerance))
     return T.recount(x.withColumn("maps", y).drop("maps2", "mcs2"))
 
 
 def file_join(master: DataFrame, slave: DataFrame, key: str = "tag") -> DataFrame:
-    """``key, maps_a, maps_b`` of records both have."""
-    return _sides(master, slave, key, "inner").select(key, T.texts(F.col("maps")).alias("maps_a"), T.texts(F.col("maps2")).alias("maps_b"))
+    """``key, counters_a, counters_b, maps_a, maps_b`` of records both have; counters are those of the mappings."""
+    a, b = F.col("maps"), F.col("maps2")
+    return _sides(master, slave, key, "inner").select(key, _counted(a).alias("counters_a"), _counted(b).alias("counters_b"), T.texts(a).alias("maps_a"), T.texts(b).alias("maps_b"))
+
+
+def _counted(maps: Column) -> Column:
+    return C.render_counters(C.counters_of(T.distances(maps)), compact=False)
 
 
 def file_compare(master: DataFrame, slave: DataFrame, key: str = "tag") -> DataFrame:
-    """``key, only_a, only_b, both`` of records both have."""
+    """``key, only_a, only_b, both`` of records both have, each with its counters."""
     a, b = F.col("maps"), F.col("maps2")
-    return _sides(master, slave, key, "inner").select(key, T.texts(subtract_maps(a, b)).alias("only_a"), T.texts(subtract_maps(b, a)).alias("only_b"), T.texts(intersect_maps(a, b)).alias("both"))
+    sets = {"only_a": subtract_maps(a, b), "only_b": subtract_maps(b, a), "both": intersect_maps(a, b)}
+    return _sides(master, slave, key, "inner").select(key, *(_counted(x).alias(f"counters_{n}") for n, x in sets.items()), *(T.texts(x).alias(n) for n, x in sets.items()))
 
 
 def merge(master: DataFrame, *slaves: DataFrame, key: str = "tag", same_reads: bool = False) -> DataFrame:
-    """Master with the mappings of each slave in turn; ``same_reads`` keeps only records that all inputs have."""
+    """Master with the mappings of each slave in turn. With ``same_reads`` the inputs must hold the same records, and a
+    record that one of them lacks is an error; :func:`unmatched` tells them beforehand."""
     out = master
     for s in slaves:
         if same_reads:
-            out = T.recount(_sides(out, s, key, "inner").withColumn("maps", union_maps(F.col("maps"), F.col("maps2"))).withColumn("mcs", F.least("mcs", "mcs2")).drop("maps2", "mcs2"))
+            b = s.select(F.col(key).alias("_key"), F.col("maps").alias("maps2"), F.col("mcs").alias("mcs2"))
+            x = out.join(b, out[key] == b["_key"], "full")
+            lost = F.col(key).isNull() | F.col("_key").isNull()
+            name = F.coalesce(F.col(key).cast("string"), F.col("_key").cast("string"), F.lit("null"))
+            both = F.when(lost, F.raise_error(F.concat(F.lit("inputs of the same reads differ at "), name))).otherwise(union_maps(F.col("maps"), F.col("maps2")))
+            out = T.recount(x.withColumn("maps", both).withColumn("mcs", F.least("mcs", "mcs2")).drop("_key", "maps2", "mcs2"))
         else:
             out = file_union(out, s, key)
     return out

@@ -76,6 +76,13 @@ def general(templates: DataFrame) -> DataFrame:
     )
 
 
+def read_counters(templates: DataFrame, maps: str = "maps", ends: int = 1) -> DataFrame:
+    """``reads, unmapped, unique, mappings`` of templates with ``ends`` ends; reads are counted by their ends."""
+    k = F.size(maps)
+    n = lambda c: (F.count(F.when(c, 1)) * ends).alias
+    return templates.agg((F.count("*") * ends).alias("reads"), n(k == 0)("unmapped"), n(k == 1)("unique"), F.sum(k.cast("bigint")).alias("mappings"))
+
+
 def nucleotides(reads: DataFrame, read: str = "read_seq") -> DataFrame:
     """``base, value``: counted per read first, so a row is never blown up into one row per base."""
     one = lambda b: F.length(read) - F.length(F.regexp_replace(F.upper(read), b, ""))
@@ -122,6 +129,16 @@ def to_json_report(stats: DataFrame) -> DataFrame:
 # ---- duplicates -----------------------------------------------------------------------------------------------------
 
 
+def pair_classes(rows: DataFrame, template: str, end: str, seq: str, strand: str) -> DataFrame:
+    """``kind, n`` of templates with one mapping of either end: DS on different strands of a sequence, SS on the same
+    one, MM on different sequences. One grouped pass; a template with any number of mappings is one row of sums."""
+    first, second = F.col(end) == 1, F.col(end) == 2
+    only = lambda c, e: F.max(F.when(e, F.col(c)))
+    g = rows.groupBy(template).agg(F.count(F.when(first, 1)).alias("_n1"), F.count(F.when(second, 1)).alias("_n2"), only(seq, first).alias("_q1"), only(seq, second).alias("_q2"), only(strand, first).alias("_s1"), only(strand, second).alias("_s2"))
+    kind = F.when(F.col("_q1") != F.col("_q2"), "MM").when(F.col("_s1") == F.col("_s2"), "SS").otherwise("DS")
+    return g.where("_n1 = 1 and _n2 = 1").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
 def duplicate_classes(rows: DataFrame, keys: list[str], tile: str, strand: str) -> DataFrame:
     """Pairs of rows at one location by class: same tile and strand, same tile, same strand, neither; and group sizes.
 

@@ -243,17 +243,19 @@ def stats_json(spark, d):
     return A.to_json_report(A.merge(stats_length_hist(spark, d), stats_mmap_hist(spark, d)))
 
 
-@query(f"""WITH {ROWS}, g AS (SELECT seq_name, pos, CASE WHEN len(string_split(tag, ':')) >= 5 THEN string_split(tag, ':')[-3] END AS tile, strand FROM w),
-c AS (SELECT seq_name, pos, tile, sum((strand = '+')::INT) AS p, sum((strand <> '+')::INT) AS m FROM g GROUP BY ALL),
-k AS (SELECT seq_name, pos, sum(p + m) AS k, sum(p * (p - 1) / 2 + m * (m - 1) / 2) AS a, sum(p * m) AS b, sum(p) AS ps, sum(m) AS ms, sum(p * p + m * m) AS sq FROM c GROUP BY ALL)
+@query(f"""WITH {ROWS}, g AS (SELECT seq_name, pos, abs(tlen) AS dist, CASE WHEN len(string_split(tag, ':')) >= 5 THEN string_split(tag, ':')[-3] END AS tile, tlen > 0 AS fw FROM w WHERE tlen <> 0),
+c AS (SELECT seq_name, pos, dist, tile, sum(fw::INT) AS p, sum((NOT fw)::INT) AS m FROM g GROUP BY ALL),
+k AS (SELECT seq_name, pos, dist, sum(p + m) AS k, sum(p * (p - 1) / 2 + m * (m - 1) / 2) AS a, sum(p * m) AS b, sum(p) AS ps, sum(m) AS ms, sum(p * p + m * m) AS sq FROM c GROUP BY ALL)
 SELECT CAST(k AS BIGINT) AS k, count(*) AS groups, CAST(sum(a) AS BIGINT) AS same_tile_strand, CAST(sum(b) AS BIGINT) AS same_tile, CAST(sum((ps * ps + ms * ms - sq) / 2) AS BIGINT) AS same_strand, CAST(sum(ps * ms - b) AS BIGINT) AS neither FROM k GROUP BY ALL""")
 def duplicate_counts(spark, d):
-    return A.duplicate_classes(_tiled(spark, d), ["seq_name", "pos"], "tile", "strand")
+    """Groups of mappings of one place and one distance to the mate; the sign of the distance tells the strand."""
+    return A.duplicate_classes(_tiled(spark, d), ["seq_name", "pos", "dist"], "tile", "side")
 
 
 def _tiled(spark, d):
     p = F.split("tag", ":")
-    return rows(spark, d, "tag", "seq_name", "pos", "strand", "maps").where("maps <> '-'").withColumn("tile", F.when(F.size(p) >= 5, F.get(p, F.size(p) - 3)))
+    x = rows(spark, d, "tag", "seq_name", "pos", "tlen", "maps").where("maps <> '-' and tlen <> 0").withColumn("tile", F.when(F.size(p) >= 5, F.get(p, F.size(p) - 3)))
+    return x.withColumn("dist", F.abs("tlen")).withColumn("side", F.when(F.col("tlen") > 0, "+").otherwise("-"))
 
 
 @query()
@@ -272,12 +274,16 @@ def stats_split_reads(spark, d):
     return x.agg(F.count("*").alias("mapped"), n(F.col("some")).alias("with_splits"), n(F.col("all")).alias("only_splits"), F.round(100.0 * n(F.col("some")) / F.count("*"), 6).alias("percent_with"))
 
 
-@query(f"""{_PAIR} SELECT insert_size, count(*) AS n, count(*) FILTER (WHERE a.dist + z.dist = 0) AS exact, count(*) FILTER (WHERE s1 = '+') AS forward_first FROM pairs JOIN w a ON a.map_id = id1 JOIN w z ON z.map_id = id2 GROUP BY 1""")
+@query(f"""{_PAIR}, k AS (SELECT tag, count(*) FILTER (WHERE end_no = 1) AS n1, count(*) FILTER (WHERE end_no = 2) AS n2 FROM w GROUP BY 1)
+SELECT insert_size, count(*) AS paired, count(*) FILTER (WHERE n1 = 1 AND n2 = 1) AS all_unique, count(*) FILTER (WHERE (n1 = 1) <> (n2 = 1)) AS recovered, count(*) FILTER (WHERE len(j1) + len(j2) > 0) AS split FROM pairs JOIN k USING (tag) GROUP BY 1""")
 def insert_by_class(spark, d):
-    """Insert sizes by class of pair: all, without edits, forward end first."""
-    x = _pairs(spark, d)
-    dist = M.global_distance(F.col("m1.blocks")) + M.global_distance(F.col("m2.blocks"))
-    return x.groupBy("insert_size").agg(F.count("*").alias("n"), F.count(F.when(dist == 0, 1)).alias("exact"), F.count(F.when(F.col("m1.strand") == "+", 1)).alias("forward_first"))
+    """Insert sizes by class of pair: all, of unique ends, with one unique end, with a split end."""
+    e = F.col("end_no")
+    k = rows(spark, d, "tag", "end_no", "maps").where("maps <> '-'").groupBy("tag").agg(F.count(F.when(e == 1, 1)).alias("n1"), F.count(F.when(e == 2, 1)).alias("n2"))
+    x = _pairs(spark, d).join(k, "tag")
+    u1, u2 = F.col("n1") == 1, F.col("n2") == 1
+    split = M.is_split(F.col("m1.blocks")) | M.is_split(F.col("m2.blocks"))
+    return x.groupBy("insert_size").agg(F.count("*").alias("paired"), F.count(F.when(u1 & u2, 1)).alias("all_unique"), F.count(F.when(u1 != u2, 1)).alias("recovered"), F.count(F.when(split, 1)).alias("split"))
 
 
 @query(f"""WITH {ROWS} SELECT count(*) FILTER (WHERE seq_name = 'chrM') AS control, count(*) AS mapped, round(100.0 * count(*) FILTER (WHERE seq_name = 'chrM') / count(*), 6) AS percent FROM w""")
@@ -305,6 +311,11 @@ def _other(spark, d):
     return T.recount(templates(spark, d).withColumn("maps", F.concat(F.filter("maps", lambda m: m["strand"] == "+"), turned)))
 
 
+#: Counters of the mappings of several sets per record.
+_COUNTED = """cn AS (SELECT line_id, w, dist, count(*) AS n FROM ({of}) GROUP BY ALL), cm AS (SELECT line_id, w, unnest(range(0, max(dist) + 1)) AS i FROM cn GROUP BY line_id, w),
+cc AS (SELECT cm.line_id, cm.w, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ':' ORDER BY i) AS c FROM cm LEFT JOIN cn ON cn.line_id = cm.line_id AND cn.w = cm.w AND cn.dist = cm.i GROUP BY ALL)"""
+
+
 def _kept(cond: str) -> str:
     return f"""WITH {SETS}, s AS (SELECT line_id, string_agg(txt, ',' ORDER BY ord) AS maps FROM a WHERE {cond} GROUP BY 1)
 SELECT t.line_id, coalesce(maps, '-') AS maps FROM tpl t LEFT JOIN s ON s.line_id = t.line_id"""
@@ -333,15 +344,18 @@ def set_union(spark, d):
     return _txt(U.file_union(_other(spark, d), templates(spark, d), "line_id"))
 
 
-@query(f"""WITH {SETS}, x AS (SELECT line_id, string_agg(txt, ',' ORDER BY ord) FILTER (WHERE NOT shared) AS o, string_agg(txt, ',' ORDER BY ord) FILTER (WHERE shared) AS s FROM a GROUP BY 1),
+@query(f"""WITH {SETS}, {_COUNTED.format(of="SELECT line_id, 'oa' AS w, dist FROM a WHERE NOT shared UNION ALL SELECT line_id, 'ob', dist FROM b WHERE NOT shared UNION ALL SELECT line_id, 'ab', dist FROM a WHERE shared")},
+x AS (SELECT line_id, string_agg(txt, ',' ORDER BY ord) FILTER (WHERE NOT shared) AS o, string_agg(txt, ',' ORDER BY ord) FILTER (WHERE shared) AS s FROM a GROUP BY 1),
 y AS (SELECT line_id, string_agg(txt, ',' ORDER BY ord) FILTER (WHERE NOT shared) AS o FROM b GROUP BY 1)
-SELECT t.line_id, coalesce(x.o, '-') AS only_a, coalesce(y.o, '-') AS only_b, coalesce(x.s, '-') AS both FROM tpl t LEFT JOIN x ON x.line_id = t.line_id LEFT JOIN y ON y.line_id = t.line_id""")
+SELECT t.line_id, coalesce(oa.c, '0') AS counters_only_a, coalesce(ob.c, '0') AS counters_only_b, coalesce(ab.c, '0') AS counters_both, coalesce(x.o, '-') AS only_a, coalesce(y.o, '-') AS only_b, coalesce(x.s, '-') AS both FROM tpl t LEFT JOIN x ON x.line_id = t.line_id LEFT JOIN y ON y.line_id = t.line_id
+LEFT JOIN cc oa ON oa.line_id = t.line_id AND oa.w = 'oa' LEFT JOIN cc ob ON ob.line_id = t.line_id AND ob.w = 'ob' LEFT JOIN cc ab ON ab.line_id = t.line_id AND ab.w = 'ab'""")
 def set_compare(spark, d):
     return U.file_compare(templates(spark, d), _other(spark, d), "line_id")
 
 
-@query(f"""WITH {SETS}, s AS (SELECT line_id, string_agg(txt, ',' ORDER BY ord) FILTER (WHERE src = 'a') AS a, string_agg(txt, ',' ORDER BY ord) FILTER (WHERE src = 'b') AS b FROM k GROUP BY 1)
-SELECT t.line_id, coalesce(a, '-') AS maps_a, coalesce(b, '-') AS maps_b FROM tpl t LEFT JOIN s ON s.line_id = t.line_id""")
+@query(f"""WITH {SETS}, {_COUNTED.format(of="SELECT line_id, src AS w, dist FROM k")}, s AS (SELECT line_id, string_agg(txt, ',' ORDER BY ord) FILTER (WHERE src = 'a') AS a, string_agg(txt, ',' ORDER BY ord) FILTER (WHERE src = 'b') AS b FROM k GROUP BY 1)
+SELECT t.line_id, coalesce(ca.c, '0') AS counters_a, coalesce(cb.c, '0') AS counters_b, coalesce(a, '-') AS maps_a, coalesce(b, '-') AS maps_b FROM tpl t LEFT JOIN s ON s.line_id = t.line_id
+LEFT JOIN cc ca ON ca.line_id = t.line_id AND ca.w = 'a' LEFT JOIN cc cb ON cb.line_id = t.line_id AND cb.w = 'b'""")
 def set_join(spark, d):
     return U.file_join(templates(spark, d), _other(spark, d), "line_id")
 

@@ -101,8 +101,12 @@ class Pipeline:
         return gone
 
 
-def rna_pipeline(spark: SparkSession, config: PipelineConfig, maps: DataFrame, annotation: DataFrame) -> Pipeline:
-    """Filter mappings, count genes, find junctions and summarise: the parts of an RNA analysis behind the mapper."""
+def rna_pipeline(spark: SparkSession, config: PipelineConfig, maps: DataFrame, annotation: DataFrame, pairs: DataFrame | None = None) -> Pipeline:
+    """Filter mappings, count genes, find junctions and summarise: the parts of an RNA analysis behind the mapper.
+
+    ``maps`` are templates with a column ``template``; ``pairs``, if there are any, paired templates with the same column.
+    With ``count_pairs`` only pairs count, if ``pairs`` are given. ``extra`` holds further filter options by name.
+    """
     from pyspark.sql import functions as F
 
     from readloom.operators import filters as P
@@ -111,16 +115,25 @@ def rna_pipeline(spark: SparkSession, config: PipelineConfig, maps: DataFrame, a
     from readloom.operators import stats as A
     from readloom.operators import templates as T
 
-    opts = P.FilterOptions(min_intron=config.min_intron, min_block=config.min_block or None, max_strata_after_best=config.max_strata_after_best, unique_level=config.unique_level, to_max_maps=config.max_maps)
+    opts = P.FilterOptions(min_intron=config.min_intron, min_block=config.min_block or None, max_strata_after_best=config.max_strata_after_best, unique_level=config.unique_level, to_max_maps=config.max_maps, **config.extra)
 
     def blocks(t: DataFrame) -> DataFrame:
         b = T.block_rows(t, ("template",))
-        return b.select("template", "map_no", F.lit(1).alias("end_no"), "block_no", "n_blocks", "seq_name", "strand", F.col("start_pos").alias("b_start"), F.col("end_pos").alias("b_end"))
+        return b.select("template", "map_no", F.lit(1).alias("end_no"), F.lit(1).alias("n_ends"), "block_no", "n_blocks", "seq_name", "strand", F.col("start_pos").alias("b_start"), F.col("end_pos").alias("b_end"))
+
+    def count(b: DataFrame) -> DataFrame:
+        both = config.count_pairs and pairs is not None
+        return I.gene_counts(b.unionByName(I.pair_blocks(pairs, "template")) if both else b, annotation, config.count_multimaps, config.count_weighted, config.exon_overlap, paired=both)
+
+    def junctions(b: DataFrame) -> DataFrame:
+        lo, hi = config.junction_distance
+        near = J.from_mappings(b, ["template", "map_no"]).where((F.col("right") - F.col("left")).between(lo, hi))
+        return J.supported(near, J.from_annotation(annotation), config.junction_coverage)
 
     return Pipeline(spark, config.output, [
         Step("filtered", lambda: P.filter_templates(maps, opts)),
         Step("blocks", blocks, ("filtered",), final=False),
-        Step("counts", lambda b: I.gene_counts(b, annotation, config.count_multimaps, config.count_weighted, 0.0), ("blocks",)),
-        Step("junctions", lambda b: J.supported(J.from_mappings(b, ["template", "map_no"]), J.from_annotation(annotation), config.junction_coverage), ("blocks",)),
+        Step("counts", count, ("blocks",)),
+        Step("junctions", junctions, ("blocks",)),
         Step("statistics", lambda t: A.general(t), ("filtered",)),
     ])

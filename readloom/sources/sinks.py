@@ -61,12 +61,26 @@ def _cigar(m: Column) -> Column:
     return F.when(m["strand"] == "-", M.cigar(M.reverse_blocks(m["blocks"]))).otherwise(M.cigar(m["blocks"]))
 
 
+# SAM mapping qualities by class of uniqueness.
+UNIQUE_FAR, UNIQUE_NEAR, BEST_OF_SEVERAL, TIED = 254, 180, 119, 0
+
+
+def mapping_class(counters: Column, primary: Column) -> Column:
+    """Mapping quality by the counters: the only mapping, the best with others a stratum or more away, one of a tie or a
+    worse one. 255 would mean that none is known."""
+    d = C.uniq_degree(counters)
+    alone = C.reduce_sum(counters) == 1
+    return F.when(~primary | (d < 0), TIED).when(alone, UNIQUE_FAR).when(d > 0, UNIQUE_NEAR).otherwise(BEST_OF_SEVERAL)
+
+
 #: Functional fields by name: ``fn(df columns)`` of a mapping ``m`` of a template.
 FIELDS = {
     "NH": lambda m: F.concat(F.lit("NH:i:"), F.size("maps").cast("string")),
     "NM": lambda m: F.concat(F.lit("NM:i:"), (M.levenshtein(m["blocks"]) - M.left_trim(m["blocks"]) - F.when(F.size(m["blocks"]["misms"]) > 0, M.right_trim(m["blocks"])).otherwise(0)).cast("string")),
     "XT": lambda m: F.concat(F.lit("XT:A:"), F.when(C.uniq_degree(F.col("counters")) != -1, "U").otherwise("R")),
-    "cs": lambda m: F.concat(F.lit("cs:Z:"), M.render_edits(m["blocks"])),
+    "md": lambda m: F.concat(F.lit("md:Z:"), M.render_edits(m["blocks"])),
+    "cs": lambda m: F.when(S.parse_tag(F.col("tag"))["casava"] != "", F.concat(F.lit("cs:Z:"), S.parse_tag(F.col("tag"))["casava"])),
+    "XS": lambda m: F.when(F.size(m["blocks"]) > 1, F.concat(F.lit("XS:A:"), m["xs"])),
     "MQ": lambda m: F.concat(F.lit("MQ:i:"), F.coalesce(m["score"], F.lit(0).cast("bigint")).bitwiseAND(F.lit(0xFF).cast("bigint")).cast("string")),
     "UQ": lambda m: F.concat(F.lit("UQ:i:"), F.coalesce(m["score"], F.lit(0).cast("bigint")).bitwiseAND(F.lit(0xFFFF).cast("bigint")).cast("string")),
     "PQ": lambda m: F.concat(F.lit("PQ:i:"), F.shiftright(F.coalesce(m["score"], F.lit(0).cast("bigint")), 32).bitwiseAND(F.lit(0xFF).cast("bigint")).cast("string")),
@@ -89,7 +103,9 @@ def sam_header(sequences: DataFrame, read_groups: list[dict] = (), program: str
 def sam_lines(df: DataFrame, fields: tuple[str, ...] = ("NH", "NM", "XT"), compact: bool = False) -> DataFrame:
     """SAM records of single-end templates: the first mapping is primary, others secondary (or listed in XA if ``compact``).
 
-    Reads and qualities are turned on the reverse strand. Unmapped templates give one record with flag 4.
+    Reads and qualities are turned on the reverse strand. Unmapped templates give one record with flag 4. The mapping
+    quality is that of ``mapping_class``, from the counters. ``XS`` needs mappings with the field ``xs``
+    (:func:`readloom.operators.junctions.with_strand`).
     """
     some = F.size("maps") > 0
     rows = df.withColumn("m_no", F.explode(F.when(some, F.sequence(F.lit(0), F.when(F.lit(compact), 0).otherwise(F.size("maps") - 1))).otherwise(F.array(F.lit(0)))))
@@ -102,7 +118,7 @@ def sam_lines(df: DataFrame, fields: tuple[str, ...] = ("NH", "NM", "XT"), compa
     if compact:
         xa = F.array_join(F.transform(F.slice("maps", F.lit(2), F.greatest(F.size("maps") - 1, F.lit(0))), lambda a: F.concat_ws(",", a["seq_name"], F.concat(a["strand"], a["pos"].cast("string")), _cigar(a), M.levenshtein(a["blocks"]).cast("string"))), ";")
         opt.append(F.when(F.size("maps") > 1, F.concat(F.lit("XA:Z:"), xa)))
-    mapq = F.when(some, F.lit(255)).otherwise(0)
+    mapq = F.when(some, mapping_class(F.col("counters"), F.col("m_no") == 0)).otherwise(0)
     core = [S.sam_qname(F.col("tag")), flag.cast("string"), F.coalesce(m["seq_name"], F.lit("*")), F.coalesce(m["pos"], F.lit(0)).cast("string"), mapq.cast("string"), F.coalesce(_cigar(m), F.lit("*")), F.lit("*"), F.lit("0"), F.lit("0"), seq, q]
     return rows.select(F.concat_ws("\t", *core, *opt).alias("value"))
 

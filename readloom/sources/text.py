@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions import mapping as M
+from readloom.functions import sequence as S
 from readloom.operators import templates as T
 from readloom.sources import fastx
 
@@ -74,6 +75,36 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     return sam_table(spark.read.text(path))
 
 
+def sam_templates(sam: DataFrame) -> DataFrame:
+    """Templates of SAM records: ``tag, end_no, read, quals, counters, mcs, not_unique, maps, phreds``, one per read end.
+
+    All records of one end (0 for single ends) are put together: the primary one tells read and qualities, turned back
+    where it lies on the reverse strand, and every mapped one, and those listed in XA, a mapping. ``phreds`` are their
+    mapping qualities (null for XA). Records without sequence have an empty read.
+    """
+    f = F.col("flag")
+    bit = lambda n: f.bitwiseAND(F.lit(n)) != 0
+    end = F.when(bit(64), 1).when(bit(128), 2).otherwise(0)
+    strand = F.when(bit(16), "-").otherwise("+")
+
+    def mapping(seq, strand, pos, blocks, phred, order):
+        edits = F.when(strand == "-", M.render_edits(M.reverse_blocks(blocks))).otherwise(M.render_edits(blocks))
+        return F.struct(order.alias("o"), F.concat_ws(":", seq, strand, pos.cast("string"), edits).alias("txt"), phred.cast("int").alias("phred"))
+
+    own = F.when(~bit(4) & F.col("blocks").isNotNull(), F.array(mapping(F.col("rname"), strand, F.col("pos"), F.col("blocks"), F.col("mapq"), bit(256).cast("int")))).otherwise(F.array())
+    other = F.transform(F.coalesce(alternative_hits(F.col("tags")), F.expr("array()")), lambda a: mapping(a["seq_name"], a["strand"], a["pos"], cigar_blocks(a["pos"], a["cigar"]), F.lit(None), F.lit(2)))
+    seq = F.when(F.col("seq") != "*", F.col("seq"))
+    qual = F.when(F.col("qual") != "*", F.col("qual"))
+    x = sam.select(
+        "qname", end.alias("end_no"), F.when(~bit(256), F.when(bit(16), S.reverse_complement(F.upper(seq))).otherwise(F.upper(seq))).alias("_r"), F.when(~bit(256), F.when(bit(16), F.reverse(qual)).otherwise(qual)).alias("_q"),
+        F.concat(own.cast("array<struct<o: int, txt: string, phred: int>>"), other.cast("array<struct<o: int, txt: string, phred: int>>")).alias("_m"),
+    )
+    g = x.groupBy("qname", "end_no").agg(F.coalesce(F.max("_r"), F.lit("")).alias("read"), F.max("_q").alias("quals"), F.array_distinct(F.array_sort(F.flatten(F.collect_list("_m")))).alias("_m"))
+    y = g.select(F.col("qname").alias("tag"), "end_no", "read", "quals", F.transform("_m", lambda m: M.parse_map(m["txt"])).alias("maps"), F.transform("_m", lambda m: m["phred"]).alias("phreds"))
+    y = T.recount(y.withColumn("not_unique", F.lit(False)))
+    return y.withColumn("mcs", F.size("counters"))
+
+
 def flags(f: Column) -> Column:
     """The bits of a SAM flag by name."""
     names = ["paired", "proper", "unmapped", "mate_unmapped", "reverse", "mate_reverse", "first", "last", "secondary", "failed", "duplicate"]
@@ -139,9 +170,9 @@ def read_ranges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
-    """Any of the formats, told by the first line unless named."""
+    """Any of the formats, told by the first line unless named; SAM comes as templates, like MAP."""
     kind = format or detect_format(spark, path)
-    readers = {"fastq": fastx.read_fastq, "fasta": fastx.read_fasta, "map": read_map, "sam": read_sam, "gtf": read_gtf}
+    readers = {"fastq": fastx.read_fastq, "fasta": fastx.read_fasta, "map": read_map, "sam": lambda s, p: sam_templates(read_sam(s, p)), "gtf": read_gtf}
     if kind not in readers:
         raise ValueError(f"no reader for {kind or 'this format'}: {path}")
     return readers[kind](spark, path)

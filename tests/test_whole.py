@@ -52,7 +52,7 @@ def test_sets_of_whole_inputs(spark, tmp_path):
     one = {n: {r[1:] for r in rows} for n, rows in got.items()}
     assert all(len(rows) == 4 for rows in got.values())
     assert one["set_union"] == {("chr1:+:5:4,chr2:+:7:4,chr2:-:7:4",)} and one["set_intersection"] == {("chr1:+:5:4",)}
-    assert one["set_compare"] == {("chr2:-:7:4", "chr2:+:7:4", "chr1:+:5:4")} and one["set_join"] == {("chr1:+:5:4,chr2:-:7:4", "chr1:+:5:4,chr2:+:7:4")}
+    assert one["set_compare"] == {("1", "1", "1", "chr2:-:7:4", "chr2:+:7:4", "chr1:+:5:4")} and one["set_join"] == {("2", "2", "chr1:+:5:4,chr2:-:7:4", "chr1:+:5:4,chr2:+:7:4")}
     assert one["merge_same_reads"] == one["merge_subset"] == {("chr1:+:5:4,chr2:-:7:4,chr2:+:7:4",)}
     assert one["set_difference"] == one["set_difference_tolerant"] == {("chr2:-:7:4",)}
 
