@@ -161,7 +161,7 @@ def _sam(spark, d):
 
 
 @query(r"""WITH c AS (SELECT string_split(raw_line, chr(9)) AS c FROM raw_records WHERE file_kind = 'sam' AND NOT regexp_matches(raw_line, '^@[A-Z]{2}\t')),
-s AS (SELECT c[1] AS tag, TRY_CAST(c[2] AS INT) AS f, c[3] AS q, TRY_CAST(c[4] AS BIGINT) AS p, c[6] AS cg, c[10] AS sq, c[11] AS ql FROM c WHERE len(c) >= 11),
+s AS (SELECT c[1] AS tag, CASE WHEN regexp_full_match(trim(c[2]), '[+-]?[0-9]+') THEN TRY_CAST(trim(c[2]) AS INT) END AS f, c[3] AS q, CASE WHEN regexp_full_match(trim(c[4]), '[+-]?[0-9]+') THEN TRY_CAST(trim(c[4]) AS BIGINT) END AS p, c[6] AS cg, c[10] AS sq, c[11] AS ql FROM c WHERE len(c) >= 11),
 e AS (SELECT *, CASE WHEN f & 64 <> 0 THEN 1 WHEN f & 128 <> 0 THEN 2 ELSE 0 END AS en, f & 16 <> 0 AS rev, coalesce(f & 256 <> 0, true) AS sec FROM s),
 r AS (SELECT tag, en, coalesce(max(CASE WHEN NOT sec AND sq <> '*' THEN CASE WHEN rev THEN reverse(translate(upper(sq), 'ACGTN', 'TGCAN')) ELSE upper(sq) END END), '') AS read, max(CASE WHEN NOT sec AND ql <> '*' THEN CASE WHEN rev THEN reverse(ql) ELSE ql END END) AS quals FROM e GROUP BY ALL),
 m AS (SELECT DISTINCT tag, en, q || ':' || CASE WHEN rev THEN '-' ELSE '+' END || ':' || p AS pl, CAST(len(regexp_extract_all(cg, 'N')) AS BIGINT) AS sp FROM e WHERE f & 4 = 0 AND regexp_full_match(cg, '([0-9]+[MIDNSHP=X])+') AND p IS NOT NULL),

@@ -91,7 +91,7 @@ def sam_templates(sam: DataFrame) -> DataFrame:
         edits = F.when(strand == "-", M.render_edits(M.reverse_blocks(blocks))).otherwise(M.render_edits(blocks))
         return F.struct(order.alias("o"), F.concat_ws(":", seq, strand, pos.cast("string"), edits).alias("txt"), phred.cast("int").alias("phred"))
 
-    own = F.when(~bit(4) & F.col("blocks").isNotNull(), F.array(mapping(F.col("rname"), strand, F.col("pos"), F.col("blocks"), F.col("mapq"), bit(256).cast("int")))).otherwise(F.array())
+    own = F.when(~bit(4) & F.col("blocks").isNotNull() & F.col("pos").isNotNull(), F.array(mapping(F.col("rname"), strand, F.col("pos"), F.col("blocks"), F.col("mapq"), bit(256).cast("int")))).otherwise(F.array())
     other = F.transform(F.coalesce(alternative_hits(F.col("tags")), F.expr("array()")), lambda a: mapping(a["seq_name"], a["strand"], a["pos"], cigar_blocks(a["pos"], a["cigar"]), F.lit(None), F.lit(2)))
     seq = F.when(F.col("seq") != "*", F.col("seq"))
     qual = F.when(F.col("qual") != "*", F.col("qual"))
