@@ -13,7 +13,7 @@ from readloom.operators import templates as T
 from readloom.plans.map_queries import features
 from readloom.plans.read_queries import templates
 from readloom.plans.runtime import shared_path, table
-from readloom.plans.sqltext import MAPS, TPL
+from readloom.plans.sqltext import MAPS, TEXTS, TPL
 from readloom.sources import fastx, sinks, text
 from readloom.streaming import files
 
@@ -95,12 +95,6 @@ def sam_cigar(spark, d):
     return x.select("qname", "cigar", F.size("blocks").alias("n_blocks"), M.global_base_length(F.col("blocks")).alias("read_bases"), M.global_length(F.col("blocks")).alias("span"))
 
 
-@query(f"""{_SAM}, k AS (SELECT qname, flag, rname, pos, CASE WHEN rnext = '=' THEN rname ELSE rnext END AS nx, pnext FROM s WHERE flag & 1 <> 0 AND flag & 4 = 0 AND flag & 8 = 0)
-SELECT a.qname, a.rname AS rname1, a.pos AS pos1, b.rname AS rname2, b.pos AS pos2 FROM k a JOIN k b ON a.qname = b.qname AND a.flag & 64 <> 0 AND b.flag & 128 <> 0 AND a.nx = b.rname AND a.pnext = b.pos AND b.nx = a.rname AND b.pnext = a.pos""")
-def sam_mates(spark, d):
-    return text.solve_mates(text.sam_table(_raw(spark, d, "sam"))).drop("blocks1", "blocks2")
-
-
 @query(r"""WITH c AS (SELECT string_split(raw_line, chr(9)) AS c FROM raw_records WHERE file_kind = 'gtf' AND NOT starts_with(raw_line, '#'))
 SELECT c[1] AS seq_name, c[3] AS feature_type, CAST(c[4] AS BIGINT) AS start_pos, CAST(c[5] AS BIGINT) AS end_pos, nullif(regexp_extract(c[9], '(?:^|; *| )gene_id "([^"]*)"', 1), '') AS gene_id, nullif(regexp_extract(c[9], '(?:^|; *| )transcript_id "([^"]*)"', 1), '') AS transcript_id
 FROM c WHERE len(c) = 9 AND regexp_full_match(c[4], '[0-9]+') AND regexp_full_match(c[5], '[0-9]+')""")
@@ -139,12 +133,23 @@ def sink_map(spark, d):
     return x.select("tag", F.length("read").cast("bigint").alias("n"), F.size("maps").alias("n_maps"), F.aggregate(T.distances(F.col("maps")), F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total_distance"))
 
 
-@query()
+_DECLARED = """z AS (SELECT line_id, CASE WHEN ct = '!' THEN [] ELSE flatten(list_transform(string_split_regex(ct, '[:+]'), lambda t: list_resize(CAST([] AS BIGINT[]), CAST(coalesce(nullif(split_part(t, 'x', 2), ''), '1') AS BIGINT), CAST(split_part(t, 'x', 1) AS BIGINT)))) END AS c FROM tpl),
+y AS (SELECT line_id, c, coalesce(list_sum(c), 0) AS total, list_filter(range(1, len(c) + 1), lambda i: c[i] > 0) AS nz FROM z), uq AS (SELECT line_id, total, CASE WHEN len(nz) = 0 OR c[nz[1]] <> 1 THEN -1 ELSE coalesce(nz[2], len(c) + 1) - nz[1] - 1 END AS d FROM y),
+n AS (SELECT line_id, count(*) AS nh FROM m GROUP BY 1),
+r AS (SELECT t.line_id, m.map_no, t.tag, t.r, t.q, m.seq, m.st, m.pos, CASE WHEN m.st = '-' THEN rev ELSE fwd END AS cigar, lev, lt, rt, nh, d, CASE WHEN m.line_id IS NULL OR m.map_no > 0 OR d < 0 THEN 0 WHEN total = 1 THEN 254 WHEN d > 0 THEN 180 ELSE 119 END AS mapq
+  FROM tpl t JOIN uq ON uq.line_id = t.line_id LEFT JOIN m ON m.line_id = t.line_id LEFT JOIN n ON n.line_id = t.line_id LEFT JOIN cg ON cg.line_id = m.line_id AND cg.map_no = m.map_no LEFT JOIN tr ON tr.line_id = m.line_id AND tr.map_no = m.map_no)"""
+_CORE = """concat_ws(chr(9), split_part(tag, ' ', 1), CASE WHEN seq IS NULL THEN 4 ELSE CASE WHEN st = '-' THEN 16 ELSE 0 END + CASE WHEN map_no > 0 THEN 256 ELSE 0 END END, coalesce(seq, '*'), coalesce(pos, 0), mapq, coalesce(cigar, '*'), '*', '0', '0',
+  CASE WHEN st = '-' THEN reverse(translate(r, 'ACGTN', 'TGCAN')) ELSE r END, coalesce(CASE WHEN q <> '' THEN CASE WHEN st = '-' THEN reverse(q) ELSE q END END, '*'),
+  'NH:i:' || nh, CASE WHEN seq IS NOT NULL THEN 'NM:i:' || (lev - coalesce(lt, 0) - coalesce(rt, 0)) END, CASE WHEN seq IS NOT NULL THEN 'XT:A:' || CASE WHEN d <> -1 THEN 'U' ELSE 'R' END END"""
+
+
+@query(f"WITH {TEXTS}, {_DECLARED} SELECT {_CORE}) AS value FROM r")
 def sink_sam(spark, d):
     return sinks.sam_lines(templates(spark, d))
 
 
-@query()
+@query(f"""WITH {TEXTS}, {_DECLARED}, xa AS (SELECT line_id, string_agg(concat_ws(',', seq, st || pos, cigar, lev), ';' ORDER BY map_no) AS x FROM r WHERE map_no > 0 GROUP BY 1)
+SELECT {_CORE}, CASE WHEN x IS NOT NULL THEN 'XA:Z:' || x END) AS value FROM r LEFT JOIN xa ON xa.line_id = r.line_id WHERE coalesce(map_no, 0) = 0""")
 def sink_sam_compact(spark, d):
     return sinks.sam_lines(templates(spark, d), compact=True)
 
@@ -154,7 +159,7 @@ def sam_header(spark, d):
     return sinks.sam_header(table(spark, d, "ref_sequences")).select("value")
 
 
-@query()
+@query(f"WITH {TEXTS} SELECT tag || chr(10) || '  ' || r || chr(10) || '  ' || seq || ':' || st || ':' || pos || ' ' || edits AS value FROM m JOIN tpl ON tpl.line_id = m.line_id JOIN rn ON rn.line_id = m.line_id AND rn.map_no = m.map_no")
 def sink_pretty(spark, d):
     return sinks.pretty(templates(spark, d))
 

@@ -238,7 +238,9 @@ def length_quality_matrix(spark, d):
     return templates(spark, d).groupBy(A.bucket(F.length("read"), A.LENGTHS).alias("length_bucket"), average_quality(F.col("quals")).alias("avg_quality"), A.bucket(F.size("maps"), A.MULTIMAPS).alias("maps_bucket")).agg(F.count("*").alias("value"))
 
 
-@query()
+@query(f"""WITH {ROWS}, rd AS (SELECT DISTINCT read_id, read_seq FROM fastq_reads), c AS (SELECT tag, end_no, sum(CASE WHEN maps <> '-' THEN 1 ELSE 0 END) AS n FROM u GROUP BY ALL),
+h AS (SELECT 'length' AS metric, {_case('length(read_seq)', A.LENGTHS)} AS bucket, count(*) AS value FROM rd WHERE read_seq IS NOT NULL GROUP BY ALL UNION ALL SELECT 'multimaps', {_case('n', A.MULTIMAPS)}, count(*) FROM c GROUP BY ALL)
+SELECT metric, '{{' || string_agg('"' || bucket || '":' || value, ',' ORDER BY bucket) || '}}' AS json FROM h GROUP BY 1""")
 def stats_json(spark, d):
     return A.to_json_report(A.merge(stats_length_hist(spark, d), stats_mmap_hist(spark, d)))
 
@@ -258,10 +260,15 @@ def _tiled(spark, d):
     return x.withColumn("dist", F.abs("tlen")).withColumn("side", F.when(F.col("tlen") > 0, "+").otherwise("-"))
 
 
-@query()
+@query(f"""WITH {ROWS}, g AS (SELECT seq_name, pos, abs(tlen) AS dist, CASE WHEN len(string_split(tag, ':')) >= 5 THEN string_split(tag, ':')[-3] END AS tile, tlen > 0 AS fw FROM w WHERE tlen <> 0),
+k AS (SELECT seq_name, pos, dist, count(*) AS k FROM g GROUP BY ALL), p AS (SELECT count(*) FILTER (WHERE a.tile IS NOT DISTINCT FROM b.tile AND a.fw = b.fw) AS a, count(*) FILTER (WHERE a.tile IS NOT DISTINCT FROM b.tile AND a.fw <> b.fw) AS b,
+  count(*) FILTER (WHERE a.tile IS DISTINCT FROM b.tile AND a.fw = b.fw) AS c, count(*) FILTER (WHERE a.tile IS DISTINCT FROM b.tile AND a.fw <> b.fw) AS d
+  FROM (SELECT *, row_number() OVER () AS i FROM g) a JOIN (SELECT *, row_number() OVER () AS i FROM g) b ON a.seq_name = b.seq_name AND a.pos = b.pos AND a.dist = b.dist AND a.i < b.i),
+r AS (SELECT 1.0 - count(*)::DOUBLE / sum(k) AS rate FROM k) SELECT CASE WHEN a + b + c + d = 0 THEN 0.0 ELSE rate END AS duplicate_rate, CASE WHEN a + b + c + d = 0 THEN 0.0 ELSE a * (CASE WHEN a * d > 0 THEN 1.0 - b * c / (a * d) ELSE 1.0 END) / (a + b + c + d) END AS optical FROM p, r""")
 def duplicate_rate(spark, d):
+    """Share of duplicates and of optical ones; the number of fragments, found by halving, is in pytest."""
     r = A.duplicate_rate(duplicate_counts(spark, d))
-    return spark.range(1).select(*(F.lit(v).alias(k) for k, v in r.items()))
+    return spark.range(1).select(*(F.lit(float(r[k])).alias(k) for k in ("duplicate_rate", "optical")))
 
 
 @query(f"""WITH {MAPS}, r AS (SELECT line_id, max(njunc) AS mx, min(njunc) AS mn FROM m GROUP BY 1)
@@ -438,6 +445,13 @@ mk AS (SELECT template, map_no, g, x FROM mw WHERE ng = 1 OR (cnt = n_blocks AND
 tg AS (SELECT DISTINCT template, g FROM mk), th AS (SELECT template, count(*) AS hits FROM tg GROUP BY 1)"""
 
 
+_TGENE = f"""WITH {TBLOCKS}, {FEATURES}, h AS (SELECT line_id, map_no, tb.bno, n_blocks, s, en, ft, fs, fe, g FROM tb JOIN f ON seq = fq AND {HIT}),
+bg AS (SELECT line_id, map_no, bno, n_blocks, g, max((ft = 'exon')::INT) AS x, sum((ft = 'exon' AND (s = fs OR s = fe OR en = fe OR en = fs))::INT) AS j FROM h WHERE g IS NOT NULL GROUP BY ALL),
+ba AS (SELECT *, max(x) OVER (PARTITION BY line_id, map_no, bno) AS anyx FROM bg), mg AS (SELECT line_id, map_no, n_blocks, g, count(*) AS cnt, sum(j) AS j FROM ba WHERE x = anyx GROUP BY ALL),
+mw AS (SELECT *, count(*) OVER (PARTITION BY line_id, map_no) AS ng, coalesce(max(CASE WHEN cnt = n_blocks THEN j END) OVER (PARTITION BY line_id, map_no), 0) AS best FROM mg),
+mk AS (SELECT line_id, map_no, g FROM mw WHERE ng = 1 OR (cnt = n_blocks AND (best = 0 OR j = best)))"""
+
+
 @query(f"{_GENE} SELECT g AS gene_id, CAST(count(*) AS DOUBLE) AS n FROM tg JOIN th USING (template) WHERE hits = 1 GROUP BY g")
 def gene_counts(spark, d):
     return I.gene_counts(blocks(spark, d), features(spark, d))
@@ -511,7 +525,8 @@ def region_filter(spark, d):
     return g.join(top, "gene_id", "left_semi").select("template").distinct()
 
 
-@query()
+@query(f"""{_TGENE}, gc AS (SELECT line_id, map_no, count(DISTINCT g) AS genes FROM mk GROUP BY ALL), x AS (SELECT m.*, coalesce(genes, 0) > 1 AS ok FROM m LEFT JOIN gc ON gc.line_id = m.line_id AND gc.map_no = m.map_no),
+s AS (SELECT line_id, coalesce(string_agg(txt, ',' ORDER BY map_no) FILTER (WHERE ok), string_agg(txt, ',' ORDER BY map_no)) AS maps FROM x GROUP BY 1) SELECT t.line_id, coalesce(maps, '-') AS maps FROM tpl t LEFT JOIN s ON s.line_id = t.line_id""")
 def reduce_by_gene_id(spark, d):
     return _txt(I.reduce_by_annotation(templates(spark, d), features(spark, d), "line_id", by_gene=True))
 
@@ -523,7 +538,10 @@ def reduce_to_protein_coding(spark, d):
     return _txt(I.reduce_by_annotation(templates(spark, d), features(spark, d), "line_id", protein_coding=True))
 
 
-@query()
+@query(f"""WITH {TBLOCKS}, {FEATURES}, l AS (SELECT line_id, map_no, seq, lag(en) OVER (PARTITION BY line_id, map_no ORDER BY s, bno) AS le, s AS ri FROM tb), j AS (SELECT row_number() OVER () AS id, * FROM l WHERE le IS NOT NULL),
+x AS (SELECT * FROM f WHERE ft = 'exon' AND tr IS NOT NULL), z AS (SELECT DISTINCT j.id FROM j JOIN x ON j.seq = x.fq AND le BETWEEN x.fs AND x.fe JOIN x y ON j.seq = y.fq AND ri BETWEEN y.fs AND y.fe AND x.tr = y.tr),
+r AS (SELECT line_id, map_no, count(z.id)::DOUBLE / count(*) AS ratio FROM j LEFT JOIN z ON z.id = j.id GROUP BY ALL), q AS (SELECT m.line_id, m.map_no, txt, coalesce(ratio, 0) AS ratio, max(coalesce(ratio, 0)) OVER (PARTITION BY m.line_id) AS best FROM m LEFT JOIN r ON r.line_id = m.line_id AND r.map_no = m.map_no),
+s AS (SELECT line_id, coalesce(string_agg(txt, ',' ORDER BY map_no) FILTER (WHERE ratio <= 0 OR ratio = best), string_agg(txt, ',' ORDER BY map_no)) AS maps FROM q GROUP BY 1) SELECT t.line_id, coalesce(maps, '-') AS maps FROM tpl t LEFT JOIN s ON s.line_id = t.line_id""")
 def reduce_by_junctions(spark, d):
     return _txt(I.reduce_by_annotation(templates(spark, d), features(spark, d), "line_id", by_junctions=True))
 
@@ -671,7 +689,18 @@ def reduce_to_pairs(spark, d):
     return x.where(F.size("mmaps") > 0).select("id1", "id2")
 
 
-@query()
+_PSAM = f"""{_PAIR}, k0 AS (SELECT map_id, unnest(regexp_extract_all(e, '{E}')) AS t, generate_subscripts(regexp_extract_all(e, '{E}'), 1) AS i FROM w),
+k1 AS (SELECT *, right(t, 1) AS c, CASE WHEN regexp_matches(t, '^[A-Z]') THEN 1 ELSE CAST(regexp_extract(t, '[0-9]+') AS BIGINT) END AS n, coalesce(sum((right(t, 1) = '*')::INT) OVER (PARTITION BY map_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM k0),
+k3 AS (SELECT *, coalesce(sum(CASE WHEN c IN ('+', '*') THEN 0 ELSE n END) OVER (PARTITION BY map_id, part ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ap, sum(CASE WHEN c IN ('+', '*') THEN 0 ELSE n END) OVER (PARTITION BY map_id, part) AS total FROM k1),
+k4 AS (SELECT *, CASE WHEN c = '*' THEN 'N' WHEN c = '+' THEN 'D' WHEN c NOT IN ('-', ')') THEN 'M' WHEN ap = 0 OR ap + n = total THEN 'S' ELSE 'I' END AS o FROM k3 WHERE n > 0 OR c IN ('-', ')', '+', '*')),
+k5 AS (SELECT *, sum((o <> 'M')::INT) OVER (PARTITION BY map_id ORDER BY i) AS isl FROM k4), k6 AS (SELECT map_id, o, min(i) AS i, CAST(sum(n) AS BIGINT) AS n FROM k5 GROUP BY map_id, isl, o, part, CASE WHEN o <> 'M' THEN i END),
+cg AS (SELECT map_id, CASE WHEN any_value(strand) = '-' THEN string_agg(n || o, '' ORDER BY i DESC) ELSE string_agg(n || o, '' ORDER BY i) END AS cigar FROM k6 JOIN (SELECT map_id AS w_id, strand FROM w) ON w_id = map_id GROUP BY 1),
+en AS (SELECT tag, id1 AS own, id2 AS mate, s1 AS st, s2 AS mst, lo1 AS lo, lo2 AS mlo, hi1, hi2, l1 AS len, 64 AS bit FROM pairs UNION ALL SELECT tag, id2, id1, s2, s1, lo2, lo1, hi1, hi2, l2, 128 FROM pairs)
+SELECT concat_ws(chr(9), split_part(tag, ' ', 1), 3 + CASE WHEN st = '-' THEN 16 ELSE 0 END + CASE WHEN mst = '-' THEN 32 ELSE 0 END + bit, a.seq_name, a.pos, 254, cigar, '=', z.pos, CASE WHEN lo <= mlo THEN greatest(hi1, hi2) - lo + 1 ELSE -(greatest(hi1, hi2) - mlo + 1) END,
+  repeat(CASE WHEN st = '-' THEN 'T' ELSE 'A' END, CAST(len AS INT)), '*') AS value FROM en JOIN (SELECT map_id AS i1, seq_name, pos FROM w) a ON i1 = own JOIN (SELECT map_id AS i2, pos FROM w) z ON i2 = mate JOIN cg ON cg.map_id = own"""
+
+
+@query(_PSAM)
 def paired_sam(spark, d):
     return Q2.sam_lines(_paired_text(spark, d))
 

@@ -11,7 +11,7 @@ from readloom.functions import sequence as S
 from readloom.operators import filters as P
 from readloom.operators import templates as T
 from readloom.plans.runtime import table
-from readloom.plans.sqltext import MAPS, TBLOCKS, TPL
+from readloom.plans.sqltext import MAPS, TBLOCKS, TEXTS, TPL
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -94,20 +94,20 @@ def map_metrics(spark, d):
     )
 
 
-@query(f"""WITH {MAPS} SELECT line_id, CAST(map_no AS INT) AS map_no, CASE WHEN contains(e, '>') OR contains(e, '(') THEN regexp_replace(e, '^(.*)$', '\\1') ELSE e END AS edits FROM m WHERE NOT contains(e, '(') AND NOT regexp_matches(e, '^>[0-9]+-|>[0-9]+-$|>[0-9]+->[0-9]+[*]|[*]>[0-9]+-|(^|[^0-9>(])0')""")
+@query(f"WITH {TEXTS} SELECT m.line_id, CAST(m.map_no AS INT) AS map_no, edits FROM m JOIN rn ON rn.line_id = m.line_id AND rn.map_no = m.map_no")
 def map_render(spark, d):
-    x = T.map_rows(templates(spark, d), ("line_id",)).where(~F.split(F.col("m.txt"), ":")[3].rlike(r"\(|^>[0-9]+-|>[0-9]+-$|>[0-9]+->[0-9]+\*|\*>[0-9]+-|(^|[^0-9>(])0"))
-    return x.select("line_id", "map_no", M.render_edits(F.col("m.blocks")).alias("edits"))
+    return T.map_rows(templates(spark, d), ("line_id",)).select("line_id", "map_no", M.render_edits(F.col("m.blocks")).alias("edits"))
 
 
-@query()
+@query(f"WITH {TEXTS} SELECT line_id, CAST(map_no AS INT) AS map_no, fwd AS cigar FROM cg")
 def map_cigar(spark, d):
     return T.map_rows(templates(spark, d), ("line_id",)).select("line_id", "map_no", M.cigar(F.col("m.blocks")).alias("cigar"))
 
 
-@query()
+@query(f"WITH {TEXTS} SELECT line_id, CAST(map_no AS INT) AS map_no, rev AS cigar FROM cg")
 def map_reverse_blocks(spark, d):
-    return T.map_rows(templates(spark, d), ("line_id",)).select("line_id", "map_no", F.to_json(M.reverse_blocks(F.col("m.blocks"))).alias("reversed"))
+    """Blocks and operations from the other end, told by their CIGAR."""
+    return T.map_rows(templates(spark, d), ("line_id",)).select("line_id", "map_no", M.cigar(M.reverse_blocks(F.col("m.blocks"))).alias("cigar"))
 
 
 @query(f"WITH {TBLOCKS} SELECT line_id, CAST(map_no AS INT) AS map_no, seq AS seq_name, st AS strand, CAST(n_blocks AS INT) AS n_blocks, CAST(bno AS INT) AS block_no, s AS start_pos, en AS end_pos FROM tb")
@@ -252,7 +252,10 @@ def top_n_maps(spark, d):
     return _kept(P.max_output(templates(spark, d), 2))
 
 
-@query()
+@query(f"""WITH {TEXTS}, po AS (SELECT line_id, map_no, c, i, CAST(coalesce(sum(used) OVER (PARTITION BY line_id, map_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS abs FROM k3),
+lq AS (SELECT po.line_id, map_no, arg_max(CASE WHEN substr(q, abs + 1, 1) = '' THEN 0 ELSE ascii(substr(q, abs + 1, 1)) END, i) AS q FROM po JOIN tpl ON tpl.line_id = po.line_id WHERE regexp_matches(c, '[A-Z]') GROUP BY ALL),
+qm AS (SELECT m.line_id, m.map_no, m.txt, coalesce(lq.q, 0) AS v, max(coalesce(lq.q, 0)) OVER (PARTITION BY m.line_id) AS top, tpl.q IS NULL AS none FROM m JOIN tpl ON tpl.line_id = m.line_id LEFT JOIN lq ON lq.line_id = m.line_id AND lq.map_no = m.map_no),
+s AS (SELECT line_id, string_agg(txt, ',' ORDER BY map_no) AS maps FROM qm WHERE none OR NOT (v <> 0 AND v <> top AND top - v <= 20) GROUP BY 1) SELECT t.line_id, coalesce(maps, '-') AS maps FROM tpl t LEFT JOIN s ON s.line_id = t.line_id""")
 def reduce_by_quality(spark, d):
     return _kept(P.reduce_by_quality(templates(spark, d), 20))
 

@@ -86,3 +86,17 @@ an AS (SELECT w.*, lo, hi, coalesce(js, []) AS js, ls + base_len + CASE WHEN str
 p AS (SELECT a.tag, a.map_id AS id1, z.map_id AS id2, a.strand AS s1, z.strand AS s2, a.lo AS lo1, z.lo AS lo2, a.hi AS hi1, z.hi AS hi2, a.base_len AS l1, z.base_len AS l2, a.js AS j1, z.js AS j2, a.glen AS g1, z.glen AS g2,
   a.seq_name, CASE WHEN a.strand = '+' THEN z.anchor - a.anchor ELSE a.anchor - z.anchor END AS insert_size FROM an a JOIN an z ON a.tag = z.tag AND a.seq_name = z.seq_name AND a.strand <> z.strand AND a.end_no = 1 AND z.end_no = 2),
 pairs AS (SELECT * FROM p WHERE insert_size BETWEEN 0 AND 20000)"""
+
+#: Texts of the templates' mappings from their edit tokens: CIGAR as listed and reversed, edits rendered anew, trims at both ends.
+TEXTS = rf"""{MAPS},
+k0 AS (SELECT line_id, map_no, unnest(regexp_extract_all(e, '{E}')) AS t, generate_subscripts(regexp_extract_all(e, '{E}'), 1) AS i FROM m),
+k1 AS (SELECT *, right(t, 1) AS c, CASE WHEN regexp_matches(t, '^[A-Z]') THEN 1 ELSE CAST(regexp_extract(t, '[0-9]+') AS BIGINT) END AS n, coalesce(sum((right(t, 1) = '*')::INT) OVER (PARTITION BY line_id, map_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM k0),
+k2 AS (SELECT *, CASE WHEN c IN ('+', '*') THEN 0 ELSE n END AS used FROM k1),
+k3 AS (SELECT *, coalesce(sum(used) OVER (PARTITION BY line_id, map_no, part ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ap, sum(used) OVER (PARTITION BY line_id, map_no, part) AS total FROM k2),
+k4 AS (SELECT *, CASE WHEN c = '*' THEN 'N' WHEN c = '+' THEN 'D' WHEN c NOT IN ('-', ')') THEN 'M' WHEN ap = 0 OR ap + n = total THEN 'S' ELSE 'I' END AS o FROM k3 WHERE n > 0 OR c IN ('-', ')', '+', '*')),
+k5 AS (SELECT *, sum((o <> 'M')::INT) OVER (PARTITION BY line_id, map_no ORDER BY i) AS isl FROM k4),
+k6 AS (SELECT line_id, map_no, o, min(i) AS i, CAST(sum(n) AS BIGINT) AS n FROM k5 GROUP BY line_id, map_no, isl, o, part, CASE WHEN o <> 'M' THEN i END),
+cg AS (SELECT line_id, map_no, string_agg(n || o, '' ORDER BY i) AS fwd, string_agg(n || o, '' ORDER BY i DESC) AS rev FROM k6 GROUP BY ALL),
+rn AS (SELECT line_id, map_no, string_agg(CASE WHEN o = 'S' THEN '(' || n || ')' WHEN o = 'I' THEN '>' || n || '-' WHEN regexp_matches(t, '^[0-9]') THEN CAST(n AS VARCHAR) ELSE CASE WHEN c IN ('+', '*') THEN '>' || n || c ELSE t END END, '' ORDER BY i) AS edits FROM k4 GROUP BY ALL),
+em AS (SELECT *, row_number() OVER (PARTITION BY line_id, map_no ORDER BY i) AS lo, row_number() OVER (PARTITION BY line_id, map_no ORDER BY i DESC) AS hi, max(part) OVER (PARTITION BY line_id, map_no) AS mp FROM k3 WHERE c IN ('-', ')', '+') OR regexp_matches(t, '^[A-Z]')),
+tr AS (SELECT line_id, map_no, coalesce(max(CASE WHEN lo = 1 AND part = 0 AND ap = 0 AND c IN ('-', ')') THEN n END), 0) AS lt, coalesce(max(CASE WHEN hi = 1 AND part = mp AND ap + n = total AND c IN ('-', ')') THEN n END), 0) AS rt FROM em GROUP BY ALL)"""
