@@ -100,8 +100,11 @@ def score_in(df: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
             cond = cond | score_or_phred(m, None if phreds is None else F.get(phreds, i)).between(lo, hi)
         return cond
 
-    kept = df.withColumn("maps", F.filter("maps", ok))
-    return kept if phreds is None else kept.withColumn("phreds", F.transform(F.filter(F.transform(df["maps"], lambda m, i: F.struct(ok(m, i).alias("ok"), F.get(phreds, i).alias("p"))), lambda x: x["ok"]), lambda x: x["p"]))
+    if phreds is None:
+        return df.withColumn("maps", F.filter("maps", ok))
+    both = F.filter(F.transform("maps", lambda m, i: F.struct(ok(m, i).alias("ok"), m.alias("m"), F.get(phreds, i).alias("p"))), lambda x: x["ok"])
+    x = df.withColumn("_both", both)
+    return x.withColumn("maps", F.transform("_both", lambda b: b["m"])).withColumn("phreds", F.transform("_both", lambda b: b["p"])).drop("_both")
 
 
 def mismatch_quality(m: Column, quals: Column, mode: str = "last") -> Column:

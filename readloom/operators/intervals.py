@@ -1,8 +1,10 @@
 """Overlap joins of intervals with annotated features, gene counts and gene-body coverage.
 
 The join is an equi-join on bins of several widths. An interval of the large side gets one bin: the narrowest that
-holds it whole. A feature of the small side is listed in every bin of every width that it touches. So the large side is
-neither copied nor deduplicated, each pair meets in exactly one bin, and features of any length need few rows.
+holds it whole. A feature of the small side is listed in every bin of every width that it touches, if its own narrowest
+bin is at most LISTED wide. So the large side is neither copied nor deduplicated and each pair meets in exactly one bin.
+Longer features, if there are any, are listed once a width from their own on; the large side looks them up with one row
+for each of these few widths. No feature needs more than some thousand rows, however long.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from readloom.plans.runtime import materialize
 
 #: Bin widths are 2 ** shift.
 SHIFTS = (10, 13, 16, 19, 22, 25, 28, 31, 40)
+#: Features whose own bin is wider than 2 ** LISTED are not listed in narrower ones.
+LISTED = 22
 
 
 def hits(s: Column, e: Column, fs: Column, fe: Column) -> Column:
@@ -45,7 +49,14 @@ def _cover(s: Column, e: Column) -> Column:
     return F.flatten(F.array(*map(level, SHIFTS)))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, left_on: tuple[str, str, str], right_on: tuple[str, str, str], predicate=hits, how: str = "inner") -> DataFrame:
+def _from(s: Column, e: Column, shifts: tuple[int, ...]) -> Column:
+    """The bins of ``shifts`` that hold [s, e] whole, and whether each is the narrowest that does."""
+    own = _home(s, e)["k"]
+    every = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftright(s, k).alias("n"), (own == k).alias("own")) for k in shifts))
+    return F.filter(every, lambda b: b["k"] >= own)
+
+
+def overlap_join(left: DataFrame, right: DataFrame, left_on: tuple[str, str, str], right_on: tuple[str, str, str], predicate=hits) -> DataFrame:
     """Pairs of ``left`` (the large side) and ``right`` (features) on one sequence for which ``predicate`` holds.
 
     ``*_on`` name sequence, start and end. Column names of the two sides must differ. Null bounds and start after end
@@ -55,9 +66,18 @@ def overlap_join(left: DataFrame, right: DataFrame, left_on: tuple[str, str, str
     a, b = F.col(la).cast("bigint"), F.col(lb).cast("bigint")
     x = left.withColumn("_bin", F.when(a <= b, _home(a, b))).withColumn("_lk", F.col("_bin.k")).withColumn("_ln", F.col("_bin.n")).drop("_bin")
     fa, fb = F.col(ra).cast("bigint"), F.col(rb).cast("bigint")
-    y = right.where(fa <= fb).withColumn("_bin", F.explode(_cover(fa, fb))).withColumn("_rk", F.col("_bin.k")).withColumn("_rn", F.col("_bin.n")).drop("_bin")
+    features = right.where(fa <= fb)
+    long = _home(fa, fb)["k"] > LISTED
+    y = features.where(~long).withColumn("_bin", F.explode(_cover(fa, fb))).withColumn("_rk", F.col("_bin.k")).withColumn("_rn", F.col("_bin.n")).drop("_bin")
     on = (F.col(ls) == F.col(rs)) & (F.col("_lk") == F.col("_rk")) & (F.col("_ln") == F.col("_rn")) & predicate(F.col(la), F.col(lb), F.col(ra), F.col(rb))
-    return x.join(y, on, how).drop("_lk", "_ln", "_rk", "_rn")
+    out = x.join(y, on).drop("_lk", "_ln", "_rk", "_rn")
+    if not features.where(long).take(1):
+        return out
+    # At the wider of their two widths each of a pair lies in one bin, and in the same one if they overlap.
+    wide = tuple(k for k in SHIFTS if k > LISTED)
+    z = left.where(a <= b).withColumn("_bin", F.explode(_from(a, b, wide))).select(*left.columns, F.col("_bin.k").alias("_lk"), F.col("_bin.n").alias("_ln"), F.col("_bin.own").alias("_lo"))
+    w = features.where(long).withColumn("_bin", F.explode(_from(fa, fb, wide))).select(*right.columns, F.col("_bin.k").alias("_rk"), F.col("_bin.n").alias("_rn"), F.col("_bin.own").alias("_ro"))
+    return out.unionByName(z.join(w, on & (F.col("_lo") | F.col("_ro"))).drop("_lk", "_ln", "_lo", "_rk", "_rn", "_ro"))
 
 
 # ---- annotation as a table ------------------------------------------------------------------------------------------
@@ -111,7 +131,8 @@ def block_hits(blocks: DataFrame, features: DataFrame) -> DataFrame:
     If blocks also tell ``n_ends``, the ends of their mapping, it need not be counted.
     """
     f = features.select(F.col("seq_name").alias("f_seq"), F.col("feature_type").alias("f_type"), F.col("start_pos").alias("f_start"), F.col("end_pos").alias("f_end"), F.col("gene_id").alias("f_gene"), F.col("transcript_id").alias("f_transcript"))
-    return overlap_join(blocks, f, ("seq_name", "b_start", "b_end"), ("f_seq", "f_start", "f_end"))
+    # Every grouping behind it has these keys, so the hits move once.
+    return overlap_join(blocks, f, ("seq_name", "b_start", "b_end"), ("f_seq", "f_start", "f_end")).repartition("template", "map_no")
 
 
 def block_types(blocks: DataFrame, hit: DataFrame) -> DataFrame:

@@ -80,9 +80,9 @@ def with_strand(templates: DataFrame, key: str, chunks: DataFrame, size: int = 1
     j = templates.select(F.col(key).alias("_key"), F.posexplode("maps").alias("_no", "m")).where(F.size("m.blocks") > 1)
     first = F.get(M.splices(F.col("m.blocks")), F.lit(0))
     five = F.lit(5).cast("bigint")
-    j = j.select("_key", "_no", F.col("m.seq_name").alias("_q"), first["s"].alias("_s"), (first["e"] - 4).alias("_e"), five.alias("_n")).where("_s is not null")
-    a = sequence_at(j, chunks, "_q", "_s", "_n", size=size).withColumnRenamed("sequence", "_donor")
-    b = sequence_at(a, chunks, "_q", "_e", "_n", size=size)
+    j = j.select("_key", "_no", F.col("m.seq_name").alias("_on"), first["s"].alias("_from"), (first["e"] - 4).alias("_to"), five.alias("_five")).where("_from is not null")
+    a = sequence_at(j, chunks, "_on", "_from", "_five", size=size).withColumnRenamed("sequence", "_donor")
+    b = sequence_at(a, chunks, "_on", "_to", "_five", size=size)
     xs = b.select("_key", F.struct("_no", motif_strand(F.col("_donor"), F.col("sequence")).alias("xs")).alias("x")).groupBy("_key").agg(F.map_from_entries(F.collect_list("x")).alias("_xs"))
     t = templates.join(xs, templates[key] == xs["_key"], "left")
     say = lambda i: F.coalesce(F.try_element_at(F.col("_xs"), i), F.lit("0"))

@@ -49,6 +49,14 @@ def _reads(spark, d):
 _RD = "WITH rd AS (SELECT DISTINCT read_id, tag, read_seq, qualities FROM fastq_reads WHERE read_seq <> '' AND qualities <> '')"
 
 
+@query("""WITH rd AS (SELECT DISTINCT read_id, read_seq FROM fastq_reads WHERE read_seq <> '') SELECT CAST(read_id AS VARCHAR) AS seq_name, CAST(i AS BIGINT) AS chunk_no, substr(read_seq, CAST(i * 32 + 1 AS BIGINT), 32) AS chunk FROM (SELECT *, unnest(range(0, (length(read_seq) + 31) // 32)) AS i FROM rd)""")
+def source_fasta_chunks(spark, d):
+    """Written as FASTA and read back cut into chunks, by the reader and from whole sequences."""
+    path = _written(sinks.fasta_lines(_reference(spark, d).where("sequence <> ''"), width=50))
+    a = fastx.read_fasta_chunks(spark, path, 32, 1 << 16)
+    return a.intersectAll(fastx.reference_chunks(fastx.read_fasta(spark, path), 32))
+
+
 @query(f"{_RD} SELECT tag || ' ' || read_id AS tag, read_seq AS read, qualities AS quals FROM rd")
 def source_fastq(spark, d):
     """Written as FASTQ and read back in small byte ranges."""

@@ -13,6 +13,7 @@ import gzip
 import io
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -21,6 +22,8 @@ from readloom.plans.runtime import materialize
 
 #: Bytes of a range unless the option ``rangeBytes`` says otherwise.
 RANGE_BYTES = 64 << 20
+#: Rows of an Arrow batch, and characters after which a batch is handed on.
+BATCH_ROWS, BATCH_CHARS = 8192, 8 << 20
 
 
 def _filesystem(path: str):
@@ -44,35 +47,50 @@ def list_files(path: str) -> list[tuple[str, int]]:
     return sorted((head + i.path, i.size) for i in names)
 
 
+def compression(path: str) -> str | None:
+    """gzip or bzip2 by the first bytes, whatever the name."""
+    f, p = _filesystem(path)
+    with f.open_input_stream(p, compression=None) as x:
+        head = x.read(3)
+    return "gzip" if head[:2] == b"\x1f\x8b" else "bzip2" if head == b"BZh" else None
+
+
 class Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int | None):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, path: str, start: int, end: int | None, kind: str | None = None):
+        self.path, self.start, self.end, self.kind = path, start, end, kind
 
 
-def _lines(path: str, start: int) -> Iterator[tuple[int, str]]:
-    """Lines from the first line start at or behind ``start``, with their byte offsets; compressed files from 0."""
-    f, p = _filesystem(path)
-    raw = f.open_input_file(p) if not path.endswith((".gz", ".bz2")) else f.open_input_stream(p, compression=None)
-    if path.endswith(".gz"):
-        stream = gzip.GzipFile(fileobj=raw)
-    elif path.endswith(".bz2"):
-        stream = bz2.BZ2File(raw)
+def _lines(part: Range) -> Iterator[tuple[int, str]]:
+    """Lines from the first line start at or behind the range's start, with their byte offsets; compressed files from 0."""
+    f, p = _filesystem(part.path)
+    at = 0
+    if part.kind:
+        raw = f.open_input_stream(p, compression=None)
+        stream = gzip.GzipFile(fileobj=raw) if part.kind == "gzip" else bz2.BZ2File(raw)
     else:
-        at = max(0, start - 1)
+        raw = f.open_input_file(p)
+        at = max(0, part.start - 1)
         raw.seek(at)
         stream = io.BufferedReader(raw, 1 << 20)
-        if start:
+        if part.start:
             at += len(stream.readline())
-        for line in stream:
-            yield at, line.decode("utf-8", "replace").rstrip("\r\n")
-            at += len(line)
-        return
-    at = 0
     for line in stream:
         yield at, line.decode("utf-8", "replace").rstrip("\r\n")
         at += len(line)
 
 
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += sum(len(v) for v in r if isinstance(v, str))
+        if len(held) >= BATCH_ROWS or size >= BATCH_CHARS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -81,16 +99,30 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[Range]:
         out = []
         for path, size in list_files(self.path):
-            if path.endswith((".gz", ".bz2")):
-                out.append(Range(path, 0, None))
+            if kind := compression(path):
+                out.append(Range(path, 0, None, kind))
             else:
                 out += [Range(path, a, min(a + self.size, size)) for a in range(0, size, self.size)]
         return out
 
 
+_FASTQ = pa.schema([("tag", pa.string()), ("read", pa.string()), ("quals", pa.string()), ("at", pa.int64()), ("fault", pa.string())])
+
+
 class _Fastq(_Reader):
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.faults = options.get("faults", "false") == "true"
+
     def read(self, part: Range):
-        lines = _lines(part.path, part.start)
+        rows = self.records(part)
+        if self.faults:
+            return _batches(rows, _FASTQ)
+        return _batches((r[:3] for r in rows if r[4] is None), pa.schema(list(_FASTQ)[:3]))
+
+    def records(self, part: Range):
+        """Records, and what stands in a record's place, with the byte offset and the fault."""
+        lines = _lines(part)
         window: list[tuple[int, str]] = []
         if part.start:
             # Find the first record: a quality line may start with @, but no + line stands two lines behind it.
@@ -110,23 +142,31 @@ class _Fastq(_Reader):
                 window.append(x)
             if not window or (part.end is not None and window[0][0] >= part.end):
                 return
-            if not window[0][1].startswith("@"):
-                window.pop(0)  # a stray line; resume at the next record start
+            at, first = window[0]
+            if not first.startswith("@"):
+                if first:
+                    yield first, None, None, at, "no record starts here"
+                window.pop(0)
                 continue
-            if len(window) < 4:
+            if len(window) < 3 or (len(window) == 3 and window[2][1].startswith("+")):
+                yield first[1:], window[1][1] if len(window) > 1 else None, None, at, "truncated"
                 return
-            (_, tag), (_, read), (_, plus), (_, quals) = window
-            if not plus.startswith("+"):
+            if not window[2][1].startswith("+"):
+                yield first[1:], window[1][1], None, at, "no line of +"
                 window.pop(0)
                 continue
-            yield tag[1:], read, quals
+            (_, read), _, (_, quals) = window[1:]
+            yield first[1:], read, quals, at, None
             window = []
 
 
 class _Fasta(_Reader):
     def read(self, part: Range):
+        return _batches(self.records(part), pa.schema([("name", pa.string()), ("sequence", pa.string())]))
+
+    def records(self, part: Range):
         name, seq = None, []
-        for at, line in _lines(part.path, part.start):
+        for at, line in _lines(part):
             if line.startswith(">"):
                 if name is not None:
                     yield name, "".join(seq)
@@ -139,13 +179,48 @@ class _Fasta(_Reader):
             yield name, "".join(seq)
 
 
+class _FastaChunks(_Reader):
+    """Sequences cut while they are read, so that no sequence is ever held whole."""
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.chunk = int(options["chunk"])
+
+    def read(self, part: Range):
+        return _batches(self.records(part), pa.schema([("seq_name", pa.string()), ("chunk_no", pa.int64()), ("chunk", pa.string())]))
+
+    def records(self, part: Range):
+        name, n, held, size = None, 0, [], 0
+        for at, line in _lines(part):
+            if line.startswith(">"):
+                if name is not None and size:
+                    yield name, n, "".join(held)
+                if part.end is not None and at >= part.end:
+                    return
+                name, n, held, size = line[1:].split(" ")[0], 0, [], 0
+            elif name is not None:
+                held.append(line.strip())
+                size += len(held[-1])
+                while size >= self.chunk:
+                    whole = "".join(held)
+                    yield name, n, whole[: self.chunk]
+                    held, size, n = [whole[self.chunk :]], size - self.chunk, n + 1
+        if name is not None and size:
+            yield name, n, "".join(held)
+
+
+class _PlainLines(_Reader):
+    def read(self, part: Range):
+        return _batches(((s,) for at, s in _lines(part) if part.end is None or at < part.end), pa.schema([("value", pa.string())]))
+
+
 class FastqSource(DataSource):
     @classmethod
     def name(cls) -> str:
         return "fastq"
 
     def schema(self) -> str:
-        return "tag string, read string, quals string"
+        return "tag string, read string, quals string" + (", at bigint, fault string" if self.options.get("faults") == "true" else "")
 
     def reader(self, schema):
         return _Fastq(self.options)
@@ -163,10 +238,50 @@ class FastaSource(DataSource):
         return _Fasta(self.options)
 
 
-def read_fastq(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """``tag, read, quals`` of FASTQ files, plain, gz or bz2. Lines that belong to no record are passed over."""
+class FastaChunkSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "fasta_chunks"
+
+    def schema(self) -> str:
+        return "seq_name string, chunk_no bigint, chunk string"
+
+    def reader(self, schema):
+        return _FastaChunks(self.options)
+
+
+class LineSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "lines"
+
+    def schema(self) -> str:
+        return "value string"
+
+    def reader(self, schema):
+        return _PlainLines(self.options)
+
+
+def read_fastq(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, faults: bool = False) -> DataFrame:
+    """``tag, read, quals`` of FASTQ files, plain, gzip or bzip2. With ``faults`` what belongs to no whole record comes
+    out as well, with its byte offset ``at`` and the ``fault``, which is null for records; else it is passed over."""
     spark.dataSource.register(FastqSource)
-    return spark.read.format("fastq").option("rangeBytes", range_bytes).load(path)
+    return spark.read.format("fastq").option("rangeBytes", range_bytes).option("faults", str(faults).lower()).load(path)
+
+
+def read_fasta_chunks(spark: SparkSession, path: str, size: int = 1 << 16, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``seq_name, chunk_no, chunk`` of FASTA files, as :func:`reference_chunks` has them, cut by the reader."""
+    spark.dataSource.register(FastaChunkSource)
+    return spark.read.format("fasta_chunks").option("rangeBytes", range_bytes).option("chunk", size).load(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value``, the lines of text files. Files that are compressed though their names do not say so are read as well."""
+    odd = [p for p, _ in list_files(path) if (k := compression(p)) and not p.endswith({"gzip": ".gz", "bzip2": ".bz2"}[k])] if "*" not in path else []
+    if not odd:
+        return spark.read.text(path)
+    spark.dataSource.register(LineSource)
+    return spark.read.format("lines").load(path)
 
 
 def read_fasta(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -177,9 +292,9 @@ def read_fasta(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -
 
 def reference_chunks(fasta: DataFrame, size: int = 1 << 16) -> DataFrame:
     """``seq_name, chunk_no, chunk``: a reference in pieces of fixed size, for joins by position."""
-    n = F.length("sequence")
-    x = fasta.where(n > 0).select(F.substring_index("name", " ", 1).alias("seq_name"), "sequence", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / size))).alias("chunk_no"))
-    return x.select("seq_name", "chunk_no", F.substring("sequence", (F.col("chunk_no") * size + 1).cast("int"), F.lit(size)).alias("chunk"))
+    pieces = F.regexp_extract_all("sequence", F.lit(f"(?s)(.{{1,{size}}})"), F.lit(1))
+    x = fasta.where(F.length("sequence") > 0).select(F.substring_index("name", " ", 1).alias("seq_name"), F.posexplode(pieces).alias("chunk_no", "chunk"))
+    return x.select("seq_name", F.col("chunk_no").cast("bigint").alias("chunk_no"), "chunk")
 
 
 def sequence_at(rows: DataFrame, chunks: DataFrame, seq: str, start: str, length: str, strand: str | None = None, size: int = 1 << 16) -> DataFrame:

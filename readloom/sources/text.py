@@ -23,7 +23,7 @@ def guess_format(path: str) -> str | None:
 
 def detect_format(spark: SparkSession, path: str) -> str | None:
     """Format by the first line: FASTA, FASTQ, SAM, GTF or MAP; reads one line."""
-    first = spark.read.text(path).limit(1).collect()
+    first = fastx.read_lines(spark, path).limit(1).collect()
     if not first:
         return guess_format(path)
     s = first[0][0]
@@ -47,7 +47,7 @@ def find_pair(path: str) -> str | None:
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:
     """Templates of MAP files (plain, gz, bz2)."""
-    return T.from_map_lines(spark.read.text(path), "value")
+    return T.from_map_lines(fastx.read_lines(spark, path), "value")
 
 
 def cigar_blocks(pos: Column, cigar: Column) -> Column:
@@ -72,7 +72,7 @@ def sam_table(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    return sam_table(spark.read.text(path))
+    return sam_table(fastx.read_lines(spark, path))
 
 
 def sam_templates(sam: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def gtf_table(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def read_gtf(spark: SparkSession, path: str) -> DataFrame:
-    return gtf_table(spark.read.text(path))
+    return gtf_table(fastx.read_lines(spark, path))
 
 
 def read_junctions(spark: SparkSession, path: str) -> DataFrame:
@@ -169,8 +169,24 @@ def read_ranges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(s).option("sep", "\t").csv(path).where("start_pos >= 1 and end_pos >= start_pos")
 
 
+def spool(spark: SparkSession, stream) -> str:
+    """A stream of bytes, such as standard input, as a file in the shared folder, which any reader can split."""
+    from readloom.plans.runtime import shared_path
+
+    path = shared_path(spark)
+    f, p = fastx._filesystem(path)
+    with f.open_output_stream(p, compression=None) as out:
+        while block := stream.read(1 << 20):
+            out.write(block)
+    return path
+
+
 def load(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
-    """Any of the formats, told by the first line unless named; SAM comes as templates, like MAP."""
+    """Any of the formats, told by the first line unless named; SAM comes as templates, like MAP. ``-`` is standard input."""
+    if path == "-":
+        import sys
+
+        path = spool(spark, sys.stdin.buffer)
     kind = format or detect_format(spark, path)
     readers = {"fastq": fastx.read_fastq, "fasta": fastx.read_fasta, "map": read_map, "sam": lambda s, p: sam_templates(read_sam(s, p)), "gtf": read_gtf}
     if kind not in readers:
