@@ -98,6 +98,17 @@ def ends(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return x.select(*keep, "map_no", F.explode(both).alias("e")).select(*keep, "map_no", "e.end_no", "e.m").where("m is not null")
 
 
+def map_lines(df: DataFrame) -> DataFrame:
+    """Paired MAP text: reads and qualities of both ends joined by a blank, mappings by stratum."""
+    x = sort_pairs(df)
+    both = lambda c: F.when(F.col(c).isNotNull(), F.array_join(c, " "))
+    one = lambda m: F.when(m.isNull(), "").otherwise(F.concat_ws(":", m["seq_name"], m["strand"], m["pos"].cast("string"), M.render_edits(m["blocks"])))
+    text = F.transform("mmaps", lambda p: F.concat(one(p["m1"]), F.lit("::"), one(p["m2"]), F.when(p["score"].isNotNull(), F.concat(F.lit(":::"), p["score"].cast("string"))).otherwise("")))
+    maps = F.when(F.size("mmaps") == 0, "-").otherwise(F.array_join(text, ","))
+    counters = F.when(F.col("not_unique"), F.lit("!")).otherwise(C.render_counters(F.col("counters"), F.col("mcs")))
+    return x.select(F.concat_ws("\t", "tag", F.array_join("reads", " "), both("quals"), counters, maps).alias("value"))
+
+
 def sam_lines(df: DataFrame) -> DataFrame:
     """SAM records of pairs: each mapping gives a line per end, the first mapping primary, with mate and template size."""
     from readloom.functions import sequence as S

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readloom.functions import counters as C
 from readloom.functions import mapping as M
 
 # Upper bounds of the buckets; larger values go to "more".
@@ -76,6 +77,37 @@ def general(templates: DataFrame) -> DataFrame:
     )
 
 
+def profile(templates: DataFrame, first_only: bool = False) -> DataFrame:
+    """``metric, bucket, value``: the profiles of templates and their mappings in one pass and one grouped count.
+
+    Metrics: length, multimaps, uniqueness; per mapping mismatches, levenshtein, insertions, deletions and events as
+    shares of the read, strand, junctions and junction_length. With ``first_only`` a template has its first mapping only.
+    Profiles of several inputs add up with :func:`merge`.
+    """
+    t = templates.withColumn("maps", F.slice("maps", 1, 1)) if first_only else templates
+    n = F.length("read")
+    entry = lambda metric, b: F.struct(F.lit(metric).alias("metric"), b.cast("string").alias("bucket"))
+    uniq = C.uniq_degree(C.counters_of(F.transform("maps", lambda m: M.global_distance(m["blocks"]))))
+    own = F.array(entry("length", bucket(n, LENGTHS)), entry("multimaps", bucket(F.size("maps"), MULTIMAPS)), entry("uniqueness", F.when(F.size("maps") > 0, F.when(uniq < 0, "X").otherwise(bucket(uniq, UNIQUENESS)))))
+
+    def of(m):
+        b = m["blocks"]
+        errors = {"mismatches": M.n_mismatches(b), "levenshtein": M.levenshtein(b), "insertions": M.total_ins(b), "deletions": M.total_dels(b), "events": M.global_distance(b)}
+        k = F.size(b) - 1
+        return F.array(*(entry(name, error_bucket(v, n)) for name, v in errors.items()), entry("strand", m["strand"]), entry("junctions", F.when(k > 0, bucket(k, JUNCTIONS))))
+
+    lengths = F.transform(F.filter(F.flatten(F.transform("maps", lambda m: F.transform(m["blocks"], lambda b: b["junction"]))), lambda j: j > 0), lambda j: entry("junction_length", bucket(j, JUNCTION_LENGTHS)))
+    x = t.select(F.explode(F.concat(own, F.flatten(F.transform("maps", of)), lengths)).alias("p")).select("p.*")
+    return x.where("bucket is not null").groupBy("metric", "bucket").agg(F.count("*").alias("value"))
+
+
+def to_text_report(stats: DataFrame) -> DataFrame:
+    """``metric, bucket, value, share`` as lines of text; the share is of all values of the metric."""
+    total = stats.groupBy("metric").agg(F.sum("value").alias("_all"))
+    x = stats.join(total, "metric")
+    return x.select("metric", "bucket", F.concat_ws("\t", "metric", "bucket", F.col("value").cast("string"), F.format_string("%.2f%%", F.col("value") / F.col("_all") * 100)).alias("value"))
+
+
 def read_counters(templates: DataFrame, maps: str = "maps", ends: int = 1) -> DataFrame:
     """``reads, unmapped, unique, mappings`` of templates with ``ends`` ends; reads are counted by their ends."""
     k = F.size(maps)

@@ -12,7 +12,7 @@ from readloom.operators import stats as A
 from readloom.operators import templates as T
 from readloom.plans import map_queries as Q
 from readloom.plans.read_queries import templates
-from readloom.plans.runtime import table
+from readloom.plans.runtime import materialize, table
 from readloom.plans.sqltext import BLOCKS, FEATURES, HIT, MAPS, PAIRS, ROWS, SETS, TPL
 from readloom.sources import sinks, text
 
@@ -153,6 +153,41 @@ def read_counters(spark, d):
     return A.read_counters(t).withColumn("ends", F.lit(1)).unionByName(A.read_counters(two, "mmaps", 2).withColumn("ends", F.lit(2)))
 
 
+_E = "CASE WHEN {v} = 0 THEN '0' " + " ".join(f"WHEN {{v}} <= floor({b} * (length(r) / 100.0)) THEN '{b}'" for b in A.ERRORS[1:]) + " ELSE 'more' END"
+
+
+@query(f"""WITH {MAPS}, mj AS (SELECT m.*, r FROM m JOIN tpl USING (line_id)), jl AS (SELECT unnest(list_transform(regexp_extract_all(e, '>([0-9]+)[*]', 1), lambda x: CAST(x AS BIGINT))) AS v FROM m),
+x AS (SELECT length(r) AS n, CASE WHEN ms = '-' THEN 0 ELSE len(string_split(ms, ',')) END AS k FROM tpl),
+c AS (SELECT line_id, dist, count(*) AS n FROM m GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY dist) AS k, lead(dist) OVER (PARTITION BY line_id ORDER BY dist) AS nx FROM c),
+uq AS (SELECT CASE WHEN n <> 1 THEN -1 ELSE coalesce(nx, dist + 1) - dist - 1 END AS u FROM o WHERE k = 1)
+SELECT 'length' AS metric, {Q._case('n', A.LENGTHS)} AS bucket, count(*) AS value FROM x GROUP BY ALL UNION ALL SELECT 'multimaps', {Q._case('k', A.MULTIMAPS)}, count(*) FROM x GROUP BY ALL
+UNION ALL SELECT 'uniqueness', CASE WHEN u < 0 THEN 'X' ELSE {Q._case('u', A.UNIQUENESS)} END, count(*) FROM uq GROUP BY ALL UNION ALL SELECT 'strand', st, count(*) FROM m GROUP BY ALL
+UNION ALL SELECT 'junctions', {Q._case('njunc', A.JUNCTIONS)}, count(*) FROM m WHERE njunc > 0 GROUP BY ALL UNION ALL SELECT 'junction_length', {Q._case('v', A.JUNCTION_LENGTHS)}, count(*) FROM jl GROUP BY ALL
+UNION ALL """ + " UNION ALL ".join(f"SELECT '{n}', {_E.format(v=v)}, count(*) FROM mj GROUP BY ALL" for n, v in (("mismatches", "mism"), ("levenshtein", "lev"), ("insertions", "ins"), ("deletions", "dels"), ("events", "dist"))))
+def stats_profile(spark, d):
+    """All profiles of templates and mappings in one pass."""
+    return A.profile(templates(spark, d))
+
+
+@query(f"""WITH {TPL}, x AS (SELECT CASE WHEN ms = '-' THEN '0' ELSE '1' END AS k FROM tpl), g AS (SELECT k, count(*) AS n FROM x GROUP BY 1)
+SELECT 'multimaps' AS metric, k AS bucket, 'multimaps' || chr(9) || k || chr(9) || n || chr(9) || printf('%.2f%%', 100.0 * n / (SELECT sum(n) FROM g)) AS value FROM g""")
+def stats_report(spark, d):
+    """Text lines of a profile, here of first mappings only and two inputs put together of which one is empty."""
+    t = templates(spark, d)
+    p = A.merge(A.profile(t, first_only=True), A.profile(t.where("line_id is null")))
+    return A.to_text_report(p).where("metric = 'multimaps'")
+
+
+@query(f"""WITH {PAIRS} SELECT id1, id2 FROM pairs""")
+def sink_paired_map(spark, d):
+    """Pairs printed as paired MAP text and parsed again."""
+    x = materialize(Q._paired_text(spark, d))
+    lines = P.map_lines(x.withColumn("tag", F.concat_ws(" ", F.col("id1").cast("string"), F.col("id2").cast("string"))))
+    y = P.from_map_lines(materialize(lines), "value").where(F.size("mmaps") == 1)
+    part = lambda i: F.get(F.split("tag", " "), F.lit(i)).cast("bigint")
+    return y.select(part(0).alias("id1"), part(1).alias("id2"))
+
+
 # ---- SAM ------------------------------------------------------------------------------------------------------------
 
 

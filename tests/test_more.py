@@ -149,3 +149,49 @@ def test_pipeline_uses_its_parameters(spark, tmp_path):
     assert run("b", exon_overlap=1.0, count_pairs=False, junction_distance=(4, 100)) == ({"A": 1, "B": 1}, {91})
     assert run("c", exon_overlap=0.0, junction_distance=(100, 1000)) == ({"A": 2}, {191})
     assert run("d", exon_overlap=0.0, count_pairs=False, extra={"no_splits": True})[0] == {"A": 2}
+
+
+def test_commands(spark, tmp_path):
+    """Every command over small files."""
+    from readloom.__main__ import parser
+
+    d = str(tmp_path)
+    (tmp_path / "a.map").write_text("r/1 1:N:0:ACG\tACGTACGTAC\t\"\"\"\"\"\"\"\"\"\"\t1:1\tchr1:+:10:10,chr1:-:700:5>90*5\nu\tACGTACGTAC\t\"\"\"\"\"\"\"\"\"\"\t0\t-\n")
+    (tmp_path / "b.map").write_text("r/1 1:N:0:ACG\tACGTACGTAC\t\"\"\"\"\"\"\"\"\"\"\t1\tchr1:-:120:10\nu\tACGTACGTAC\t\"\"\"\"\"\"\"\"\"\"\t0\t-\n")
+    (tmp_path / "p.map").write_text("p\tACGT ACGT\t1\tchr1:+:10:4::chr1:-:50:4\nq\tACGT ACGT\t1\tchr1:+:10:4::chr1:+:50:4\n")
+    (tmp_path / "x.sam").write_text("s\t0\tchr1\t10\t60\t4M\t*\t0\t0\tACGT\t!!!!\n")
+    (tmp_path / "g.gtf").write_text("".join(f'{q}\tx\t{t}\t{s}\t{e}\t.\t+\t.\tgene_id "{g}"; transcript_id "{g}1"; gene_type "protein_coding";\n' for q, t, s, e, g in [("chr1", "exon", 1, 500, "A"), ("chr1", "exon", 600, 704, "B"), ("chr1", "exon", 795, 900, "B")]))
+    (tmp_path / "t.tsv").write_text("chr1\t1\t100\tt\n")
+    (tmp_path / "q.tsv").write_text("chr1\t1000\n")
+    (tmp_path / "r.fa").write_text(">chr1\n" + "ACGTAGGT" * 125 + "\n")
+
+    def run(*args, out="o"):
+        out = f"{d}/{out}{len(list(tmp_path.iterdir()))}"
+        a = parser().parse_args([*args, "-o", out])
+        a.run(spark, a)
+        return sorted(r.value for r in spark.read.option("recursiveFileLookup", True).text(out).collect())
+
+    f = lambda *o: run("filter", "-i", f"{d}/a.map", *o)
+    assert len(f()) == 2 and len(f("--mapped")) == 1 and f("--mapped", "--no-split-maps")[0].endswith("\tchr1:+:10:10")
+    assert f("--mapped", "--strandedness", "R")[0].endswith("chr1:-:700:5>90*5") and f("--hard-trim", "2,2", "--mapped")[0].split("\t")[1] == "GTACGT"
+    assert f("--annotation", f"{d}/g.gtf", "--reduce-by-junctions", "--mapped")[0].count("chr1") == 2 and f("--sequence-list") == ["chr1"]
+    assert f("--mapped", "--qualities-to-offset-64")[0].split("\t")[2] == "A" * 10 and len(f("--sample-read", "4,4,0,0")) == 8
+    assert run("filter", "-i", f"{d}/x.sam", "--filter-quality", "50,70")[0].endswith("chr1:+:10:4") and f("--display-pretty", "--mapped", "--max-strata", "0")
+    f("--mapped", "--discarded-output", f"{d}/gone")
+    assert spark.read.text(f"{d}/gone").count() == 1
+    assert [x.split("\t")[0] for x in run("filter", "-p", "-i", f"{d}/p.map", "--pair-strandedness", "FR") if x.endswith("4")] == ["p"]
+    assert len(run("filter", "-p", "-i", f"{d}/p.map", "--min-inss", "10", "--reduce-to-pairs", "--output-format", "sam")) == 4
+    assert run("convert", "-i", f"{d}/x.sam", "--format", "map") == ["s\tACGT\t!!!!\t1\tchr1:+:10:4"]
+    sam = run("map2sam", "-i", f"{d}/a.map", "--sequences", f"{d}/q.tsv", "-r", f"{d}/r.fa")
+    assert any(x.startswith("@SQ\tSN:chr1") for x in sam) and any("XS:A:" in x for x in sam) and any("md:Z:5>90*5" in x for x in sam)
+    assert any(x.startswith("multimaps\t5\t1\t50.00%") for x in run("stats", "-i", f"{d}/a.map")) and any("bases_aligned" in x for x in run("stats", "-i", f"{d}/a.map", "-f", "both"))
+    assert run("gtfcount", "-i", f"{d}/p.map", "-a", f"{d}/g.gtf", "-p") == ["A\t4"] and run("gtfcount", "-i", f"{d}/a.map", "-a", f"{d}/g.gtf", "-m", "-w") == ["A\t0.5000", "B\t0.5000"]
+    assert len(run("merge", "-i", f"{d}/a.map", f"{d}/b.map", "--same")) == 2 and any("chr1:-:120:10" in x for x in run("mapset", "-i", f"{d}/a.map", f"{d}/b.map", "-C", "union"))
+    assert len(run("mapset", "-i", f"{d}/a.map", f"{d}/b.map", "-C", "compare")) == 2
+    assert run("scorereads", "-i", f"{d}/a.map", f"{d}/b.map") == ["r\tchr1:+:10:10\tchr1:-:120:10\t121", "r\tchr1:-:700:5>90*5\t0\t*"]
+    assert "chr1\t10\t19\t1" in run("coverage", "-i", f"{d}/a.map") and run("coverage", "-i", f"{d}/a.map", "--targets", f"{d}/t.tsv") == ["chr1\t1\t100\tt\t10\t10"]
+    assert any('"part":"reads"' in x for x in run("align-stats", "-i", f"{d}/a.map"))
+    assert run("gtf-junctions", "-i", f"{d}/g.gtf") == ["chr1\t+\t704\tchr1\t+\t795"] and run("denovo-junctions", "-i", f"{d}/a.map", "-a", f"{d}/g.gtf") == ["chr1\t704\t795\t1"]
+    assert run("search", "-a", f"{d}/g.gtf", "chr1:650-660") and len(run("search", "-a", f"{d}/g.gtf", "chr1:650-800", "exon")) == 2
+    a = parser().parse_args(["rna-pipeline", "-i", f"{d}/a.map", "-a", f"{d}/g.gtf", "-o", f"file://{d}/pipe", "--dry"])
+    a.run(spark, a)
