@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.plans.runtime import materialize, n_shuffle
+from readloom.plans.prefix import carried, scan
 
 #: Largest depth kept; higher ones count as this.
 MAX_DEPTH = 0xFFFE
@@ -71,12 +71,7 @@ def combine(*runs: DataFrame) -> DataFrame:
 
 
 def _from_deltas(e: DataFrame) -> DataFrame:
-    r = materialize(e.repartitionByRange(n_shuffle(e.sparkSession), "seq_name", "pos").withColumn("pid", F.spark_partition_id()))
-    part = r.groupBy("pid", "seq_name").agg(F.sum("d").alias("s"), F.min("pos").alias("first"))
-    w = Window.partitionBy("seq_name").orderBy("pid")
-    part = part.select("pid", "seq_name", F.coalesce(F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lead("first").over(w).alias("nxt"))
-    a, b = r.alias("a"), part.alias("b")
-    y = a.join(b, (F.col("a.pid") == F.col("b.pid")) & F.col("a.seq_name").eqNullSafe(F.col("b.seq_name"))).select("a.*", "b.before", "b.nxt")
-    p = Window.partitionBy("pid", "seq_name").orderBy("pos")
-    y = y.withColumn("depth", F.col("before") + F.sum("d").over(p.rowsBetween(Window.unboundedPreceding, 0))).withColumn("end_pos", F.coalesce(F.lead("pos").over(p), F.col("nxt")) - 1)
-    return y.where("depth > 0").select("seq_name", F.col("pos").alias("start_pos"), "end_pos", "depth")
+    # A change of depth closes the run that the change before it opened.
+    r = carried(scan(e, ["seq_name"], ["pos"], "d", prev="pos"), ["seq_name"], _before=(F.sum, "d"), _at=(F.max, "pos"))
+    depth = F.coalesce("_before", F.lit(0)) + F.col("_scan") - F.col("d")
+    return r.select("seq_name", F.coalesce("_prev", "_at").alias("start_pos"), (F.col("pos") - 1).alias("end_pos"), depth.alias("depth")).where("depth > 0 and start_pos is not null")

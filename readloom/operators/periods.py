@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.plans.runtime import materialize, n_shuffle
+from readloom.plans.prefix import carried, scan
+from readloom.plans.runtime import materialize
 
 
 def opened_periods(df: DataFrame, entity: list[str], start: str, end: str, join_touching: bool = True) -> DataFrame:
@@ -21,24 +22,14 @@ def opened_periods(df: DataFrame, entity: list[str], start: str, end: str, join_
     period the row opens. Rows with a null bound or with start after end cover nothing and are left out; null is an
     entity value like any other; repeated and nested rows change nothing.
     """
-    spark = df.sparkSession
     e = [f"e{i}" for i in range(len(entity))]
     rows = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(entity, e)), F.col(f"`{start}`").cast("bigint").alias("s"), F.col(f"`{end}`").cast("bigint").alias("t")).where("s <= t")
-    placed = materialize(rows.repartitionByRange(n_shuffle(spark), *e, "s", "t").withColumn("pid", F.spark_partition_id()))
-
-    # Largest end per entity and partition; kept are only the entities that cross a border.
-    sums = placed.groupBy("pid", *e).agg(F.max("t").alias("mx"))
-    over = Window.partitionBy(*e).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.withColumn("carry", F.max("mx").over(over)).where("carry is not null").select("pid", *e, "carry")
-    c = F.broadcast(carry.alias("c"))  # at most one row per partition
-
-    p = placed.alias("p")
-    known = p.join(c, (F.col("p.pid") == F.col("c.pid")) & _same("p", "c", e), "left").select("p.*", F.col("c.carry"))
-    w = Window.partitionBy("pid", *e).orderBy("s", "t")
-    seen = F.greatest(F.max("t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("carry"))
+    placed = scan(rows, e, ["s", "t"], "t", kind="max")
+    # Largest end per entity and partition; the carry is what earlier partitions hold of an entity that crosses a border.
+    sums = placed.groupBy(F.col("_pid").alias("pid"), *e).agg(F.max("t").alias("mx"))
+    marked = carried(placed, e, _carry=(F.max, "t")).withColumn("before", F.greatest("_scan", "_carry"))
     slack = 1 if join_touching else 0
-    marked = known.withColumn("before", seen)
-    opens = marked.where(F.col("before").isNull() | (F.col("s") > F.col("before") + slack)).select("pid", *e, "s", "before")
+    opens = marked.where(F.col("before").isNull() | (F.col("s") > F.col("before") + slack)).select(F.col("_pid").alias("pid"), *e, "s", "before")
     opens = materialize(opens)
 
     # The end of a period is what is known just before the next one opens, here or in a later partition.

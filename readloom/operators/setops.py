@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions import counters as C
 from readloom.functions import mapping as M
 from readloom.operators import templates as T
-from readloom.plans.runtime import materialize, n_shuffle
+from readloom.plans.prefix import carried, scan
 
 
 def _less(a: Column, b: Column) -> Column:
@@ -149,16 +149,8 @@ def rank_within(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     Rows are range-sorted over all partitions and counted per partition and group, so a group of any size is spread;
     ties in ``order`` get places in no set order. Null is a group like any other.
     """
-    r = materialize(df.repartitionByRange(n_shuffle(df.sparkSession), *group, *order).withColumn("_pid", F.spark_partition_id()))
-    part = r.groupBy("_pid", *group).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.select("_pid", *(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before")).withColumnRenamed("_pid", "_q")
-    on = F.col("_pid") == F.col("_q")
-    for i, g in enumerate(group):
-        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    here = Window.partitionBy("_pid", *group).orderBy(*order)
-    x = r.join(part, on).withColumn("row_no", F.col("_before") + F.row_number().over(here) - 1)
-    return x.drop("_pid", "_q", "_before", *(f"_g{i}" for i in range(len(group))))
+    r = carried(scan(df.withColumn("_one", F.lit(1).cast("bigint")), group, order, "_one"), group, _before=(F.sum, "_one"))
+    return r.withColumn("row_no", F.coalesce("_before", F.lit(0)) + F.col("_scan") - 1).drop("_one", "_pid", "_scan", "_prev", "_before")
 
 
 def interleave(*inputs: DataFrame, order: str) -> DataFrame:
