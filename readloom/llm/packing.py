@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.plans.runtime import materialize
+from readloom.plans.runtime import materialize, n_shuffle
 
 CAPACITY = 2048
 #: Documents one packing task holds; the number of partitions follows from it, so a task never grows with the data.
@@ -180,7 +180,9 @@ def pack_certified(sizes: DataFrame, id_col: str = "doc_id", n_col: str = "n_ids
         parts = max(1, -(-n // per_partition))
         last = parts == 1 or (before is not None and n >= before)
         spread = F.pmod(F.xxhash64(F.lit(r), "doc", "piece_no"), F.lit(parts)).cast("int")
-        packed = materialize(todo.withColumn("part", spread).groupBy("part").applyInArrow(_pack(r, capacity, last), _SCHEMA))
+        # A number of its own, so that partitions of few bytes but much work are not put together into one task.
+        placed = todo.withColumn("part", spread).repartition(min(parts, n_shuffle(base.sparkSession)), "part")
+        packed = materialize(placed.groupBy("part").applyInArrow(_pack(r, capacity, last), _SCHEMA))
         sheet = packed.groupBy("part").agg(F.count("*").alias("n_items"), F.first("n_bins").alias("n_bins"), F.first("n_given").alias("n_given"), F.first("bound").alias("bound"))
         sheets.append(sheet.select(F.lit(r).alias("round_no"), "*", (F.col("n_bins") <= F.col("bound")).alias("certified")))
         done.append(packed.where("not open").select("doc", "piece_no", "container_id", "ids_from", "size"))
