@@ -1,8 +1,8 @@
 """Overlap joins of intervals with annotated features, gene counts and gene-body coverage.
 
 The join is an equi-join on bins of several widths. An interval of the large side gets one bin: the narrowest that
-holds it whole. A feature of the small side is listed in every bin of every width that it touches, if its own narrowest
-bin is at most LISTED wide. So the large side is neither copied nor deduplicated and each pair meets in exactly one bin.
+holds it whole. A feature of the small side is listed in every bin of every width that it touches, if it is shorter than
+2 ** LISTED bases. So the large side is neither copied nor deduplicated and each pair meets in exactly one bin.
 Longer features, if there are any, are listed once a width from their own on; the large side looks them up with one row
 for each of these few widths. No feature needs more than some thousand rows, however long.
 """
@@ -16,7 +16,7 @@ from readloom.plans.runtime import materialize
 
 #: Bin widths are 2 ** shift.
 SHIFTS = (10, 13, 16, 19, 22, 25, 28, 31, 40)
-#: Features whose own bin is wider than 2 ** LISTED are not listed in narrower ones.
+#: Features of 2 ** LISTED bases and more are not listed in bins narrower than themselves.
 LISTED = 22
 
 
@@ -67,7 +67,7 @@ def overlap_join(left: DataFrame, right: DataFrame, left_on: tuple[str, str, str
     x = left.withColumn("_bin", F.when(a <= b, _home(a, b))).withColumn("_lk", F.col("_bin.k")).withColumn("_ln", F.col("_bin.n")).drop("_bin")
     fa, fb = F.col(ra).cast("bigint"), F.col(rb).cast("bigint")
     features = right.where(fa <= fb)
-    long = _home(fa, fb)["k"] > LISTED
+    long = fb - fa >= 1 << LISTED
     y = features.where(~long).withColumn("_bin", F.explode(_cover(fa, fb))).withColumn("_rk", F.col("_bin.k")).withColumn("_rn", F.col("_bin.n")).drop("_bin")
     on = (F.col(ls) == F.col(rs)) & (F.col("_lk") == F.col("_rk")) & (F.col("_ln") == F.col("_rn")) & predicate(F.col(la), F.col(lb), F.col(ra), F.col(rb))
     out = x.join(y, on).drop("_lk", "_ln", "_rk", "_rn")

@@ -49,12 +49,14 @@ def pair_ends(left: DataFrame, right: DataFrame, lo: int, hi: int, key: str = "t
     size is measured from, so a key with a third of all rows never meets itself whole and split ends meet however long
     their introns. ``bin_size`` defaults to a width that no pair in range spans twice.
     """
-    width = bin_size or max(1 << 10, abs(lo), abs(hi))
+    width = bin_size or max(1 << 10, hi - lo + 1)
     # Bound to one variable, so that a mapping's text is parsed once for it; the insert size is the difference of the two.
     anchor = F.get(F.transform(F.array("m.blocks"), lambda b: M.insert_anchor(F.col("m.strand"), b)), F.lit(0))
-    bin_of = lambda c: F.floor(F.col(c) / width)
-    a = left.select(F.col(key), F.col("m").alias("m1"), anchor.alias("_p")).withColumn("_b", bin_of("_p"))
-    b = right.select(F.col(key).alias("_k"), F.col("m").alias("m2"), anchor.alias("_q")).withColumn("_c", F.explode(F.sequence(bin_of("_q") - 1, bin_of("_q") + 1)))
+    a = left.select(F.col(key), F.col("m").alias("m1"), anchor.alias("_p")).withColumn("_b", F.floor(F.col("_p") / width))
+    b = right.select(F.col(key).alias("_k"), F.col("m").alias("m2"), anchor.alias("_q"))
+    # Where the place of the other end must lie, by the strand of this one: two bins at most.
+    near, far = F.when(F.col("m2.strand") == "+", F.col("_q") + lo).otherwise(F.col("_q") - hi), F.when(F.col("m2.strand") == "+", F.col("_q") + hi).otherwise(F.col("_q") - lo)
+    b = b.withColumn("_c", F.explode(F.sequence(F.floor(near / width), F.floor(far / width))))
     on = (a[key] == b["_k"]) & (F.col("m1.seq_name") == F.col("m2.seq_name")) & (F.col("_b") == F.col("_c")) & (F.col("m1.strand") != F.col("m2.strand"))
     x = F.when(F.col("m1.strand") == "+", F.col("_q") - F.col("_p")).otherwise(F.col("_p") - F.col("_q"))
     return a.join(b, on).withColumn("insert_size", x).where(F.col("insert_size").between(lo, hi)).drop("_k", "_b", "_c", "_p", "_q")
