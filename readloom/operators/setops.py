@@ -11,26 +11,36 @@ from readloom.operators import templates as T
 from readloom.plans.prefix import carried, scan
 
 
-def _less(a: Column, b: Column) -> Column:
-    return M.global_distance(a["blocks"]) < M.global_distance(b["blocks"])
+def _keyed(maps: Column, key, distance) -> Column:
+    return F.transform(maps, lambda m: F.struct(key(m).alias("k"), distance(m).alias("d"), m.alias("m")))
+
+
+def _both(a: Column, b: Column, key, distance, make) -> Column:
+    """``make`` of the mappings of both sides with their keys and distances, which are bound once, not computed per pair."""
+    sides = F.array(F.struct(_keyed(a, key, distance).alias("a"), _keyed(b, key, distance).alias("b")))
+    return F.transform(sides, lambda s: F.transform(make(s["a"], s["b"]), lambda x: x["m"]))[0]
+
+
+def _union(a: Column, b: Column) -> Column:
+    better = lambda x: F.get(F.filter(b, lambda y: (y["k"] == x["k"]) & (y["d"] < x["d"])), F.lit(0))
+    return F.concat(F.transform(a, lambda x: F.coalesce(better(x), x)), F.filter(b, lambda y: ~F.exists(a, lambda x: x["k"] == y["k"])))
+
+
+def _stratum(m: Column) -> Column:
+    return M.global_distance(m["blocks"])
 
 
 def union_maps(a: Column, b: Column) -> Column:
     """Mappings of a, then those of b that are new; a mapping in both is the one of smaller distance."""
-    kb = F.transform(b, M.map_key)
-    ka = F.transform(a, M.map_key)
-    better = lambda m: F.get(F.filter(b, lambda o: (M.map_key(o) == M.map_key(m)) & _less(o, m)), F.lit(0))
-    return F.concat(F.transform(a, lambda m: F.when(F.array_contains(kb, M.map_key(m)), F.coalesce(better(m), m)).otherwise(m)), F.filter(b, lambda m: ~F.array_contains(ka, M.map_key(m))))
+    return _both(a, b, M.map_key, _stratum, _union)
 
 
 def subtract_maps(a: Column, b: Column) -> Column:
-    kb = F.transform(b, M.map_key)
-    return F.filter(a, lambda m: ~F.array_contains(kb, M.map_key(m)))
+    return _both(a, b, M.map_key, lambda m: F.lit(0), lambda x, y: F.filter(x, lambda m: ~F.exists(y, lambda o: o["k"] == m["k"])))
 
 
 def intersect_maps(a: Column, b: Column) -> Column:
-    kb = F.transform(b, M.map_key)
-    return F.filter(a, lambda m: F.array_contains(kb, M.map_key(m)))
+    return _both(a, b, M.map_key, lambda m: F.lit(0), lambda x, y: F.filter(x, lambda m: F.exists(y, lambda o: o["k"] == m["k"])))
 
 
 def subtract_within(a: Column, b: Column, tolerance: float | Column) -> Column:
@@ -52,9 +62,7 @@ def union_pairs(a: Column, b: Column) -> Column:
     """As :func:`union_maps` for paired mappings."""
     from readloom.operators.pairs import distance
 
-    ka, kb = F.transform(a, pair_key), F.transform(b, pair_key)
-    better = lambda p: F.get(F.filter(b, lambda o: (pair_key(o) == pair_key(p)) & (distance(o) < distance(p))), F.lit(0))
-    return F.concat(F.transform(a, lambda p: F.when(F.array_contains(kb, pair_key(p)), F.coalesce(better(p), p)).otherwise(p)), F.filter(b, lambda p: ~F.array_contains(ka, pair_key(p))))
+    return _both(a, b, pair_key, distance, _union)
 
 
 def pair_union(master: DataFrame, slave: DataFrame, key: str = "tag") -> DataFrame:
