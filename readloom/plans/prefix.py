@@ -90,10 +90,15 @@ def carried(rows: DataFrame, group: list[str], **aggregates: Column) -> DataFram
 
 
 def running_sum(df: DataFrame, order: list[str], value: str, group: list[str] | None = None) -> DataFrame:
-    """``df`` with ``upto``, the sum of ``value`` over its group's rows up to this one by ``order``, and, if there is no
-    ``group``, ``total``. Null is a group like any other; ties in ``order`` are summed in no set order."""
-    r = scan(df, group or [], order, value)
-    x = carried(r, group or [], _before=(F.sum, value)).withColumn("upto", F.coalesce("_before", F.lit(0)) + F.col("_scan"))
-    if not group:
+    """``df`` with ``upto``, the sum of ``value`` over its group's rows up to this one by ``order``, and ``total``. Null is
+    a group like any other; ties in ``order`` are summed in no set order."""
+    group = group or []
+    r = scan(df, group, order, value)
+    x = carried(r, group, _before=(F.sum, value)).withColumn("upto", F.coalesce("_before", F.lit(0)) + F.col("_scan"))
+    if group:
+        every = r.groupBy(*(F.col(f"`{c}`").alias(f"_g{i}") for i, c in enumerate(group))).agg(F.sum(value).alias("total"))
+        on = [F.col(f"`{c}`").eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]
+        x = x.join(every, on).drop(*(f"_g{i}" for i in range(len(group))))
+    else:
         x = x.withColumn("total", F.lit(r.agg(F.sum(value)).first()[0]).cast("bigint"))
     return x.drop("_pid", "_scan", "_prev", "_before")
