@@ -58,8 +58,8 @@ def on_targets(runs: DataFrame, targets: DataFrame) -> DataFrame:
     return h.groupBy("target_id").agg(F.sum(n).alias("covered"), F.sum(n * F.col("depth")).alias("bases"))
 
 
-def combine(*runs: DataFrame) -> DataFrame:
-    """Depth runs of several inputs added up."""
+def combine(*runs: DataFrame, cap: int = MAX_DEPTH) -> DataFrame:
+    """Depth runs of several inputs added up; depths over ``cap`` count as it, as in :func:`depth_runs`."""
     out = None
     for r in runs:
         one = r.select("seq_name", "start_pos", "end_pos", "depth")
@@ -67,7 +67,7 @@ def combine(*runs: DataFrame) -> DataFrame:
     # Each run is as many intervals as its depth; weights stay numbers.
     x = out.select("seq_name", F.explode(F.array(F.struct(F.col("start_pos").alias("pos"), F.col("depth").alias("d")), F.struct((F.col("end_pos") + 1).alias("pos"), (-F.col("depth")).alias("d")))).alias("e"))
     e = x.groupBy("seq_name", F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d"))
-    return _from_deltas(e)
+    return _from_deltas(e).withColumn("depth", F.least(F.col("depth"), F.lit(cap)))
 
 
 def _from_deltas(e: DataFrame) -> DataFrame:

@@ -759,7 +759,7 @@ def distance_scores(spark, d):
 
 @query("SELECT seq_name, seq_length, row_number() OVER (ORDER BY coalesce(TRY_CAST(regexp_extract(seq_name, '([0-9]+)', 1) AS BIGINT), 9223372036854775807), seq_name) AS rank FROM ref_sequences")
 def karyotypic_sort(spark, d):
-    from pyspark.sql import Window
-
+    """Sequences by the number in their name, then by name; ranked over all partitions."""
     n = F.coalesce(F.regexp_extract("seq_name", "([0-9]+)", 1).try_cast("bigint"), F.lit((1 << 63) - 1))
-    return table(spark, d, "ref_sequences").select("seq_name", "seq_length", F.row_number().over(Window.orderBy(n, "seq_name")).cast("bigint").alias("rank"))  # the reference's own list, a fixed table
+    x = U.rank_within(table(spark, d, "ref_sequences").select("seq_name", "seq_length", n.alias("_n")), [], ["_n", "seq_name"])
+    return x.select("seq_name", "seq_length", (F.col("row_no") + 1).alias("rank"))
