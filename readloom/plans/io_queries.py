@@ -144,7 +144,7 @@ def sink_map(spark, d):
 _DECLARED = """z AS (SELECT line_id, CASE WHEN ct = '!' THEN [] ELSE flatten(list_transform(string_split_regex(ct, '[:+]'), lambda t: list_resize(CAST([] AS BIGINT[]), CAST(coalesce(nullif(split_part(t, 'x', 2), ''), '1') AS BIGINT), CAST(split_part(t, 'x', 1) AS BIGINT)))) END AS c FROM tpl),
 y AS (SELECT line_id, c, coalesce(list_sum(c), 0) AS total, list_filter(range(1, len(c) + 1), lambda i: c[i] > 0) AS nz FROM z), uq AS (SELECT line_id, total, CASE WHEN len(nz) = 0 OR c[nz[1]] <> 1 THEN -1 ELSE coalesce(nz[2], len(c) + 1) - nz[1] - 1 END AS d FROM y),
 n AS (SELECT line_id, count(*) AS nh FROM m GROUP BY 1),
-r AS (SELECT t.line_id, m.map_no, t.tag, t.r, t.q, m.seq, m.st, m.pos, CASE WHEN m.st = '-' THEN rev ELSE fwd END AS cigar, lev, lt, rt, nh, d, CASE WHEN m.line_id IS NULL OR m.map_no > 0 OR d < 0 THEN 0 WHEN total = 1 THEN 254 WHEN d > 0 THEN 180 ELSE 119 END AS mapq
+r AS (SELECT t.line_id, m.map_no, t.tag, t.r, t.q, m.seq, m.st, m.pos, CASE WHEN m.st = '-' THEN rev ELSE fwd END AS cigar, lev, lt, rt, nh, d, CASE WHEN m.line_id IS NULL THEN 0 WHEN m.map_no > 0 THEN 110 WHEN d < 0 THEN 119 WHEN total = 1 THEN 254 ELSE 180 END AS mapq
   FROM tpl t JOIN uq ON uq.line_id = t.line_id LEFT JOIN m ON m.line_id = t.line_id LEFT JOIN n ON n.line_id = t.line_id LEFT JOIN cg ON cg.line_id = m.line_id AND cg.map_no = m.map_no LEFT JOIN tr ON tr.line_id = m.line_id AND tr.map_no = m.map_no)"""
 _CORE = """concat_ws(chr(9), split_part(tag, ' ', 1), CASE WHEN seq IS NULL THEN 4 ELSE CASE WHEN st = '-' THEN 16 ELSE 0 END + CASE WHEN map_no > 0 THEN 256 ELSE 0 END END, coalesce(seq, '*'), coalesce(pos, 0), mapq, coalesce(cigar, '*'), '*', '0', '0',
   CASE WHEN st = '-' THEN reverse(translate(r, 'ACGTN', 'TGCAN')) ELSE r END, coalesce(CASE WHEN q <> '' THEN CASE WHEN st = '-' THEN reverse(q) ELSE q END END, '*'),

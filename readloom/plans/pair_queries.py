@@ -218,7 +218,7 @@ def sam_mates(spark, d):
 
 @query(f"""WITH {MAPS}, c AS (SELECT line_id, dist, count(*) AS n FROM m GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY dist) AS k, lead(dist) OVER (PARTITION BY line_id ORDER BY dist) AS nx, sum(n) OVER (PARTITION BY line_id) AS tot FROM c),
 u AS (SELECT line_id, tot, CASE WHEN n <> 1 THEN -1 ELSE coalesce(nx, dist + 1) - dist - 1 END AS d FROM o WHERE k = 1)
-SELECT t.line_id, CAST(coalesce(map_no, 0) AS INT) AS map_no, CASE WHEN m.line_id IS NULL THEN 0 WHEN map_no > 0 OR d < 0 THEN 0 WHEN tot = 1 THEN 254 WHEN d > 0 THEN 180 ELSE 119 END AS mapq,
+SELECT t.line_id, CAST(coalesce(map_no, 0) AS INT) AS map_no, CASE WHEN m.line_id IS NULL THEN 0 WHEN map_no > 0 THEN 110 WHEN d < 0 THEN 119 WHEN tot = 1 THEN 254 ELSE 180 END AS mapq,
   CASE WHEN regexp_matches(tag, '^[^ ]+ [12]:[YN]:[0-9]+:') THEN regexp_extract(tag, '^[^ ]+ ([12]:[YN]:[0-9]+:[ACGTN0-9+]*)', 1) END AS casava
 FROM tpl t LEFT JOIN m ON m.line_id = t.line_id LEFT JOIN u ON u.line_id = t.line_id""")
 def sam_fields(spark, d):

@@ -61,16 +61,15 @@ def _cigar(m: Column) -> Column:
     return F.when(m["strand"] == "-", M.cigar(M.reverse_blocks(m["blocks"]))).otherwise(M.cigar(m["blocks"]))
 
 
-# SAM mapping qualities by class of uniqueness.
-UNIQUE_FAR, UNIQUE_NEAR, BEST_OF_SEVERAL, TIED = 254, 180, 119, 0
+# SAM mapping qualities by class of a mapping: unique without others, unique with others in further strata,
+# one of several in the best stratum, in a further stratum.
+UNIQUE, UNIQUE_WITH_OTHERS, TIE, NEXT_STRATUM = 254, 180, 119, 110
 
 
 def mapping_class(counters: Column, primary: Column) -> Column:
-    """Mapping quality by the counters: the only mapping, the best with others a stratum or more away, one of a tie or a
-    worse one. 255 would mean that none is known."""
-    d = C.uniq_degree(counters)
-    alone = C.reduce_sum(counters) == 1
-    return F.when(~primary | (d < 0), TIED).when(alone, UNIQUE_FAR).when(d > 0, UNIQUE_NEAR).otherwise(BEST_OF_SEVERAL)
+    """Mapping quality by the counters. Mappings of one stratum count as a tie, their scores are not compared; a mapping
+    that is not the primary one counts as of a further stratum. 255 would mean that none is known."""
+    return F.when(~primary, NEXT_STRATUM).when(C.uniq_degree(counters) < 0, TIE).when(C.reduce_sum(counters) == 1, UNIQUE).otherwise(UNIQUE_WITH_OTHERS)
 
 
 #: Functional fields by name: ``fn(df columns)`` of a mapping ``m`` of a template.
