@@ -25,6 +25,11 @@ def _l(v) -> Column:
     return F.lit(v).cast("bigint")
 
 
+def once(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def parse_blocks(pos: Column, edits: Column) -> Column:
     """Blocks of an edit string that starts at ``pos``."""
     start = F.struct(
@@ -115,11 +120,19 @@ def parse_score(text: Column) -> Column:
 def parse_map(txt: Column) -> Column:
     """One mapping of MAP text ``seq:strand:pos:edits[:::score]``; strands F and R read as + and -."""
     body = F.split(txt, ":::")
-    f = lambda i: F.get(F.split(F.get(body, F.lit(0)), ":"), F.lit(i))
+    parts = F.split(F.get(body, F.lit(0)), ":")
+    f = lambda i: F.get(parts, F.lit(i))
     pos = f(2).try_cast("bigint")
-    strand = F.when(f(1).isin("F", "+"), "+").otherwise("-")
-    blocks = parse_blocks(pos, f(3))
-    blocks = F.when((strand == "-") & f(3).contains("*"), leftmost_last(blocks)).otherwise(blocks)
+    plus = lambda s: s.isin("F", "+")
+    strand = F.when(plus(f(1)), "+").otherwise("-")
+
+    def placed(p):
+        parsed = parse_blocks(F.get(p, F.lit(2)).try_cast("bigint"), F.get(p, F.lit(3)))
+        # As above, a strand that is missing counts as reverse.
+        reverse = ~F.coalesce(plus(F.get(p, F.lit(1))), F.lit(False))
+        return F.when(reverse & F.get(p, F.lit(3)).contains("*"), once(parsed, leftmost_last)).otherwise(parsed)
+
+    blocks = once(parts, placed)
     return F.struct(txt.alias("txt"), f(0).alias("seq_name"), strand.alias("strand"), pos.alias("pos"), parse_score(F.get(body, F.lit(1))).alias("score"), blocks.alias("blocks"))
 
 

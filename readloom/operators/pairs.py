@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import counters as C
 from readloom.functions import mapping as M
+from readloom.plans.runtime import computed
 
 _ONE = rf"[^:,\t]+:[-+FR]:[0-9]+:{M.EDITS_RE}"
 PAIR_RE = rf"(?:{_ONE})?::(?:{_ONE})?(?::::(?:0x[0-9a-fA-F]+|[0-9]+))?"
@@ -18,7 +19,7 @@ PAIR_RE = rf"(?:{_ONE})?::(?:{_ONE})?(?::::(?:0x[0-9a-fA-F]+|[0-9]+))?"
 def parse_pair(txt: Column) -> Column:
     """``end1::end2[:::score]``; an empty end is null."""
     part = lambda i: F.regexp_extract(txt, rf"^((?:{_ONE})?)::((?:{_ONE})?)(?::::(0x[0-9a-fA-F]+|[0-9]+))?$", i)
-    end = lambda i: F.when(part(i) != "", M.parse_map(part(i)))
+    end = lambda i: M.once(part(i), lambda t: F.when(t != "", M.parse_map(t)))
     return F.struct(txt.alias("txt"), end(1).alias("m1"), end(2).alias("m2"), M.parse_score(part(3)).alias("score"))
 
 
@@ -32,9 +33,10 @@ def from_map_lines(lines: DataFrame, line: str = "value", keep: tuple[str, ...]
     cut = F.length(F.regexp_extract(col(2), "^([ACGTN]+)", 1))
     halves = lambda s: F.array(F.left(s, cut), F.substring(s, cut + 2, F.length(s)))
     texts = F.filter(F.split(maps, ","), lambda t: t != "-")
+    x = computed(x, "mmaps", F.transform(texts, parse_pair))
     return x.select(
         *keep, col(1).alias("tag"), halves(col(2)).alias("reads"), F.when(n == 5, halves(col(3))).alias("quals"), C.parse_counters(text).alias("counters"), C.parse_mcs(text).alias("mcs"),
-        C.not_unique(text).alias("not_unique"), F.transform(texts, parse_pair).alias("mmaps"),
+        C.not_unique(text).alias("not_unique"), "mmaps",
     )
 
 

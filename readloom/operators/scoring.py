@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import mapping as M
 from readloom.plans.prefix import running_sum
+from readloom.plans.runtime import computed
 
 # Fixed values.
 MAX_QUALITY, INDEL_PENALTY, MISSING_QUALITY, MAX_SCORE = 42, 40, 30, 0xFFFF
@@ -50,10 +51,11 @@ def pair_ends(left: DataFrame, right: DataFrame, lo: int, hi: int, key: str = "t
     their introns. ``bin_size`` defaults to a width that no pair in range spans twice.
     """
     width = bin_size or max(1 << 10, hi - lo + 1)
-    # Bound to one variable, so that a mapping's text is parsed once for it; the insert size is the difference of the two.
-    anchor = F.get(F.transform(F.array("m.blocks"), lambda b: M.insert_anchor(F.col("m.strand"), b)), F.lit(0))
-    a = left.select(F.col(key), F.col("m").alias("m1"), anchor.alias("_p")).withColumn("_b", F.floor(F.col("_p") / width))
-    b = right.select(F.col(key).alias("_k"), F.col("m").alias("m2"), anchor.alias("_q"))
+    # The insert size is the difference of the two. A mapping's text is parsed once, and not in filters before.
+    anchor = M.insert_anchor(F.col("m.strand"), F.col("m.blocks"))
+    placed = lambda x, to: computed(computed(x.select(key, "m"), "m", F.col("m")), to, anchor)
+    a = placed(left, "_p").select(F.col(key), F.col("m").alias("m1"), "_p").withColumn("_b", F.floor(F.col("_p") / width))
+    b = placed(right, "_q").select(F.col(key).alias("_k"), F.col("m").alias("m2"), "_q")
     # Where the place of the other end must lie, by the strand of this one: two bins at most.
     near, far = F.when(F.col("m2.strand") == "+", F.col("_q") + lo).otherwise(F.col("_q") - hi), F.when(F.col("m2.strand") == "+", F.col("_q") + hi).otherwise(F.col("_q") - lo)
     b = b.withColumn("_c", F.explode(F.sequence(F.floor(near / width), F.floor(far / width))))

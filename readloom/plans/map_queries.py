@@ -17,7 +17,7 @@ from readloom.operators import setops as U
 from readloom.operators import stats as A
 from readloom.operators import templates as T
 from readloom.plans.read_queries import templates
-from readloom.plans.runtime import table
+from readloom.plans.runtime import computed, table
 from readloom.plans.sqltext import BLOCKS, FEATURES, HIT, MAPS, PAIRS, ROWS, SETS, TBLOCKS, TPL, E, united
 
 QUERIES: dict = {}
@@ -668,7 +668,8 @@ def _paired_text(spark, d):
     text = lambda m: F.concat_ws(":", F.col(f"{m}.seq_name"), F.col(f"{m}.strand"), F.col(f"{m}.pos").cast("string"), M.render_edits(F.col(f"{m}.blocks")))
     read = lambda m: F.expr(f"repeat('A', cast(aggregate({m}.blocks, 0L, (a, b) -> a + b.base_length) as int))")
     line = F.concat_ws("\t", "tag", F.concat(read("m1"), F.lit(" "), read("m2")), F.lit("1"), F.concat(text("m1"), F.lit("::"), text("m2"), F.lit(":::7")))
-    return Q2.from_map_lines(x.select(F.col("m1.map_id").alias("id1"), F.col("m2.map_id").alias("id2"), line.alias("value")), keep=("id1", "id2"))
+    x = computed(x, "value", line)
+    return Q2.from_map_lines(x.select(F.col("m1.map_id").alias("id1"), F.col("m2.map_id").alias("id2"), "value"), keep=("id1", "id2"))
 
 
 @query(f"""{_PAIR} SELECT id1, id2, (CASE s1 WHEN '+' THEN 'F' ELSE 'R' END) || (CASE s2 WHEN '+' THEN 'F' ELSE 'R' END) AS strands, insert_size, a.dist + z.dist AS distance, CAST(l1 AS INT) AS n1, CAST(l2 AS INT) AS n2, CAST(7 AS BIGINT) AS score FROM pairs JOIN w a ON a.map_id = id1 JOIN w z ON z.map_id = id2""")

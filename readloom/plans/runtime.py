@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: dict[str, list[tuple]] = {}
 _fallback: dict[str, str] = {}
@@ -113,6 +114,15 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with column ``name`` computed once a row.
+
+    A projected expression is copied into every filter and join condition behind it, to be computed anew in each, for rows
+    that the join then drops too. The optimizer does not copy through a generator.
+    """
+    return df.select(*(c for c in df.columns if c != name), F.explode_outer(F.array(value)).alias(name))
+
+
 def rows_at_most(df: DataFrame, bound: int) -> bool:
     """Whether ``df`` has at most ``bound`` rows; reads no more than ``bound + 1`` of them."""
     return df.limit(bound + 1).count() <= bound
