@@ -135,12 +135,16 @@ def block_hits(blocks: DataFrame, features: DataFrame) -> DataFrame:
     return overlap_join(blocks, f, ("seq_name", "b_start", "b_end"), ("f_seq", "f_start", "f_end")).repartition("template", "map_no")
 
 
+def _kind(exon: Column, intron: Column) -> Column:
+    return F.when(exon == 1, "exon").when(intron == 1, "intron").when(exon.isNotNull(), "unknown").otherwise("na")
+
+
 def block_types(blocks: DataFrame, hit: DataFrame) -> DataFrame:
     """Kind of each block: exon, else intron, else unknown, and na without any hit; and its largest exon overlap."""
     share = (F.least("b_end", "f_end") - F.greatest("b_start", "f_start") + 1) / (F.col("b_end") - F.col("b_start") + 1)
     exon = F.col("f_type") == "exon"
     per = hit.groupBy(*_MAP, "block_no").agg(F.max(exon.cast("int")).alias("x"), F.max((F.col("f_type") == "intron").cast("int")).alias("i"), F.max(F.when(exon & F.col("f_gene").isNotNull(), share)).alias("o"), F.count_distinct(F.when(exon, F.col("f_gene"))).alias("exon_genes"))
-    kind = F.when(F.col("x") == 1, "exon").when(F.col("i") == 1, "intron").when(F.col("x").isNotNull(), "unknown").otherwise("na")
+    kind = _kind(F.col("x"), F.col("i"))
     b = blocks.select(*_MAP, "block_no", (F.col("b_end") - F.col("b_start") + 1).alias("len"))
     return b.join(per, [*_MAP, "block_no"], "left").select(*_MAP, "block_no", "len", kind.alias("kind"), F.coalesce("o", F.lit(0.0)).alias("overlap"), F.coalesce("exon_genes", F.lit(0)).alias("exon_genes"))
 
@@ -148,10 +152,21 @@ def block_types(blocks: DataFrame, hit: DataFrame) -> DataFrame:
 def map_genes(blocks: DataFrame, hit: DataFrame) -> DataFrame:
     """Genes of each mapping's end: with exon hits those of the exons, else all; if several, those that all blocks
     share, and of them those with most splice sites at exon bounds."""
+    return _map_genes(block_genes(hit.where("f_gene is not null")))
+
+
+def block_genes(hit: DataFrame) -> DataFrame:
+    """Hits summed up by block and gene, null for those without a gene: any of an exon with a gene ``x``, of any exon
+    ``exon``, of an intron ``intron``; ``j`` such exons at whose bounds the block starts or ends."""
     exon = (F.col("f_type") == "exon") & F.col("f_gene").isNotNull()
     edge = (F.col("b_start") == F.col("f_start")) | (F.col("b_start") == F.col("f_end")) | (F.col("b_end") == F.col("f_end")) | (F.col("b_end") == F.col("f_start"))
     also = ["n_ends"] if "n_ends" in hit.columns else []
-    g = hit.where("f_gene is not null").groupBy(*_MAP, *also, "block_no", "n_blocks", "f_gene").agg(F.max(exon.cast("int")).alias("x"), F.sum((exon & edge).cast("int")).alias("j"))
+    kinds = (F.max((F.col("f_type") == k).cast("int")).alias(k) for k in ("exon", "intron"))
+    return hit.groupBy(*_MAP, *also, "block_no", "n_blocks", "f_gene").agg(F.max(exon.cast("int")).alias("x"), F.sum((exon & edge).cast("int")).alias("j"), *kinds)
+
+
+def _map_genes(g: DataFrame) -> DataFrame:
+    also = ["n_ends"] if "n_ends" in g.columns else []
     w = Window.partitionBy(*_MAP, "block_no")
     g = g.withColumn("any", F.max("x").over(w)).where("x = any")
     per = g.groupBy(*_MAP, *also, "n_blocks", "f_gene").agg(F.count("*").alias("cnt"), F.sum("j").alias("j"), F.max("x").alias("x"))
@@ -228,10 +243,12 @@ def gene_counts(blocks: DataFrame, features: DataFrame, multi: bool = False, wei
 
 def type_patterns(blocks: DataFrame, features: DataFrame) -> DataFrame:
     """``pattern, n`` over mappings of single-mapping templates: kinds of blocks joined by ``^``, ``_mg`` for exons of several genes."""
-    hit = block_hits(blocks, features)
-    genes = map_genes(blocks, hit).groupBy("template", "map_no").agg(F.count_distinct("f_gene").alias("g"))
-    t = block_types(blocks, hit).join(genes, ["template", "map_no"], "left")
-    name = F.when((F.col("kind") == "exon") & (F.coalesce("g", F.lit(0)) != 1) & (F.col("exon_genes") > 1), F.concat("kind", F.lit("_mg"))).otherwise(F.col("kind"))
+    # Written, as both the genes and the kinds need it; else the plan holds the overlap join and all before it twice.
+    per = materialize(block_genes(block_hits(blocks, features)))
+    genes = _map_genes(per.where("f_gene is not null")).groupBy("template", "map_no").agg(F.count_distinct("f_gene").alias("g"))
+    kinds = per.groupBy(*_MAP, "block_no").agg(F.max("exon").alias("x"), F.max("intron").alias("i"), F.count_distinct(F.when(F.col("exon") == 1, F.col("f_gene"))).alias("exon_genes"))
+    t = blocks.select(*_MAP, "block_no").join(kinds, [*_MAP, "block_no"], "left").withColumn("kind", _kind(F.col("x"), F.col("i"))).join(genes, ["template", "map_no"], "left")
+    name = F.when((F.col("kind") == "exon") & (F.coalesce("g", F.lit(0)) != 1) & (F.coalesce("exon_genes", F.lit(0)) > 1), F.concat("kind", F.lit("_mg"))).otherwise(F.col("kind"))
     per = t.groupBy("template", "map_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("end_no", "block_no", name.alias("k")))), lambda s: s["k"]), "^").alias("pattern"))
     return per.groupBy("pattern").agg(F.count("*").alias("n"))
 

@@ -17,7 +17,7 @@ from readloom.operators import setops as U
 from readloom.operators import stats as A
 from readloom.operators import templates as T
 from readloom.plans.read_queries import templates
-from readloom.plans.runtime import computed, table
+from readloom.plans.runtime import computed, materialize, table
 from readloom.plans.sqltext import BLOCKS, FEATURES, HIT, MAPS, PAIRS, ROWS, SETS, TBLOCKS, TPL, E, united
 
 QUERIES: dict = {}
@@ -48,8 +48,20 @@ def mapped(spark: SparkSession, d: str, *cols: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, d: str) -> DataFrame:
+    return _blocks(mapped(spark, d, "tag", "end_no", "seq_name", "strand"))
+
+
+def single_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of the read ends with a single mapping, told by narrow rows before any text moves or is parsed."""
+    x = table(spark, d, "mappings").where("maps <> '-'").select("map_id", "tag", "end_no", "seq_name", "strand", "maps")
+    one = x.groupBy("tag", "end_no").agg(F.min("map_id").alias("map_id"), F.max("map_id").alias("_last")).where("map_id = _last").drop("_last")
+    # By map_id too, so that a tag with a tenth of all rows is no task.
+    return _blocks(x.join(one, ["tag", "end_no", "map_id"], "left_semi").distinct().withColumn("m", M.parse_map(F.col("maps"))))
+
+
+def _blocks(maps: DataFrame) -> DataFrame:
     # There is always a block; the outer form keeps the optimizer from parsing a second time to test for one.
-    x = mapped(spark, d, "tag", "end_no", "seq_name", "strand").select("map_id", F.concat_ws("/", "tag", "end_no").alias("template"), F.col("map_id").alias("map_no"), F.lit(1).alias("end_no"), "seq_name", "strand", F.size("m.blocks").alias("n_blocks"), F.posexplode_outer("m.blocks").alias("block_no", "b"))
+    x = maps.select("map_id", F.concat_ws("/", "tag", "end_no").alias("template"), F.col("map_id").alias("map_no"), F.lit(1).alias("end_no"), "seq_name", "strand", F.size("m.blocks").alias("n_blocks"), F.posexplode_outer("m.blocks").alias("block_no", "b"))
     x = x.withColumn("n_ends", F.lit(1))
     return x.select("map_id", "template", "map_no", "end_no", "n_ends", "block_no", "n_blocks", "seq_name", "strand", F.col("b.pos").alias("b_start"), (F.col("b.pos") + M.block_length(F.col("b")) - 1).alias("b_end"))
 
@@ -491,9 +503,7 @@ p AS (SELECT b.template, b.map_no, string_agg(CASE WHEN x = 1 THEN 'exon' || CAS
   FROM b JOIN nm ON nm.template = b.template LEFT JOIN t ON t.template = b.template AND t.map_no = b.map_no AND t.block_no = b.block_no LEFT JOIN gn ON gn.template = b.template AND gn.map_no = b.map_no GROUP BY ALL)
 SELECT pattern, count(*) AS n FROM p GROUP BY 1""")
 def type_patterns(spark, d):
-    b = blocks(spark, d)
-    one = b.groupBy("template").agg(F.count_distinct("map_no").alias("k")).where("k = 1")
-    return I.type_patterns(b.join(one, "template", "left_semi"), features(spark, d))
+    return I.type_patterns(materialize(single_blocks(spark, d)), features(spark, d))
 
 
 @query(f"""WITH {BLOCKS}, {FEATURES}, l AS (SELECT map_id, seq_name, lag(en) OVER (PARTITION BY map_id ORDER BY s, block_no) AS le, s AS ri FROM b), j AS (SELECT row_number() OVER () AS id, * FROM l WHERE le IS NOT NULL),
